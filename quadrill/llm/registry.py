@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import pii
+from quadrill.llm import pii, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.OP5_SQL}
