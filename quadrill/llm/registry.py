@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import pii, warc
+from quadrill.llm import langid, pii, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_langid": langid.op2_langid,
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
     }
