@@ -224,7 +224,9 @@ def deduplicate(spark: SparkSession, files: DataFrame, uri: str, to: str, least_
         archive.close()
         return pd.DataFrame({"file": [name], "records": [n]})
 
-    out = written(every.unionByName(old).unionByName(choice).groupBy("file").applyInPandas(run, "file string, records long"), "deduplicated")
+    # by number: the decisions are small, so adaptive execution would give all archives to one task
+    tasks = max(1, min(files.count(), 4096))
+    out = written(every.unionByName(old).unionByName(choice).repartition(tasks, "file").groupBy("file").applyInPandas(run, "file string, records long"), "deduplicated")
     forget(head, first)
     return out
 
