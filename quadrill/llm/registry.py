@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import langid, pii, quality, warc
+from quadrill.llm import html_text, langid, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op2_langid": langid.op2_langid,
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
+        "op9_html": html_text.op9_html,
         "op10_quality": quality.op10_quality,
     }
 
