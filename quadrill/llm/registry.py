@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import html_text, langid, pii, quality, warc
+from quadrill.llm import decontaminate, html_text, langid, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_langid": langid.op2_langid,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
         "op9_html": html_text.op9_html,
@@ -18,4 +19,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.OP5_SQL}
+    return {"op3_decontaminate": decontaminate.OP3_SQL, "op5_warc": warc.OP5_SQL}
