@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import decontaminate, html_text, langid, pii, quality, warc
+from quadrill.llm import decontaminate, html_text, langid, licences, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
+        "op7_licences": licences.op7_licences,
         "op9_html": html_text.op9_html,
         "op10_quality": quality.op10_quality,
     }
