@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import decontaminate, html_text, langid, licences, pii, quality, warc
+from quadrill.llm import decontaminate, html_text, langid, licences, mixing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_langid": langid.op2_langid,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_mixing": mixing.op4_mixing,
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
         "op7_licences": licences.op7_licences,
