@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import decontaminate, html_text, langid, licences, mixing, pii, quality, warc
+from quadrill.llm import ann, decontaminate, html_text, langid, licences, mixing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_ann": ann.op1_ann,
         "op2_langid": langid.op2_langid,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_mixing": mixing.op4_mixing,
