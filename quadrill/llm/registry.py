@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import ann, decontaminate, html_text, langid, licences, mixing, pii, quality, warc
+from quadrill.llm import ann, decontaminate, html_text, jaccard, langid, licences, mixing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
         "op7_licences": licences.op7_licences,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op9_html": html_text.op9_html,
         "op10_quality": quality.op10_quality,
     }
