@@ -4,9 +4,9 @@ Documents are sets of word shingles; two link when their Jaccard similarity is a
 each document the smallest id that it can reach by links.
 
 1. A sketch counts shingles in bins (a fixed number of counters). A first global order sorts tokens by their bin's
-   count. Documents that share no token of their prefixes under it link with nothing and leave the join here. A
-   prefix with a token of a crowded bin keeps its document in the join, so the groups that are collected
-   here are never larger than an uncrowded bin.
+   count. Linked documents share a known least number of tokens of their prefixes under it; documents that
+   share fewer with all others together link with nothing and leave the join here. Tokens of crowded bins count as
+   shared and aren't dealt out, so no group here is larger than an uncrowded bin.
 2. For the rest, equal sets become one node. Tokens that no other node has can't be shared, so only the others are
    ordered: rarest first, and by two hashes. A pair is a candidate if it shares a prefix token under the first order
    and under both others, and if what can be shared suffices for its sizes.
@@ -74,8 +74,14 @@ def crowded(counts: np.ndarray) -> int:
     return int(mean + 8 * np.sqrt(mean) + 64)
 
 
-def first_prefixes(source: DataFrame, counts, limit: int) -> DataFrame:
-    """(doc_id, n, h1, h2, hot, tokens): set size and signature, and the first order's prefix outside crowded bins."""
+def extra(n):
+    """Tokens by which prefixes under the first order are longer, and so many more must be shared."""
+    return n // 10
+
+
+def first_prefixes(source: DataFrame, counts, limit: int, bits: int) -> DataFrame:
+    """(doc_id, n, h1, h2, hot, tokens): set size and signature; of the first order's prefix the number of crowded tokens and the last ``bits`` bits of the others."""
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = counts.value
@@ -85,14 +91,36 @@ def first_prefixes(source: DataFrame, counts, limit: int) -> DataFrame:
                 for own in sets:
                     n = len(own)
                     load = bins[(own % np.uint64(BINS)).astype(np.int64)]
-                    order = np.lexsort((own, load))[: n - int(least_partner(n)) + 1] if n else np.zeros(0, np.int64)
+                    order = np.lexsort((own, load))[: n - int(least_partner(n)) + max(1, extra(n))] if n else np.zeros(0, np.int64)
                     cool = load[order] < limit
-                    hot.append(bool((~cool).any()))
-                    prefix.append(own[order[cool]].view(np.int64))
+                    hot.append(int((~cool).sum()))
+                    prefix.append((own[order[cool]] & mask).view(np.int64))
                     sig.append(signature(own))
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(s) for s in sets], "h1": [a for a, _ in sig], "h2": [b for _, b in sig], "hot": hot, "tokens": prefix})
 
-    return source.mapInPandas(run, "doc_id long, n long, h1 long, h2 long, hot boolean, tokens array<long>")
+    return source.mapInPandas(run, "doc_id long, n long, h1 long, h2 long, hot int, tokens array<long>")
+
+
+def shared_counts(sized: DataFrame) -> DataFrame:
+    """(h1, shared): how many prefix tokens of each set another set's prefix has.
+
+    Tokens are dealt by hash; none is crowded, so tasks are even, and each sorts what it got as plain numbers.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf.to_numpy(np.int64) for pdf in batches]
+        if not parts:
+            return
+        both = np.concatenate(parts)
+        parts.clear()
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]]
+        same = both[1:, 0] == both[:-1, 0]
+        sets, n = np.unique(both[np.r_[False, same] | np.r_[same, False], 1], return_counts=True)
+        yield pd.DataFrame({"h1": sets, "shared": n})
+
+    rows = sized.select(F.explode("tokens").alias("token"), "h1").repartition("token")
+    return rows.mapInPandas(run, "h1 long, shared long").groupBy("h1").agg(F.sum("shared").alias("shared"))
 
 
 def bit_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -178,17 +206,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 1000)))  # whole texts go to Python: small batches keep its memory low
+    try:
+        return _joined(spark, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    finally:
+        spark.conf.set(name, before)
+
+
+def _joined(spark: SparkSession, source: DataFrame) -> DataFrame:
     bins = sketch(source)
     limit = crowded(bins)
     counts = spark.sparkContext.broadcast(bins)  # BINS counters, whatever the input
+    # so many bits that few prefix tokens meet by chance; those that do only cost time
+    bits = min(63, int(bins.sum()).bit_length() + 6)
 
-    every = written(first_prefixes(source, counts, limit), "prefixes")
+    every = written(first_prefixes(source, counts, limit, bits), "prefixes")
     sized = every.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(sized.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    groups = sized.select("doc_id", F.explode("tokens").alias("token")).groupBy("token").agg(F.collect_set("doc_id").alias("docs")).where("size(docs) > 1")
-    active = groups.select(F.explode("docs").alias("doc_id")).unionByName(sized.where("hot").select("doc_id")).distinct()
-    active = written(active.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "active")
+    classes = written(sized.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("hot").alias("hot")), "classes")
+    shared = shared_counts(sized)
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 10))
+    active = classes.join(shared, "h1", "left").where(F.coalesce("shared", F.lit(0)) + F.col("hot") >= least).select(F.col("rep").alias("doc_id"))
+    active = written(active, "active")
+    slim = written(every.select("doc_id", "n", "h1", "h2"), "sizes")
+    forget(every)
     known = spark.sparkContext.broadcast(id_filter(active, active.count()))
 
     nodes = written(tokens_of(source, known, counts, limit), "nodes")
@@ -225,7 +267,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # one join by set: single documents without a link keep their own id
     ends = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"), "rep", "copies")
     ends = written(ends.where("copies > 1 OR root <> rep").select("h1", "h2", "n", "root"), "ends")
-    out = every.select("doc_id", "n", "h1", "h2").join(ends, ["h1", "h2", "n"], "left")
+    out = slim.join(ends, ["h1", "h2", "n"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id"))
 

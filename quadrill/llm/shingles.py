@@ -13,7 +13,7 @@ import numpy as np
 
 SIZE = 5
 #: Bytes of text hashed at once; a longer text is hashed by itself.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
