@@ -116,11 +116,12 @@ def shared_counts(sized: DataFrame) -> DataFrame:
         both = both[np.lexsort((both[:, 1], both[:, 0]))]
         both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]]
         same = both[1:, 0] == both[:-1, 0]
-        sets, n = np.unique(both[np.r_[False, same] | np.r_[same, False], 1], return_counts=True)
-        yield pd.DataFrame({"h1": sets, "shared": n})
+        found = both[np.r_[False, same] | np.r_[same, False], 1]
+        for i in range(0, len(found), 100_000):
+            yield pd.DataFrame({"h1": found[i : i + 100_000]})
 
     rows = sized.select(F.explode("tokens").alias("token"), "h1").repartition("token")
-    return rows.mapInPandas(run, "h1 long, shared long").groupBy("h1").agg(F.sum("shared").alias("shared"))
+    return rows.mapInPandas(run, "h1 long").groupBy("h1").agg(F.count("*").alias("shared"))
 
 
 def bit_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -191,16 +192,19 @@ def ordered(nodes: DataFrame) -> DataFrame:
 
 
 ENOUGH = "ceil(4 * (n + n_b) / 9.0) <= least(s, s_b)"
+#: Two nodes have in common at most what both have in common with the centre, and of the rest the smaller part.
+NEAR = "common IS NULL OR common_b IS NULL OR ceil(4 * (n + n_b) / 9.0) <= least(common, common_b) + least(s - common, s_b - common_b)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share prefix tokens under the other orders too and whose sets link."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, linked) of pairs that share prefix tokens under the other orders too: their intersection, and whether it suffices."""
     cols = ["n", "tokens", "second", "third"]
     left = sets.select(F.col("doc_id").alias("a"), *(F.col(c).alias(c + "_a") for c in cols))
     right = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(c + "_b") for c in cols))
     both = pairs.join(left, "a").join(right, "b")
     both = both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-    return both.where(9 * F.size(F.array_intersect("tokens_a", "tokens_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    both = both.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common"), (F.col("n_a") + F.col("n_b")).alias("sizes"))
+    return both.select("a", "b", "common", (9 * F.col("common") >= 4 * F.col("sizes")).alias("linked"))
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,23 +249,29 @@ def _joined(spark: SparkSession, source: DataFrame) -> DataFrame:
     centres = written(centres.select("token", (-F.col("c.minus")).alias("doc_b"), F.col("c.n").alias("n_b"), F.col("c.s").alias("s_b")), "centres")
     pair = [F.least("doc_id", "doc_b").alias("a"), F.greatest("doc_id", "doc_b").alias("b")]
     stars = probes.join(centres, "token").where("doc_id <> doc_b").where(ENOUGH).select(*pair).distinct()
-    links = written(verified(stars, sets), "links")
+    met = written(compared(stars, sets), "met")
+    links = met.where("linked").select("a", "b")
 
     roots = components(links)
     label = lambda df: df.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     named = written(label(sets.select("doc_id", "n", "s", "probe", "kept")), "named")
     members = named.select("doc_id", "n", "s", "root", F.explode("kept").alias("token"))
     mixed = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("n_low"))
-    mixed = written(mixed, "mixed")
+    mixed = written(mixed.join(centres.select("token", F.col("doc_b").alias("centre")), "token"), "mixed")
     # only probes that meet another component, and whose own tokens allow a partner as small as the group's smallest
     asking = named.select("doc_id", "n", "s", "root", F.explode("probe").alias("token")).join(mixed, "token")
     asking = asking.where("(low <> root OR high <> root) AND ceil(4 * (n + n_low) / 9.0) <= s").drop("low", "high", "n_low")
-    asking = written(asking, "asking")
-    others = members.join(asking.select("token").distinct(), "token", "left_semi")
-    others = written(others.select("token", F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("root").alias("root_b")), "others")
-    rest = asking.join(others, "token").where("root <> root_b AND (n_b < n OR (n_b = n AND doc_b < doc_id)) AND 5 * n_b >= 4 * n").where(ENOUGH)
+    # what a node has in common with its group's centre bounds what two nodes of the group can have in common
+    known_common = met.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "common").unionByName(met.select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), "common"))
+    known_common = written(known_common, "common")
+    withs = lambda df: df.join(known_common, ["doc_id", "centre"], "left").withColumn("common", F.when(F.col("doc_id") == F.col("centre"), F.col("s")).otherwise(F.col("common")))
+    asking = written(withs(asking), "asking")
+    others = members.join(asking.select("token").distinct(), "token", "left_semi").join(mixed.select("token", "centre"), "token")
+    others = withs(others).select("token", F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("root").alias("root_b"), F.col("common").alias("common_b"))
+    others = written(others, "others")
+    rest = asking.join(others, "token").where("root <> root_b AND (n_b < n OR (n_b = n AND doc_b < doc_id)) AND 5 * n_b >= 4 * n").where(ENOUGH).where(NEAR)
     rest = rest.select(*pair).distinct()
-    more = written(verified(rest, sets), "more")
+    more = written(compared(rest, sets).where("linked").select("a", "b"), "more")
     final = components(links.unionByName(more)) if more.limit(1).count() else roots
 
     # one join by set: single documents without a link keep their own id
