@@ -41,7 +41,7 @@ def group_metrics(scores: DataFrame, score: str = "score") -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def ordinal_rank(score: Column | str) -> Column:
