@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrill.llm.common import forget, table, written
+from quadrill.llm.common import forget, lean, table, written
 from quadrill.llm.components import components
 from quadrill.llm.shingles import mix, shingle_sets, signature
 
@@ -62,7 +62,7 @@ def sketch(source: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"bin": at.astype(np.int32), "n": counts[at]})
 
     # one row for each bin at most
-    got = source.select("text").mapInPandas(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    got = source.select("text").mapInPandas(lean(run), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BINS, np.int64)
     out[got["bin"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
@@ -98,7 +98,7 @@ def first_prefixes(source: DataFrame, counts, limit: int, bits: int) -> DataFram
                     sig.append(signature(own))
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(s) for s in sets], "h1": [a for a, _ in sig], "h2": [b for _, b in sig], "hot": hot, "tokens": prefix})
 
-    return source.mapInPandas(run, "doc_id long, n long, h1 long, h2 long, hot int, tokens array<long>")
+    return source.mapInPandas(lean(run), "doc_id long, n long, h1 long, h2 long, hot int, tokens array<long>")
 
 
 def shared_counts(sized: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def shared_counts(sized: DataFrame) -> DataFrame:
             yield pd.DataFrame({"h1": found[i : i + 100_000]})
 
     rows = sized.select(F.explode("tokens").alias("token"), "h1").repartition("token")
-    return rows.mapInPandas(run, "h1 long").groupBy("h1").agg(F.count("*").alias("shared"))
+    return rows.mapInPandas(lean(run), "h1 long").groupBy("h1").agg(F.count("*").alias("shared"))
 
 
 def bit_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -140,7 +140,7 @@ def id_filter(ids: DataFrame, n: int) -> np.ndarray:
             at = np.unique(bit_places(pdf["doc_id"].to_numpy(np.int64), bits))
             yield pd.DataFrame({"word": at >> 5, "mask": np.int64(1) << (at & 31)})
 
-    got = ids.mapInPandas(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    got = ids.mapInPandas(lean(run), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     out = np.zeros(bits >> 5, np.uint32)
     out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).astype(np.uint32)
     return out
@@ -165,7 +165,7 @@ def tokens_of(source: DataFrame, ids, counts, limit: int) -> DataFrame:
                     loads.append(load[warm])
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("int64"), "n": [len(s) for s in sets], "cool": cool, "hot": hot, "load": loads})
 
-    return source.mapInPandas(run, "doc_id long, n long, cool array<long>, hot array<long>, load array<long>")
+    return source.mapInPandas(lean(run), "doc_id long, n long, cool array<long>, hot array<long>, load array<long>")
 
 
 def ordered(nodes: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def ordered(nodes: DataFrame) -> DataFrame:
                 rows.append((doc, n, s, first, first[: s - low + 1], first[: max(0, s - same + 1)], token[orders[1]][: s - low + 1], token[orders[2]][: s - low + 1]))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "s", "tokens", "probe", "kept", "second", "third"])
 
-    return nodes.mapInPandas(run, "doc_id long, n long, s long, tokens array<long>, probe array<long>, kept array<long>, second array<long>, third array<long>")
+    return nodes.mapInPandas(lean(run), "doc_id long, n long, s long, tokens array<long>, probe array<long>, kept array<long>, second array<long>, third array<long>")
 
 
 ENOUGH = "ceil(4 * (n + n_b) / 9.0) <= least(s, s_b)"

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrill.llm.common import held_out, table, uniform
+from quadrill.llm.common import held_out, lean, table, uniform
 
 #: Bytes of a word that the network reads at once; longer words are read in several pieces.
 PIECE = 40
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 
 
@@ -211,8 +211,12 @@ class Labeller:
         self.sums = np.concatenate([self.sums, np.add.reduceat(self.piece_sums[flat], starts)])
         self.sizes = np.concatenate([self.sizes, sizes])
 
-    def pool(self, texts: list[str]) -> np.ndarray:
-        """Mean log probability over all byte positions of each text [document, language]."""
+    def pool(self, texts: list[str], together: int = 200) -> np.ndarray:
+        """Mean log probability over all byte positions of each text [document, language], ``together`` texts at a time."""
+        parts = [self._pool(texts[i : i + together]) for i in range(0, len(texts), together)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.net.langs)))
+
+    def _pool(self, texts: list[str]) -> np.ndarray:
         if len(self.at) > REMEMBERED:
             self.clear()
         counts = [Counter(t.lower().split()) for t in texts]
@@ -274,7 +278,7 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
 
     base = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return base.mapInPandas(lean(run), f"{schema}, lang_pred string, score double")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

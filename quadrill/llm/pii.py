@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrill.llm.boosting import BoostedTrees
-from quadrill.llm.common import table
+from quadrill.llm.common import lean, table
 
 BASE = ("email", "ip", "card", "phone")
 #: Order of kinds among spans that start together.
@@ -285,7 +285,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     kind = dict(docs.dtypes)[id_col]
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInPandas(
-        run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        lean(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
 
 
@@ -300,7 +300,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             pdf[text_col] = [x if isinstance(t, str) else None for x, t in zip(out, pdf[text_col], strict=True)]
             yield pdf
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(lean(run), docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

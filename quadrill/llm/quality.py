@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrill.llm.common import held_out, table, uniform
+from quadrill.llm.common import held_out, lean, table, uniform
 
 UPPER, LOWER, DIGIT, SPACE, MARK, STOP, OTHER = range(7)
 
@@ -198,7 +198,7 @@ def grade(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: floa
 
     base = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInPandas(run, f"{schema}, score double, predicted int")
+    return base.mapInPandas(lean(run), f"{schema}, score double, predicted int")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
