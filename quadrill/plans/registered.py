@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrill.plans import catalog, reranking, temporal  # noqa: F401  registers its queries
+from quadrill.plans import catalog, multihop, reranking, temporal  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, catalog.Query]:
