@@ -7,8 +7,8 @@ windows of the benchmark items. A document is contaminated by an item if the win
 always stands for the same value of the document. So questions asked again with other numbers or names are found.
 
 Items of fewer than ``WINDOW`` tokens are matched whole. Null and empty texts have no window and are never
-contaminated; items without a window (all placeholders, empty or null) match nothing. Repeated rows of a document id
-count as one document. Rows with a null id are not reported, for nothing could be done with them, and stay.
+contaminated; items without a window (all placeholders, empty or null) match nothing. Rows of one document id
+give one result, that of the row that matches most. Rows with a null id are not reported, for nothing could be done with them, and stay.
 """
 
 from __future__ import annotations
@@ -78,9 +78,10 @@ def item_windows(ours: DataFrame, size: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item: windows of the item, how many match, slots, and how many have another value."""
-    ours = written(templates(benchmark.select(F.col(item_col).alias("item_id_"), F.col(item_text).alias("text_")), "item_id_", "text_"), "items")
+    ours = written(templates(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id_"), F.col(item_text).alias("text_")), "item_id_", "text_"), "items")
     short = sorted(r[0] for r in ours.select(F.size("tokens").alias("n")).where(f"n BETWEEN 1 AND {WINDOW - 1}").distinct().collect())
-    source = docs.select(F.col(id_col).alias("doc_id_"), F.col(text_col).alias("text_"))
+    # rows of one id but other texts are looked at apart
+    source = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version")).alias("doc_id_"), F.col(text_col).alias("text_"))
     every, hits = None, None
     for size in [WINDOW, *short]:
         left = item_windows(ours, size)
@@ -113,7 +114,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     out = cover.join(slots, ["doc_id_", "item_id_"], "left").where(F.coalesce(F.col("steady") >= STEADY * F.col("slots"), F.lit(True)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return out.select(F.col("doc_id_").alias("doc_id"), F.col("item_id_").alias("item_id"), "item_windows", "matched", zero("slots"), zero("changed"))
+    out = out.select(F.col("doc_id_.id").alias("doc_id"), F.col("item_id_").alias("item_id"), "item_windows", F.struct("matched", zero("slots"), zero("changed")).alias("best"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("item_windows").alias("item_windows"), F.max("best").alias("best")).select("doc_id", "item_id", "item_windows", "best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = 4_000_000) -> DataFrame:

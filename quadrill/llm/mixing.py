@@ -85,7 +85,8 @@ def mix(
     ``most_leaves`` leaves is refused.
     """
     spark = docs.sparkSession
-    levels = [f"level{i}_" for i in range(len(path))]
+    levels = [f"mix_level{i}_" for i in range(len(path))]
+    docs = docs.drop("mix_leaf", "mix_epoch", "mix_tokens")
     sized = docs.select(*docs.columns, *(F.coalesce(c.cast("string"), F.lit("\x00null")).alias(n) for c, n in zip(path, levels, strict=True)), words(F.col(text_col)).alias("mix_tokens"))
     leaf_rows = sized.groupBy(*levels).agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n")).limit(most_leaves + 1).collect()
     if len(leaf_rows) > most_leaves:
@@ -98,27 +99,27 @@ def mix(
         leaf, have = tuple(r[:-2]), float(r["t"])
         whole = min(int(quota[leaf] // have), epochs) if have else 0
         plan.append((*leaf, whole, quota[leaf] - whole * have if whole < epochs else 0.0, max(1, -(-r["n"] // BUCKET))))
-    kind = ", ".join(f"{n} string" for n in levels) + ", whole int, rest double, buckets long"
+    kind = ", ".join(f"{n} string" for n in levels) + ", mix_whole_ int, mix_rest_ double, mix_buckets_ long"
     # as many rows as the tree has leaves, which most_leaves bounds
     budgets = F.broadcast(spark.createDataFrame(plan, kind))
     # the hash of the epoch that is cut; whole epochs take everything
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("whole") + 1, id_col, text_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    ranked = sized.join(budgets, levels).where("mix_tokens > 0").withColumn("place_", place).withColumn("bucket_", F.floor(F.col("place_") * F.col("buckets")))
-    sums = ranked.where("rest > 0").groupBy(*levels, "bucket_").agg(F.sum("mix_tokens").alias("t"), F.first("rest").alias("rest"))
-    before = F.sum("t").over(Window.partitionBy(*levels).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
-    marks = sums.withColumn("before_", F.coalesce(before, F.lit(0))).where("before_ < rest").select(*levels, "bucket_", "before_", (F.col("before_") + F.col("t") > F.col("rest")).alias("cut_"))
-    edges = marks.groupBy(*levels).agg(F.max("bucket_").alias("last_"), F.max_by("before_", "bucket_").alias("before_"), F.max_by("cut_", "bucket_").alias("cut_"))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("mix_whole_") + 1, id_col, text_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    ranked = sized.join(budgets, levels).where("mix_tokens > 0").withColumn("mix_place_", place).withColumn("mix_bucket_", F.floor(F.col("mix_place_") * F.col("mix_buckets_")))
+    sums = ranked.where("mix_rest_ > 0").groupBy(*levels, "mix_bucket_").agg(F.sum("mix_tokens").alias("t"), F.first("mix_rest_").alias("rest"))
+    before = F.sum("t").over(Window.partitionBy(*levels).orderBy("mix_bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    marks = sums.withColumn("mix_before_", F.coalesce(before, F.lit(0))).where("mix_before_ < rest").select(*levels, "mix_bucket_", "mix_before_", (F.col("mix_before_") + F.col("t") > F.col("rest")).alias("mix_cut_"))
+    edges = marks.groupBy(*levels).agg(F.max("mix_bucket_").alias("mix_last_"), F.max_by("mix_before_", "mix_bucket_").alias("mix_before_"), F.max_by("mix_cut_", "mix_bucket_").alias("mix_cut_"))
     edges = written(edges, "edges")
     ranked = ranked.join(F.broadcast(edges), levels, "left")
     named = [*docs.columns, F.to_json(F.array(*levels)).alias("mix_leaf")]
-    inner = F.coalesce(F.expr("bucket_ < last_ OR (bucket_ = last_ AND NOT cut_)"), F.lit(False)).cast("int")
-    whole = ranked.withColumn("takes_", F.col("whole") + inner).where("takes_ > 0")
-    whole = whole.select(*named, F.explode(F.sequence(F.lit(1), F.col("takes_"))).alias("mix_epoch"), "mix_tokens")
+    inner = F.coalesce(F.expr("mix_bucket_ < mix_last_ OR (mix_bucket_ = mix_last_ AND NOT mix_cut_)"), F.lit(False)).cast("int")
+    whole = ranked.withColumn("mix_takes_", F.col("mix_whole_") + inner).where("mix_takes_ > 0")
+    whole = whole.select(*named, F.explode(F.sequence(F.lit(1), F.col("mix_takes_"))).alias("mix_epoch"), "mix_tokens")
     # the one bucket in which the budget ends; it is small whatever the leaf
-    edge = ranked.where("bucket_ = last_ AND cut_")
-    running = F.sum("mix_tokens").over(Window.partitionBy(*levels).orderBy("place_", id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1))
-    edge = edge.withColumn("so_far_", F.coalesce(running, F.lit(0))).where("before_ + so_far_ < rest")
-    edge = edge.select(*named, (F.col("whole") + 1).alias("mix_epoch"), "mix_tokens")
+    edge = ranked.where("mix_bucket_ = mix_last_ AND mix_cut_")
+    running = F.sum("mix_tokens").over(Window.partitionBy(*levels).orderBy("mix_place_", id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.withColumn("mix_so_far_", F.coalesce(running, F.lit(0))).where("mix_before_ + mix_so_far_ < mix_rest_")
+    edge = edge.select(*named, (F.col("mix_whole_") + 1).alias("mix_epoch"), "mix_tokens")
     return whole.unionByName(edge)
 
 
