@@ -161,13 +161,13 @@ def test_decontamination(spark):
     other = "On Monday Carl Moe bought 95 apples and 3 pears at the small market near the old bridge and paid 41 euros for all of them"
     mixed = "quite another story about a river that runs through the hills and never meets the sea in any year we know"
     rows = [(1, "Intro text. " + item + " The end."), (2, "x y z. " + other), (3, mixed), (4, None), (5, ""), (6, "filler words here " * 3000 + item), (6, "again " + item), (None, item), (7, "the small market near the old bridge")]
-    bench = spark.createDataFrame([(10, item), (11, "four plain words only"), (12, ""), (13, None), (None, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, "some plain words only"), (12, ""), (13, None), (None, item)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs(spark, rows).withColumn("hash", F.lit(1)), bench).collect()}
     assert set(got) == {(1, 10), (2, 10), (6, 10)}
     assert got[1, 10].changed == 0 and got[2, 10].changed == 3 and got[1, 10].matched == got[1, 10].item_windows
     kept = sorted((r.doc_id or 0) for r in decontaminate.keep_clean(docs(spark, rows), bench).collect())
     assert kept == [0, 3, 4, 5, 7]
-    assert decontaminate.contaminated(docs(spark, [(1, "four plain words only")]), bench).count() == 1
+    assert decontaminate.contaminated(docs(spark, [(1, "some plain words only")]), bench).count() == 1
     assert decontaminate.contaminated(docs(spark, []), bench).count() == decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
