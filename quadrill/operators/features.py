@@ -43,7 +43,25 @@ def flag(c: Column) -> Column:
 
 
 def _ranked(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumns({f"{n}_rank": R.ordinal_rank(n) for n in names})
+    """Add each score's rank, and its extremes, mean and variance over the query: one window for all of these."""
+    w = R.per_query()
+    stats = {f"{n}_{k}_": f(n).over(w) for n in names for k, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("var", F.var_pop))}
+    return df.withColumns(stats).withColumns({f"{n}_rank": R.ordinal_rank(n) for n in names})
+
+
+def _min_max(c: str) -> Column:
+    return (F.col(c) - F.col(f"{c}_min_")) / F.greatest(F.col(f"{c}_max_") - F.col(f"{c}_min_"), F.lit(1e-12))
+
+
+def _max_norm(c: str) -> Column:
+    top = F.greatest(F.col(f"{c}_max_"), F.lit(0.0))
+    return F.when(top > 0, F.col(c) / F.nullif(top, F.lit(0.0))).otherwise(0.0)
+
+
+def _z(c: str, floor_std: bool = False) -> Column:
+    var = F.col(f"{c}_var_")
+    std = F.sqrt(F.greatest(var, F.lit(1e-12))) if floor_std else F.when(var <= 1e-12, 1.0).otherwise(F.sqrt(var))
+    return (F.col(c) - F.col(f"{c}_avg_")) / std
 
 
 def _context(num_rels: int) -> dict[str, Column]:
@@ -57,18 +75,24 @@ def _history() -> dict[str, Column]:
 KEY = ("qid", "cand_idx", "cand")
 
 
+def _spread(names: list[str]) -> Column:
+    """Population deviation of several columns about ``mean_``."""
+    off = [F.col(c) - F.col("mean_") for c in names]
+    return F.sqrt(sum((x * x for x in off[1:]), off[0] * off[0]) / len(names))
+
+
 def structure_features(df: DataFrame, num_rels: int) -> DataFrame:
     """66 columns: six of each component, their combinations, counters, and three ids."""
-    df = _ranked(df, list(COMPONENTS))
+    six = ["dsh", "dmh", "shared", "direct", "structure_raw", "b"]
+    df = _ranked(df, list(COMPONENTS)).withColumn("mean_", R.row_mean(six))
     out: dict[str, Column] = {}
     for c in COMPONENTS:
         rank = F.col(f"{c}_rank")
-        out |= {f"{c}_score": F.col(c), f"{c}_log1p": F.log1p(F.greatest(F.col(c), F.lit(0.0))), f"{c}_max_norm": R.max_norm(c), f"{c}_z": R.z_score(c), f"{c}_rank_log": F.log1p(rank), f"{c}_rank_recip": 1.0 / rank}
-    six = ["dsh", "dmh", "shared", "direct", "structure_raw", "b"]
+        out |= {f"{c}_score": F.col(c), f"{c}_log1p": F.log1p(F.greatest(F.col(c), F.lit(0.0))), f"{c}_max_norm": _max_norm(c), f"{c}_z": _z(c), f"{c}_rank_log": F.log1p(rank), f"{c}_rank_recip": 1.0 / rank}
     out |= {
         "dsh_minus_dmh": F.col("dsh") - F.col("dmh"), "direct_minus_shared": F.col("direct") - F.col("shared"), "structure_minus_b": F.col("structure_raw") - F.col("b"),
         "dsh_times_dmh": F.col("dsh") * F.col("dmh"), "direct_times_shared": F.col("direct") * F.col("shared"), "structure_times_b": F.col("structure_raw") * F.col("b"),
-        "component_mean": R.row_mean(six), "component_max": F.greatest(*six), "component_std": R.row_std(six),
+        "component_mean": F.col("mean_"), "component_max": F.greatest(*six), "component_std": _spread(six),
         "b_count_log1p": F.log1p("b_count"), "b_seen": flag(F.col("b_count") > 0),
     }
     out |= _history() | _context(num_rels) | {"relation_id": F.col("r").cast("double"), "source_id": F.col("s").cast("double"), "candidate_id": F.col("cand").cast("double")}
@@ -82,7 +106,7 @@ def hybrid_features(df: DataFrame, num_rels: int, firsts: bool = True) -> DataFr
     out: dict[str, Column] = {}
     for c in names:
         rank = F.col(f"{c}_rank")
-        out |= {f"{c}_score": F.col(c), f"{c}_z": R.z_score(c, floor_std=firsts), f"{c}_minmax": R.min_max(c), f"{c}_rank_log": F.log1p(rank), f"{c}_rank_recip": 1.0 / rank}
+        out |= {f"{c}_score": F.col(c), f"{c}_z": _z(c, firsts), f"{c}_minmax": _min_max(c), f"{c}_rank_log": F.log1p(rank), f"{c}_rank_recip": 1.0 / rank}
     s, t, sr, tr = F.col("struct"), F.col("time"), F.col("struct_rank"), F.col("time_rank")
     out |= {"struct_minus_time": s - t, "abs_struct_minus_time": F.abs(s - t), "struct_times_time": s * t, "score_mean": (s + t) * 0.5, "score_max": F.greatest(s, t), "score_min": F.least(s, t)}
     out |= {"rank_min": F.least(sr, tr).cast("double"), "rank_gap": F.abs(sr - tr).cast("double")}
@@ -97,19 +121,19 @@ def hybrid_features(df: DataFrame, num_rels: int, firsts: bool = True) -> DataFr
 def rescue_features(df: DataFrame, num_rels: int) -> DataFrame:
     """104 columns: eight of each of nine score families, and 32 of their combinations and counters."""
     names = ["structure_raw", "time", "dsh", "dmh", "direct", "shared", "b", "base", "time_structure_base"]
-    df = _ranked(df.withColumn("time_structure_base", hybrid_base("structure_raw", "time")), names)
+    eight = ["structure_raw", "time", "dsh", "dmh", "direct", "shared", "b", "base"]
+    df = _ranked(df.withColumn("time_structure_base", hybrid_base("structure_raw", "time")), names).withColumn("mean_", R.row_mean(eight))
     out: dict[str, Column] = {}
     for c in names:
         rank = F.col(f"{c}_rank")
-        out |= {f"{c}_score": F.col(c), f"{c}_z": R.z_score(c), f"{c}_minmax": R.min_max(c), f"{c}_rank_log": F.log1p(rank), f"{c}_rank_recip": 1.0 / rank}
+        out |= {f"{c}_score": F.col(c), f"{c}_z": _z(c), f"{c}_minmax": _min_max(c), f"{c}_rank_log": F.log1p(rank), f"{c}_rank_recip": 1.0 / rank}
         out |= {f"{c}_top{k}": flag(rank <= k) for k in (10, 50, 100)}
     t = F.col("time")
     out |= {f"{n}_minus_time": F.col(c) - t for n, c in {"structure": "structure_raw", "direct": "direct", "dsh": "dsh", "dmh": "dmh", "shared": "shared", "b": "b"}.items()}
-    eight = ["structure_raw", "time", "dsh", "dmh", "direct", "shared", "b", "base"]
     sr, tr, dr = (F.col(f"{c}_rank") for c in ("structure_raw", "time", "direct"))
     out |= {
         "abs_structure_minus_time": F.abs(F.col("structure_raw") - t), "structure_times_time": F.col("structure_raw") * t, "direct_times_time": F.col("direct") * t,
-        "component_mean": R.row_mean(eight), "component_max": F.greatest(*eight), "component_min": F.least(*eight), "component_std": R.row_std(eight),
+        "component_mean": F.col("mean_"), "component_max": F.greatest(*eight), "component_min": F.least(*eight), "component_std": _spread(eight),
         "rank_min_structure_time": F.least(sr, tr).cast("double"), "rank_gap_structure_time": F.abs(sr - tr).cast("double"), "rank_gap_direct_time": F.abs(dr - tr).cast("double"),
     }
     for k in (10, 50):
