@@ -28,7 +28,7 @@ from quadrill.llm.common import held_out, lean, table, uniform
 #: Bytes of a word that the network reads at once; longer words are read in several pieces.
 PIECE = 40
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 
 
