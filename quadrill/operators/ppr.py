@@ -95,7 +95,7 @@ def step(state: DataFrame, now: Schedule, cfg: PprConfig, transitions: DataFrame
     seen = now.edges.join(before.withColumnRenamed("node", "o"), "o")
     label = "rel" if cfg.mode == "per_rel" else "tag"
     if transitions is not None and cfg.use_transitions:
-        m = F.broadcast(transitions.select(F.col("r_i").alias("r"), F.col("r_j").alias(label), "val"))  # relations squared
+        m = transitions.select(F.col("r_i").alias("r"), F.col("r_j").alias(label), "val")  # Spark broadcasts it while it is small
         seen = seen.join(m, ["r", label], "left").withColumn("c", F.col("score") * F.when(F.col(label) == SELF, 1.0).otherwise(F.coalesce("val", F.lit(0.0))))
     else:
         seen = seen.withColumn("c", F.col("score"))
@@ -151,7 +151,7 @@ def dmh_scores(cands: DataFrame, state: DataFrame, similarity: DataFrame | None,
     mine = state.select(F.col("node").alias("s"), F.col("key").alias("cand"), F.col(label).alias("label_"), F.col("score").alias("mass_"))
     out = cands.join(mine, ["s", "cand"], "left")
     if similarity is not None:
-        m = F.broadcast(similarity.select(F.col("r_i").alias("label_"), F.col("r_j").alias("r"), F.col("val").alias("w_")))  # relations squared
+        m = similarity.select(F.col("r_i").alias("label_"), F.col("r_j").alias("r"), F.col("val").alias("w_"))
         out = out.join(m, ["label_", "r"], "left")
         weight = F.when(F.col("label_") == SELF, 1.0).otherwise(F.coalesce("w_", F.lit(0.0)))
     else:
@@ -177,7 +177,7 @@ def shared_scores(cands: DataFrame, state: DataFrame, similarity: DataFrame | No
     weight = F.lit(1.0)
     if weighting != "unweighted":
         m = similarity.select("r_i", "r_j", "val")
-        one = lambda tag, rel, name: F.broadcast(m.select(F.col("r_i").alias(tag), F.col("r_j").alias(rel), F.col("val").alias(name)))
+        one = lambda tag, rel, name: m.select(F.col("r_i").alias(tag), F.col("r_j").alias(rel), F.col("val").alias(name))
         of = lambda tag, name: F.when(F.col(tag) == SELF, 1.0).otherwise(F.coalesce(name, F.lit(0.0)))
         if weighting == "dual_msim":
             both = both.withColumn("r_inv", F.pmod(F.col("r") + num_rels // 2, F.lit(num_rels)))
