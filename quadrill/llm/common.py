@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +85,7 @@ def trim() -> None:
     """Give a Python worker's free memory back to the machine: workers outlive their tasks, and so would their peaks."""
     import pyarrow
 
+    gc.collect()
     pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -4,7 +4,7 @@ The network is trained in numpy by backpropagation through time. It reads the UT
 its runs of letters and of other characters apart, in pieces of at most ``PIECE`` bytes) forwards and backwards, labels
 every byte position with a distribution over languages, and a document's probabilities are pooled from the log
 probabilities of all its positions. The recurrent state starts anew at every run, so equal runs give equal labels and
-each worker labels a run once.
+each task labels a run once.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row can be learnt
 from. Repeated rows get one result row each; equal pooled scores go to the language first in sorted order.
@@ -236,7 +236,7 @@ _labellers: dict[str, Labeller] = {}
 
 
 def labeller(net: Network) -> Labeller:
-    """The worker's labeller of this network; words it has met stay known from one task to the next."""
+    """The task's labeller of this network; words it has met stay known until the task ends."""
     if net.key not in _labellers:
         _labellers.clear()
         _labellers[net.key] = Labeller(net)
@@ -275,6 +275,8 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
                 lang[lettered] = np.array(net.langs, dtype=object)[best][lettered]
                 score[lettered] = p[np.arange(len(p)), best][lettered]
             yield pdf.assign(lang_pred=lang, score=score)
+        own = None
+        _labellers.clear()  # what follows on this worker needs the memory more than the next task needs the words
 
     base = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
