@@ -3,10 +3,12 @@
 Pages of one host are merged into a style tree: nodes are paths of tags and classes. A node's presentation
 importance is the entropy of the child sequences seen under it, a leaf's content importance is one minus the
 mean normalised entropy of its block texts over the host's pages, and the composite importance of a branch mixes
-both from the leaves up. Branches of low importance are removed from each page, and so are branches whose tag, class
-or role names navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. On
-pages with an article (or main) element only its branches count, and entropy alone never removes them: a
-mirrored article is still the article.
+both from the leaves up. Branches of low importance are removed
+from each page, and so are branches whose tag, class or role names navigation, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles or reader comments. On pages with an article (or main) element only its branches count, and entropy never removes them.
+
+Pages of a host with the same content (texts of the article, or of all blocks not named away) count as one page, so
+copied and mirrored pages never make their own content look like a template.
 
 Null and empty pages give an empty text. Null urls form a host of their own. Repeated rows get one row each.
 Whole pages are read, whatever their length; malformed markup is closed as browsers close it.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrill.llm.common import forget, lean, table, written
@@ -47,6 +49,8 @@ _TAG = re.compile(r"<(?:!--(?:.*?-->|.*)|(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]++|\"[
 _ATTR = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _DIGITS = re.compile(r"[0-9]+")
 GAMMA, LOW, PAGES = 0.9, 0.2, 4
+#: Rows of copied contents or payloads (some 40 bytes each) up to which they are broadcast.
+MOST_COPIES = 500_000
 
 _keys: dict[tuple[int, str], int] = {}
 
@@ -68,11 +72,6 @@ class Node:
         self.tag, self.key, self.parent, self.away, self.main, self.kids = tag, key, parent, away, main, []
 
 
-def host_of(url: object) -> str:
-    m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", url) if isinstance(url, str) else None
-    return m[1].lower() if m else ""
-
-
 def walk(page: str) -> tuple[list[tuple[tuple[int, ...], int, bool, bool, str]], list[Node]]:
     """Blocks (keys of the open branches, own key, away, inside the article, text) in page order, and all nodes."""
     root = Node("", key_of(0, "root"), 0, False, False)
@@ -179,17 +178,37 @@ def extract(page: str, dropped: frozenset[int]) -> str:
     return "\n\n".join(b[4] for b in kept)
 
 
+def host_column(url_col: str) -> Column:
+    """The host of a url in lower case; empty for null and for urls without one."""
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
+
+
+def page_copies(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, payload, copies) of the payloads whose content stands on several pages of the host."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            contents = []
+            for page in pdf["html"]:
+                kept = [b for b in walk(page)[0] if not b[2]]
+                contents.append(xxhash.xxh64_intdigest("\n".join(b[4] for b in [b for b in kept if b[3]] or kept)) - (1 << 63))
+            yield pd.DataFrame({"host": pdf["host"], "payload": pdf["payload"], "content": contents})
+
+    rows = pages.where(F.length(html_col) > 0).select(host_column(url_col).alias("host"), F.xxhash64(html_col).alias("payload"), F.col(html_col).alias("html"))
+    payloads = written(rows.mapInPandas(lean(run), "host string, payload long, content long").groupBy("host", "payload", "content").agg(F.count("*").alias("n")), "payloads")
+    copies = written(payloads.groupBy("host", "content").agg(F.sum("n").alias("copies")).where("copies > 1"), "copies")
+    return payloads.join(F.broadcast(copies) if copies.count() <= MOST_COPIES else copies, ["host", "content"]).select("host", "payload", "copies")
+
+
 def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged style trees: for each host and path the pages, and the sums that the entropies need."""
+    """The merged style trees: for each host and path the pages, and the sums that the entropies need; each of n copies counts 1 / n."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: dict[tuple, int] = {}
-            for url, page in zip(pdf["url"], pdf["html"], strict=True):
-                if not isinstance(page, str) or not page:
-                    continue
-                host = host_of(url)
+            rows: dict[tuple, float] = {}
+            for host, page, copies in zip(pdf["host"], pdf["html"], pdf["copies"], strict=True):
                 blocks, nodes = walk(page)
+                one = 1 / copies
                 seen = set()
                 for n in nodes:
                     if n.away or n.main:
@@ -197,22 +216,26 @@ def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                     if n.key not in seen:
                         seen.add(n.key)
                         at = (host, n.key, n.parent, 0, 0)
-                        rows[at] = rows.get(at, 0) + 1
+                        rows[at] = rows.get(at, 0) + one
                     at = (host, n.key, n.parent, 1, xxhash.xxh64_intdigest(",".join(dict.fromkeys(n.kids))) - (1 << 63))
-                    rows[at] = rows.get(at, 0) + 1
+                    rows[at] = rows.get(at, 0) + one
                 parent = {n.key: n.parent for n in nodes}
                 for key, text in {(b[1], b[4]) for b in blocks if not b[2] and not b[3]}:
                     at = (host, key, parent[key], 2, xxhash.xxh64_intdigest(text) - (1 << 63))
-                    rows[at] = rows.get(at, 0) + 1
+                    rows[at] = rows.get(at, 0) + one
             yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["host", "key", "parent", "what", "value", "n"])
 
-    rows = pages.selectExpr(f"`{url_col}` AS url", f"`{html_col}` AS html").mapInPandas(lean(run), "host string, key long, parent long, what int, value long, n long")
-    values = rows.groupBy("host", "key", "parent", "what", "value").agg(F.sum("n").cast("double").alias("n"))
+    copies = written(page_copies(pages, url_col, html_col), "page_copies")
+    rows = pages.where(F.length(html_col) > 0).select(host_column(url_col).alias("host"), F.xxhash64(html_col).alias("payload"), F.col(html_col).alias("html"))
+    rows = rows.join(F.broadcast(copies) if copies.count() <= MOST_COPIES else copies, ["host", "payload"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    rows = rows.mapInPandas(lean(run), "host string, key long, parent long, what int, value long, n double")
+    # rounded, for sums of parts come in any order
+    values = rows.groupBy("host", "key", "parent", "what", "value").agg(F.round(F.sum("n"), 6).alias("n")).where("n > 0")
     part = lambda what, c: F.sum(F.when(F.col("what") == what, c).otherwise(0.0))
     return values.groupBy("host", "key", "parent").agg(
         part(0, F.col("n")).alias("pages"),
         part(1, F.col("n")).alias("shown"), part(1, F.col("n") * F.log("n")).alias("shown_log"), part(1, F.lit(1.0)).alias("styles"),
-        part(2, F.lit(1.0)).alias("texts"), part(2, F.log("n")).alias("texts_log"),
+        part(2, F.lit(1.0)).alias("texts"), part(2, F.log(F.greatest("n", F.lit(1.0)))).alias("texts_log"),
     )
 
 
@@ -261,7 +284,6 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mo
     lists = written(low_branches(style_nodes(pages, url_col, html_col)), "dropped")
     keys = lists.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0]
     base = pages.drop("text", "n_chars")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
     kept = [f for f in base.schema if f.name != html_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,7 +297,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mo
     joined = base
     if keys:
         right = lists.select(F.col("host").alias("__host"), F.col("dropped").alias("__dropped"))
-        joined = base.withColumn("__host", host).join(F.broadcast(right) if keys <= most_broadcast else right, "__host", "left").drop("__host")
+        joined = base.withColumn("__host", host_column(url_col)).join(F.broadcast(right) if keys <= most_broadcast else right, "__host", "left").drop("__host")
     else:
         forget(lists)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

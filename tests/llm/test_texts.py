@@ -158,3 +158,16 @@ def test_style_tree_drops_what_repeats(spark):
     rows = [(i, f"https://host/{i}", page(i)) for i in range(30)] + [(99, "https://other/", "<div class='top'>Same on all pages</div>")]
     got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Same" not in got[i] and "Imprint" not in got[i] and got[i] for i in range(30)) and "Same" in got[99]
+
+
+def main_texts(spark, pages, host="h"):
+    df = spark.createDataFrame([(i, f"https://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.main_text(df).orderBy("page_id").collect()]
+
+
+def test_style_tree_counts_copies_once(spark):
+    r = random.Random(5)
+    group = lambda: f"<html><body><div>{' '.join(str(r.random()) for _ in range(9))}</div></body></html>"
+    a, b = group(), group()
+    for pages in ([a] * 8, [a] * 40 + [b] * 40, [x for _ in range(5) for x in [group()] * 30]):
+        assert all(len(t.split()) == 9 for t in main_texts(spark, pages, f"copies{len(pages)}"))
