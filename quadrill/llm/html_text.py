@@ -3,12 +3,13 @@
 Pages of one host are merged into a style tree: nodes are paths of tags and classes. A node's presentation
 importance is the entropy of the child sequences seen under it, a leaf's content importance is one minus the
 mean normalised entropy of its block texts over the host's pages, and the composite importance of a branch mixes
-both from the leaves up. Branches of low importance are removed
+both from the leaves up. A branch is of low importance if it and all branches below it are. Such branches are removed
 from each page, and so are branches whose tag, class or role names navigation, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments. On pages with an article (or main) element only its branches count, and entropy never removes them.
+adverts, forms, scripts, styles or reader comments. On pages with an article (or main) element only its branches count.
 
 Pages of a host with the same content (texts of the article, or of all blocks not named away) count as one page, so
-copied and mirrored pages never make their own content look like a template.
+copied and mirrored pages never make their own content look like a template. An article of which low branches would
+take more than half of the text stays whole: it is one text on many pages, with another title or date.
 
 Null and empty pages give an empty text. Null urls form a host of their own. Repeated rows get one row each.
 Whole pages are read, whatever their length; malformed markup is closed as browsers close it.
@@ -171,10 +172,11 @@ def extract(page: str, dropped: frozenset[int]) -> str:
     blocks, _ = walk(page)
     kept = [b for b in blocks if not b[2]]
     inside = [b for b in kept if b[3]]
-    if inside:
-        kept = inside
-    elif dropped:
-        kept = [b for b in kept if dropped.isdisjoint(b[0])]
+    kept = inside or kept
+    if dropped:
+        left = [b for b in kept if dropped.isdisjoint(b[0])]
+        if not inside or 2 * sum(len(b[4]) for b in left) >= sum(len(b[4]) for b in kept):
+            kept = left
     return "\n\n".join(b[4] for b in kept)
 
 
@@ -211,7 +213,7 @@ def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 one = 1 / copies
                 seen = set()
                 for n in nodes:
-                    if n.away or n.main:
+                    if n.away:
                         continue  # decided by name alone
                     if n.key not in seen:
                         seen.add(n.key)
@@ -220,7 +222,7 @@ def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                     at = (host, n.key, n.parent, 1, xxhash.xxh64_intdigest(",".join(dict.fromkeys(n.kids))) - (1 << 63))
                     rows[at] = rows.get(at, 0) + one
                 parent = {n.key: n.parent for n in nodes}
-                for key, text in {(b[1], b[4]) for b in blocks if not b[2] and not b[3]}:
+                for key, text in {(b[1], b[4]) for b in blocks if not b[2]}:
                     at = (host, key, parent[key], 2, xxhash.xxh64_intdigest(text) - (1 << 63))
                     rows[at] = rows.get(at, 0) + one
             yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["host", "key", "parent", "what", "value", "n"])
@@ -259,6 +261,7 @@ def low_branches(nodes: DataFrame, low: float = LOW, least_pages: int = PAGES) -
         leaf = np.where(texts > 0, 1 - np.clip(pdf["texts_log"].to_numpy() / np.maximum(texts, 1) / m, 0, 1), np.nan)
         styles = pdf["styles"].to_numpy()
         imp = np.full(len(pdf), np.nan)
+        most = np.full(len(pdf), np.nan)  # of the branch and all below it
         order, todo = [], [i for i, p in enumerate(pdf["parent"]) if p not in at]
         while todo:
             i = todo.pop()
@@ -269,7 +272,8 @@ def low_branches(nodes: DataFrame, low: float = LOW, least_pages: int = PAGES) -
             if below:
                 w = GAMMA ** styles[i] if kids.get(i) else 1.0
                 imp[i] = (1 - w) * node[i] + w * max(below)
-        bad = (imp < low) & (pdf["pages"].to_numpy() >= least_pages)
+                most[i] = max([imp[i], *(most[j] for j in kids.get(i, []) if not np.isnan(most[j]))])
+        bad = (most < low) & (pdf["pages"].to_numpy() >= least_pages)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "dropped": [pdf["key"].to_numpy()[bad].tolist()]})
 
     found = nodes.where("pages >= 2").groupBy("host").applyInPandas(run, "host string, dropped array<long>")

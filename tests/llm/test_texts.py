@@ -165,6 +165,18 @@ def main_texts(spark, pages, host="h"):
     return [r.text for r in html_text.main_text(df).orderBy("page_id").collect()]
 
 
+def test_style_tree_reads_articles(spark):
+    r = random.Random(4)
+    words = lambda k: " ".join(str(r.random()) for _ in range(k))
+    page = lambda body, top="": f"<html><body><div class='x0'>{top}</div><article><div class='x1'>Read our terms of use</div>{body}</article></body></html>"
+    got = main_texts(spark, [page(f"<p>{words(9)}</p><p>{words(5)}</p>") for _ in range(12)])
+    assert all(len(t.split()) == 14 for t in got)
+    # mirrored articles stay whole, whatever stands around them or above them
+    same = f"<p>{words(9)}</p><p>{words(9)}</p>"
+    assert all(len(t.split()) >= 18 for t in main_texts(spark, [page(same, str(i)) for i in range(12)], "mirror"))
+    assert all(len(t.split()) >= 18 for t in main_texts(spark, [page(f"<h1>Part {i}</h1>{same}") for i in range(12)], "titles"))
+
+
 def test_style_tree_counts_copies_once(spark):
     r = random.Random(5)
     group = lambda: f"<html><body><div>{' '.join(str(r.random()) for _ in range(9))}</div></body></html>"
