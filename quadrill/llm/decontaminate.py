@@ -6,13 +6,17 @@ windows of the benchmark items. A document is contaminated by an item if the win
 ``COVER`` of the item's, and if the values in the slots are consistent: along one alignment, a value of the item
 always stands for the same value of the document. So questions asked again with other numbers or names are found.
 
-Items of fewer than ``WINDOW`` tokens are matched whole. Null and empty texts have no window and are never
-contaminated; items without a window (all placeholders, empty or null) match nothing. Rows of one document id
+Items of fewer than ``WINDOW`` tokens are matched whole. Items of which no window has enough plain words (short ones,
+and ones of many numbers or names) are found as exact copies: all their words and values, in order, in the document.
+Null and empty texts have no window and are never contaminated; empty and null items and items of under ``LITERAL``
+tokens that are all placeholders match nothing. Rows of one document id
 give one result, that of the row that matches most. Rows with a null id are not reported, for nothing could be done with them, and stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +61,12 @@ def templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return raw.select(id_col, F.when(F.size("tokens0") > 0, F.filter(merged, lambda x: x.isNotNull())).otherwise(F.col("tokens0")).alias("tokens"))
 
 
-def windows(t: DataFrame, id_col: str, size: int, whole: bool = False) -> DataFrame:
-    """(id, pos, hash) of windows of ``size`` tokens; ``whole``: of texts of just that size.
+def windows(t: DataFrame, id_col: str, size: int, whole: bool = False, of: Callable[[Column], Column] = kind) -> DataFrame:
+    """(id, pos, hash) of windows of ``size`` tokens; ``whole``: of texts of just that size; ``of``: what is hashed of a token.
 
     The generator of one row keeps the optimiser from pasting the tokens' expression into the windows' loop.
     """
-    rows = t.select(id_col, F.explode(F.array(F.transform("tokens", lambda x: F.xxhash64(kind(x))))).alias("h"))
+    rows = t.select(id_col, F.explode(F.array(F.transform("tokens", lambda x: F.xxhash64(of(x))))).alias("h"))
     n = F.size("h")
     spans = F.when(n == size if whole else n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
     rows = rows.select(id_col, F.transform(spans, lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(size)])).alias("hashes"))
@@ -76,9 +80,39 @@ def item_windows(ours: DataFrame, size: int) -> DataFrame:
     return left.select("item_id_", F.col("pos").alias("at"), "hash", F.lit(size).alias("size"))
 
 
+def exact_copies(source: DataFrame, benchmark: DataFrame, every: DataFrame) -> DataFrame | None:
+    """(document, item, slots) of exact copies of the items that have no window: their first ``WINDOW`` tokens are joined, then all are compared."""
+    left = benchmark.join(every.select("item_id_").distinct(), "item_id_", "left_anti").select("item_id_", typed(F.col("text_")).alias("tokens"))
+    words = F.filter("tokens", lambda x: ~kind(x).isin("#", "%", "@"))
+    left = written(left.where((F.size(words) > 0) | (F.size("tokens") >= LITERAL)).dropDuplicates(), "exact_items")
+    sizes = sorted(r[0] for r in left.select(F.least(F.size("tokens"), F.lit(WINDOW)).alias("n")).distinct().collect())
+    if not sizes:
+        return None
+    small = left.count() <= MOST_BROADCAST
+    tokens = source.select("doc_id_", typed(F.col("text_")).alias("tokens"))
+    hits = None
+    for size in sizes:
+        own = left.where(F.size("tokens") == size if size < WINDOW else F.size("tokens") >= WINDOW)
+        heads = windows(own.select(F.struct("item_id_", "tokens").alias("item"), F.slice("tokens", 1, size).alias("tokens")), "item", size, of=lambda x: x)
+        heads = heads.select("item.item_id_", F.col("item.tokens").alias("item_tokens"), "hash")
+        found = windows(tokens, "doc_id_", size, of=lambda x: x).join(F.broadcast(heads) if small else heads, "hash").select("doc_id_", "item_id_", "pos", "item_tokens")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = written(hits.dropDuplicates(["doc_id_", "item_id_", "pos", "item_tokens"]), "exact_hits")
+    few = hits.where(F.size("item_tokens") > WINDOW)
+    # a document's tokens meet its hits in one row for each item, so the longest are not repeated for each place
+    asked = few.groupBy("doc_id_", "item_id_", "item_tokens").agg(F.collect_list("pos").alias("at"))
+    whole = asked.join(tokens.join(few.select("doc_id_").distinct(), "doc_id_", "left_semi"), "doc_id_").where(
+        F.exists("at", lambda p: F.slice("tokens", p + 1, F.size("item_tokens")) == F.col("item_tokens"))
+    )
+    whole = hits.where(F.size("item_tokens") <= WINDOW).select("doc_id_", "item_id_", "item_tokens").unionByName(whole.select("doc_id_", "item_id_", "item_tokens"))
+    slots = F.size(F.array_distinct(F.filter("item_tokens", lambda x: kind(x).isin("#", "%", "@")))).cast("long")
+    return whole.groupBy("doc_id_", "item_id_").agg(F.max(slots).alias("slots"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item: windows of the item, how many match, slots, and how many have another value."""
-    ours = written(templates(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id_"), F.col(item_text).alias("text_")), "item_id_", "text_"), "items")
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id_"), F.col(item_text).alias("text_"))
+    ours = written(templates(items, "item_id_", "text_"), "items")
     short = sorted(r[0] for r in ours.select(F.size("tokens").alias("n")).where(f"n BETWEEN 1 AND {WINDOW - 1}").distinct().collect())
     # rows of one id but other texts are looked at apart
     source = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version")).alias("doc_id_"), F.col(text_col).alias("text_"))
@@ -115,6 +149,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = cover.join(slots, ["doc_id_", "item_id_"], "left").where(F.coalesce(F.col("steady") >= STEADY * F.col("slots"), F.lit(True)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     out = out.select(F.col("doc_id_.id").alias("doc_id"), F.col("item_id_").alias("item_id"), "item_windows", F.struct("matched", zero("slots"), zero("changed")).alias("best"))
+    copies = exact_copies(source, items, every)
+    if copies is not None:
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        out = out.unionByName(copies.select(F.col("doc_id_.id").alias("doc_id"), F.col("item_id_").alias("item_id"), one.alias("item_windows"), F.struct(one.alias("matched"), "slots", none.alias("changed")).alias("best")))
     return out.groupBy("doc_id", "item_id").agg(F.max("item_windows").alias("item_windows"), F.max("best").alias("best")).select("doc_id", "item_id", "item_windows", "best.*")
 
 

@@ -179,6 +179,15 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs(spark, [(1, wrong), (2, right)]), bench).collect()] == [2]
 
 
+def test_items_short_of_words_are_found_as_copies(spark):
+    items = ["What is 12 plus 34 minus 5?", "Who wrote Hamlet?", "Maria Lopez paid 12 USD to John Smith on 5 May 2020", "Paris", "7 8"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(10 + i, f"some words before, {x} And some after.") for i, x in enumerate(items)]
+    rows += [(20, "What is 12 plus 34 minus 6?"), (21, "Who wrote Faust?"), (22, "Maria Lopez paid 12 USD to John Smith on 5 May 2021"), (23, None), (24, "Hamlet"), (10, "other"), (25, "y " * 50 + items[2] + " and " + items[2])]
+    got = {(r.doc_id, r.item_id): (r.item_windows, r.matched, r.changed) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(10, 0): (1, 1, 0), (11, 1): (1, 1, 0), (12, 2): (1, 1, 0), (25, 2): (1, 1, 0)}
+
+
 # mixtures
 
 
