@@ -5,6 +5,8 @@ are one placeholder). Windows of ``WINDOW`` tokens with at least ``LITERAL`` pla
 windows of the benchmark items. A document is contaminated by an item if the windows that match cover at least
 ``COVER`` of the item's, and if the values in the slots are consistent: along one alignment, a value of the item
 always stands for the same value of the document. So questions asked again with other numbers or names are found.
+An alignment is all shifts between document and item together, a run of near shifts (words put in or left out) or one
+shift; any that passes is enough, so a look-alike elsewhere in the document doesn't clear a copy.
 
 Items of fewer than ``WINDOW`` tokens are matched whole. Items of which no window has enough plain words (short ones,
 and ones of many numbers or names) are found as exact copies: all their words and values, in order, in the document.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrill.llm.common import table, written
@@ -80,6 +82,15 @@ def item_windows(ours: DataFrame, size: int) -> DataFrame:
     return left.select("item_id_", F.col("pos").alias("at"), "hash", F.lit(size).alias("size"))
 
 
+def steadiness(values: DataFrame, key: list[str]) -> DataFrame:
+    """Slots of each key, how many keep one value, and how many have another value than the item."""
+    return values.groupBy(*key).agg(
+        F.count("*").alias("slots"),
+        F.sum((F.col("low") == F.col("high")).cast("long")).alias("steady"),
+        F.sum(((F.col("low") != F.col("ours")) | (F.col("high") != F.col("ours"))).cast("long")).alias("changed"),
+    )
+
+
 def exact_copies(source: DataFrame, benchmark: DataFrame, every: DataFrame) -> DataFrame | None:
     """(document, item, slots) of exact copies of the items that have no window: their first ``WINDOW`` tokens are joined, then all are compared."""
     left = benchmark.join(every.select("item_id_").distinct(), "item_id_", "left_anti").select("item_id_", typed(F.col("text_")).alias("tokens"))
@@ -141,12 +152,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = wanted.select("doc_id_", "item_id_", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.arrays_zip(part("item_tokens", "at").alias("ours"), part("tokens", "pos").alias("theirs"))).alias("slot"))
     pairs = pairs.select("doc_id_", "item_id_", "shift", "slot.ours", "slot.theirs").where(F.substring("ours", 1, 1).isin("#", "%", "@"))
     values = pairs.groupBy("doc_id_", "item_id_", "shift", "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high"))
-    slots = values.groupBy("doc_id_", "item_id_").agg(
-        F.count("*").alias("slots"),
-        F.sum((F.col("low") == F.col("high")).cast("long")).alias("steady"),
-        F.sum(((F.col("low") != F.col("ours")) | (F.col("high") != F.col("ours"))).cast("long")).alias("changed"),
-    )
-    out = cover.join(slots, ["doc_id_", "item_id_"], "left").where(F.coalesce(F.col("steady") >= STEADY * F.col("slots"), F.lit(True)))
+    values = written(values, "slot_values")
+    steady = F.coalesce(F.col("steady") >= STEADY * F.col("slots"), F.lit(True))
+    pair = ["doc_id_", "item_id_"]
+    pooled = written(cover.join(steadiness(values, pair), pair, "left").withColumn("passes", steady), "pooled")
+    doubted = written(pooled.where(~F.col("passes")).select("doc_id_", "item_id_", "item_windows"), "doubted")
+    # the few that fail as a whole, by runs of shifts and by single shifts
+    at = hits.join(doubted.select(*pair), pair, "left_semi").select(*pair, "at", (F.col("pos") - F.col("at")).alias("shift"))
+    order = Window.partitionBy(*pair).orderBy("shift")
+    runs = at.select(*pair, "shift").distinct().withColumn("new", (F.col("shift") - F.lag("shift").over(order) > WINDOW).cast("int"))
+    runs = runs.select(*pair, "shift", F.concat(F.lit("run "), F.sum(F.coalesce("new", F.lit(0))).over(order)).alias("alignment"))
+    runs = written(runs.unionByName(runs.select(*pair, "shift", F.concat(F.lit("shift "), "shift").alias("alignment"))), "alignments")
+    key = [*pair, "alignment"]
+    one = at.join(runs, [*pair, "shift"]).groupBy(*key).agg(F.countDistinct("at").alias("matched")).join(doubted, pair).where(F.col("matched") >= COVER * F.col("item_windows"))
+    one = one.join(steadiness(values.join(runs, [*pair, "shift"]), key), key, "left").where(steady)
+    out = pooled.where("passes").drop("passes").unionByName(one.drop("alignment"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     out = out.select(F.col("doc_id_.id").alias("doc_id"), F.col("item_id_").alias("item_id"), "item_windows", F.struct("matched", zero("slots"), zero("changed")).alias("best"))
     copies = exact_copies(source, items, every)

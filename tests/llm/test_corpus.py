@@ -179,6 +179,17 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs(spark, [(1, wrong), (2, right)]), bench).collect()] == [2]
 
 
+def test_look_alikes_clear_no_copy(spark):
+    item = "take 5 red balls and 5 blue balls then add 5 green balls to the same 5 old boxes"
+    wrong = "take 1 red balls and 2 blue balls then add 3 green balls to the same 4 old boxes"
+    tail = "and then take 7 black stones to the very end of the long dark road"
+    bench = spark.createDataFrame([(1, item), (2, f"{item} {tail}")], "item_id long, text string")
+    # in 4 a word is put in, so no single shift covers half of item 2
+    rows = [(1, f"{item} {wrong}"), (2, f"{wrong} {item} {wrong}"), (3, f"{wrong} and {wrong}"), (4, f"{item} please {tail} " + "x " * 20 + f"{wrong} {tail}")]
+    got = {(r.doc_id, r.item_id): (r.slots, r.changed) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert {(1, 1), (2, 1), (4, 1), (4, 2)} <= set(got) and not any(i == 3 for i, _ in got) and got[1, 1] == got[2, 1] == (1, 0) and got[4, 2] == (2, 0)
+
+
 def test_items_short_of_words_are_found_as_copies(spark):
     items = ["What is 12 plus 34 minus 5?", "Who wrote Hamlet?", "Maria Lopez paid 12 USD to John Smith on 5 May 2020", "Paris", "7 8"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
