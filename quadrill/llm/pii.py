@@ -40,16 +40,17 @@ _CLUSTER = re.compile(r"[0-9][0-9\x20()./:_-]{4,}[0-9]")
 NUMERIC = (
     ("phone", re.compile(r"(?<![\w.+-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){2,4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])[0-9]{4}(?:[ ._-]?[0-9]{4}){2}[ ._-]?[0-9]{1,7}(?![\w])")),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
 )
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _AT = re.compile(r"\(at\) ?|\[at\] ?|at (?=[\w-]{1,63}(?: dot | ?\(dot\)| ?\[dot\]))")
 _AFTER_AT = re.compile(r"[\w-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[\w-]{2,63}){1,4}")
 _BEFORE_AT = re.compile(r"(?<![\w.])[\w.+-]{1,64} ?$")
 _IPV6 = re.compile(r":[0-9A-Fa-f]{1,4}:(?::|[0-9A-Fa-f]{1,4})(?:::?[0-9A-Fa-f]{1,4})*(?![\w:])")
 _HEX4 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}$")
-_VALUE = re.compile(r"[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{12,128}[\"']?")
-_NAME = re.compile(r"(?<!\w)(?:token|secret|password|api[_ -]?key|key)\s{0,3}$", re.IGNORECASE)
+_VALUE = re.compile(r"[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{12,}+[\"']?")
+#: A name may stand behind a prefix that ends in _, as in access_token.
+_NAME = re.compile(r"(?<![^\W_])(?:token|secret|password|api[_ -]?key|key)\s{0,3}$", re.IGNORECASE)
 #: Words near a span that speak for or against a kind; fixed values.
 CUES = {
     "email": ("mail", "contact", "write to", "reach"),
@@ -108,6 +109,7 @@ def loose_spans(text: str) -> list[tuple[int, int, str]]:
     for c in _CLUSTER.finditer(text):
         a, b = max(0, c.start() - 8), min(len(text), c.end() + 40)
         out.update((m.start(), m.end(), kind) for kind, pattern in NUMERIC for m in pattern.finditer(text, a, b))
+    out.update((m.start(), m.end(), "iban") for m in _IBAN.finditer(text))
     for c in _AT.finditer(text):
         low = max(0, c.start() - 66)
         if (left := _BEFORE_AT.search(text[low : c.start()])) and (right := _AFTER_AT.match(text, c.end())):

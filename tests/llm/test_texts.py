@@ -59,6 +59,22 @@ def test_pii_rows(spark):
     assert pii.scan(docs(spark, [])).count() == 0
 
 
+def test_loose_candidates_are_whole():
+    for number in ("GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00"):
+        text = f"send it to the bank account iban {number} today"
+        assert (text.index(number), text.index(number) + len(number), "iban") in pii.loose_spans(text)
+        assert number not in pii.redacted(text, sum(pii.find([text], *pii.model())[0], [])), text
+    r = random.Random(1)
+    key = "".join(r.choice("0123456789abcdef") for _ in range(480))
+    for name in ("token", "access_token", "client_secret", "AWS_SECRET_ACCESS_KEY"):
+        text = f"the {name}={key} ends"
+        assert any(b == text.index(" ends") and kind == "secret" for _, b, kind in pii.loose_spans(text))
+        short = f"the {name}={key[:40]} ends"
+        assert key[:40] not in pii.redacted(short, sum(pii.find([short], *pii.model())[0], []))
+        assert key[-40:] not in pii.redacted(text, sum(pii.find([text], *pii.model())[0], []))
+    assert not any(kind == "secret" for _, _, kind in pii.loose_spans(f"monkey={key}"))
+
+
 def test_candidate_model_separates():
     trees, thresholds = pii.model()
     texts = [m.replace("\x00", "") for m, _ in pii._examples(99, 800)]
