@@ -1,20 +1,26 @@
 """Approximate nearest neighbours by inner product with robust-pruned directed graphs.
 
-Distinct vectors are dealt into shards by a hash. Each shard is a directed graph: greedy beam searches propose
-neighbours for a vector, relaxed distance pruning keeps diverse edges, edges are added both ways and pruned again
-where a node has too many. A query runs a beam search in every shard; candidates are scored again on the original
-vectors in double precision and the best of all shards are kept. Inner products become distances by one more
-component, the missing part of the largest norm.
+Distinct vectors are dealt into shards by the magnitude of their norm (powers of two, so that long vectors don't hide all
+others) and a hash. Each shard is a directed graph over the vectors' directions: greedy beam searches propose neighbours for a
+vector, relaxed distance pruning keeps diverse edges, edges are added both ways and pruned again where a node has too many.
+Distances between directions keep graphs connected whatever the lengths; among lengths that differ by less than
+a factor of two, directions and inner products have nearly the same neighbours. When a shard is built, nodes of it are asked for
+and compared with brute force, and its beam is doubled until ``RECALL`` is reached. A query runs a beam search by inner
+product in every shard, all of a shard is compared where a beam ends with fewer nodes than a result holds,
+candidates are scored again on the original vectors in double precision and the best of all shards are kept.
 
-Queries are cut into blocks; a task searches one block in one shard, so neither grows with the data. Copies of a
+Queries are cut into blocks; a task searches one block in one shard, so neither grows with the data. ``SHARD`` is what one task can
+build (some 0.4 ms and 600 bytes a vector of 64 components); larger shards mean fewer searches for each query. Copies of a
 vector are one node that keeps as many of its smallest ids as a result can hold. Vectors that are null, empty, zero, or hold
 null or non-finite components take no part, neither as query nor as candidate. Vectors are compared only with
-vectors of the same length. Ties go to the smaller id. Null ids take no part. An empty table gives no rows.
+vectors of the same length. Ties go to the smaller id. Null ids take no part. Rows of one id with other vectors are queries of
+their own (each has its ranks) and candidates of their own; equal rows are one. A query never finds rows of its own id. An
+empty table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,22 +31,42 @@ from quadrill.llm.common import table, written
 
 DEGREE, BEAM, ALPHA, WIDTH = 32, 64, 1.2, 4
 #: Distinct vectors a shard holds on average, and queries of a block.
-SHARD, BLOCK = 16_000, 20_000
+SHARD, BLOCK = 24_000, 20_000
+#: Share of the true neighbours that a shard's beam must find, measured on so many nodes of it.
+RECALL, ASKED = 0.96, 128
+#: Shards whose results are brought together first, so that no list grows with the number of shards.
+FAN = 64
 
 
-def distances(q: np.ndarray, x: np.ndarray, ids: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Squared distances up to the query's own norm; ids of -1 are infinitely far."""
-    d = norms[ids] - 2 * np.matmul(x[ids], q[:, :, None])[:, :, 0]
-    return np.where(ids < 0, np.inf, d)
+class Points:
+    """Directions (unit vectors) and lengths, scaled so that the longest is 1."""
 
+    def __init__(self, vectors: np.ndarray):
+        top = np.abs(vectors).max(1)
+        self.x = vectors / top[:, None]
+        length = np.sqrt(np.einsum("nd,nd->n", self.x, self.x))
+        self.x = (self.x / length[:, None]).astype(np.float32)
+        self.length = (top / top.max() * length / length[top.argmax()]).astype(np.float32)
 
-def search(q: np.ndarray, x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries at once: (ids, distances) nearest first, -1 where a beam isn't full."""
+    def apart(self, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Squared distances [n, k] between the directions of ``at`` [n] and ``ids`` [n, k]; ids of -1 are infinitely far."""
+        return np.where(ids < 0, np.inf, 2 - 2 * np.matmul(self.x[ids], self.x[at][:, :, None])[:, :, 0])
+
+    def products(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Inner products with the queries, negated."""
+        return np.where(ids < 0, np.inf, -self.length[ids] * np.matmul(self.x[ids], q[:, :, None])[:, :, 0])
+
+    def every(self, q: np.ndarray) -> np.ndarray:
+        return -(q @ self.x.T) * self.length
+
+
+def search(q: np.ndarray, far: Callable[[np.ndarray, np.ndarray], np.ndarray], graph: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search of all queries at once: (ids, distances) nearest first, -1 where a beam isn't full; ``far`` gives distances of queries to ids."""
     n = len(q)
     ids = np.full((n, beam), -1, np.int64)
     dist = np.full((n, beam), np.inf, np.float32)
     start = entries[:beam]
-    first = norms[start] - 2 * (q @ x[start].T)
+    first = far(q, np.broadcast_to(start, (n, len(start)))).astype(np.float32)
     order = np.argsort(first, 1, kind="stable")
     ids[:, : len(start)], dist[:, : len(start)] = start[order], np.take_along_axis(first, order, 1)
     done = ids < 0
@@ -56,7 +82,7 @@ def search(q: np.ndarray, x: np.ndarray, norms: np.ndarray, graph: np.ndarray, e
         near = near.reshape(len(live), -1)
         near.sort(1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        d = distances(q[live], x, near, norms).astype(np.float32)
+        d = far(q[live], near).astype(np.float32)
         d[d > own_dist[:, -1:]] = np.inf
         # what is in the beam already has the very same distance; only those few pairs are compared
         both = np.concatenate([own_ids, np.where(np.isinf(d), -1, near)], 1)
@@ -75,14 +101,13 @@ def search(q: np.ndarray, x: np.ndarray, norms: np.ndarray, graph: np.ndarray, e
     return ids, dist
 
 
-def prune(points: np.ndarray, cand: np.ndarray, dist: np.ndarray, x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+def prune(points: np.ndarray, cand: np.ndarray, dist: np.ndarray, own: Points, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Robust pruning of candidate lists [points, c]: keep the nearest, drop what it covers, and so on."""
     dist = np.where((cand < 0) | (cand == points[:, None]), np.inf, dist)
     order = np.argsort(dist, 1, kind="stable")
     cand, dist = np.take_along_axis(cand, order, 1), np.take_along_axis(dist, order, 1)
-    vec = x[cand]
-    norm = np.einsum("bcd,bcd->bc", vec, vec)
-    between = norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(vec, vec.transpose(0, 2, 1))
+    vec = own.x[cand]
+    between = 2 - 2 * np.matmul(vec, vec.transpose(0, 2, 1))
     out = np.full((len(points), degree), -1, np.int64)
     alive = np.isfinite(dist)
     rows = np.arange(len(points))
@@ -98,26 +123,27 @@ def prune(points: np.ndarray, cand: np.ndarray, dist: np.ndarray, x: np.ndarray,
 
 
 class Graph:
-    """One shard: its vectors with the added component, its edges, its entry points."""
+    """One shard: its points, its edges, its entry points. With ``edges`` it is one built before."""
 
-    def __init__(self, vectors: np.ndarray, seed: int = 0):
-        norm2 = np.einsum("nd,nd->n", vectors.astype(np.float64), vectors)
-        self.x = np.concatenate([vectors, np.sqrt(np.maximum(norm2.max() - norm2, 0))[:, None]], 1).astype(np.float32)
-        self.norms = np.einsum("nd,nd->n", self.x, self.x)
+    def __init__(self, vectors: np.ndarray, seed: int = 0, edges: np.ndarray | None = None, entries: np.ndarray | None = None):
+        self.points = Points(vectors)
         n = len(vectors)
+        if edges is not None:
+            self.graph, self.entries = edges, entries
+            return
         self.graph = np.full((n, DEGREE), -1, np.int64)
         order = np.random.default_rng(seed).permutation(n)
         self.entries = order[:32]
         done = min(n, 256)
         first = order[:done]
-        d = self.norms[first][None] - 2 * self.x[first] @ self.x[first].T + self.norms[first][:, None]
-        self.graph[first] = prune(first, np.broadcast_to(first, (done, done)), d, self.x)
+        every = np.broadcast_to(first, (done, done))
+        self.graph[first] = prune(first, every, self.points.apart(first, every), self.points)
         while done < n:
             batch = order[done : done + min(done, 2048)]
             for i in range(0, len(batch), 512):
                 part = batch[i : i + 512]
-                ids, dist = search(self.x[part], self.x, self.norms, self.graph, self.entries, BEAM)
-                self.graph[part] = prune(part, ids, dist + self.norms[part][:, None], self.x)
+                ids, dist = search(part, self.points.apart, self.graph, self.entries, BEAM)
+                self.graph[part] = prune(part, ids, dist, self.points)
             self.link_back(batch)
             done += len(batch)
 
@@ -145,13 +171,34 @@ class Graph:
                     if left.any():
                         self.graph[node[left]] = -np.sort(-cand[left], 1)[:, :DEGREE]
                     if full.any():
-                        d = distances(self.x[node[full]], self.x, cand[full], self.norms) + self.norms[node[full]][:, None]
-                        self.graph[node[full]] = prune(node[full], cand[full], d, self.x)
+                        self.graph[node[full]] = prune(node[full], cand[full], self.points.apart(node[full], cand[full]), self.points)
 
-    def nearest(self, q: np.ndarray, beam: int) -> np.ndarray:
-        """Node ids of each query's beam."""
-        q = np.concatenate([q, np.zeros((len(q), 1), q.dtype)], 1).astype(np.float32)
-        return np.concatenate([search(q[i : i + 512], self.x, self.norms, self.graph, self.entries, beam)[0] for i in range(0, len(q), 512)])
+    def beam_for(self, k: int, beam: int, seed: int = 0) -> int:
+        """``beam``, doubled until the beams of a few nodes hold ``RECALL`` of their k nearest."""
+        n = len(self.points.x)
+        at = np.random.default_rng(seed).permutation(n)[:ASKED]
+        near = self.points.every(self.points.x[at])
+        k = min(k, n)
+        want = np.argpartition(near, k - 1, 1)[:, :k]
+        while beam < n:
+            found = search(self.points.x[at], self.points.products, self.graph, self.entries, beam)[0]
+            if np.mean([np.isin(a, b).mean() for a, b in zip(want, found, strict=True)]) >= RECALL:
+                break
+            beam *= 2
+        return beam
+
+    def nearest(self, q: np.ndarray, beam: int, least: int) -> Iterator[np.ndarray]:
+        """Node ids of each query's beam; where it holds fewer than ``least`` of the nodes, the nearest of all."""
+        top = np.abs(q).max(1, keepdims=True)
+        q, n = (q / top).astype(np.float32), len(self.points.x)
+        for i in range(0, len(q), 512):
+            part = q[i : i + 512]
+            found = search(part, self.points.products, self.graph, self.entries, beam)[0]
+            for j, own in enumerate(found):
+                own = own[own >= 0]
+                if len(own) < min(least, n):
+                    own = np.argsort(self.points.every(part[j]), kind="stable")[:beam]
+                yield own
 
 
 def usable(c: Column) -> Column:
@@ -172,62 +219,80 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int =
                 found.setdefault(np.asarray(v, np.float64).tobytes(), []).append(int(i))
             yield pd.DataFrame({"vec": list(found), "ids": [sorted(set(x))[:keep] for x in found.values()]})
 
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = [np.frombuffer(v, np.float64) for v in pdf["vec"]]
+            top = np.array([np.abs(v).max() for v in x])
+            norm = np.log2(top) + np.array([np.log2(np.sqrt(((v / m) ** 2).sum())) for v, m in zip(x, top, strict=True)]) if len(x) else top
+            yield pd.DataFrame({"dim": [len(v) for v in x], "band": np.floor(norm + 0.5).astype(np.int32), "vec": pdf["vec"], "ids": pdf["ids"]})
+
     def picked(df: DataFrame) -> DataFrame:
         # + 0.0: the two zeros are one
         return df.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
 
-    nodes = picked(vectors).mapInPandas(first_ids, "vec binary, ids array<long>").groupBy("vec").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    nodes = written(nodes.select("vec", F.slice(F.array_sort(F.array_distinct("ids")), 1, keep).alias("ids")), "nodes")
-    asked = written(picked(queries), "queries")
-    shards, blocks = max(1, -(-nodes.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
+    # few ids of each vector whatever the number of its copies: first in each batch, then in each part of the batches
+    copies = picked(vectors).mapInPandas(first_ids, "vec binary, ids array<long>").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(FAN)))
+    few = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
+    nodes = copies.groupBy("vec", "part").agg(few).groupBy("vec").agg(few)
+    nodes = nodes.mapInPandas(banded, "dim int, band int, vec binary, ids array<long>")
+    nodes, asked = written(nodes, "nodes"), written(picked(queries), "queries")
+    # as many rows as there are lengths and magnitudes (powers of two in a double: 2,200 at most)
+    sizes = nodes.groupBy("dim", "band").agg(F.count("*").alias("n"))
+    sizes = written(sizes.select("dim", "band", F.greatest(F.lit(1), F.ceil(F.col("n") / SHARD)).cast("int").alias("parts")), "sizes")
+    shards = sizes.agg(F.sum("parts")).first()[0] or 1
+    blocks = max(1, -(-asked.count() // BLOCK))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec")
         x = np.stack([np.frombuffer(v, np.float64) for v in pdf["vec"]])
-        g = Graph(x.astype(np.float32), seed=key[0])
+        g = Graph(x, seed=key[2])
         ids = pdf["ids"].tolist()
-        return pd.DataFrame({"dim": [key[1]], "shard": [key[0]], "x": [x.tobytes()], "edges": [g.graph.astype(np.int32).tobytes()], "entries": [g.entries.astype(np.int32).tobytes()], "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "counts": [np.array([len(i) for i in ids], np.int32).tobytes()]})
+        return pd.DataFrame({"dim": [key[0]], "band": [key[1]], "shard": [key[2]], "x": [x.tobytes()], "edges": [g.graph.astype(np.int32).tobytes()], "entries": [g.entries.astype(np.int32).tobytes()], "beam": [g.beam_for(keep, beam, key[2])], "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "counts": [np.array([len(i) for i in ids], np.int32).tobytes()]})
 
-    dealt = nodes.select((F.octet_length("vec") / 8).cast("int").alias("dim"), F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "ids")
+    keys = ["dim", "band", "shard"]
+    dealt = nodes.join(F.broadcast(sizes), ["dim", "band"]).select("dim", "band", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("shard"), "vec", "ids")
     # by number: adaptive execution would join small shards that take long into one task
-    dealt = dealt.repartition(shards, "shard").groupBy("shard", "dim")
-    graphs = written(dealt.applyInPandas(build, "dim int, shard int, x binary, edges binary, entries binary, ids binary, counts binary"), "graphs")
+    dealt = dealt.repartition(min(shards, 20_000), *keys).groupBy(*keys)
+    graphs = written(dealt.applyInPandas(build, "dim int, band int, shard int, x binary, edges binary, entries binary, beam int, ids binary, counts binary"), "graphs")
 
     def ask(key: tuple, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(block):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": [], "version": [], "vec_id": [], "score": [], "part": []}).astype({"query_id": "int64", "version": "int64", "vec_id": "int64", "score": "float64", "part": "int32"})
         row, dim = shard.iloc[0], key[0]
         x = np.frombuffer(row["x"], np.float64).reshape(-1, dim)
-        g = Graph.__new__(Graph)
-        norm2 = np.einsum("nd,nd->n", x, x)
-        g.x = np.concatenate([x, np.sqrt(np.maximum(norm2.max() - norm2, 0))[:, None]], 1).astype(np.float32)
-        g.norms = np.einsum("nd,nd->n", g.x, g.x)
-        g.graph = np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE).astype(np.int64)
-        g.entries = np.frombuffer(row["entries"], np.int32).astype(np.int64)
+        g = Graph(x, 0, np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE), np.frombuffer(row["entries"], np.int32))
         counts, ids = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
         starts = np.cumsum(np.r_[0, counts[:-1]])
         q = np.stack(block["v"].to_numpy())
-        out_q, out_v, out_s = [], [], []
-        for i, found in enumerate(g.nearest(q, beam)):
-            own = found[found >= 0]
-            score = (x[own] * q[i]).sum(1)
-            order = np.argsort(-score, kind="stable")
-            best = order[score[order] >= score[order[min(keep, len(order)) - 1]]]
-            members = np.concatenate([ids[starts[j] : starts[j] + counts[j]] for j in own[best]])
-            scores = np.repeat(score[best], counts[own[best]])
+        out_q, out_n, out_v, out_s = [], [], [], []
+        for i, own in enumerate(g.nearest(q, int(row["beam"]), keep)):
+            with np.errstate(over="ignore"):
+                score = (x[own] * q[i]).sum(1)
+            n = counts[own]
+            at = np.repeat(starts[own] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())
+            members, scores = ids[at], np.repeat(score, n)
             ok = members != block["id"].iat[i]
             members, scores = members[ok], scores[ok]
             top = np.lexsort((members, -scores))[:k]
-            out_q += [block["id"].iat[i]] * len(top)
-            out_v += members[top].tolist()
-            out_s += scores[top].tolist()
-        return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            out_q.append(block["id"].iat[i])
+            out_n.append(len(top))
+            out_v.append(members[top])
+            out_s.append(scores[top])
+        versions = np.repeat(block["version"].to_numpy(np.int64), out_n)
+        return pd.DataFrame({"query_id": np.repeat(np.array(out_q, np.int64), out_n), "version": versions, "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s), "part": np.int32((key[1] * 31 + key[2]) % FAN)})
 
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = asked.select("id", "v", F.xxhash64("v").alias("version")).dropDuplicates(["id", "version"]).withColumn("dim", F.size("v"))
+    every = sizes.select("dim", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("shard"))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("id", "version"), F.lit(blocks)).cast("int")).join(F.broadcast(every) if shards <= 1_000_000 else every, "dim")
     tasks = max(1, min(shards * blocks, 20_000))
-    keys = ["dim", "shard", "block"]
-    found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(ask, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))), 1, k).alias("best"))
+    keys = [*keys, "block"]
+    schema = "query_id long, version long, vec_id long, score double, part int"
+    found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(ask, schema)
+    one = ["query_id", "version"]
+    listed = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
+    found = found.withColumn("best", F.array(F.struct((-F.col("score")).alias("far"), "vec_id")))
+    best = found.groupBy(*one, "part").agg(listed).groupBy(*one).agg(listed)
     out = best.select("query_id", F.posexplode("best").alias("rank", "one"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "one.vec_id", (-F.col("one.far")).alias("score"))
 
