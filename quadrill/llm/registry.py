@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.OP3_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL}
+    return {"op3_decontaminate": decontaminate.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL}

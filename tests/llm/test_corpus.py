@@ -1,5 +1,6 @@
 """Operators on whole tables: nearest neighbours, near duplicates, decontamination, mixtures, archives, the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -68,6 +69,31 @@ def test_ann_shards_and_blocks(spark, monkeypatch):
     assert np.mean([len(hit[q] & set(want[q])) / 20 for q in want]) >= 0.95
 
 
+def test_ann_lengths_and_real_shards(spark):
+    """Several shards of the real size, lengths of several magnitudes, one vector 10,000 times longer, all far beyond what squares in single precision hold."""
+    r = np.random.default_rng(3)
+    n = 26_000
+    x = r.normal(size=(40, 12))[r.integers(0, 40, n)] + 0.4 * r.normal(size=(n, 12))
+    x *= np.exp(r.normal(0, 0.3, (n, 1))) * 1e30
+    x[7] *= 1e4
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for row in sorted(ann.search_all(df, df.where("vec_id % 100 = 0")).collect(), key=lambda row: row["rank"]):
+        got[row.query_id].append(row.vec_id)
+    near = x[::100] @ x.T
+    near[np.arange(len(near)), np.arange(0, n, 100)] = -np.inf
+    want = {100 * i: np.argsort(-s)[:20] for i, s in enumerate(near)}
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.95
+
+
+def test_ann_rows_of_one_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [2.0, 0.5]), (2, [0.5, 2.0]), (2, [0.5, 2.0]), (3, [1.0, 1.0]), (3, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search_all(df, df.where("vec_id = 20")).collect())
+    assert got == sorted([(20, i + 1, v, s) for own in ([(3, 3.0), (1, 2.0), (3, 1.0), (2, 0.5)], [(3, 3.0), (2, 2.0), (3, 1.0), (1, 0.5)]) for i, (v, s) in enumerate(own)])
+
+
 # near duplicates
 
 
@@ -202,44 +228,100 @@ def test_items_short_of_words_are_found_as_copies(spark):
 # mixtures
 
 
-def brute_mix(rows, path, weights, share, epochs, seed, hashes):
+def brute_quota(supply, weights, budget):
+    """Pour the budget into the leaves in small equal steps of each family's level: what a node takes is split among its children that aren't full, by weight."""
+
+    def room(node):
+        if node in supply:
+            return supply[node]
+        return sum(room(k) for k in kids[node] if weights.get(k, 1.0) > 0)
+
+    kids = defaultdict(set)
+    for leaf in supply:
+        for d in range(len(leaf)):
+            kids[leaf[:d]].add(leaf[: d + 1])
+
+    def pour(node, amount, out):
+        if node in supply:
+            out[node] = min(amount, supply[node])
+            return
+        able = [k for k in kids[node] if weights.get(k, 1.0) > 0]
+        low, high = 0.0, 1e12
+        for _ in range(200):  # the level up to which all children are filled, by bisection
+            level = (low + high) / 2
+            if sum(min(room(k), level * weights.get(k, 1.0)) for k in able) < amount:
+                low = level
+            else:
+                high = level
+        for k in able:
+            pour(k, min(room(k), high * weights.get(k, 1.0)), out)
+
+    out = dict.fromkeys(supply, 0.0)
+    if supply:
+        pour((), min(budget, room(())), out)
+    return out
+
+
+def brute_mix(rows, path, weights, share, epochs, seed):
     """Take whole epochs, then documents in the order of their hash while the tokens before are fewer than the budget."""
-    supply = defaultdict(float)
+    place = lambda i, e: int(hashlib.md5(f"{seed}|{e}|{'' if i is None else i}".encode()).hexdigest()[:10], 16)
+    size = lambda r: len(re.findall(r"[^ \t\n\x0b\f\r]+", r["text"] or ""))
+    have = defaultdict(int)
     for r in rows:
-        supply[path(r)] += len((r["text"] or "").split())
-    quota = mixing.allocate({k: v * epochs for k, v in supply.items()}, weights, share * sum(supply.values()))
+        have[path(r)] += size(r)
+    have = {k: v for k, v in have.items() if v}
+    quota = brute_quota({k: float(v * epochs) for k, v in have.items()}, weights, share * sum(have.values()))
     out = []
-    for leaf in supply:
-        own = [r for r in rows if path(r) == leaf and (r["text"] or "").split()]
+    for leaf, total in have.items():
+        own = [r for r in rows if path(r) == leaf and size(r)]
         for epoch in range(1, epochs + 1):
-            left = quota[leaf] - supply[leaf] * (epoch - 1)
-            so_far = 0
-            whole = left >= supply[leaf]
-            for r in sorted(own, key=lambda r: (hashes[r["doc_id"], epoch], r["doc_id"])):
-                if whole or so_far < left:
+            left, so_far = round(quota[leaf], 3) - total * (epoch - 1), 0
+            for r in sorted(own, key=lambda r: (place(r["doc_id"], epoch), r["doc_id"])):
+                if left >= total or so_far < left - 1e-6:
                     out.append((r["doc_id"], epoch))
-                so_far += len(r["text"].split())
+                so_far += size(r)
     return sorted(out)
 
 
-@pytest.mark.parametrize("share", [0.3, 0.8, 1.7])
-def test_mix(spark, share, monkeypatch):
+@pytest.mark.parametrize(("share", "few"), [(0.3, True), (0.8, False), (1.7, True)])
+def test_mix(spark, share, few, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 3)
+    if not few:  # more leaves than are broadcast: joined with salted keys
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", 1)
     d = table(spark, SMALL, "documents").select("doc_id", "lang", "source", "text").withColumn("mix_tokens", F.lit("old"))
     rows = [r.asDict() for r in d.collect()]
-    seed, epochs = 17, 3
-    hashes = {(r.doc_id, e): r[f"h{e}"] for r in d.select("doc_id", *(F.pmod(F.xxhash64(F.lit(seed), F.lit(e), "doc_id", "text"), F.lit(1 << 40)).alias(f"h{e}") for e in (1, 2, 3))).collect() for e in (1, 2, 3)}
-    weights = {("en",): 5.0, ("fr", "src1"): 0.0}
-    got = mixing.mix(d, [F.col("lang"), F.col("source")], weights, share=share, epochs=epochs, seed=seed)
-    assert sorted((r.doc_id, r.mix_epoch) for r in got.collect()) == brute_mix(rows, lambda r: (r["lang"], r["source"]), weights, share, epochs, seed, hashes)
+    weights = {("en",): 5.0, ("fr", "src1"): 0.0, ("de",): 0.0, ("es", "src2"): 3.0}
+    got = mixing.mix(d, [F.col("lang"), F.col("source")], weights, share=share, epochs=3, seed=17).collect()
+    assert sorted((r.doc_id, r.mix_epoch) for r in got) == brute_mix(rows, lambda r: (r["lang"], r["source"]), weights, share, 3, 17)
+    assert all(r.mix_tokens == len(r.text.split()) for r in got)
 
 
-def test_allocation():
+def quotas(spark, supply, weights, budget):
+    df = spark.createDataFrame([(*k, v) for k, v in supply.items()], "a string, b string, supply double")
+    return {(r.a, r.b): r.quota for r in mixing.allocate(df, ["a", "b"], weights, budget).collect()}
+
+
+def test_allocation(spark):
     supply = {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 5.0, ("b", "y"): 5.0}
-    got = mixing.allocate(supply, {}, 60)
+    got = quotas(spark, supply, {}, 60)
     assert got == {("a", "x"): 10.0, ("a", "y"): 40.0, ("b", "x"): 5.0, ("b", "y"): 5.0}  # siblings first, then the other family
-    assert sum(mixing.allocate(supply, {("b",): 0.0}, 1000).values()) == 110.0
-    assert mixing.allocate({}, {}, 5) == {}
+    assert sum(quotas(spark, supply, {("b",): 0.0}, 1000).values()) == 110.0
+    # what a child of weight 0 leaves goes up to the other family
+    assert quotas(spark, {("A", "a1"): 90.0, ("A", "a2"): 10.0, ("B", "b"): 100.0}, {("A", "a1"): 0.0}, 100) == {("A", "a1"): 0.0, ("A", "a2"): 10.0, ("B", "b"): 90.0}
+    assert quotas(spark, supply, {("a",): 0.0, ("b",): 0.0}, 50) == dict.fromkeys(supply, 0.0)
+    r = random.Random(6)
+    for _ in range(4):
+        supply = {(f"p{r.randrange(4)}", f"c{r.randrange(5)}"): float(r.randrange(1, 60)) for _ in range(14)}
+        weights = {k: r.choice([0.0, 0.5, 1.0, 2.0, 7.0]) for leaf in supply for k in (leaf, leaf[:1]) if r.random() < 0.6}
+        budget = r.choice([0.0, 20.0, 90.0, 200.0, 5000.0])
+        want = brute_quota(supply, weights, budget)
+        assert quotas(spark, supply, weights, budget) == {k: pytest.approx(v, abs=2e-3) for k, v in want.items()}
+
+
+def test_mix_has_no_bound_on_leaves(spark):
+    df = spark.range(120_000).selectExpr("id AS doc_id", "concat('l', id % 3) AS lang", "concat('s', id) AS source", "'a b' AS text")
+    got = mixing.mix(df, [F.col("lang"), F.col("source")], share=0.5, epochs=1)
+    assert got.count() == 120_000  # every leaf has a budget of half its one document, which is taken
 
 
 def test_mix_odd_rows(spark):
@@ -248,8 +330,7 @@ def test_mix_odd_rows(spark):
     got = mixing.mix(df, mixing.document_path(), share=1.0, epochs=1).collect()
     assert sorted(r.mix_tokens for r in got) == [2, 2, 3, 50_000]
     assert mixing.mix(df.limit(0), mixing.document_path()).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(df, mixing.document_path(), most_leaves=1)
+    assert mixing.mix(df, mixing.document_path(), {("domain?",): 0.0, ("domain1",): 0.0}, share=1.0).count() == 0
 
 
 # archives
