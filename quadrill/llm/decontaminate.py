@@ -1,33 +1,39 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-A text becomes a sequence of tokens in which numbers, names and units are typed placeholders (runs of one type
-are one placeholder). Windows of ``WINDOW`` tokens with at least ``LITERAL`` plain words are hashed and joined to the
-windows of the benchmark items. A document is contaminated by an item if the windows that match cover at least
-``COVER`` of the item's, and if the values in the slots are consistent: along one alignment, a value of the item
-always stands for the same value of the document. So questions asked again with other numbers or names are found.
-An alignment is all shifts between document and item together, a run of near shifts (words put in or left out) or one
-shift; any that passes is enough, so a look-alike elsewhere in the document doesn't clear a copy.
+A text becomes a sequence of tokens in which numbers, names and units are typed placeholders (a run of one type
+is one placeholder, whose value is the run's words). Windows of ``WINDOW`` tokens with at least ``LITERAL`` plain words are
+hashed and joined to the windows of the benchmark items. A document is contaminated by an item if the windows that match cover
+at least ``COVER`` of the item's, and if the values in the slots are consistent: along one alignment, a value of the item
+always stands for the same value of the document, in ``STEADY`` of the slots. So questions asked again with other numbers or
+names are found. An alignment is all shifts between document and item together, a run of near shifts (words put in or left out)
+or one shift; any that passes is enough, so a look-alike elsewhere in the document doesn't clear a copy. The result counts the
+alignment that matches most windows.
 
 Items of fewer than ``WINDOW`` tokens are matched whole. Items of which no window has enough plain words (short ones,
 and ones of many numbers or names) are found as exact copies: all their words and values, in order, in the document.
+
+Texts of any length are read whole, once for all sizes of window (again, for exact copies, only if the benchmark has such items);
+texts of candidates are read again for their slots, which travel as rows, never as whole texts beside each match.
 Null and empty texts have no window and are never contaminated; empty and null items and items of under ``LITERAL``
-tokens that are all placeholders match nothing. Rows of one document id
-give one result, that of the row that matches most. Rows with a null id are not reported, for nothing could be done with them, and stay.
+tokens that are all placeholders match nothing. Rows of one document id but other texts are looked at apart; the result has one row
+for a document id and item, that of the text that matches most (ties: more slots, then more changed values), and ``keep_clean``
+drops only the texts that are contaminated. Rows with a null id are not reported, for nothing could be done with them, and stay;
+items with a null id are left out. Repeated rows change nothing. Empty tables on either side give no rows. Other columns
+are not read, whatever their names; ``keep_clean`` returns all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrill.llm.common import table, written
+from quadrill.llm.common import forget, table, written
 
 WINDOW, LITERAL, COVER, STEADY = 8, 4, 0.5, 0.8
 #: Words that stand for numbers and for units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
 UNIT_WORDS = "kg mg km cm mm ml lb lbs oz ft mph kmh usd eur gbp percent dollars dollar euros euro cents cent pounds pound grams gram kilograms kilogram meters meter metres metre kilometers kilometer miles mile feet foot inches inch liters liter litres litre hours hour minutes minute seconds second days day weeks week months month years year degrees degree".split()
+SIGNS = ("#", "%", "@")
 #: Rows of benchmark windows (32 bytes each) up to which the benchmark side is broadcast.
 MOST_BROADCAST = 2_000_000
 
@@ -51,35 +57,54 @@ def typed(text: Column) -> Column:
 def kind(x: Column) -> Column:
     """The placeholder of a slot, the word itself of a word."""
     sign = F.substring(x, 1, 1)
-    return F.when(sign.isin("#", "%", "@"), sign).otherwise(x)
+    return F.when(sign.isin(*SIGNS), sign).otherwise(x)
 
 
-def templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens): runs of one placeholder are merged, keeping the first value."""
-    raw = docs.select(F.col(id_col), typed(F.col(text_col)).alias("tokens0"))
-    before = F.concat(F.array(F.lit("")), F.slice("tokens0", 1, F.greatest(F.size("tokens0") - 1, F.lit(0))))
-    sign = lambda x: F.substring(x, 1, 1)
-    merged = F.zip_with("tokens0", before, lambda x, y: F.when(~sign(x).isin("#", "%", "@") | (sign(x) != sign(y)), x))
-    return raw.select(id_col, F.when(F.size("tokens0") > 0, F.filter(merged, lambda x: x.isNotNull())).otherwise(F.col("tokens0")).alias("tokens"))
+def is_slot(x: Column) -> Column:
+    return F.substring(x, 1, 1).isin(*SIGNS)
 
 
-def windows(t: DataFrame, id_col: str, size: int, whole: bool = False, of: Callable[[Column], Column] = kind) -> DataFrame:
-    """(id, pos, hash) of windows of ``size`` tokens; ``whole``: of texts of just that size; ``of``: what is hashed of a token.
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h): hashes of a text's tokens with their placeholders, runs of one placeholder merged.
 
-    The generator of one row keeps the optimiser from pasting the tokens' expression into the windows' loop.
+    Generators of one row keep the optimiser from pasting one step's expression into the loops of the next.
     """
-    rows = t.select(id_col, F.explode(F.array(F.transform("tokens", lambda x: F.xxhash64(of(x))))).alias("h"))
-    n = F.size("h")
-    spans = F.when(n == size if whole else n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select(id_col, F.transform(spans, lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(size)])).alias("hashes"))
-    return rows.select(id_col, F.posexplode("hashes").alias("pos", "hash"))
+    rows = docs.select(F.col(id_col), F.explode(F.array(F.transform(typed(F.col(text_col)), lambda x: F.xxhash64(kind(x))))).alias("h0"))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("h0", 1, F.greatest(F.size("h0") - 1, F.lit(0))))
+    merged = F.zip_with("h0", before, lambda x, y: F.when((x != y) | ~x.isin(*(F.xxhash64(F.lit(s)) for s in SIGNS)), x))
+    return rows.where(F.size("h0") > 0).select(id_col, F.explode(F.array(F.filter(merged, lambda x: x.isNotNull()))).alias("h"))
+
+
+def templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tokens): words, and slots with their sign and all words of their run; places are those of ``hashed``."""
+    rows = docs.select(F.col(id_col), F.explode(F.array(typed(F.col(text_col)))).alias("tokens0"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("tokens0")), lambda i: ~is_slot(F.get("tokens0", i - 1)) | (i == 1) | (kind(F.get("tokens0", i - 1)) != kind(F.get("tokens0", i - 2))))
+    rows = rows.where(F.size("tokens0") > 0).select(id_col, "tokens0", F.explode(F.array(starts)).alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("tokens0") + 1))
+    return rows.select(id_col, F.zip_with("starts", ends, lambda a, b: F.when(b - a == 1, F.get("tokens0", a - 1)).otherwise(F.array_join(F.slice("tokens0", a, b - a), " "))).alias("tokens"))
 
 
-def item_windows(ours: DataFrame, size: int) -> DataFrame:
-    """Windows of the benchmark items with enough words among their tokens."""
-    words = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, size), lambda x: ~kind(x).isin("#", "%", "@")))
-    left = windows(ours, "item_id_", size, whole=size < WINDOW).join(ours, "item_id_").where(words >= min(LITERAL, size))
-    return left.select("item_id_", F.col("pos").alias("at"), "hash", F.lit(size).alias("size"))
+def windows(rows: DataFrame, id_col: str, sizes: list[int], whole: bool = False) -> DataFrame:
+    """(id, size, pos, hash) of the windows of hashes ``h`` of each size; ``whole``: sizes below ``WINDOW`` of texts of just that size."""
+
+    def of(size: int) -> Column:
+        n = F.size("h")
+        spans = F.when(n == size if whole and size < WINDOW else n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spans, lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(size)]))
+
+    out = None
+    if len(sizes) == 1:
+        return rows.select(id_col, F.lit(sizes[0]).alias("size"), F.posexplode(of(sizes[0])).alias("pos", "hash"))
+    out = rows.select(id_col, F.explode(F.array(*(F.struct(F.lit(n).alias("size"), of(n).alias("hashes")) for n in sizes))).alias("w"))
+    return out.select(id_col, "w.size", F.posexplode("w.hashes").alias("pos", "hash"))
+
+
+def item_windows(ours: DataFrame, sizes: list[int]) -> DataFrame:
+    """(item, size, at, hash) of the benchmark items' windows with enough words among their tokens."""
+    rows = ours.select("item_id_", F.transform("tokens", lambda x: F.xxhash64(kind(x))).alias("h"))
+    words = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, F.col("size")), lambda x: ~is_slot(x)))
+    left = windows(rows, "item_id_", sizes, whole=True).join(ours, "item_id_").where(words >= F.least(F.lit(LITERAL), F.col("size")))
+    return left.select("item_id_", "size", F.col("pos").alias("at"), "hash")
 
 
 def steadiness(values: DataFrame, key: list[str]) -> DataFrame:
@@ -101,13 +126,10 @@ def exact_copies(source: DataFrame, benchmark: DataFrame, every: DataFrame) -> D
         return None
     small = left.count() <= MOST_BROADCAST
     tokens = source.select("doc_id_", typed(F.col("text_")).alias("tokens"))
-    hits = None
-    for size in sizes:
-        own = left.where(F.size("tokens") == size if size < WINDOW else F.size("tokens") >= WINDOW)
-        heads = windows(own.select(F.struct("item_id_", "tokens").alias("item"), F.slice("tokens", 1, size).alias("tokens")), "item", size, of=lambda x: x)
-        heads = heads.select("item.item_id_", F.col("item.tokens").alias("item_tokens"), "hash")
-        found = windows(tokens, "doc_id_", size, of=lambda x: x).join(F.broadcast(heads) if small else heads, "hash").select("doc_id_", "item_id_", "pos", "item_tokens")
-        hits = found if hits is None else hits.unionByName(found)
+    values = lambda df, key: df.select(key, F.explode(F.array(F.transform("tokens", lambda x: F.xxhash64(x)))).alias("h"))
+    heads = left.select(F.struct("item_id_", "tokens").alias("item"), F.slice("tokens", 1, WINDOW).alias("tokens"))
+    heads = windows(values(heads, "item"), "item", sizes, whole=True).select("item.item_id_", F.col("item.tokens").alias("item_tokens"), "size", "hash")
+    hits = windows(values(tokens, "doc_id_"), "doc_id_", sizes).join(F.broadcast(heads) if small else heads, ["size", "hash"]).select("doc_id_", "item_id_", "pos", "item_tokens")
     hits = written(hits.dropDuplicates(["doc_id_", "item_id_", "pos", "item_tokens"]), "exact_hits")
     few = hits.where(F.size("item_tokens") > WINDOW)
     # a document's tokens meet its hits in one row for each item, so the longest are not repeated for each place
@@ -120,45 +142,35 @@ def exact_copies(source: DataFrame, benchmark: DataFrame, every: DataFrame) -> D
     return whole.groupBy("doc_id_", "item_id_").agg(F.max(slots).alias("slots"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item: windows of the item, how many match, slots, and how many have another value."""
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id_ (id, version), item_id_, item_windows, best (matched, slots, changed)): ``contaminated`` for each text of an id."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id_"), F.col(item_text).alias("text_"))
     ours = written(templates(items, "item_id_", "text_"), "items")
-    short = sorted(r[0] for r in ours.select(F.size("tokens").alias("n")).where(f"n BETWEEN 1 AND {WINDOW - 1}").distinct().collect())
-    # rows of one id but other texts are looked at apart
+    sizes = [WINDOW, *sorted(r[0] for r in ours.select(F.size("tokens").alias("n")).where(f"n < {WINDOW}").distinct().collect())]
     source = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version")).alias("doc_id_"), F.col(text_col).alias("text_"))
-    every, hits = None, None
-    for size in [WINDOW, *short]:
-        left = item_windows(ours, size)
-        every = left if every is None else every.unionByName(left)
-    every = written(every, "item_windows")
-    n = every.count()
-    for size in [WINDOW, *short]:
-        left = every.where(F.col("size") == size).drop("size")
-        found = windows(templates(source, "doc_id_", "text_"), "doc_id_", size).join(F.broadcast(left) if n <= MOST_BROADCAST else left, "hash")
-        found = found.select("doc_id_", "item_id_", "pos", "at", F.lit(size).alias("size"))
-        hits = found if hits is None else hits.unionByName(found)
-    hits = written(hits, "hits")
-    sizes = every.groupBy("item_id_").agg(F.countDistinct("at").alias("item_windows"))
-    cover = hits.groupBy("doc_id_", "item_id_").agg(F.countDistinct("at").alias("matched"))
-    cover = written(cover.join(sizes, "item_id_").where(F.col("matched") >= COVER * F.col("item_windows")), "cover")
-    # texts again, of the few candidates only: their slots
+    every = written(item_windows(ours, sizes), "item_windows")
+    small = every.count() <= MOST_BROADCAST
+    hits = windows(hashed(source, "doc_id_", "text_"), "doc_id_", sizes).join(F.broadcast(every) if small else every, ["size", "hash"])
+    hits = written(hits.select("doc_id_", "item_id_", "size", "at", (F.col("pos") - F.col("at")).alias("shift")), "hits")
+    pair = ["doc_id_", "item_id_"]
+    totals = every.groupBy("item_id_").agg(F.countDistinct("at").alias("item_windows"))
+    cover = hits.groupBy(*pair).agg(F.countDistinct("at").alias("matched"))
+    cover = written(cover.join(totals, "item_id_").where(F.col("matched") >= COVER * F.col("item_windows")), "cover")
+    # slots of the few candidates, as rows: those that a window of the item covers, and those of the documents
     few = cover.select("doc_id_").distinct()
     few = F.broadcast(few) if cover.count() <= MOST_BROADCAST else few
-    tokens = templates(source.join(few, "doc_id_", "left_semi"), "doc_id_", "text_")
-    wanted = hits.join(cover.select("doc_id_", "item_id_"), ["doc_id_", "item_id_"], "left_semi")
-    wanted = wanted.join(ours.withColumnRenamed("tokens", "item_tokens"), "item_id_").join(tokens, "doc_id_")
-    part = lambda c, start: F.slice(c, F.col(start) + 1, F.col("size"))
-    pairs = wanted.select("doc_id_", "item_id_", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.arrays_zip(part("item_tokens", "at").alias("ours"), part("tokens", "pos").alias("theirs"))).alias("slot"))
-    pairs = pairs.select("doc_id_", "item_id_", "shift", "slot.ours", "slot.theirs").where(F.substring("ours", 1, 1).isin("#", "%", "@"))
-    values = pairs.groupBy("doc_id_", "item_id_", "shift", "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high"))
-    values = written(values, "slot_values")
+    slots = every.join(ours, "item_id_").select("item_id_", "size", "at", F.posexplode(F.slice("tokens", F.col("at") + 1, F.col("size"))).alias("place", "ours"))
+    slots = slots.where(is_slot(F.col("ours"))).select("item_id_", "size", "at", (F.col("at") + F.col("place")).alias("place"), "ours")
+    asked = written(hits.join(cover.select(*pair), pair, "left_semi").select(*pair, "size", "at", "shift").distinct(), "asked")
+    covered = asked.join(slots, ["item_id_", "size", "at"]).select(*pair, "shift", (F.col("place") + F.col("shift")).alias("pos"), "ours").distinct()
+    theirs = templates(source.join(few, "doc_id_", "left_semi").distinct(), "doc_id_", "text_").select("doc_id_", F.posexplode("tokens").alias("pos", "theirs"))
+    values = covered.join(theirs.where(is_slot(F.col("theirs"))), ["doc_id_", "pos"])
+    values = written(values.groupBy(*pair, "shift", "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high")), "slot_values")
     steady = F.coalesce(F.col("steady") >= STEADY * F.col("slots"), F.lit(True))
-    pair = ["doc_id_", "item_id_"]
     pooled = written(cover.join(steadiness(values, pair), pair, "left").withColumn("passes", steady), "pooled")
-    doubted = written(pooled.where(~F.col("passes")).select("doc_id_", "item_id_", "item_windows"), "doubted")
+    doubted = written(pooled.where(~F.col("passes")).select(*pair, "item_windows"), "doubted")
     # the few that fail as a whole, by runs of shifts and by single shifts
-    at = hits.join(doubted.select(*pair), pair, "left_semi").select(*pair, "at", (F.col("pos") - F.col("at")).alias("shift"))
+    at = written(asked.join(doubted.select(*pair), pair, "left_semi").select(*pair, "at", "shift").distinct(), "doubted_hits")
     order = Window.partitionBy(*pair).orderBy("shift")
     runs = at.select(*pair, "shift").distinct().withColumn("new", (F.col("shift") - F.lag("shift").over(order) > WINDOW).cast("int"))
     runs = runs.select(*pair, "shift", F.concat(F.lit("run "), F.sum(F.coalesce("new", F.lit(0))).over(order)).alias("alignment"))
@@ -168,56 +180,79 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one = one.join(steadiness(values.join(runs, [*pair, "shift"]), key), key, "left").where(steady)
     out = pooled.where("passes").drop("passes").unionByName(one.drop("alignment"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    out = out.select(F.col("doc_id_.id").alias("doc_id"), F.col("item_id_").alias("item_id"), "item_windows", F.struct("matched", zero("slots"), zero("changed")).alias("best"))
+    out = out.select(*pair, "item_windows", F.struct("matched", zero("slots"), zero("changed")).alias("best"))
     copies = exact_copies(source, items, every)
     if copies is not None:
         one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-        out = out.unionByName(copies.select(F.col("doc_id_.id").alias("doc_id"), F.col("item_id_").alias("item_id"), one.alias("item_windows"), F.struct(one.alias("matched"), "slots", none.alias("changed")).alias("best")))
+        out = out.unionByName(copies.select(*pair, one.alias("item_windows"), F.struct(one.alias("matched"), "slots", none.alias("changed")).alias("best")))
+    forget(hits, asked)
+    return out.groupBy(*pair).agg(F.max("item_windows").alias("item_windows"), F.max("best").alias("best"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and item: windows of the item, how many match, slots, and how many have another value."""
+    out = leaks(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("doc_id_.id").alias("doc_id"), F.col("item_id_").alias("item_id"), "item_windows", "best")
     return out.groupBy("doc_id", "item_id").agg(F.max("item_windows").alias("item_windows"), F.max("best").alias("best")).select("doc_id", "item_id", "item_windows", "best.*")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = 4_000_000) -> DataFrame:
-    """The documents that no item contaminates. Their ids are broadcast up to ``most_broadcast`` of 8 bytes, else joined."""
-    ids = written(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 2_000_000) -> DataFrame:
+    """The documents that no item contaminates. Keys of the others are broadcast up to ``most_broadcast`` of 16 bytes, else joined."""
+    bad = written(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id_.id").alias(id_col), F.col("doc_id_.version").alias("version_")).distinct(), "contaminated")
+    own = docs.withColumn("version_", F.xxhash64(text_col))
+    return own.join(F.broadcast(bad) if bad.count() <= most_broadcast else bad, [id_col, "version_"], "left_anti").drop("version_")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _canon_sql(source: str, key: str) -> str:
+def _tokens_sql(source: str, key: str) -> str:
     words = ", ".join(f"'{w}'" for w in NUMBER_WORDS)
     units = ", ".join(f"'{w}'" for w in UNIT_WORDS)
-    typed_sql = (
-        f"CASE WHEN substr(w, 1, 1) BETWEEN '0' AND '9' THEN '#' || w WHEN lower(w) IN ({words}) THEN '#' || lower(w) WHEN lower(w) IN ({units}) THEN '%' || lower(w) "
-        "WHEN substr(w, 1, 1) <> lower(substr(w, 1, 1)) AND (length(w) = 1 OR w <> upper(w)) THEN '@' || w ELSE lower(w) END"
-    )
-    return f"""
-    SELECT id, list(x ORDER BY i) AS tokens, list(CASE WHEN substr(x, 1, 1) IN ('#', '%', '@') THEN substr(x, 1, 1) ELSE x END ORDER BY i) AS canon FROM (
-      SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS before FROM (
-        SELECT id, i, {typed_sql} AS x FROM (
-          SELECT {key} AS id, unnest(string_split_regex(coalesce(text, ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS w, generate_subscripts(string_split_regex(coalesce(text, ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), 1) AS i FROM {source}
-        ) WHERE w <> ''
-      )
-    ) WHERE before IS NULL OR substr(x, 1, 1) NOT IN ('#', '%', '@') OR substr(x, 1, 1) <> substr(before, 1, 1)
-    GROUP BY id"""
+    split = "string_split_regex(coalesce(text, ''), '[^\\p{L}\\p{M}\\p{N}]+')"
+    return f"""SELECT id, i, CASE WHEN substr(w, 1, 1) BETWEEN '0' AND '9' THEN '#' || w WHEN lower(w) IN ({words}) THEN '#' || lower(w) WHEN lower(w) IN ({units}) THEN '%' || lower(w)
+    WHEN substr(w, 1, 1) <> lower(substr(w, 1, 1)) AND (length(w) = 1 OR w <> upper(w)) THEN '@' || w ELSE lower(w) END AS x
+    FROM (SELECT {key} AS id, unnest({split}) AS w, generate_subscripts({split}, 1) AS i FROM {source}) WHERE w <> ''"""
+
+
+def _slot_sql(x: str) -> str:
+    return f"substr({x}, 1, 1) IN ({', '.join(map(repr, SIGNS))})"
+
+
+def _canon_sql(tokens: str) -> str:
+    return f"""SELECT id, list(x ORDER BY run) AS tokens, list(CASE WHEN {_slot_sql("x")} THEN substr(x, 1, 1) ELSE x END ORDER BY run) AS canon FROM (
+      SELECT id, run, string_agg(x, ' ' ORDER BY i) AS x FROM (
+        SELECT *, sum(CASE WHEN before IS NULL OR NOT {_slot_sql("x")} OR substr(x, 1, 1) <> substr(before, 1, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS run
+        FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS before FROM {tokens})) GROUP BY id, run) GROUP BY id"""
 
 
 OP3_SQL = f"""
-WITH d AS ({_canon_sql("documents", "doc_id")}), b AS ({_canon_sql("benchmark", "item_id")}),
-dw AS (SELECT id, p, tokens[p:p + least(len(canon), {WINDOW}) - 1] AS part, array_to_string(canon[p:p + {WINDOW} - 1], ' ') AS h
-  FROM d, LATERAL unnest(range(1, greatest(len(canon) - {WINDOW} + 1, 0) + 1)) AS u(p)),
-bw AS (SELECT id, p, tokens[p:p + {WINDOW} - 1] AS part, array_to_string(canon[p:p + {WINDOW} - 1], ' ') AS h
-  FROM b, LATERAL unnest(range(1, greatest(len(canon) - {WINDOW} + 1, 0) + 1)) AS u(p)
-  WHERE len([x FOR x IN canon[p:p + {WINDOW} - 1] IF x NOT IN ('#', '%', '@')]) >= {LITERAL}),
-m AS (SELECT dw.id AS doc_id, bw.id AS item_id, dw.p AS dp, bw.p AS bp, dw.part AS dpart, bw.part AS bpart FROM dw JOIN bw USING (h)),
+WITH dt AS MATERIALIZED ({_tokens_sql("documents", "doc_id")}), bt AS MATERIALIZED ({_tokens_sql("benchmark", "item_id")}),
+d AS ({_canon_sql("dt")}), b AS MATERIALIZED ({_canon_sql("bt")}),
+bw AS MATERIALIZED (SELECT *, array_to_string(canon[p:p + size - 1], ' ') AS h, tokens[p:p + size - 1] AS part FROM (
+  SELECT id, tokens, canon, least(len(canon), {WINDOW}) AS size, unnest(range(1, len(canon) - least(len(canon), {WINDOW}) + 2)) AS p FROM b)
+  WHERE len([x FOR x IN canon[p:p + size - 1] IF x NOT IN ({", ".join(map(repr, SIGNS))})]) >= least({LITERAL}, size)),
+dw AS (SELECT id, size, p, tokens[p:p + size - 1] AS part, array_to_string(canon[p:p + size - 1], ' ') AS h
+  FROM d, (SELECT DISTINCT size FROM bw) z, LATERAL unnest(range(1, greatest(len(canon) - size + 1, 0) + 1)) AS u(p)),
+m AS MATERIALIZED (SELECT dw.id AS doc_id, bw.id AS item_id, bw.p AS bp, dw.p - bw.p AS shift, dw.part AS dpart, bw.part AS bpart FROM dw JOIN bw USING (size, h)),
 n AS (SELECT id AS item_id, count(*) AS item_windows FROM bw GROUP BY 1),
-c AS (SELECT doc_id, item_id, count(DISTINCT bp) AS matched FROM m GROUP BY 1, 2),
-s AS (SELECT doc_id, item_id, dp - bp AS shift, unnest(dpart) AS dv, unnest(bpart) AS bv FROM m),
-v AS (SELECT doc_id, item_id, shift, bv, min(dv) AS low, max(dv) AS high FROM s WHERE substr(bv, 1, 1) IN ('#', '%', '@') GROUP BY 1, 2, 3, 4),
-w AS (SELECT doc_id, item_id, count(*) AS slots, count(*) FILTER (low = high) AS steady, count(*) FILTER (low <> bv OR high <> bv) AS changed FROM v GROUP BY 1, 2)
-SELECT c.doc_id, c.item_id, item_windows, matched, coalesce(slots, 0) AS slots, coalesce(changed, 0) AS changed
-FROM c JOIN n USING (item_id) LEFT JOIN w ON w.doc_id = c.doc_id AND w.item_id = c.item_id
-WHERE matched >= {COVER} * item_windows AND coalesce(steady >= {STEADY} * slots, true)
+c AS (SELECT doc_id, item_id FROM m JOIN n USING (item_id) GROUP BY ALL HAVING count(DISTINCT bp) >= {COVER} * max(item_windows)),
+f AS MATERIALIZED (SELECT m.* FROM m JOIN c USING (doc_id, item_id)),
+sh AS (SELECT DISTINCT doc_id, item_id, shift FROM f),
+rn AS (SELECT *, sum(CASE WHEN gap > {WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY shift) AS run
+  FROM (SELECT *, shift - lag(shift) OVER (PARTITION BY doc_id, item_id ORDER BY shift) AS gap FROM sh)),
+al AS (SELECT doc_id, item_id, shift, 'all' AS a FROM sh UNION ALL SELECT doc_id, item_id, shift, 'run ' || run FROM rn UNION ALL SELECT doc_id, item_id, shift, 'shift ' || shift FROM sh),
+s AS (SELECT doc_id, item_id, shift, unnest(dpart) AS dv, unnest(bpart) AS bv FROM f),
+v AS (SELECT doc_id, item_id, shift, bv, min(dv) AS low, max(dv) AS high FROM s WHERE {_slot_sql("bv")} GROUP BY ALL),
+k AS (SELECT doc_id, item_id, a, count(DISTINCT bp) AS matched FROM f JOIN al USING (doc_id, item_id, shift) GROUP BY ALL),
+w AS (SELECT doc_id, item_id, a, count(*) AS slots, count(*) FILTER (low = high) AS steady, count(*) FILTER (low <> bv OR high <> bv) AS changed FROM v JOIN al USING (doc_id, item_id, shift) GROUP BY ALL),
+found AS (SELECT k.doc_id, k.item_id, item_windows, matched, coalesce(slots, 0) AS slots, coalesce(changed, 0) AS changed
+  FROM k JOIN n USING (item_id) LEFT JOIN w ON w.doc_id = k.doc_id AND w.item_id = k.item_id AND w.a = k.a
+  WHERE matched >= {COVER} * item_windows AND coalesce(steady >= {STEADY} * slots, true)),
+xi AS (SELECT id AS item_id, ' ' || string_agg(x, ' ' ORDER BY i) || ' ' AS whole, count(DISTINCT CASE WHEN {_slot_sql("x")} THEN x END) AS slots FROM bt
+  WHERE id NOT IN (SELECT item_id FROM n) GROUP BY id HAVING count(*) FILTER (NOT ({_slot_sql("x")})) > 0 OR count(*) >= {LITERAL}),
+xd AS (SELECT id AS doc_id, ' ' || string_agg(x, ' ' ORDER BY i) || ' ' AS whole FROM dt WHERE EXISTS (SELECT 1 FROM xi) GROUP BY id),
+every AS (SELECT * FROM found UNION ALL SELECT doc_id, item_id, 1, 1, slots, 0 FROM xd JOIN xi ON contains(xd.whole, xi.whole))
+SELECT doc_id, item_id, item_windows, matched, slots, changed FROM every WHERE doc_id IS NOT NULL AND item_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, slots DESC, changed DESC) = 1
 """

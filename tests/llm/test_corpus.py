@@ -5,7 +5,9 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,26 @@ from quadrill.llm.common import new_path, table
 SMALL = "/root/testdata/sf0.001"
 
 
+def sql_rows(df, sql, **tables):
+    """How many rows ``df`` has, which must be those of the SQL over the tables (columns, rows)."""
+    con = duckdb.connect()
+    for name, (cols, rows) in tables.items():
+        frame = pd.DataFrame(rows, columns=cols)  # noqa: F841  read by name
+        for c in cols:
+            if c.endswith("_id"):
+                frame[c] = frame[c].astype("Int64")
+            else:
+                frame[c] = frame[c].astype("string")
+        con.register(f"{name}_frame", frame)
+        con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_frame")
+    cols = sorted(df.columns)
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted((tuple(r) for r in df.select(*cols).collect()), key=key)
+    want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall(), key=key)
+    assert got == want
+    return len(got)
+
+
 def docs(spark, rows, schema="doc_id long, text string"):
     return spark.createDataFrame(rows, schema)
 
@@ -190,7 +212,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(10, item), (11, "some plain words only"), (12, ""), (13, None), (None, item)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs(spark, rows).withColumn("hash", F.lit(1)), bench).collect()}
     assert set(got) == {(1, 10), (2, 10), (6, 10)}
-    assert got[1, 10].changed == 0 and got[2, 10].changed == 3 and got[1, 10].matched == got[1, 10].item_windows
+    assert got[1, 10].changed == 0 and got[2, 10].changed == 4 and got[1, 10].matched == got[1, 10].item_windows
     kept = sorted((r.doc_id or 0) for r in decontaminate.keep_clean(docs(spark, rows), bench).collect())
     assert kept == [0, 3, 4, 5, 7]
     assert decontaminate.contaminated(docs(spark, [(1, "some plain words only")]), bench).count() == 1
@@ -225,6 +247,35 @@ def test_items_short_of_words_are_found_as_copies(spark):
     assert got == {(10, 0): (1, 1, 0), (11, 1): (1, 1, 0), (12, 2): (1, 1, 0), (25, 2): (1, 1, 0)}
 
 
+def test_names_are_compared_whole(spark):
+    item = "Anna Berg had six red balls and gave some of the balls to Anna Berg after the long game"
+    other = "Anna Moe had six red balls and gave some of the balls to Anna Moe after the long game"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.changed for r in decontaminate.contaminated(docs(spark, [(1, item), (2, other)]), bench).collect()}
+    assert got == {1: 0, 2: 1}
+
+
+def test_keep_clean_keeps_other_texts_of_an_id(spark):
+    item = "quite a long benchmark question about rivers and hills that nobody would write by chance"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (1, "another text"), (1, "another text"), (None, item), (2, None)]
+    kept = decontaminate.keep_clean(docs(spark, rows).withColumn("pos", F.lit(1)), bench)
+    assert kept.columns == ["doc_id", "text", "pos"] and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, item), (1, "another text"), (1, "another text"), (2, "")]
+
+
+def test_decontamination_matches_sql(spark):
+    """Short items, items of placeholders, several alignments, repeats and long texts against SQL."""
+    item = "take 5 red balls and 5 blue balls then add 5 green balls to the same 5 old boxes"
+    wrong = "take 1 red balls and 2 blue balls then add 3 green balls to the same 4 old boxes"
+    tail = "and then take 7 black stones to the very end of the long dark road"
+    items = [item, f"{item} {tail}", "What is 12 plus 34 minus 5?", "Who wrote Hamlet?", "Maria Lopez paid 12 USD to John Smith on 5 May 2020", "Paris", "7 8", "some plain words only", "Anna Berg paid Carl Moe", "", None, "six small stones fell down"]
+    r = random.Random(8)
+    pieces = [x for x in items if x] + [wrong, tail, "Anna Berg paid Olaf Moe", "seven small stones fell down", "one two", "Who wrote Faust?", "some plain words"]
+    rows = [(i, " ".join(r.choice(pieces) if r.random() < 0.6 else r.choice(["and", "x", "9", "Bob"]) for _ in range(r.randint(0, 9)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "pad " * 20_000 + item), (203, (item + "\n") * 50), (204, (wrong + " ") * 20 + item)]
+    assert sql_rows(decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")), decontaminate.OP3_SQL, documents=(["doc_id", "text"], rows), benchmark=(["item_id", "text"], list(enumerate(items)))) > 60
+
+
 # mixtures
 
 
