@@ -2,7 +2,8 @@
 
 Distinct vectors are dealt into shards by the magnitude of their norm (powers of two, so that long vectors don't hide all
 others) and a hash. Each shard is a directed graph over the vectors' directions: greedy beam searches propose neighbours for a
-vector, relaxed distance pruning keeps diverse edges, edges are added both ways and pruned again where a node has too many.
+vector, relaxed distance pruning keeps diverse edges, edges are added both ways and pruned again where a node has too many, and
+nodes that no path reaches then are linked from their nearest.
 Distances between directions keep graphs connected whatever the lengths; among lengths that differ by less than
 a factor of two, directions and inner products have nearly the same neighbours. When a shard is built, nodes of it are asked for
 and compared with brute force, and its beam is doubled until ``RECALL`` is reached. A query runs a beam search by inner
@@ -20,6 +21,7 @@ empty table gives no rows. Other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from quadrill.llm.common import table, written
 
 DEGREE, BEAM, ALPHA, WIDTH = 32, 64, 1.2, 4
+#: Edges a node may have besides, to nodes that no path reaches else.
+SPARE = 8
 #: Distinct vectors a shard holds on average, and queries of a block.
 SHARD, BLOCK = 24_000, 20_000
 #: Share of the true neighbours that a shard's beam must find, measured on so many nodes of it.
@@ -131,25 +135,55 @@ class Graph:
         if edges is not None:
             self.graph, self.entries = edges, entries
             return
-        self.graph = np.full((n, DEGREE), -1, np.int64)
+        self.graph = np.full((n, DEGREE + SPARE), -1, np.int64)
         order = np.random.default_rng(seed).permutation(n)
         self.entries = order[:32]
         done = min(n, 256)
         first = order[:done]
         every = np.broadcast_to(first, (done, done))
-        self.graph[first] = prune(first, every, self.points.apart(first, every), self.points)
+        self.graph[first, :DEGREE] = prune(first, every, self.points.apart(first, every), self.points)
         while done < n:
             batch = order[done : done + min(done, 2048)]
             for i in range(0, len(batch), 512):
                 part = batch[i : i + 512]
                 ids, dist = search(part, self.points.apart, self.graph, self.entries, BEAM)
-                self.graph[part] = prune(part, ids, dist, self.points)
+                self.graph[part, :DEGREE] = prune(part, ids, dist, self.points)
             self.link_back(batch)
             done += len(batch)
+        self.reach_all()
+
+    def reached(self) -> np.ndarray:
+        """Which nodes paths from the entry points reach."""
+        seen = np.zeros(len(self.graph), bool)
+        now = np.unique(self.entries)
+        while len(now):
+            seen[now] = True
+            near = np.unique(self.graph[now])
+            near = near[near >= 0]
+            now = near[~seen[near]]
+        return seen
+
+    def reach_all(self) -> None:
+        """Pruning can leave a node without an edge that leads to it (one far from all others, most often): link it from its nearest."""
+        lost = np.flatnonzero(~self.reached())
+        room = np.full(len(self.graph), SPARE)
+        below: dict[int, deque[int]] = {}
+        for i in range(0, len(lost), 512):
+            part = lost[i : i + 512]
+            for node, near in zip(part.tolist(), search(part, self.points.apart, self.graph, self.entries, BEAM)[0].tolist(), strict=True):
+                near = [x for x in near if x >= 0 and x != node]
+                at = next((x for x in near if room[x]), None)
+                if at is None:  # all around are full: go on from the nodes linked last
+                    queue = below.setdefault(near[0], deque(near[:1]))
+                    while not room[queue[0]]:
+                        queue.extend(self.graph[queue.popleft(), DEGREE:].tolist())
+                    at = queue[0]
+                self.graph[at, DEGREE + SPARE - room[at]] = node
+                room[at] -= 1
 
     def link_back(self, batch: np.ndarray) -> None:
         """Add each new edge the other way round; nodes with too many edges are pruned again."""
-        source, target = np.repeat(batch, DEGREE), self.graph[batch].reshape(-1)
+        source, target = np.repeat(batch, DEGREE), self.graph[batch, :DEGREE].reshape(-1)
         source, target = source[target >= 0], target[target >= 0]
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
@@ -165,13 +199,13 @@ class Graph:
                     col = np.arange(lap * step, (lap + 1) * step)
                     new = np.where(col[None] < counts[at][:, None], source[np.minimum(starts[at][:, None] + col[None], len(source) - 1)], -1)
                     node = nodes[at]
-                    cand = np.concatenate([self.graph[node], new], 1)
+                    cand = np.concatenate([self.graph[node, :DEGREE], new], 1)
                     full = (cand >= 0).sum(1) > DEGREE
                     left = ~full
                     if left.any():
-                        self.graph[node[left]] = -np.sort(-cand[left], 1)[:, :DEGREE]
+                        self.graph[node[left], :DEGREE] = -np.sort(-cand[left], 1)[:, :DEGREE]
                     if full.any():
-                        self.graph[node[full]] = prune(node[full], cand[full], self.points.apart(node[full], cand[full]), self.points)
+                        self.graph[node[full], :DEGREE] = prune(node[full], cand[full], self.points.apart(node[full], cand[full]), self.points)
 
     def beam_for(self, k: int, beam: int, seed: int = 0) -> int:
         """``beam``, doubled until the beams of a few nodes hold ``RECALL`` of their k nearest."""
@@ -179,26 +213,31 @@ class Graph:
         at = np.random.default_rng(seed).permutation(n)[:ASKED]
         near = self.points.every(self.points.x[at])
         k = min(k, n)
-        want = np.argpartition(near, k - 1, 1)[:, :k]
+        last = np.partition(near, k - 1, 1)[:, k - 1] + 1e-6  # whatever is as near as the k-th is right: ties have no order
         while beam < n:
-            found = search(self.points.x[at], self.points.products, self.graph, self.entries, beam)[0]
-            if np.mean([np.isin(a, b).mean() for a, b in zip(want, found, strict=True)]) >= RECALL:
+            found = np.concatenate([d for _, d in self.beams(self.points.x[at], beam)])
+            if np.minimum((found <= last[:, None]).sum(1), k).mean() / k >= RECALL:
                 break
             beam *= 2
         return beam
 
+    def beams(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, distances) of a few hundred queries at a time, of fewer where beams are wide."""
+        step = max(8, 512 * 192 // max(beam, 192))
+        for i in range(0, len(q), step):
+            yield search(q[i : i + step], self.points.products, self.graph, self.entries, beam)
+
     def nearest(self, q: np.ndarray, beam: int, least: int) -> Iterator[np.ndarray]:
         """Node ids of each query's beam; where it holds fewer than ``least`` of the nodes, the nearest of all."""
         top = np.abs(q).max(1, keepdims=True)
-        q, n = (q / top).astype(np.float32), len(self.points.x)
-        for i in range(0, len(q), 512):
-            part = q[i : i + 512]
-            found = search(part, self.points.products, self.graph, self.entries, beam)[0]
-            for j, own in enumerate(found):
+        q, n, at = (q / top).astype(np.float32), len(self.points.x), 0
+        for found, _ in self.beams(q, beam):
+            for own in found:
                 own = own[own >= 0]
                 if len(own) < min(least, n):
-                    own = np.argsort(self.points.every(part[j]), kind="stable")[:beam]
+                    own = np.argsort(self.points.every(q[at]), kind="stable")[:beam]
                 yield own
+                at += 1
 
 
 def usable(c: Column) -> Column:
@@ -260,7 +299,7 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int =
             return pd.DataFrame({"query_id": [], "version": [], "vec_id": [], "score": [], "part": []}).astype({"query_id": "int64", "version": "int64", "vec_id": "int64", "score": "float64", "part": "int32"})
         row, dim = shard.iloc[0], key[0]
         x = np.frombuffer(row["x"], np.float64).reshape(-1, dim)
-        g = Graph(x, 0, np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE), np.frombuffer(row["entries"], np.int32))
+        g = Graph(x, 0, np.frombuffer(row["edges"], np.int32).reshape(len(x), -1), np.frombuffer(row["entries"], np.int32))
         counts, ids = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
         starts = np.cumsum(np.r_[0, counts[:-1]])
         q = np.stack(block["v"].to_numpy())
