@@ -1,20 +1,24 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time. It reads the UTF-8 bytes of a word (lower-cased;
-its runs of letters and of other characters apart, in pieces of at most ``PIECE`` bytes) forwards and backwards, labels
-every byte position with a distribution over languages, and a document's probabilities are pooled from the log
-probabilities of all its positions. The recurrent state starts anew at every run, so equal runs give equal labels and
-each task labels a run once.
+The network is trained in numpy by backpropagation through time. It reads the UTF-8 bytes of a whole text (lower-cased, each run
+of white space as one space) in fixed windows that overlap by ``MARGIN`` bytes on either side: a state is carried across
+words, and every position whose label counts has at least that many bytes of context on both sides, or the text's end.
+Each position gets a distribution over languages; a document's probabilities are pooled from the mean log
+probabilities of all its positions.
+
+It learns from ``PIECES`` pieces of up to ``PIECE`` bytes of each text of a sample: about ``texts_per_lang`` distinct texts of each
+language outside the held-out fold, chosen by a hash of id and text, so the same table always gives the same sample. Executors cut the
+pieces; bytes that reach the driver are bounded by the sample and the number of languages, whatever the texts' lengths. Every language
+that is a label is learnt.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row can be learnt
-from. Repeated rows get one result row each; equal pooled scores go to the language first in sorted order.
+from. Texts of any length are read whole, a few thousand windows at a time. Repeated rows get one result row each; equal pooled
+scores go to the language first in sorted order. An empty table gives no rows. Columns of the input named ``lang_pred`` or ``score``
+are replaced; all others are kept, null ids too (a null id is not in the held-out fold).
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +29,12 @@ from pyspark.sql import functions as F
 
 from quadrill.llm.common import held_out, lean, table, uniform
 
-#: Bytes of a word that the network reads at once; longer words are read in several pieces.
-PIECE = 40
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 150_000
-_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+#: Bytes of a window, and of the context at its ends whose labels don't count; short texts are read in windows of the second length.
+WINDOW, MARGIN, SHORT = 144, 16, 32
+#: Windows that the network reads at once.
+TOGETHER = 2048
+#: Pieces of a text to learn from, and bytes of a piece.
+PIECES, PIECE = 8, 64
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,7 +49,6 @@ class Network:
     hidden: int = 12
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     heat: float = 1.0
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def start(self, seed: int) -> Network:
         r, h, k = np.random.default_rng(seed), self.hidden, len(self.langs)
@@ -58,8 +62,8 @@ class Network:
     def sweep(self, d: str, x: np.ndarray, kept: list | None = None) -> np.ndarray:
         """States [time, batch, hidden] of one direction for bytes [batch, time]; ``kept`` gets what training needs."""
         gates, re, h = self.weights["in_" + d], self.weights["re_" + d], self.hidden
-        state = np.zeros((len(x), h), np.float32)
-        out = np.empty((x.shape[1], len(x), h), np.float32)
+        state = np.zeros((len(x), h), gates.dtype)
+        out = np.empty((x.shape[1], len(x), h), gates.dtype)
         for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
             g, u = gates[x[:, t]], state @ re
             zr = sigmoid(g[:, : 2 * h] + u[:, : 2 * h])
@@ -73,8 +77,7 @@ class Network:
 
     def label(self, x: np.ndarray) -> np.ndarray:
         """Log probabilities [time, batch, language] of every position."""
-        both = np.concatenate([self.sweep("f", x), self.sweep("b", x)], 2)
-        logits = both @ self.weights["out"] + self.weights["bias"]
+        logits = self.sweep("f", x) @ self.weights["out"][: self.hidden] + self.sweep("b", x) @ self.weights["out"][self.hidden :] + self.weights["bias"]
         logits -= logits.max(2, keepdims=True)
         return logits - np.log(np.exp(logits).sum(2, keepdims=True))
 
@@ -92,86 +95,97 @@ class Network:
         p /= p.shape[0] * p.shape[1]
         grad = {"out": np.einsum("tbh,tbk->hk", both, p), "bias": p.sum((0, 1))}
         back = p @ w["out"].T
+        flat = x.T.ravel()
         for i, d in enumerate("fb"):
-            din, dre, carry = np.zeros_like(w["in_" + d]), np.zeros_like(w["re_" + d]), np.zeros((len(x), h), np.float32)
+            dre, carry = np.zeros_like(w["re_" + d]), np.zeros((len(x), h), both.dtype)
+            gates = np.empty((x.shape[1], len(x), 3 * h), both.dtype)
             for t, old, z, r, n, un in reversed(kept[d]):
                 dh = back[t][:, i * h : (i + 1) * h] + carry
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (old - n) * z * (1 - z)
                 dr = dn * un * r * (1 - r)
-                dg = np.concatenate([dz, dr, dn], 1)
+                gates[t] = np.concatenate([dz, dr, dn], 1)
                 du = np.concatenate([dz, dr, dn * r], 1)
-                np.add.at(din, x[:, t], dg)
                 dre += old.T @ du
                 carry = dh * z + du @ w["re_" + d].T
-            grad["in_" + d], grad["re_" + d] = din, dre
+            gates = gates.reshape(-1, 3 * h)
+            grad["in_" + d] = np.stack([np.bincount(flat, gates[:, k], 256) for k in range(3 * h)], 1)
+            grad["re_" + d] = dre
         return float(loss), grad
 
 
-def pieces(word: str) -> list[bytes]:
-    """Runs of letters, each behind a space as a word would be, and runs of other characters; long runs are cut."""
-    out = []
-    for run in _RUNS.findall(word):
-        data = (b" " if run[0].isalpha() else b"") + run.encode("utf-8", "replace")
-        out += [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    return out
-
-
-def by_length(items: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, byte matrix) for each length: no padding is ever read."""
-    lengths = np.fromiter(map(len, items), np.int64, len(items))
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096]
-            yield part, np.frombuffer(b"".join(items[j] for j in part), np.uint8).reshape(len(part), n)
-
-
-def train(langs: list[str], examples: list[tuple[str, str]], words_per_lang: int = 8000, epochs: int = 4, seed: int = 11, hidden: int = 12) -> Network:
-    """Fit on words of the example texts (text, lang): at most ``words_per_lang`` word occurrences of each language."""
+def plain(text: str | None) -> bytes:
+    """What the network reads of a text."""
+    return " ".join(text.lower().split()).encode("utf-8", "replace") if isinstance(text, str) else b""
+
+
+def windows(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, bytes [n, size], first and last counted place) of a few windows at a time; windows end with spaces only where a text ends."""
+    owner, rows, first, last = [], [], [], []
+    for i, data in enumerate(texts):
+        n, start, done = len(data), 0, 0
+        while done < n:
+            # the last window ends with the text
+            start = max(0, min(done - MARGIN, n - size))
+            end = n if start + size >= n else start + size - MARGIN
+            owner.append(i)
+            rows.append(data[start : start + size].ljust(size))
+            first.append(done - start)
+            last.append(end - start)
+            done = end
+            if len(rows) == TOGETHER:
+                yield np.array(owner), np.frombuffer(b"".join(rows), np.uint8).reshape(-1, size), np.array(first), np.array(last)
+                owner, rows, first, last = [], [], [], []
+    if rows:
+        yield np.array(owner), np.frombuffer(b"".join(rows), np.uint8).reshape(-1, size), np.array(first), np.array(last)
+
+
+def pool(net: Network, texts: list[str | None]) -> np.ndarray:
+    """Mean log probability over all byte positions of each text [document, language]; 0 of a text without any."""
+    data = [plain(t) for t in texts]
+    sums = np.zeros((len(texts), len(net.langs)))
+    for size in (SHORT, WINDOW):
+        own = [i for i, x in enumerate(data) if (len(x) <= SHORT) == (size == SHORT)]
+        for at, x, first, last in windows([data[i] for i in own], size):
+            place = np.arange(size)[:, None]
+            part = np.einsum("tbk,tb->bk", net.label(x), ((place >= first) & (place < last)).astype(np.float32), optimize=True)
+            np.add.at(sums, np.array(own)[at], part)
+    return sums / np.maximum([len(x) for x in data], 1)[:, None]
+
+
+def train(langs: list[str], pieces: list[tuple[bytes, str]], epochs: int = 4, seed: int = 11, hidden: int = 12) -> Network:
+    """Fit on pieces of texts (bytes, language); every position is an example."""
     r = np.random.default_rng(seed)
     net = Network(sorted(langs), hidden).start(seed)
-    x, y = [], []
-    for k, lang in enumerate(net.langs):
-        words = [w for text, own in examples if own == lang for w in text.lower().split()]
-        for j in r.choice(len(words), min(len(words), words_per_lang), replace=False) if words else []:
-            for piece in pieces(words[j]):
-                x.append(piece)
-                y.append(k)
-    target = np.array(y)
+    at = {lang: k for k, lang in enumerate(net.langs)}
+    target = np.array([at[lang] for _, lang in pieces])
+    lengths = np.array([len(x) for x, _ in pieces])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
-    batches = [(part[i : i + 256], m[i : i + 256]) for part, m in by_length(x) for i in range(0, len(part), 256)]
     step = 0
     for epoch in range(epochs):
-        # fresh minibatches each epoch: rows are shuffled within their length
-        order = r.permutation(len(x))
-        batches = []
-        shuffled = [x[j] for j in order]
-        for part, m in by_length(shuffled):
-            batches += [(order[part[i : i + 256]], m[i : i + 256]) for i in range(0, len(part), 256)]
+        # fresh minibatches each epoch, of pieces of one length each: no padding is ever read
+        order = r.permutation(len(pieces))
+        batches = [own[i : i + 128] for n in np.unique(lengths) for own in [order[lengths[order] == n]] for i in range(0, len(own), 128)]
         for b in r.permutation(len(batches)):
-            at, m = batches[b]
-            _, grad = net.gradient(m, target[at])
+            own = batches[b]
+            x = np.frombuffer(b"".join(pieces[j][0] for j in own), np.uint8).reshape(len(own), -1)
+            _, grad = net.gradient(x, target[own])
             step += 1
-            rate = 0.015 / (1 + epoch)
+            rate = 0.02 / (1 + epoch)
             for k, g in grad.items():
                 a, v = moment[k]
                 a += 0.1 * (g - a)
                 v += 0.01 * (g * g - v)
                 net.weights[k] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return calibrated(net, examples)
+    return net
 
 
-def calibrated(net: Network, examples: list[tuple[str, str]]) -> Network:
-    """Choose how sharply pooled log probabilities become document probabilities, by likelihood of the examples."""
-    if not examples:
-        return net
-    pooled = Labeller(net).pool([t for t, _ in examples])
-    own = np.array([net.langs.index(lang) for _, lang in examples])
+def calibrated(net: Network, pooled: np.ndarray, target: np.ndarray) -> Network:
+    """Choose how sharply pooled log probabilities become document probabilities, by likelihood of the pieces."""
     best = (np.inf, 1.0)
     for heat in (0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
         p = softmax(pooled * heat)
-        best = min(best, (float(-np.log(p[np.arange(len(own)), own] + 1e-9).mean()), heat))
+        best = min(best, (float(-np.log(p[np.arange(len(target)), target] + 1e-9).mean()), heat))
     net.heat = best[1]
     return net
 
@@ -181,102 +195,51 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-class Labeller:
-    """Labels words once and pools documents from them."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.piece_at: dict[bytes, int] = {}
-        self.sums = np.empty((0, len(self.net.langs)), np.float32)
-        self.sizes = np.empty(0, np.float32)
-        self.piece_sums = np.empty((0, len(self.net.langs)), np.float32)
-
-    def learn(self, words: list[str]) -> None:
-        parts = [pieces(w) for w in words]
-        new = list({p for own in parts for p in own if p not in self.piece_at})
-        if new:
-            sums = np.empty((len(new), len(self.net.langs)), np.float32)
-            for at, m in by_length(new):
-                sums[at] = self.net.label(m).sum(0)
-            self.piece_at.update(zip(new, range(len(self.piece_at), len(self.piece_at) + len(new)), strict=True))
-            self.piece_sums = np.concatenate([self.piece_sums, sums])
-        flat = np.fromiter((self.piece_at[p] for own in parts for p in own), np.int64)
-        starts = np.cumsum([0, *map(len, parts[:-1])])
-        sizes = np.fromiter((sum(map(len, own)) for own in parts), np.float32, len(parts))
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.sums = np.concatenate([self.sums, np.add.reduceat(self.piece_sums[flat], starts)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-
-    def pool(self, texts: list[str], together: int = 200) -> np.ndarray:
-        """Mean log probability over all byte positions of each text [document, language], ``together`` texts at a time."""
-        parts = [self._pool(texts[i : i + together]) for i in range(0, len(texts), together)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.net.langs)))
-
-    def _pool(self, texts: list[str]) -> np.ndarray:
-        if len(self.at) > REMEMBERED:
-            self.clear()
-        counts = [Counter(t.lower().split()) for t in texts]
-        new = list({w for c in counts for w in c if w not in self.at})
-        if new:
-            self.learn(new)
-        out = np.zeros((len(texts), len(self.net.langs)), np.float64)
-        for i, c in enumerate(counts):
-            if c:
-                at = np.fromiter(map(self.at.__getitem__, c), np.int64, len(c))
-                n = np.fromiter(c.values(), np.float64, len(c))
-                out[i] = n @ self.sums[at] / (n @ self.sizes[at])
-        return out
-
-
-_labellers: dict[str, Labeller] = {}
-
-
-def labeller(net: Network) -> Labeller:
-    """The task's labeller of this network; words it has met stay known until the task ends."""
-    if net.key not in _labellers:
-        _labellers.clear()
-        _labellers[net.key] = Labeller(net)
-    return _labellers[net.key]
-
-
-def fit(docs: DataFrame, texts_per_lang: int = 250, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_langs: int = 200) -> Network:
-    """Train on a bounded sample: about ``texts_per_lang`` texts of each language outside the held-out fold.
-
-    Languages beyond the ``max_langs`` most frequent are not learnt.
-    """
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()}
+def fit(docs: DataFrame, texts_per_lang: int = 250, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
+    """Train on a bounded sample: about ``texts_per_lang`` distinct texts of each language outside the held-out fold."""
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), uniform(id_col, text_col, seed=2).alias("u"))
+    # one row for each language
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return Network([]).start(0)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, texts_per_lang / n).otherwise(share)
-    rows = usable.where(uniform(id_col, seed=2) < share).select(text_col, lang_col).limit(2 * texts_per_lang * len(counts)).collect()
-    examples = sorted((r[0], r[1]) for r in rows)
-    return train(list(counts), examples)
+    entries = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(texts_per_lang / n))]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text, lang, u in zip(pdf["text"], pdf["lang"], pdf["u"], strict=True):
+                data = plain(text)
+                starts = np.random.default_rng(int(u * (1 << 30))).integers(0, max(len(data) - PIECE, 0) + 1, PIECES if len(data) > PIECE else 1)
+                rows += [(lang, u, data[a : a + PIECE]) for a in np.unique(starts) if data]
+            yield pd.DataFrame(rows, columns=["lang", "u", "piece"])
+
+    sample = usable.where(F.col("u") < F.element_at(F.create_map(*entries), F.col("lang"))).mapInPandas(lean(cut), "lang string, u double, piece binary").distinct()
+    pieces = sorted((bytes(r["piece"]), r["lang"], r["u"]) for r in sample.collect())
+    net = train(list(counts), [(x, lang) for x, lang, _ in pieces])
+    # pieces of a text together stand for the text
+    keys = sorted({(lang, u) for _, lang, u in pieces})
+    at = {k: i for i, k in enumerate(keys)}
+    sums, n = np.zeros((len(keys), len(net.langs))), np.zeros(len(keys))
+    for (x, lang, u), logs in zip(pieces, pool(net, [x.decode("utf-8", "replace") for x, _, _ in pieces]), strict=True):
+        sums[at[lang, u]] += logs * len(x)
+        n[at[lang, u]] += len(x)
+    return calibrated(net, sums / n[:, None], np.array([net.langs.index(lang) for lang, _ in keys])) if keys else net
 
 
 def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """The input with ``lang_pred`` and ``score``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = labeller(net)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
             lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
             lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             if net.langs and lettered.any():
-                p = softmax(own.pool(texts) * net.heat)
+                p = np.concatenate([softmax(pool(net, texts[i : i + 500]) * net.heat) for i in range(0, len(texts), 500)])
                 best = p.argmax(1)
                 lang[lettered] = np.array(net.langs, dtype=object)[best][lettered]
                 score[lettered] = p[np.arange(len(p)), best][lettered]
             yield pdf.assign(lang_pred=lang, score=score)
-        own = None
-        _labellers.clear()  # what follows on this worker needs the memory more than the next task needs the words
 
     base = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
