@@ -5,8 +5,14 @@ marginals of forward-backward are averaged with the lines' lengths as weights, a
 training documents turns that average into a probability. Learning is from document labels: all lines of a document
 start with its label, and a second round lets lines of bad documents that look good become good.
 
-Null and empty texts have no line; their average is 0. Equal rows get equal scores. Labels that are null, or of
-documents in the held-out fold, are never read; without any label every document scores by its average alone.
+Lines are learnt from a sample: about ``rows`` labelled documents outside the held-out fold, chosen by a hash of their ids, and of each at
+most ``LINES`` lines in a row from a place that the hash gives. Executors compute these lines' features, so the bytes that reach
+the driver are bounded whatever the texts' lengths; the curve is fitted on averages over the whole texts of the sample.
+
+Null and empty texts have no line; their average is 0. Texts of any length are read whole. Equal rows get equal scores; of several
+texts of one labelled id the one with the smallest hash is learnt from, of several labels of an id the largest counts. Labels that are
+null, of null ids or of documents in the held-out fold are never read; without labels of both kinds every document scores by its average
+alone. An empty table gives no rows. Columns of the input named ``score`` or ``predicted`` are replaced; all others are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrill.llm.common import held_out, lean, table, uniform
+from quadrill.llm.common import forget, held_out, lean, table, uniform, written
 
 UPPER, LOWER, DIGIT, SPACE, MARK, STOP, OTHER = range(7)
 
@@ -36,10 +42,18 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 OWN = 16
 WIDTH = 3 * (OWN + 1) + 1
+#: Lines of a document that are learnt from.
+LINES = 64
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every non-empty line, its length, first line of each text plus the total)."""
+    """(features of every non-empty line and those beside it, its length, first line of each text plus the total)."""
+    own, length, offsets = own_features(texts)
+    return beside(own, offsets), length, offsets
+
+
+def own_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` without the lines beside."""
     lines, counts, repeats, words, distinct = [], [], [], [], []
     for text in texts:
         own = [x for x in text.split("\n") if x and not x.isspace()]
@@ -55,7 +69,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     offsets = np.cumsum([0, *counts])
     n = len(lines)
     if not n:
-        return np.zeros((0, WIDTH)), np.zeros(0), offsets
+        return np.zeros((0, OWN)), np.zeros(0), offsets
     length = np.fromiter(map(len, lines), np.int64, n)
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = CLASSES[np.minimum(code, 0x250)]
@@ -71,13 +85,18 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         ratio, ratio < 0.25, d / np.sqrt(np.maximum(w, 1)) / 5, np.log1p(length) / 5, np.log1p(w) / 4,
         np.minimum((length / np.maximum(w, 1)) / 10, 3), ends, np.array(repeats),
     ], 1).astype(np.float64)
-    own = np.concatenate([own, np.ones((n, 1))], 1)
+    return own, length.astype(float), offsets
+
+
+def beside(own: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each line's features with a constant, those of the lines before and after it in its text, and a spare column."""
+    own = np.concatenate([own, np.ones((len(own), 1))], 1)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
-    real = np.array(counts) > 0
+    real = np.diff(offsets) > 0
     before[offsets[:-1][real]] = 0
     after[offsets[1:][real] - 1] = 0
-    return np.concatenate([own, before, after, np.zeros((n, 1))], 1), length.astype(float), offsets
+    return np.concatenate([own, before, after, np.zeros((len(own), 1))], 1)
 
 
 @dataclass
@@ -155,36 +174,61 @@ def fit_chain(x: np.ndarray, offsets: np.ndarray, y: np.ndarray, rounds: int = 8
     return chain
 
 
-def train(texts: list[str], labels: list[int], chunk: int = 64) -> Chain:
-    """Fit lines, then documents. Long documents are learnt from in chunks of ``chunk`` lines (all of their lines)."""
-    if len(set(labels)) < 2:
-        return Chain(np.zeros(WIDTH), np.zeros((2, 2)))
-    x, _, offsets = line_features(texts)
-    cut = np.unique(np.concatenate([offsets, *(np.arange(a, b, chunk) for a, b in zip(offsets[:-1], offsets[1:], strict=True))]).astype(int))
-    doc = np.repeat(np.array(labels), np.diff(offsets))
-    chain = fit_chain(x, cut, doc)
-    good, _, _ = chain.marginals(x, cut)
-    chain = fit_chain(x, cut, np.where((doc == 0) & (good > 0.8), 1, doc))
-    m, y = squashed(chain.average(texts)), np.array(labels, float)
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton's method for the curve of two parameters
+def train(lines: list[np.ndarray], labels: list[int]) -> Chain:
+    """Fit the chain on the features of documents' lines."""
+    chain = Chain(np.zeros(WIDTH), np.zeros((2, 2)))
+    offsets = np.cumsum([0, *map(len, lines)])
+    if len(set(labels)) < 2 or not offsets[-1]:
+        return chain
+    x, doc = beside(np.concatenate(lines), offsets), np.repeat(np.array(labels), np.diff(offsets))
+    chain = fit_chain(x, offsets, doc)
+    good, _, _ = chain.marginals(x, offsets)
+    return fit_chain(x, offsets, np.where((doc == 0) & (good > 0.8), 1, doc))
+
+
+def curve(averages: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Newton's method for the logistic curve of two parameters from averages to labels."""
+    m, y, a, b = squashed(averages), labels.astype(float), 1.0, 0.0
+    for _ in range(50):
         p = 1 / (1 + np.exp(-(a * m + b)))
         w = p * (1 - p) + 1e-6
         h = np.array([[(w * m * m).sum() + 1, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, [((y - p) * m).sum() - a, (y - p).sum()])
         a, b = a + step[0], b + step[1]
-    chain.curve = (float(a), float(b))
-    return chain
+    return float(a), float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Train on about ``rows`` labelled documents outside the held-out fold, chosen by a hash of their id."""
-    known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("quality").alias("label"))
+    known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("label"))
     n = known.count()
-    picked = known.where(uniform(id_col, seed=5) < min(1.0, rows / max(n, 1))).limit(2 * rows)
-    sample = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "label").limit(4 * rows).collect()
-    pairs = sorted((r[0], int(r[1] > 0)) for r in sample)
-    return train([t for t, _ in pairs], [y for _, y in pairs])
+    picked = known.where(uniform("id", seed=5) < min(1.0, rows / max(n, 1)))
+    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    sample = sample.groupBy("id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = written(sample.withColumn("u", uniform("id", seed=6)), "sample")
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own, _, offsets = own_features(pdf["text"].tolist())
+            starts = offsets[:-1] + (pdf["u"].to_numpy() * (np.maximum(np.diff(offsets) - LINES, 0) + 1)).astype(np.int64)
+            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "x": [own[a : min(a + LINES, b)].astype(np.float32).tobytes() for a, b in zip(starts, offsets[1:], strict=True)]})
+
+    kind = dict(sample.dtypes)
+    got = sample.mapInPandas(lean(lines), f"id {kind['id']}, label {kind['label']}, x binary").collect()
+    got = sorted(got, key=lambda r: r["id"])
+    y = [int(r["label"] > 0) for r in got]
+    chain = train([np.frombuffer(r["x"], np.float32).reshape(-1, OWN).astype(float) for r in got], y)
+    if len(set(y)) < 2:
+        return chain
+
+    def averages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "average": chain.average(pdf["text"].tolist())})
+
+    got = sorted(sample.mapInPandas(lean(averages), f"id {kind['id']}, label {kind['label']}, average double").collect(), key=lambda r: r["id"])
+    forget(sample)
+    chain.curve = curve(np.array([r["average"] for r in got]), np.array([int(r["label"] > 0) for r in got]))
+    return chain
 
 
 def grade(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

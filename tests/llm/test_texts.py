@@ -114,6 +114,94 @@ def test_languages(spark, data):
     assert langid.fit(d.limit(0)).langs == [] and langid.identify(docs(spark, [(1, "abc")]), langid.fit(d.limit(0))).first().lang_pred == "und"
 
 
+def slow_network(net, data):
+    """The recurrence of one window, one place and one unit at a time."""
+    states = {}
+    for d, places in (("f", range(len(data))), ("b", reversed(range(len(data))))):
+        state = [0.0] * net.hidden
+        for t in places:
+            gates = [float(net.weights["in_" + d][data[t], j]) for j in range(3 * net.hidden)]
+            u = [sum(state[i] * float(net.weights["re_" + d][i, j]) for i in range(net.hidden)) for j in range(3 * net.hidden)]
+            new = []
+            for j in range(net.hidden):
+                z, r = (1 / (1 + np.exp(-(gates[k * net.hidden + j] + u[k * net.hidden + j]))) for k in (0, 1))
+                n = np.tanh(gates[2 * net.hidden + j] + r * u[2 * net.hidden + j])
+                new.append((1 - z) * n + z * state[j])
+            state = new
+            states[d, t] = state
+    out = []
+    for t in range(len(data)):
+        logits = np.array([states["f", t] + states["b", t]]) @ net.weights["out"].astype(float) + net.weights["bias"]
+        out.append((logits - np.log(np.exp(logits).sum()))[0])
+    return np.array(out)
+
+
+def test_pooling_is_right():
+    """Against the plain recurrence: short texts, texts of one window and of several; every byte counts once, with context across words."""
+    net = langid.Network(["a", "b", "c"], hidden=3).start(5)
+    r = random.Random(4)
+    texts = ["x", "Él  dijo\n", "ab " * 20, " ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) for _ in range(90)), "y" * 700, "", None]
+    got = langid.pool(net, texts)
+    for text, have in zip(texts, got):
+        data = langid.plain(text)
+        size = langid.SHORT if len(data) <= langid.SHORT else langid.WINDOW
+        want, done = np.zeros(3), 0
+        while done < len(data):
+            start = max(0, min(done - langid.MARGIN, len(data) - size))
+            logs = slow_network(net, data[start : start + size].ljust(size))
+            end = len(data) if start + size >= len(data) else start + size - langid.MARGIN
+            want += logs[done - start : end - start].sum(0)
+            done = end
+        assert np.allclose(have, want / max(len(data), 1), atol=1e-4)
+    label = lambda s: net.label(np.frombuffer(s, np.uint8)[None])[:, 0]
+    assert abs(label(b"ab cd")[:2] - label(b"ab ce")[:2]).max() > 1e-4  # the word after it changes a byte's label
+
+
+def test_many_languages_are_learnt(spark):
+    rows = [(i, f"{'abcdefghijklmnop'[i % 16]}{'qrstuvwxyz'[i // 16 % 10]} " * 4, f"l{i % 320}") for i in range(960)]
+    df = docs(spark, rows, "doc_id long, text string, lang string")
+    want = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(langid.fit(df, texts_per_lang=2).langs) == want and len(want) > 310
+
+
+def test_learning_does_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.001"
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    a, b = (langid.fit(x, texts_per_lang=5) for x in (d, d.repartition(7)))
+    assert all((a.weights[k] == b.weights[k]).all() for k in a.weights) and a.heat == b.heat
+    a, b = (quality.fit(x, labels) for x in (d, d.repartition(7)))
+    assert (a.theta == b.theta).all() and a.curve == b.curve
+    # one text copied into a third of all rows, without ids, changes neither bound
+    many = d.select("doc_id", "text", "lang").unionByName(docs(spark, [(None, "la casa de papel", "es")] * 300, "doc_id long, text string, lang string"))
+    assert "es" in langid.fit(many, texts_per_lang=5).langs
+
+
+def slow_quality(chain, text):
+    """Length-weighted marginals by enumeration of all labellings."""
+    x, length, _ = quality.line_features([text or ""])
+    if not len(x):
+        return 0.0
+    total, on = 0.0, np.zeros(len(x))
+    for code in range(2 ** len(x)):
+        y = np.array([(code >> i) & 1 for i in range(len(x))])
+        s = np.exp((x @ chain.theta * y).sum() + sum(chain.move[y[i - 1], y[i]] for i in range(1, len(x))))
+        total, on = total + s, on + s * y
+    return float((on / total * length).sum() / length.sum())
+
+
+def test_quality_rows_are_the_plain_ones(spark):
+    sf = "/root/testdata/sf0.001"
+    d = table(spark, sf, "documents")
+    chain = quality.fit(d, table(spark, sf, "labels"))
+    got = {r.doc_id: r for r in quality.op10_quality(spark, sf).collect()}
+    rows = [r for r in d.collect() if (r.text or "").count("\n") < 9]
+    assert len(got) == d.count() and len(rows) > 80
+    for r in rows:
+        m = np.clip(slow_quality(chain, r.text), 0.01, 0.99)
+        score = 1 / (1 + np.exp(-(chain.curve[0] * np.log(m / (1 - m)) + chain.curve[1])))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9) and got[r.doc_id].predicted == int(score >= 0.3) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_marginals_are_right():
     rnd = np.random.default_rng(0)
     chain = quality.Chain(rnd.normal(size=3), rnd.normal(size=(2, 2)))
