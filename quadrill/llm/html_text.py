@@ -3,16 +3,20 @@
 Pages of one host are merged into a style tree: nodes are paths of tags and classes. A node's presentation
 importance is the entropy of the child sequences seen under it, a leaf's content importance is one minus the
 mean normalised entropy of its block texts over the host's pages, and the composite importance of a branch mixes
-both from the leaves up. A branch is of low importance if it and all branches below it are. Such branches are removed
-from each page, and so are branches whose tag, class or role names navigation, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments. On pages with an article (or main) element only its branches count.
+both from the leaves up. A branch is of low importance if it and all branches below it are, on ``PAGES`` pages at least. Such branches
+are removed from each page, inside articles too, and so is what stands in elements (inline ones too) whose tag, whole class or id name,
+role or hidden attribute marks navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+reader comments: a name counts only if all its parts do (``comments-list``, not ``comments-on-theory``). On pages with an article (or
+main) element only its branches count.
 
 Pages of a host with the same content (texts of the article, or of all blocks not named away) count as one page, so
 copied and mirrored pages never make their own content look like a template. An article of which low branches would
 take more than half of the text stays whole: it is one text on many pages, with another title or date.
 
-Null and empty pages give an empty text. Null urls form a host of their own. Repeated rows get one row each.
-Whole pages are read, whatever their length; malformed markup is closed as browsers close it.
+Null and empty pages give an empty text. Null urls, and urls without a host, form a host of their own. Repeated rows get one row each,
+null ids too. Whole pages are read, whatever their length or depth; malformed markup is closed as browsers close it. Equal pages of one host
+give equal texts. An empty table gives no rows. Columns of the input named ``text`` or ``n_chars`` are replaced, the html is left out, all
+others are kept. One task works out one host's tree from its paths that stand on at least two pages.
 """
 
 from __future__ import annotations
@@ -39,15 +43,24 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("ul ol dl table select article section div body td th main".split())
 AWAY_TAGS = frozenset("nav footer aside form button select datalist dialog menu input label".split())
-AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|promo(?:tion)?s?|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|"
-    r"sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|share|sharing|social|related|recommended|widget|pagination|pager|login|signup|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of class and id names that mark what is no main text, and words that may stand beside them in such a name.
+AWAY_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner promo promos promotion promotions sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert alerts "
+    "popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus replies share sharing social related "
+    "recommended widget widgets pagination pager login signup search".split()
 )
+#: The same, but only outside an article, for articles have headers of their own.
+HEAD_WORDS = frozenset("header masthead".split())
+BESIDE = frozenset(
+    "site page main top bottom left right center box boxes list lists section sections block container wrapper wrap inner outer bar area panel link links button buttons btn item items icon icons "
+    "global primary secondary sticky fixed mobile desktop post posts entry article articles story stories user users reader form field group content body text google slot unit zone "
+    "law info trail next prev previous copyright cta card media network networks news topics more thread reply message messages row col column layer overlay dialog".split()
+)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<(?:!--(?:.*?-->|.*)|(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([A-Za-z][^\s/>]*)([^<>]*)>|[!?][^>]*>)", re.DOTALL)
-_ATTR = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"[0-9]+")
 GAMMA, LOW, PAGES = 0.9, 0.2, 4
 #: Rows of copied contents or payloads (some 40 bytes each) up to which they are broadcast.
@@ -66,27 +79,40 @@ def key_of(parent: int, style: str) -> int:
     return found
 
 
+def named_away(names: str, main: bool) -> bool:
+    """Whether one of the names (separated by spaces) consists of words that mark what is no main text."""
+    for name in names.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        marks = [x in AWAY_WORDS or (x in HEAD_WORDS and not main) for x in parts]
+        if any(marks) and all(m or x in BESIDE or x in HEAD_WORDS for m, x in zip(marks, parts, strict=True)):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "key", "parent", "away", "main", "kids")
+    __slots__ = ("tag", "key", "parent", "away", "main", "low", "kids")
 
-    def __init__(self, tag: str, key: int, parent: int, away: bool, main: bool):
-        self.tag, self.key, self.parent, self.away, self.main, self.kids = tag, key, parent, away, main, []
+    def __init__(self, tag: str, key: int, parent: int, away: bool, main: bool, low: bool):
+        self.tag, self.key, self.parent, self.away, self.main, self.low, self.kids = tag, key, parent, away, main, low, []
 
 
-def walk(page: str) -> tuple[list[tuple[tuple[int, ...], int, bool, bool, str]], list[Node]]:
-    """Blocks (keys of the open branches, own key, away, inside the article, text) in page order, and all nodes."""
-    root = Node("", key_of(0, "root"), 0, False, False)
+def walk(page: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """Blocks (node, text) in page order without what is named away, and all nodes; ``low`` marks nodes in a dropped branch."""
+    root = Node("", key_of(0, "root"), 0, False, False, key_of(0, "root") in dropped)
     stack, nodes, blocks, buffer = [root], [root], [], []
     opened: dict[str, int] = {}
     pos, size, last = 0, len(page), page.rfind(">")
 
+    def say(text: str) -> None:
+        if not stack[-1].away:
+            buffer.append(text)
+
     def flush() -> None:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK or i == 0)
-                blocks.append((tuple(n.key for n in stack[: at + 1]), stack[at].key, stack[at].away, stack[at].main, text))
+                blocks.append((next(n for n in reversed(stack) if n.tag in BLOCK or n is root), text))
 
     def pop(to: int) -> None:
         for n in stack[to:]:
@@ -96,16 +122,16 @@ def walk(page: str) -> tuple[list[tuple[tuple[int, ...], int, bool, bool, str]],
     while pos < size:
         lt = page.find("<", pos)
         if lt < 0:
-            buffer.append(page[pos:])
+            say(page[pos:])
             break
         if lt > pos:
-            buffer.append(page[pos:lt])
+            say(page[pos:lt])
         m = _TAG.match(page, lt)
         if not m:
             # a "<" that opens no tag is text; an unfinished tag at the end of the page is dropped
             if lt + 1 < size and (page[lt + 1].isalpha() or page[lt + 1] in "/!?") and lt > last:
                 break
-            buffer.append("<")
+            say("<")
             pos = lt + 1
             continue
         pos = m.end()
@@ -125,7 +151,7 @@ def walk(page: str) -> tuple[list[tuple[tuple[int, ...], int, bool, bool, str]],
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, pos)
             pos = end.end() if end else size
             if name == "textarea":
-                buffer.append(" ")
+                say(" ")
             continue
         if name in BLOCK:
             flush()
@@ -134,7 +160,7 @@ def walk(page: str) -> tuple[list[tuple[tuple[int, ...], int, bool, bool, str]],
                 if not any(n.tag in BARRIER for n in stack[at + 1 :]):
                     pop(at)
         elif name == "br":
-            buffer.append(" ")
+            say(" ")
         closes = CLOSES.get(name)
         if closes:
             for i in range(len(stack) - 1, 0, -1):
@@ -147,18 +173,20 @@ def walk(page: str) -> tuple[list[tuple[tuple[int, ...], int, bool, bool, str]],
             continue
         top, attrs = stack[-1], m[3] if m[2] else m[6]
         away, main, style = top.away, top.main, name
-        if attrs and "=" in attrs or attrs and "hidden" in attrs:
-            found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)}
-            names = " ".join(filter(None, (found.get("class"), found.get("id"))))
-            style = f"{name}.{_DIGITS.sub('', found.get('class', ''))}"
+        if attrs and not attrs.isspace():
+            found: dict[str, str] = {}
+            for a in _ATTR.findall(attrs):
+                found.setdefault(a[0].lower(), a[1] or a[2] or a[3])
+            style = f"{name}.{_DIGITS.sub('', found['class'])}" if found.get("class") else name
             away = away or found.get("role", "").lower() in AWAY_ROLES or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "").lower() == "true"
-            away = away or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", attrs))
-            if names and name not in HEADINGS and name not in ("html", "body", "article", "main") and AWAY_NAMES.search(names):
-                away = True
+            away = away or found.get("hidden", "until-found").lower() != "until-found"
             main = main or found.get("role", "").lower() == "main" or found.get("itemprop", "") == "articleBody"
+            names = " ".join(filter(None, (found.get("class"), found.get("id"))))
+            away = away or bool(names and name not in HEADINGS and name not in ("html", "body", "article", "main") and named_away(names, main))
         away = away or name in AWAY_TAGS or (name == "header" and not main) or name == "head"
         main = main or (name in ("article", "main") and not away)
-        node = Node(name, key_of(top.key, style), top.key, away, main)
+        key = key_of(top.key, style)
+        node = Node(name, key, top.key, away, main, top.low or key in dropped)
         top.kids.append(style)
         nodes.append(node)
         stack.append(node)
@@ -167,17 +195,19 @@ def walk(page: str) -> tuple[list[tuple[tuple[int, ...], int, bool, bool, str]],
     return blocks, nodes
 
 
+def content(blocks: list[tuple[Node, str]]) -> tuple[list[tuple[Node, str]], bool]:
+    """The blocks of the article, if the page has one with text, else all; and whether it has."""
+    inside = [b for b in blocks if b[0].main]
+    return inside or blocks, bool(inside)
+
+
 def extract(page: str, dropped: frozenset[int]) -> str:
     """The page's blocks that lie in the article, if it has one, and in no branch of low importance."""
-    blocks, _ = walk(page)
-    kept = [b for b in blocks if not b[2]]
-    inside = [b for b in kept if b[3]]
-    kept = inside or kept
-    if dropped:
-        left = [b for b in kept if dropped.isdisjoint(b[0])]
-        if not inside or 2 * sum(len(b[4]) for b in left) >= sum(len(b[4]) for b in kept):
-            kept = left
-    return "\n\n".join(b[4] for b in kept)
+    kept, article = content(walk(page, dropped)[0])
+    left = [b for b in kept if not b[0].low]
+    if not article or 2 * sum(len(text) for _, text in left) >= sum(len(text) for _, text in kept):
+        kept = left
+    return "\n\n".join(text for _, text in kept)
 
 
 def host_column(url_col: str) -> Column:
@@ -192,8 +222,7 @@ def page_copies(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         for pdf in batches:
             contents = []
             for page in pdf["html"]:
-                kept = [b for b in walk(page)[0] if not b[2]]
-                contents.append(xxhash.xxh64_intdigest("\n".join(b[4] for b in [b for b in kept if b[3]] or kept)) - (1 << 63))
+                contents.append(xxhash.xxh64_intdigest("\n".join(text for _, text in content(walk(page)[0])[0])) - (1 << 63))
             yield pd.DataFrame({"host": pdf["host"], "payload": pdf["payload"], "content": contents})
 
     rows = pages.where(F.length(html_col) > 0).select(host_column(url_col).alias("host"), F.xxhash64(html_col).alias("payload"), F.col(html_col).alias("html"))
@@ -221,9 +250,8 @@ def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                         rows[at] = rows.get(at, 0) + one
                     at = (host, n.key, n.parent, 1, xxhash.xxh64_intdigest(",".join(dict.fromkeys(n.kids))) - (1 << 63))
                     rows[at] = rows.get(at, 0) + one
-                parent = {n.key: n.parent for n in nodes}
-                for key, text in {(b[1], b[4]) for b in blocks if not b[2]}:
-                    at = (host, key, parent[key], 2, xxhash.xxh64_intdigest(text) - (1 << 63))
+                for key, parent, text in {(n.key, n.parent, text) for n, text in blocks}:
+                    at = (host, key, parent, 2, xxhash.xxh64_intdigest(text) - (1 << 63))
                     rows[at] = rows.get(at, 0) + one
             yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["host", "key", "parent", "what", "value", "n"])
 
@@ -289,21 +317,31 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mo
     keys = lists.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0]
     base = pages.drop("text", "n_chars")
     kept = [f for f in base.schema if f.name != html_col]
+    joined = base.withColumn("__host", host_column(url_col))
+    if keys <= most_broadcast:
+        small = {r["host"]: frozenset(r["dropped"]) for r in lists.collect()}
+        forget(lists)
+    else:
+        joined = joined.join(lists.select(F.col("host").alias("__host"), F.col("dropped").alias("__dropped")), "__host", "left")
+        small = None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none: frozenset[int] = frozenset()
+        met: tuple[str | None, frozenset[int]] = (None, none)
         for pdf in batches:
-            texts = [
-                extract(page, frozenset(() if d is None else d)) if isinstance(page, str) else ""
-                for page, d in zip(pdf[html_col], pdf["__dropped"] if "__dropped" in pdf else [None] * len(pdf), strict=True)
-            ]
+            texts = []
+            for i, page in enumerate(pdf[html_col]):
+                host = pdf["__host"].iat[i]
+                if small is not None:
+                    dropped = small.get(host, none)
+                else:
+                    if met[0] != host:  # rows of one host come together after a join
+                        d = pdf["__dropped"].iat[i]
+                        met = (host, none if d is None else frozenset(d))
+                    dropped = met[1]
+                texts.append(extract(page, dropped) if isinstance(page, str) else "")
             yield pdf[[f.name for f in kept]].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    joined = base
-    if keys:
-        right = lists.select(F.col("host").alias("__host"), F.col("dropped").alias("__dropped"))
-        joined = base.withColumn("__host", host_column(url_col)).join(F.broadcast(right) if keys <= most_broadcast else right, "__host", "left").drop("__host")
-    else:
-        forget(lists)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return joined.mapInPandas(lean(run), f"{schema}, text string, n_chars long")
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -417,3 +418,138 @@ def test_style_tree_counts_copies_once(spark):
     a, b = group(), group()
     for pages in ([a] * 8, [a] * 40 + [b] * 40, [x for _ in range(5) for x in [group()] * 30]):
         assert all(len(t.split()) == 9 for t in main_texts(spark, pages, f"copies{len(pages)}"))
+
+
+def test_inline_boilerplate_and_attributes():
+    one = lambda body: html_text.extract(f"<html><body><article>{body}</article></body></html>", frozenset())
+    assert one("<p>Text <button>Share</button> <span class='advert'>Buy now</span><span hidden>secret</span><a class='nav'>menu</a><label>Name</label> end</p>") == "Text end"
+    assert one("<p title='a hidden place'>Real text</p>") == "Real text" == one("<p data-x='hidden' hidden=until-found>Real text</p>")
+    assert one("<p HIDDEN>x</p><p hidden=hidden>y</p><p hidden/>z") == ""
+    assert one("<div id='comments-on-theory'>Theory</div><div class='search-results'>Found</div><div class='article-header'><h2>Head</h2></div>") == "Theory\n\nFound\n\nHead"
+    for name in ("comments", "comments-list", "user_comments", "cookie-notice", "share-buttons", "ad", "ad-banner", "relatedPosts", "site-footer", "newsletter-signup", "sidebar left", "post__share--top"):
+        assert one(f"<p>a</p><div class='{name}'>b</div><section id='{name.split()[0]}'>c</section>") == "a", name
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    began = time.time()
+    page = "<div>" * 20_000 + "<p>x</p>" * 20_000
+    assert html_text.extract(page, frozenset()) == "\n\n".join(["x"] * 20_000) and time.time() - began < 30
+
+
+def site(r):
+    """Pages of one host: a template whose parts repeat on all pages, on some, or never, in and around articles, some mirrored."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    words = lambda k: " ".join(word() for _ in range(k))
+    parts = [(f"c{i}" if r.random() < 0.7 else "", r.choice(["div", "section", "p", "ul"]), [words(r.randint(1, 12)) for _ in range(r.choice([1, 1, 2, 5]))], r.random(), r.random() < 0.5) for i in range(r.randint(2, 6))]
+    article, pages = r.random() < 0.7, []
+    for _ in range(r.randint(3, 18)):
+        if pages and r.random() < 0.15:
+            pages.append(r.choice(pages))
+            continue
+        inside, around = [f"<p>{words(r.randint(3, 30))}</p>" for _ in range(r.randint(1, 4))], []
+        for name, tag, texts, often, within in parts:
+            if r.random() < often:
+                text = r.choice(texts)
+                body = f"<li>{text}</li><li>{word()}</li>" if tag == "ul" else text
+                (inside if within else around).append(f'<{tag} class="{name}{r.randint(0, 9)}">{body}</{tag}>' if name else f"<{tag}>{body}</{tag}>")
+        r.shuffle(inside)
+        main = f"<article>{''.join(inside)}</article>" if article else f"<div>{''.join(inside)}</div>"
+        pages.append(f"<html><body>{''.join(around[:1])}{main}{''.join(around[1:])}</body></html>")
+    return pages
+
+
+class Plain(HTMLParser):
+    """Nodes and blocks of a well-formed page: paths as text."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.nodes, self.blocks = ["root"], [["root", []]], []
+        self.open = [0]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        name = dict(attrs).get("class")
+        style = f"{tag}.{re.sub('[0-9]+', '', name)}" if name else tag
+        self.nodes[self.open[-1]][1].append(style)
+        self.path.append(style)
+        self.nodes.append(["/".join(self.path), []])
+        self.open.append(len(self.nodes) - 1)
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+        self.open.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.blocks.append(("/".join(self.path), " ".join(data.split())))
+
+
+def brute_main_texts(pages):
+    """The style tree by its definition: entropies over the distinct contents of the host, then each page without its low branches."""
+    parsed = [Plain(p) for p in pages]
+    inner = lambda blocks: [b for b in blocks if "article" in b[0].split("/")] or blocks
+    contents = ["\n".join(t for _, t in inner(p.blocks)) for p in parsed]
+    share = [1 / contents.count(c) for c in contents]
+    paths = sorted({n for p in parsed for n, _ in p.nodes})
+    seen = {x: sum(s for p, s in zip(parsed, share) if any(n == x for n, _ in p.nodes)) for x in paths}
+    paths = [x for x in paths if round(seen[x], 6) >= 2]
+    least, importance = {}, {}
+
+    def judge(x):
+        m = np.log(max(seen[x], 2))
+        shapes, texts = {}, {}
+        for p, s in zip(parsed, share):
+            for n, kids in p.nodes:
+                if n == x:
+                    key = ",".join(dict.fromkeys(kids))
+                    shapes[key] = shapes.get(key, 0) + s
+            for text in {t for n, t in p.blocks if n == x}:
+                texts[text] = texts.get(text, 0) + s
+        kids = [y for y in paths if y.rpartition("/")[0] == x]
+        for y in kids:
+            judge(y)
+        below = [importance[y] for y in kids if importance[y] is not None]
+        if texts:
+            below.append(1 - min(max(np.mean([np.log(max(n, 1)) for n in texts.values()]) / m, 0), 1))
+        importance[x] = None
+        least[x] = None
+        if below:
+            total = max(sum(shapes.values()), 1)
+            spread = min(max((np.log(total) - sum(n * np.log(n) for n in shapes.values()) / total) / m, 0), 1)
+            w = html_text.GAMMA ** len(shapes) if kids else 1.0
+            importance[x] = (1 - w) * spread + w * max(below)
+            least[x] = max([importance[x], *(least[y] for y in kids if least[y] is not None)])
+
+    for x in paths:
+        if x.rpartition("/")[0] not in paths:
+            judge(x)
+    low = {x for x in paths if least[x] is not None and least[x] < html_text.LOW and seen[x] >= html_text.PAGES - 1e-6}
+    out = []
+    for p in parsed:
+        kept = inner(p.blocks)
+        left = [(n, t) for n, t in kept if not any("/".join(n.split("/")[: i + 1]) in low for i in range(n.count("/") + 1))]
+        if not any("article" in n.split("/") for n, _ in kept) or 2 * sum(len(t) for _, t in left) >= sum(len(t) for _, t in kept):
+            kept = left
+        out.append("\n\n".join(t for _, t in kept))
+    return out, low
+
+
+def test_style_tree_matches_plain_python(spark, monkeypatch):
+    """Random sites against the definition; without the tree's branches the rows are others."""
+    r = random.Random(31)
+    sites = {f"h{i}.example": site(r) for i in range(40)}
+    rows = [(1000 * i + j, f"https://{host}/{j}", p) for i, (host, pages) in enumerate(sites.items()) for j, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want, branches = {}, 0
+    for i, pages in enumerate(sites.values()):
+        texts, low = brute_main_texts(pages)
+        branches += len(low)
+        want |= {1000 * i + j: t for j, t in enumerate(texts)}
+    got = {x.page_id: x.text for x in html_text.main_text(df).collect()}
+    assert got == want and branches > 20
+    assert {x.page_id: x.text for x in html_text.main_text(df, most_broadcast=0).collect()} == want  # lists joined by host
+    monkeypatch.setattr(html_text, "low_branches", lambda nodes: nodes.select("host", F.array("key").alias("dropped")).limit(0))
+    bare = {x.page_id: x.text for x in html_text.main_text(df).collect()}
+    assert sum(bare[k] != want[k] for k in want) > 30
