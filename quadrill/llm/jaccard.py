@@ -14,8 +14,10 @@ each document the smallest id that it can reach by links.
    within a component that this finds need no comparison any more; all others are compared then, so no
    link between components is lost and the copies in a large group are never paired with each other.
 
-Null and empty texts have empty sets and link with nothing; their component is their own id. Rows with a null id
-get a null component and link nothing. Repeated rows and equal texts share a component.
+Null and empty texts have empty sets and link with nothing; their component is their own id. Texts of any length are hashed whole. Rows with
+a null id get a null component and link nothing. Repeated rows and equal texts share a component, ties have no order to break: a component
+is its smallest id. Rows of one id but other texts are one document with several sets: it links with whatever one of them links with. An
+empty table gives no rows. Other columns are not read, whatever their names; ``one_of_each`` returns all of them (``version_`` is used inside).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrill.llm.common import forget, lean, table, written
@@ -33,6 +35,9 @@ from quadrill.llm.shingles import mix, shingle_sets, signature
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union, so 9 * intersection >= 4 * (size + size).
 BINS = 1 << 18
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Documents up to which a filter of their ids finds their texts again; beyond, the ids are joined.
+MOST_FILTERED = 4_000_000
 
 
 def need(n: np.ndarray | int, m: np.ndarray | int):
@@ -80,7 +85,7 @@ def extra(n):
 
 
 def first_prefixes(source: DataFrame, counts, limit: int, bits: int) -> DataFrame:
-    """(doc_id, n, h1, h2, hot, tokens): set size and signature; of the first order's prefix the number of crowded tokens and the last ``bits`` bits of the others."""
+    """(doc_id, version, n, h1, h2, hot, tokens): set size and signature; of the first order's prefix the number of crowded tokens and the last ``bits`` bits of the others."""
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,31 +101,32 @@ def first_prefixes(source: DataFrame, counts, limit: int, bits: int) -> DataFram
                     hot.append(int((~cool).sum()))
                     prefix.append((own[order[cool]] & mask).view(np.int64))
                     sig.append(signature(own))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(s) for s in sets], "h1": [a for a, _ in sig], "h2": [b for _, b in sig], "hot": hot, "tokens": prefix})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "version": part["version"], "n": [len(s) for s in sets], "h1": [a for a, _ in sig], "h2": [b for _, b in sig], "hot": hot, "tokens": prefix})
 
-    return source.mapInPandas(lean(run), "doc_id long, n long, h1 long, h2 long, hot int, tokens array<long>")
+    return source.mapInPandas(lean(run), "doc_id long, version long, n long, h1 long, h2 long, hot int, tokens array<long>")
 
 
 def shared_counts(sized: DataFrame) -> DataFrame:
     """(h1, shared): how many prefix tokens of each set another set's prefix has.
 
-    Tokens are dealt by hash; none is crowded, so tasks are even, and each sorts what it got as plain numbers.
+    Tokens are dealt by hash and sorted by Spark, which spills; a task reads its sorted rows batch by batch and carries one row along.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [pdf.to_numpy(np.int64) for pdf in batches]
-        if not parts:
-            return
-        both = np.concatenate(parts)
-        parts.clear()
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]]
-        same = both[1:, 0] == both[:-1, 0]
-        found = both[np.r_[False, same] | np.r_[same, False], 1]
-        for i in range(0, len(found), 100_000):
-            yield pd.DataFrame({"h1": found[i : i + 100_000]})
-
-    rows = sized.select(F.explode("tokens").alias("token"), "h1").repartition("token")
+        last, met = np.zeros((0, 2), np.int64), False  # the last distinct row, and whether the one before had its token
+        for pdf in batches:
+            rows = np.concatenate([last, pdf.to_numpy(np.int64)])
+            if not len(rows):
+                continue
+            rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)]]
+            same = rows[1:, 0] == rows[:-1, 0]
+            before = np.r_[met, same]
+            yield pd.DataFrame({"h1": rows[:-1, 1][before[:-1] | same]})
+            last, met = rows[-1:], bool(before[-1])
+        if met:
+            yield pd.DataFrame({"h1": last[:, 1]})
+
+    rows = sized.select(F.explode("tokens").alias("token"), "h1").repartition("token").sortWithinPartitions("token", "h1")
     return rows.mapInPandas(lean(run), "h1 long").groupBy("h1").agg(F.count("*").alias("shared"))
 
 
@@ -132,8 +138,8 @@ def bit_places(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def id_filter(ids: DataFrame, n: int) -> np.ndarray:
-    """A Bloom filter of the ids, at most 2^28 bits: those it lets through in vain only cost time."""
-    bits = 1 << min(28, max(16, int(12 * max(n, 1)).bit_length()))
+    """A Bloom filter of at most ``MOST_FILTERED`` ids (2^26 bits): those it lets through in vain only cost time."""
+    bits = 1 << min(26, max(16, int(12 * max(n, 1)).bit_length()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,14 +153,16 @@ def id_filter(ids: DataFrame, n: int) -> np.ndarray:
 
 
 def tokens_of(source: DataFrame, ids, counts, limit: int) -> DataFrame:
-    """(doc_id, n, cool, hot, load) of the documents that the filter lets through: all their tokens."""
+    """(doc_id, n, cool, hot, load) of the documents that the filter (None: any) lets through: all their tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bins = ids.value, counts.value
+        bins = counts.value
         for pdf in batches:
             pdf = pdf[pdf["doc_id"].notna()]
-            at = bit_places(pdf["doc_id"].to_numpy(np.int64), len(known) << 5)
-            pdf = pdf[((known[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)]
+            if ids is not None:
+                known = ids.value
+                at = bit_places(pdf["doc_id"].to_numpy(np.int64), len(known) << 5)
+                pdf = pdf[((known[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)]
             for part, sets in pieces(pdf):
                 cool, hot, loads = [], [], []
                 for own in sets:
@@ -197,26 +205,36 @@ NEAR = "common IS NULL OR common_b IS NULL OR ceil(4 * (n + n_b) / 9.0) <= least
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, linked) of pairs that share prefix tokens under the other orders too: their intersection, and whether it suffices."""
-    cols = ["n", "tokens", "second", "third"]
-    left = sets.select(F.col("doc_id").alias("a"), *(F.col(c).alias(c + "_a") for c in cols))
-    right = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(c + "_b") for c in cols))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    """(a, b, common, linked) of pairs that share prefix tokens under the other orders too: their intersection, and whether it suffices.
+
+    Prefixes are short and decide first; whole sets travel only to the pairs that remain.
+    """
+
+    def beside(df: DataFrame, cols: list[str]) -> DataFrame:
+        for side in "ab":
+            df = df.join(sets.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols)), side)
+        return df
+
+    some = beside(pairs, ["second", "third"]).where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    both = beside(some, ["n", "tokens"])
     both = both.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common"), (F.col("n_a") + F.col("n_b")).alias("sizes"))
     return both.select("a", "b", "common", (9 * F.col("common") >= 4 * F.col("sizes")).alias("linked"))
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    return versions(docs, id_col, text_col).drop("version")
+
+
+def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``joined`` with ``version``, a hash of the text."""
     spark = docs.sparkSession
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 1000)))  # whole texts go to Python: small batches keep its memory low
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), 1000)))  # whole texts go to Python: small batches keep its memory low
     try:
-        return _joined(spark, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+        return _joined(spark, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version")))
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH, before)
 
 
 def _joined(spark: SparkSession, source: DataFrame) -> DataFrame:
@@ -232,14 +250,20 @@ def _joined(spark: SparkSession, source: DataFrame) -> DataFrame:
     shared = shared_counts(sized)
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 10))
     active = classes.join(shared, "h1", "left").where(F.coalesce("shared", F.lit(0)) + F.col("hot") >= least).select(F.col("rep").alias("doc_id"))
+    small = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, "20000")  # pairs of numbers
     active = written(active, "active")
-    slim = written(every.select("doc_id", "n", "h1", "h2"), "sizes")
+    spark.conf.set(BATCH, small)
+    slim = written(every.select("doc_id", "version", "n", "h1", "h2"), "sizes")
     forget(every)
-    known = spark.sparkContext.broadcast(id_filter(active, active.count()))
-
-    nodes = written(tokens_of(source, known, counts, limit), "nodes")
-    cool = nodes.select("doc_id", F.explode("cool").alias("token")).groupBy("token").agg(F.collect_list("doc_id").alias("docs")).where("size(docs) > 1")
-    shared = cool.select("token", F.size("docs").cast("long").alias("df"), F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    n = active.count()
+    known = spark.sparkContext.broadcast(id_filter(active, n)) if n <= MOST_FILTERED else None
+    texts = source.select("doc_id", "text")
+    nodes = written(tokens_of(texts if known is not None else texts.join(active, "doc_id", "left_semi"), known, counts, limit), "nodes")
+    # how many documents have a token, beside each of its rows: one sort, which spills, and no list of documents
+    df = F.count("*").over(Window.partitionBy("token")).alias("df")
+    cool = nodes.select("doc_id", F.explode("cool").alias("token")).select("doc_id", "token", df).where("df > 1")
+    shared = cool.groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     sets = written(ordered(nodes.select("doc_id", "n", "hot", "load").join(shared, "doc_id", "left")), "sets")
     forget(nodes, active)
 
@@ -279,17 +303,27 @@ def _joined(spark: SparkSession, source: DataFrame) -> DataFrame:
     ends = written(ends.where("copies > 1 OR root <> rep").select("h1", "h2", "n", "root"), "ends")
     out = slim.join(ends, ["h1", "h2", "n"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "version", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, most_broadcast: int = 4_000_000) -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows without an id stay.
+def one_of_each(docs: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
+    """One document of each component: the one with the smallest id, once. Rows without an id, and rows without a word, stay.
 
-    The ids to drop are broadcast up to ``most_broadcast`` of 8 bytes, else joined.
+    Rows are told apart by id and text, so other texts of an id stay where only one is a copy. Keys of rows to drop are broadcast up
+    to ``most_broadcast`` of 16 bytes, else joined.
     """
-    found = joined(docs)
-    drop = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
-    return docs.join(F.broadcast(drop) if drop.count() <= most_broadcast else drop, "doc_id", "left_anti")
+    found = written(versions(docs).where("doc_id IS NOT NULL AND n_shingles > 0"), "found")
+    key = ["doc_id", "version"]
+    drop = written(found.where("doc_id <> component_id").select(*key).distinct(), "drop")
+    key = ["doc_id", "version_"]
+    drop, found = (df.withColumnRenamed("version", "version_") for df in (drop, found))
+    kept = docs.withColumn("version_", F.xxhash64("text")).join(F.broadcast(drop) if drop.count() <= most_broadcast else drop, key, "left_anti")
+    twice = written(found.where("doc_id = component_id").groupBy(*key).agg(F.count("*").alias("n_")).where("n_ > 1").select(*key), "twice")
+    if n := twice.count():
+        # only rows that stand several times are brought together
+        side = F.broadcast(twice) if n <= most_broadcast else twice
+        kept = kept.join(side, key, "left_anti").unionByName(kept.join(side, key, "left_semi").dropDuplicates(key))
+    return kept.drop("version_")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

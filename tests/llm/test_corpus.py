@@ -191,7 +191,42 @@ def test_jaccard_odd_rows(spark):
     by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
     assert len(got) == len(rows) and by[1, 0] == 1 and by[2, 0] == 2 and by[4, 1] == 3 and by[5, 3] == 5 and by[None, 3] is None and by[7, 1] == 7
     assert jaccard.joined(docs(spark, [])).count() == 0
-    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(docs(spark, rows)).collect()) == [0, 1, 2, 3, 5, 5, 6, 7]
+    kept = jaccard.one_of_each(docs(spark, rows).withColumn("version", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "version"] and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7]
+
+
+def test_one_of_each_tells_texts_of_an_id_apart(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (2, text), (2, other), (2, other), (3, None), (3, None), (4, text + " more")]
+    assert sorted((r.doc_id, (r.text or "")[:2]) for r in jaccard.one_of_each(docs(spark, rows)).collect()) == [(1, "w0"), (2, "v0"), (3, ""), (3, "")]
+
+
+def test_jaccard_joins_many_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_FILTERED", 3)
+    rows = near_copies(9, groups=6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_shared_counts_across_batches(spark):
+    r = random.Random(3)
+    sets = [(i % 50, sorted(r.sample(range(200), 12))) for i in range(300)]
+    df = spark.createDataFrame([(h, t) for h, t in sets], "h1 long, tokens array<long>")
+    owners = defaultdict(set)
+    for h, tokens in sets:
+        for t in tokens:
+            owners[t].add(h)
+    want = defaultdict(int)
+    for own in owners.values():
+        for h in own if len(own) > 1 else ():
+            want[h] += 1
+    before = spark.conf.get(jaccard.BATCH)
+    try:
+        for size in ("1", "7", "5000"):
+            spark.conf.set(jaccard.BATCH, size)
+            assert {x.h1: x.shared for x in jaccard.shared_counts(df).collect()} == want
+    finally:
+        spark.conf.set(jaccard.BATCH, before)
 
 
 def test_components(spark):
