@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 ``run`` writes each stage's result as Parquet into the shared folder and reads it again as the next one's input.
+
+Rows with odd values: a null text, or one without a letter, has no language and leaves in the first stage, which also
+replaces a null language. Documents whose id is null stay in all stages, for nothing tells them apart (near copies and leaks are
+found by id); they are redacted and mixed like all others. Of equal rows one stays; rows of one id but other texts are judged apart.
+Ties go to the smaller id, and to the language first in sorted order. Texts of any length are read whole. Null sources are a source of
+their own. An empty table, of documents or of the benchmark, gives an empty result or drops nothing. Further columns of the documents,
+whatever their names, are left out, so they can't clash with those that operators add.
 """
 
 from __future__ import annotations
