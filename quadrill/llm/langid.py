@@ -32,13 +32,17 @@ from quadrill.llm.common import held_out, lean, table, uniform
 #: Bytes of a window, and of the context at its ends whose labels don't count; short texts are read in windows of the second length.
 WINDOW, MARGIN, SHORT = 144, 16, 32
 #: Windows that the network reads at once.
-TOGETHER = 2048
+TOGETHER = 1024
 #: Pieces of a text to learn from, and bytes of a piece.
 PIECES, PIECE = 8, 64
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -64,15 +68,23 @@ class Network:
         gates, re, h = self.weights["in_" + d], self.weights["re_" + d], self.hidden
         state = np.zeros((len(x), h), gates.dtype)
         out = np.empty((x.shape[1], len(x), h), gates.dtype)
-        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
-            g, u = gates[x[:, t]], state @ re
-            zr = sigmoid(g[:, : 2 * h] + u[:, : 2 * h])
+        # parts apart, so that all that is written is contiguous
+        gate_in, new_in, gate_re, new_re = (np.ascontiguousarray(m[:, part]) for m in (gates, re) for part in (slice(0, 2 * h), slice(2 * h, None)))
+        x = np.ascontiguousarray(x.T)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            zr = gate_in[x[t]]
+            zr += state @ gate_re
+            sigmoid(zr)
             z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(g[:, 2 * h :] + r * u[:, 2 * h :])
+            u = state @ new_re
+            n = r * u
+            n += new_in[x[t]]
+            np.tanh(n, out=n)
             if kept is not None:
-                kept.append((t, state, z, r, n, u[:, 2 * h :]))
-            state = n + z * (state - n)
-            out[t] = state
+                kept.append((t, state, z, r, n, u))
+            state = np.subtract(state, n, out=out[t])
+            state *= z
+            state += n
         return out
 
     def label(self, x: np.ndarray) -> np.ndarray:
