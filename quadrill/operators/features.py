@@ -122,7 +122,7 @@ def rescue_features(df: DataFrame, num_rels: int) -> DataFrame:
     """104 columns: eight of each of nine score families, and 32 of their combinations and counters."""
     names = ["structure_raw", "time", "dsh", "dmh", "direct", "shared", "b", "base", "time_structure_base"]
     eight = ["structure_raw", "time", "dsh", "dmh", "direct", "shared", "b", "base"]
-    df = _ranked(df.withColumn("time_structure_base", hybrid_base("structure_raw", "time")), names).withColumn("mean_", R.row_mean(eight))
+    df = _ranked(df.withColumn("time_structure_base", F.round(hybrid_base("structure_raw", "time"), 9)), names).withColumn("mean_", R.row_mean(eight))
     out: dict[str, Column] = {}
     for c in names:
         rank = F.col(f"{c}_rank")

@@ -3,7 +3,10 @@
 The state is a table (node, key, rel, score, tag, tag_score): in the tag modes ``rel`` is -1 and ``tag`` is the relation by
 which the key was reached (-1: the node itself); in ``per_rel`` mode mass is kept by relation and tags are unused.
 All sources of a snapshot read the state before it; only their rows are replaced. Each snapshot is one plan of
-joins and aggregates; the new state is written to the shared folder, so lineage stays short and lost executors lose nothing.
+joins and aggregates. The state lies in the shared folder in buckets of nodes: a snapshot rewrites the buckets of its own sources
+and new nodes, and buckets that two later snapshots have replaced are deleted, so disk holds two states at most and lost executors
+lose nothing. Masses that differ by less than 1e-12 count as equal where one must be chosen, so the order in which sums
+are formed decides nothing: ties go to the older contribution, then to the smaller id.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SELF = -1
 STATE = "node long, key long, rel int, score double, tag int, tag_score double"
+STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -36,10 +40,18 @@ class PprConfig:
             raise ValueError("alpha and beta lie in [0, 1]; counts are positive")
 
 
+#: Nodes that a bucket of the state holds on average, and the most buckets.
+BUCKET_NODES, MOST_BUCKETS = 100_000, 1024
+#: Decimals to which masses are compared.
+PLACES = 12
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only where the session names none and all is one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quadrill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -52,10 +64,47 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
 
 
+def bucket_of(node: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+
+
+class StateTable:
+    """The state in buckets of nodes; ``paths`` names the folder that holds each bucket now."""
+
+    def __init__(self, spark: SparkSession, buckets: int = 1, paths: dict[int, str] | None = None, root: str | None = None):
+        self.spark, self.buckets, self.paths = spark, max(1, min(buckets, MOST_BUCKETS)), dict(paths or {})
+        self.root = root or f"{shared_folder(spark)}/quadrill-state-{uuid.uuid4().hex}"
+        self.replaced: list[list[str]] = []
+
+    def read(self, buckets: set[int] | None = None) -> DataFrame:
+        """The rows of the buckets; a new table each time, for a path's listing is kept by Spark."""
+        paths = [p for b, p in sorted(self.paths.items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else empty(self.spark)
+
+    def replace(self, rows: DataFrame, touched: set[int], name: str) -> None:
+        """Write the buckets ``touched`` anew from ``rows`` and forget what stood in them two steps ago."""
+        path = f"{self.root}/{name}"
+        if self.buckets == 1:
+            rows.select(*STATE_COLUMNS).write.mode("overwrite").parquet(f"{path}/bucket=0")
+        else:
+            rows.select(*STATE_COLUMNS, bucket_of("node", self.buckets).alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        old = [self.paths[b] for b in touched if b in self.paths]
+        self.paths |= {b: f"{path}/bucket={b}" for b in touched}
+        self.replaced.append(old)
+        if len(self.replaced) > 2:
+            for p in self.replaced.pop(0):
+                remove(self.spark, p)
+
+
 @dataclass(frozen=True)
 class Schedule:
     """All that the updates need besides the state, computed for all snapshots at once.
@@ -87,10 +136,9 @@ class Schedule:
         return Schedule(*(df.where(F.col("t") == t).drop("t") for df in (self.edges, self.sources, self.born)))
 
 
-def step(state: DataFrame, now: Schedule, cfg: PprConfig, transitions: DataFrame | None = None) -> DataFrame:
-    """The state after one snapshot. ``transitions`` (r_i, r_j, val) weighs a target's keys by their tags."""
+def changed(before: DataFrame, now: Schedule, cfg: PprConfig, transitions: DataFrame | None = None) -> DataFrame:
+    """The new rows of a snapshot's sources. ``transitions`` (r_i, r_j, val) weighs a target's keys by their tags."""
     src = now.sources
-    before = state.unionByName(now.born)  # nodes met for the first time hold themselves
     old = before.join(src.withColumnRenamed("s", "node"), "node").where("s1 > 0")
     seen = now.edges.join(before.withColumnRenamed("node", "o"), "o")
     label = "rel" if cfg.mode == "per_rel" else "tag"
@@ -102,8 +150,25 @@ def step(state: DataFrame, now: Schedule, cfg: PprConfig, transitions: DataFrame
     if cfg.mode == "per_rel":
         seen = seen.groupBy("s", "r", "o", "eid", "part", "key").agg(F.sum("c").alias("c"))
     seen = seen.where("c > 0").withColumn("gain", F.col("part") * F.col("c") / F.sum("c").over(Window.partitionBy("eid")))
-    new = _merge_per_rel(old, seen, src, cfg) if cfg.mode == "per_rel" else _merge_tags(old, seen, src, cfg)
-    return stored(before.join(src.select(F.col("s").alias("node")), "node", "left_anti").unionByName(new))
+    return _merge_per_rel(old, seen, src, cfg) if cfg.mode == "per_rel" else _merge_tags(old, seen, src, cfg)
+
+
+def step(state: DataFrame, now: Schedule, cfg: PprConfig, transitions: DataFrame | None = None) -> DataFrame:
+    """The whole state after one snapshot."""
+    before = state.unionByName(now.born)  # nodes met for the first time hold themselves
+    new = changed(before, now, cfg, transitions)
+    return stored(before.join(now.sources.select(F.col("s").alias("node")), "node", "left_anti").unionByName(new))
+
+
+def advance(table: StateTable, now: Schedule, cfg: PprConfig, transitions: DataFrame | None, name: str) -> None:
+    """One snapshot in place: only the buckets of its sources and new nodes are written."""
+    n = table.buckets
+    ends = now.sources.select(F.col("s").alias("node")).unionByName(now.born.select("node"))
+    # at most one number a bucket
+    touched = {r[0] for r in ends.select(bucket_of("node", n).alias("b")).distinct().collect()} if n > 1 else {0}
+    before = table.read().unionByName(now.born)
+    own = table.read(touched).unionByName(now.born).join(now.sources.select(F.col("s").alias("node")), "node", "left_anti")
+    table.replace(own.unionByName(changed(before, now, cfg, transitions)), touched, name)
 
 
 def _merge_tags(old: DataFrame, seen: DataFrame, src: DataFrame, cfg: PprConfig) -> DataFrame:
@@ -116,14 +181,14 @@ def _merge_tags(old: DataFrame, seen: DataFrame, src: DataFrame, cfg: PprConfig)
         came = came.withColumn("strength", F.when(mine, F.lit(-1.0)).otherwise(F.col("strength")))
     back = src.select("s", F.col("s").alias("key"), F.lit(cfg.alpha).alias("back"))
     mass = F.sum("mass") if cfg.mode == "tag_sum" else F.max("mass")
-    best = F.max_by(F.struct("tag", "strength"), F.struct("strength", (-F.col("place")).alias("first")))
+    best = F.max_by(F.struct("tag", "strength"), F.struct(F.round("strength", PLACES).alias("strong"), (-F.col("place")).alias("first")))
     merged = kept.unionByName(came).groupBy("s", "key").agg(mass.alias("mass"), best.alias("best"))
     merged = merged.join(back, ["s", "key"], "full_outer")
     score = F.coalesce("mass", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))
     own = F.col("back").isNotNull()
     merged = merged.select("s", "key", score.alias("score"), F.when(own, SELF).otherwise(F.col("best.tag")).alias("tag"), (F.greatest(F.coalesce("best.strength", F.lit(0.0)), F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("tag_score"))
     w = Window.partitionBy("s")
-    ranked = merged.withColumns({"rank_": F.row_number().over(w.orderBy(F.desc("score"), "key")), "n_": F.count("*").over(w)}).where(F.col("rank_") <= cfg.top_keys)
+    ranked = merged.withColumns({"rank_": F.row_number().over(w.orderBy(F.round("score", PLACES).desc(), "key")), "n_": F.count("*").over(w)}).where(F.col("rank_") <= cfg.top_keys)
     # scaled to 1 only where keys were cut off
     scale = F.when(F.col("n_") > cfg.top_keys, F.sum("score").over(w)).otherwise(F.lit(1.0))
     ranked = ranked.withColumn("scale_", scale)
@@ -137,10 +202,10 @@ def _merge_per_rel(old: DataFrame, seen: DataFrame, src: DataFrame, cfg: PprConf
     back = src.select("s", F.col("s").alias("key"), F.lit(SELF).alias("rel"), F.lit(cfg.alpha).alias("mass"))
     merged = kept.unionByName(came).unionByName(back).groupBy("s", "key", "rel").agg(F.sum("mass").alias("mass"))
     by_key = Window.partitionBy("s", "key")
-    few = merged.withColumn("rn_", F.row_number().over(by_key.orderBy(F.desc("mass"), "rel"))).where(F.col("rn_") <= cfg.top_relations)
+    few = merged.withColumn("rn_", F.row_number().over(by_key.orderBy(F.round("mass", PLACES).desc(), "rel"))).where(F.col("rn_") <= cfg.top_relations)
     keys = few.groupBy("s", "key").agg(F.sum("mass").alias("total"))
     w = Window.partitionBy("s")
-    keys = keys.withColumn("rank_", F.row_number().over(w.orderBy(F.desc("total"), "key"))).where(F.col("rank_") <= cfg.top_keys).withColumn("all_", F.sum("total").over(w))
+    keys = keys.withColumn("rank_", F.row_number().over(w.orderBy(F.round("total", PLACES).desc(), "key"))).where(F.col("rank_") <= cfg.top_keys).withColumn("all_", F.sum("total").over(w))
     out = few.join(keys.select("s", "key", "all_"), ["s", "key"])
     return out.select(F.col("s").alias("node"), "key", "rel", (F.col("mass") / F.col("all_")).alias("score"), F.lit(SELF).alias("tag"), F.lit(0.0).alias("tag_score"))
 
@@ -168,7 +233,7 @@ def shared_scores(cands: DataFrame, state: DataFrame, similarity: DataFrame | No
     """
     keys = state
     if top_share > 0:
-        keys = state.withColumn("rn_", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "key"))).where(F.col("rn_") <= top_share)
+        keys = state.withColumn("rn_", F.row_number().over(Window.partitionBy("node").orderBy(F.round("score", PLACES).desc(), "key"))).where(F.col("rn_") <= top_share)
     pairs = cands.where(F.col(gate)) if gate else cands
     pairs = pairs.select("s", "r", "cand").distinct()
     left = keys.select(F.col("node").alias("s"), "key", F.col("score").alias("a"), F.col("tag").alias("tag_a"))
@@ -193,16 +258,17 @@ def shared_scores(cands: DataFrame, state: DataFrame, similarity: DataFrame | No
     return out.withColumn("shared", F.when(F.col(gate), F.col("shared")).otherwise(F.lit(0.0))) if gate else out
 
 
-def prequential(quads: DataFrame, cfg: PprConfig, transitions: DataFrame | None = None) -> Iterator[tuple[int, DataFrame]]:
-    """(t, state before t) for every snapshot in time order, then (-1, the last state): score first, then fold.
+def prequential(quads: DataFrame, cfg: PprConfig, transitions: DataFrame | None = None, ask: set[int] | None = None) -> Iterator[tuple[int, DataFrame]]:
+    """(t, state before t) for every snapshot in time order (of those in ``ask``, if given), then (-1, the last state): score first, then fold.
 
-    ``transitions`` is (t, r_i, r_j, val). The distinct times, one number a snapshot, are all that reaches the driver.
+    ``transitions`` is (t, r_i, r_j, val). The distinct times, one number a snapshot, are all that reaches the driver. A state
+    given out can be read until two more snapshots are folded.
     """
     spark = quads.sparkSession
     plan = Schedule.of(quads, cfg)
-    state = empty(spark)
+    table = StateTable(spark, -(-plan.born.count() // BUCKET_NODES))
     for t in sorted(r[0] for r in plan.sources.select("t").distinct().collect()):
-        yield t, state
-        m = transitions.where(F.col("t") == t) if transitions is not None else None
-        state = step(state, plan.at(t), cfg, m)
-    yield -1, state
+        if ask is None or t in ask:
+            yield t, table.read()
+        advance(table, plan.at(t), cfg, transitions.where(F.col("t") == t) if transitions is not None else None, f"t={t}")
+    yield -1, table.read()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrill.operators import features as X
 from quadrill.operators import history as H
 from quadrill.operators import ranking as R
+from quadrill.plans import multihop
 from quadrill.plans import temporal as T
 from quadrill.plans.catalog import query
 
@@ -30,21 +31,14 @@ def two_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with all components that rescue features read; multi-hop components stand in as zero and time scores."""
-    g, _ = T.test_candidates(spark, sf_dir)
-    df = two_scores(spark, sf_dir)
-    df = H.timeline_scores(df, g.quads, num_nodes=g.num_nodes)
-    df = H.causal_features(df, g.quads)
-    df = df.withColumns({"dsh": F.col("struct"), "b": F.round("b_score", PLACES), "dmh": F.round(F.col("time") / 2, PLACES), "shared": F.lit(0.0)})
-    df = df.withColumn("direct", F.round(0.7 * F.col("dsh") + 0.3 * F.col("dmh"), PLACES))
-    return df.withColumn("structure_raw", F.col("direct")).withColumn("base", F.round(X.structure_base(), PLACES))
+    """Candidates with the components of the structure model, the recency score ``time``, and their counters."""
+    g = T.event_graph(spark, sf_dir)
+    df = H.recency_scores(multihop.components(spark, sf_dir), g.quads).withColumnRenamed("score", "time").withColumn("time", F.round("time", PLACES))
+    return H.causal_features(df, g.quads)
 
 
-COMPONENTS = f"""n_nodes AS (SELECT max(greatest(s, o)) + 1 AS n FROM quads),
-counted AS (SELECT c.*, {T.CAUSAL} FROM both_scores c),
-parts AS (SELECT *, struct AS dsh, rel_tail_count AS b_count, round((rel_tail_count + 1.0) / (rel_count + 1.0 * n), {PLACES}) AS b, round(time / 2, {PLACES}) AS dmh, 0.0::DOUBLE AS shared FROM counted, n_nodes),
-directs AS (SELECT *, round(0.7 * dsh + 0.3 * dmh, {PLACES}) AS direct, round(0.7 * dsh + 0.3 * dmh, {PLACES}) AS structure_raw FROM parts),
-comps AS (SELECT *, round(({" + ".join(f"CASE WHEN max({c}) OVER {W} > 0 THEN {c} / max({c}) OVER {W} ELSE 0 END" for c in ("dsh", "dmh", "shared", "b"))}) / 4.0, {PLACES}) AS base FROM directs)"""
+#: ``rows``: the components with recency and counters.
+ROWS = [*multihop.COMPONENTS, T.RECENCY, f"rows AS MATERIALIZED (SELECT c.*, round(e.score, {PLACES}) AS time, {T.CAUSAL} FROM comps c JOIN recency e ON e.qid = c.qid AND e.cand_idx = c.cand_idx)"]
 
 
 def _rank(c: str) -> str:
@@ -208,7 +202,7 @@ def _structure_select() -> str:
     return "SELECT qid, cand_idx, cand, " + ", ".join(f"round(CAST({e} AS DOUBLE), 5) + 0.0 AS {n}" for n, e in out.items()) + " FROM ranked_comps"
 
 
-@query("features_structure", sql(COMPONENTS, f"ranked_comps AS (SELECT *, {', '.join(f'{_rank(c)} AS {c}_rank' for c in X.COMPONENTS)} FROM comps)", select=_structure_select()))
+@query("features_structure", T.sql(*ROWS, f"ranked_comps AS (SELECT *, {', '.join(f'{_rank(c)} AS {c}_rank' for c in X.COMPONENTS)} FROM rows)", select=_structure_select()))
 def features_structure(spark, sf_dir):
     return R.rounded(X.structure_features(components(spark, sf_dir), 5), 5)
 
@@ -230,6 +224,6 @@ def _rescue_select() -> str:
     return "SELECT qid, cand_idx, cand, " + ", ".join(f"round(CAST({e} AS DOUBLE), 5) + 0.0 AS {n}" for n, e in out.items()) + " FROM ranked_comps"
 
 
-@query("features_rescue", sql(COMPONENTS, f"tsb AS (SELECT *, 0.5 * ({_minmax('structure_raw')} + {_minmax('time')}) AS time_structure_base FROM comps)", f"ranked_comps AS (SELECT *, {', '.join(f'{_rank(c)} AS {c}_rank' for c in NINE)} FROM tsb)", select=_rescue_select()))
+@query("features_rescue", T.sql(*ROWS, f"tsb AS (SELECT *, round(0.5 * ({_minmax('structure_raw')} + {_minmax('time')}), {PLACES}) AS time_structure_base FROM rows)", f"ranked_comps AS (SELECT *, {', '.join(f'{_rank(c)} AS {c}_rank' for c in NINE)} FROM tsb)", select=_rescue_select()))
 def features_rescue(spark, sf_dir):
     return R.rounded(X.rescue_features(components(spark, sf_dir), 5), 5)
