@@ -25,19 +25,44 @@ def decayed_state(quads: DataFrame, decay: float, until: int | None = None) -> D
     return per.select("s", "r", "o", (F.col("w") / F.sum("w").over(w)).alias("weight"))
 
 
+def decayed_prefix(asked: DataFrame, quads: DataFrame, keys: list[str], decay: float) -> DataFrame:
+    """(keys, t, value, power): for each key and time asked for, the decayed frequency before it is value * 2^power; value is 0 without any.
+
+    Times are cut into epochs of some 400 halvings and sums are kept relative to their epoch's end, so nothing overflows; what
+    lies two epochs back or more counts less than 2^-400. Sums run over a key's snapshots once, whatever the number of times asked for.
+    """
+    span = max(1, int(400 / decay)) if decay > 0 else 1 << 40
+    epoch = F.floor(F.col("t") / span).alias("epoch")
+    weight = F.pow(F.lit(2.0), F.lit(float(decay)) * (F.col("t") - (F.floor(F.col("t") / span) + 1) * span)) if decay > 0 else F.lit(1.0)
+    n = quads.groupBy(*keys, "t").agg(F.count("*").alias("n")).select(*keys, "t", epoch, (F.col("n") * weight).alias("w"), F.lit(0).alias("ask"))
+    both = n.unionByName(asked.select(*keys, "t").distinct().select(*keys, "t", epoch, F.lit(0.0).alias("w"), F.lit(1).alias("ask")))
+    now = F.sum("w").over(Window.partitionBy(*keys, "epoch").orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
+    rows = both.withColumn("now", F.coalesce(now, F.lit(0.0))).where("ask = 1").select(*keys, "t", "epoch", "now")
+    # by epoch: the last two before it that hold anything
+    w = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    by_epoch = Window.partitionBy(*keys).orderBy("epoch")
+    adjacent = F.when(F.lag("epoch").over(by_epoch) == F.col("epoch") - 1, F.lag("total").over(by_epoch))
+    fade = F.lit(2.0 ** (-decay * span) if decay > 0 else 1.0)
+    total = both.groupBy(*keys, "epoch").agg(F.sum("w").alias("total")).withColumn("prior", F.coalesce(adjacent, F.lit(0.0)) * fade)
+    held = F.when(F.col("total") > 0, F.struct("epoch", (F.col("total") + F.col("prior")).alias("all")))
+    total = total.withColumn("last", F.last(held, ignorenulls=True).over(w)).select(*keys, "epoch", "last", "prior")
+    rows = rows.join(total, [*keys, "epoch"], "left")
+    last = F.col("last")
+    value = F.when(F.col("now") > 0, F.col("now") + F.col("prior")).otherwise(F.coalesce(last["all"], F.lit(0.0)))
+    at = F.when(F.col("now") > 0, F.col("epoch")).otherwise(F.coalesce(last["epoch"], F.col("epoch")))
+    return rows.select(*keys, "t", value.alias("value"), (F.lit(float(decay)) * (at + 1) * span).alias("power"))
+
+
 def decayed_scores(cands: DataFrame, quads: DataFrame, decay: float) -> DataFrame:
     """Candidates with ``score``: the decayed share of the candidate before the query's time, 0 if unseen.
 
-    Each (s, r, t) asked for is joined to its past once, whatever the number of candidates.
+    Both sums of the share are running sums over snapshots, of (s, r, o) and of (s, r): no time meets all earlier ones.
     """
-    n = quads.groupBy("s", "r", "o", "t").agg(F.count("*").alias("n")).withColumnRenamed("t", "past")
-    asked = cands.select("s", "r", "t").distinct()
-    past = asked.join(n, ["s", "r"]).where("past < t")
-    w = Window.partitionBy("s", "r", "t")
-    past = past.withColumn("w", F.col("n") * F.pow(F.lit(2.0), F.lit(float(decay)) * (F.col("past") - F.max("past").over(w))))
-    per = past.groupBy("s", "r", "t", "o").agg(F.sum("w").alias("w"))
-    per = per.select("s", "r", "t", F.col("o").alias("cand"), (F.col("w") / F.sum("w").over(w)).alias("score_"))
-    return cands.join(per, ["s", "r", "t", "cand"], "left").withColumn("score", F.coalesce("score_", F.lit(0.0))).drop("score_")
+    own = decayed_prefix(cands.withColumn("o", F.col("cand")), quads, ["s", "r", "o"], decay).withColumnsRenamed({"o": "cand", "value": "value_", "power": "power_"})
+    every = decayed_prefix(cands, quads, ["s", "r"], decay)
+    out = cands.join(own, ["s", "r", "cand", "t"], "left").join(every, ["s", "r", "t"], "left")
+    share = F.col("value_") / F.col("value") * F.pow(F.lit(2.0), F.col("power_") - F.col("power"))
+    return out.withColumn("score", F.when(F.col("value_") > 0, share).otherwise(0.0)).select(*cands.columns, "score")
 
 
 def running(quads: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,14 +113,16 @@ def relation_history(quads: DataFrame) -> DataFrame:
 def recent_events(asked: DataFrame, quads: DataFrame, k: int) -> DataFrame:
     """(node, t, place, event_t, r, neighbor, delta): the last k events of a node before t, newest first.
 
-    A node's events are those where it is the source. Only the k latest of each (node, snapshot) can be among
-    the last k, so a snapshot of a hub adds k rows at most to the join.
+    A node's events are those where it is the source. They are numbered in time order (a running sum over its snapshots,
+    and a place within each), so a time asked for joins its k numbers and no others, however many events a hub has.
     """
-    per = Window.partitionBy("s", "t").orderBy(F.desc("eid"))
-    few = quads.withColumn("rn", F.row_number().over(per)).where(F.col("rn") <= k).select(F.col("s").alias("node"), F.col("t").alias("event_t"), "eid", "r", F.col("o").alias("neighbor"))
-    past = asked.select("node", "t").distinct().join(few, "node").where("event_t < t")
-    place = F.row_number().over(Window.partitionBy("node", "t").orderBy(F.desc("event_t"), F.desc("eid")))
-    return past.withColumn("place", place).where(F.col("place") <= k).select("node", "t", "place", "event_t", "r", "neighbor", F.greatest(F.lit(0), F.col("t") - F.col("event_t")).cast("long").alias("delta"))
+    place = F.row_number().over(Window.partitionBy("s", "t").orderBy("eid"))
+    numbered = quads.withColumn("in_", place).join(running(quads, ["s"]).select("s", "t", "before"), ["s", "t"])
+    numbered = numbered.select(F.col("s").alias("node"), (F.col("before") + F.col("in_")).alias("nth"), F.col("t").alias("event_t"), "r", F.col("o").alias("neighbor"))
+    counts = prefix_counts(asked.select(F.col("node").alias("s"), "t"), quads, ["s"], "n_").where("n_ > 0")
+    wanted = counts.select(F.col("s").alias("node"), "t", "n_", F.explode(F.sequence(F.lit(1), F.least(F.col("n_"), F.lit(k)).cast("int"))).alias("place"))
+    wanted = wanted.select("node", "t", "place", (F.col("n_") - F.col("place") + 1).alias("nth"))
+    return wanted.join(numbered, ["node", "nth"]).select("node", "t", "place", "event_t", "r", "neighbor", F.greatest(F.lit(0), F.col("t") - F.col("event_t")).cast("long").alias("delta"))
 
 
 def multi_window(recent: DataFrame, windows: list[int]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Candidate generation: positives, sampled and full negatives, and the long candidate table.
 
-Sampling never pairs queries with all targets. A query walks the target range in a pseudo-random order of its own
-(an affine permutation whose start and stride come from md5) and takes the first targets that are allowed; as many
-steps are taken as could be excluded, so the count is exact.
+Sampling never pairs queries with all targets, but where all are asked for (``full``, or lists as long as all targets). A query walks
+the target range in a pseudo-random order of its own (an affine permutation whose start and stride come from md5) and takes the
+first targets that are allowed. It takes a few times as many steps as it needs targets; only queries that are short after these walk
+on, as far as targets can be excluded, so counts are exact and a busy relation doesn't lengthen all walks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrill.graph import TemporalGraph
+from quadrill.operators.ppr import stored
 
 #: Primes below 2^31, coprime to every smaller range.
 STRIDES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
@@ -50,19 +52,24 @@ def tiered(g: TemporalGraph, queries: DataFrame, q: int, seed: int = 42, repeat:
     First come targets that are no positive of (t, r), then positives of (t, r) that are none of (t, s, r); where
     even both are fewer than q, the list starts again (``repeat``).
     """
-    keys = queries.select("t", "s", "r").distinct()
+    by = ["t", "s", "r"]
+    keys = queries.select(*by).distinct()
     at_r = g.quads.select("t", "r", F.col("o").alias("cand")).distinct()
-    at_sr = g.quads.select("t", "s", "r", F.col("o").alias("cand")).distinct()
-    counts = at_r.groupBy("t", "r").agg(F.count("*").alias("n_pos"))
-    keys = keys.join(counts, ["t", "r"], "left")
-    steps = walk(keys, ["t", "s", "r"], F.lit(q) + F.coalesce("n_pos", F.lit(0)), g.first_dst, g.num_dst, seed)
-    steps = steps.join(at_sr, ["t", "s", "r", "cand"], "left_anti").join(at_r.withColumn("known", F.lit(1)), ["t", "r", "cand"], "left")
-    w = Window.partitionBy("t", "s", "r")
-    ranked = steps.select("t", "s", "r", "cand", F.row_number().over(w.orderBy(F.coalesce("known", F.lit(0)), "place")).alias("rn"), F.count("*").over(w).alias("n")).where(F.col("rn") <= q)
+    at_sr = g.quads.select(*by, F.col("o").alias("cand")).distinct()
+    # the first tier: a short walk for all, the whole way for those that it leaves short
+    allowed = lambda steps: steps.join(at_r, ["t", "r", "cand"], "left_anti")
+    quick = stored(allowed(walk(keys, by, F.lit(2 * q), g.first_dst, g.num_dst, seed)))
+    enough = quick.groupBy(*by).agg(F.count("*").alias("n_")).where(F.col("n_") >= q).select(*by)
+    short = keys.join(enough, by, "left_anti").join(at_r.groupBy("t", "r").agg(F.count("*").alias("n_pos")), ["t", "r"], "left")
+    slow = walk(short, by, F.lit(q) + F.coalesce("n_pos", F.lit(0)), g.first_dst, g.num_dst, seed)
+    slow = slow.join(at_sr, [*by, "cand"], "left_anti").join(at_r.withColumn("known", F.lit(1)), ["t", "r", "cand"], "left")
+    steps = quick.join(enough, by, "left_semi").select(*by, "cand", "place", F.lit(0).alias("known")).unionByName(slow.select(*by, "cand", "place", F.coalesce("known", F.lit(0)).alias("known")))
+    w = Window.partitionBy(*by)
+    ranked = steps.select(*by, "cand", F.row_number().over(w.orderBy("known", "place")).alias("rn"), F.count("*").over(w).alias("n")).where(F.col("rn") <= q)
     if not repeat:
-        return ranked.select("t", "s", "r", F.col("rn").alias("neg_idx"), "cand")
+        return ranked.select(*by, F.col("rn").alias("neg_idx"), "cand")
     places = F.sequence(F.col("rn").cast("int"), F.lit(q), F.least(F.col("n"), F.lit(q)).cast("int"))
-    return ranked.select("t", "s", "r", F.explode(places).alias("neg_idx"), "cand")
+    return ranked.select(*by, F.explode(places).alias("neg_idx"), "cand")
 
 
 def full(g: TemporalGraph, queries: DataFrame) -> DataFrame:
@@ -77,26 +84,85 @@ def full_if_short(g: TemporalGraph, queries: DataFrame, q: int, seed: int = 42)
     return full(g, queries).withColumn("neg_idx", F.row_number().over(Window.partitionBy("t", "s", "r").orderBy("cand"))) if available_negatives(queries, g.num_dst, q).first()["short"] else tiered(g, queries, q, seed)
 
 
+def quota_of(q: int, hard_ratio: float) -> int:
+    if q < 1 or not 0 <= hard_ratio <= 1:
+        raise ValueError("q is positive and the share of hard negatives lies in [0, 1]")
+    return int(q * hard_ratio + 1e-12)
+
+
 def train_hard(g: TemporalGraph, queries: DataFrame, q: int, hard_ratio: float, seed: int = 42) -> DataFrame:
-    """(qid, neg_idx, cand, hard): floor(q * ratio) targets that the relation had before, then others.
+    """(qid, neg_idx, cand, hard): floor(q * ratio) targets that the relation had before, then others, q for each query.
 
     Hard ones are targets seen with the relation in earlier snapshots and no positives of (t, s, r) now; the
-    others are neither hard nor positive. A query that has fewer gets fewer.
+    others are neither hard nor positive. A query that has fewer repeats its others, else its hard ones, else its own target.
     """
-    quota = int(q * hard_ratio + 1e-12)
+    quota = quota_of(q, hard_ratio)
     seen = g.quads.groupBy("r", F.col("o").alias("cand")).agg(F.min("t").alias("first_t"))
     pos = g.quads.select("t", "s", "r", F.col("o").alias("cand")).distinct()
     keys = queries.select("eid", "t", "s", "r").withColumnRenamed("eid", "qid")
+    by = ["qid", "t", "s", "r"]
+
+    def walked(keys: DataFrame, steps: Column) -> DataFrame:
+        rows = walk(keys, by, steps, g.first_dst, g.num_dst, seed)
+        rows = rows.join(pos, ["t", "s", "r", "cand"], "left_anti").join(seen, ["r", "cand"], "left")
+        return rows.select(*by, "place", "cand", F.coalesce((F.col("first_t") < F.col("t")).cast("int"), F.lit(0)).alias("hard"))
+
+    quick = stored(walked(keys, F.lit(4 * q)))
+    enough = quick.groupBy("qid").agg(F.sum("hard").alias("h_"), F.count("*").alias("n_")).where((F.col("h_") >= quota) & (F.col("n_") - F.col("h_") >= q - quota)).select("qid")
     # as many steps as targets can be excluded: those the relation has had before and the positives of the snapshot
     known = seen.groupBy("r").agg(F.count("*").alias("n_seen"))
-    keys = keys.join(known, "r", "left")
-    steps = walk(keys, ["qid", "t", "s", "r"], F.lit(q) + F.coalesce("n_seen", F.lit(0)), g.first_dst, g.num_dst, seed)
-    steps = steps.join(pos, ["t", "s", "r", "cand"], "left_anti").join(seen, ["r", "cand"], "left")
-    steps = steps.withColumn("hard", F.coalesce((F.col("first_t") < F.col("t")).cast("int"), F.lit(0)))
+    slow = walked(keys.join(enough, "qid", "left_anti").join(known, "r", "left"), F.lit(q) + F.coalesce("n_seen", F.lit(0)))
+    steps = quick.join(enough, "qid", "left_semi").unionByName(slow)
     ranked = steps.withColumn("own", F.row_number().over(Window.partitionBy("qid", "hard").orderBy("place")))
     ranked = ranked.where((F.col("hard") == 0) | (F.col("own") <= quota))
-    ranked = ranked.withColumn("neg_idx", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hard"), "place")))
-    return ranked.where(F.col("neg_idx") <= q).select("qid", "neg_idx", "cand", "hard")
+    ranked = ranked.withColumn("neg_idx", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hard"), "place"))).where(F.col("neg_idx") <= q)
+    return padded(ranked.select("qid", "neg_idx", "cand", "hard"), queries, q)
+
+
+def padded(ranked: DataFrame, queries: DataFrame, q: int) -> DataFrame:
+    """Lists of q: what is missing is filled with the list's own others in turn, else its hard ones, else the query's own target."""
+    w = Window.partitionBy("qid")
+    sized = ranked.withColumns({"n_": F.count("*").over(w), "others_": F.count_if(F.col("hard") == 0).over(w)})
+    fills = (F.col("hard") == 0) | (F.col("others_") == 0)
+    many = F.when(F.col("others_") > 0, F.col("others_")).otherwise(F.col("n_"))
+    nth = F.when(F.col("others_") > 0, F.col("neg_idx") - (F.col("n_") - F.col("others_"))).otherwise(F.col("neg_idx"))
+    more = F.when(fills & (F.col("n_") + nth <= q), F.sequence((F.col("n_") + nth).cast("int"), F.lit(q), many.cast("int"))).otherwise(F.array().cast("array<int>"))
+    lists = sized.select("qid", F.explode(F.concat(F.array(F.col("neg_idx").cast("int")), more)).alias("neg_idx"), "cand", "hard")
+    none = queries.select(F.col("eid").alias("qid"), F.col("o").alias("cand")).join(ranked.select("qid").distinct(), "qid", "left_anti")
+    return lists.unionByName(none.select("qid", F.explode(F.sequence(F.lit(1), F.lit(q))).alias("neg_idx"), "cand", F.lit(0).alias("hard")))
+
+
+def train_fast(g: TemporalGraph, queries: DataFrame, q: int, hard_ratio: float, seed: int = 42) -> DataFrame:
+    """(qid, neg_idx, cand, hard): draws with replacement, of which only the query's own target is repaired.
+
+    The first floor(q * ratio) are drawn from the targets that the relation had before (in the order in which they came), the others from all;
+    a draw that is the own target moves to the next of its range. Without earlier targets all are drawn from the whole range.
+    """
+    quota = quota_of(q, hard_ratio)
+    first = g.quads.groupBy("r", F.col("o").alias("cand")).agg(F.min("t").alias("first_t"))
+    # the targets of a relation in the order of their first times: those before t are a prefix
+    fresh = first.groupBy("r", F.col("first_t").alias("t")).agg(F.count("*").alias("c_"))
+    ahead = fresh.withColumn("ahead_", F.coalesce(F.sum("c_").over(Window.partitionBy("r").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("r", "first_t").orderBy("cand"))
+    numbered = first.withColumn("in_", place).join(ahead.select("r", F.col("t").alias("first_t"), "ahead_"), ["r", "first_t"]).select("r", (F.col("ahead_") + F.col("in_") - 1).alias("nth"), "cand")
+    asked = queries.select(F.col("eid").alias("qid"), "t", "r", "o")
+    counts = fresh.select("r", "t", F.col("c_").alias("n_")).unionByName(asked.select("r", "t").distinct().withColumn("n_", F.lit(0).cast("long")))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("r").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("r", "t", before.alias("had")).distinct()
+    rows = asked.join(counts, ["r", "t"]).select("*", F.explode(F.sequence(F.lit(1), F.lit(q))).alias("neg_idx"))
+    draw = _number(_hash(seed, "qid", "neg_idx"), 1, 12)
+    rows = rows.withColumns({"draw_": draw, "hard": ((F.col("neg_idx") <= quota) & (F.col("had") > 0)).cast("int")})
+    own = numbered.withColumnsRenamed({"nth": "own_nth", "cand": "o"})
+    hard = rows.where("hard = 1").withColumn("nth", F.col("draw_") % F.col("had")).join(own, ["r", "o"], "left")
+    hit = F.col("own_nth") == F.col("nth")
+    hard = hard.withColumns({"nth": F.when(F.coalesce(hit, F.lit(False)), (F.col("nth") + 1) % F.col("had")).otherwise(F.col("nth"))}).join(numbered, ["r", "nth"])
+    # a relation that had only the own target draws from all
+    alone = F.col("cand") == F.col("o")
+    easy = rows.where("hard = 0").select("qid", "neg_idx", "o", "draw_").unionByName(hard.where(alone).select("qid", "neg_idx", "o", "draw_"))
+    at = F.col("draw_") % g.num_dst
+    at = F.when(at + g.first_dst == F.col("o"), (at + 1) % g.num_dst).otherwise(at)
+    easy = easy.select("qid", "neg_idx", (at + g.first_dst).alias("cand"), F.lit(0).alias("hard"))
+    return hard.where(~alone).select("qid", "neg_idx", "cand", "hard").unionByName(easy)
 
 
 def candidates(queries: DataFrame, negatives: DataFrame) -> DataFrame:

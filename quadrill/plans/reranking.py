@@ -98,14 +98,14 @@ def select_train_rows(spark, sf_dir):
     return X.training_rows(two_scores(spark, sf_dir), ["struct", "time"], 3).select("qid", "cand_idx")
 
 
-@query("one_positive_violations", sql("x AS (SELECT qid, count(*) FILTER (cand_idx = 0) AS positives FROM both_scores WHERE cand_idx > 0 OR qid % 10 <> 0 GROUP BY qid)", select="SELECT qid, positives FROM x WHERE positives <> 1"))
+@query("one_positive_violations", sql("x AS (SELECT qid, count(*) FILTER (cand_idx = 0) AS positives FROM both_scores GROUP BY qid)", select="SELECT qid, positives FROM x WHERE positives <> 1"))
 def one_positive_violations(spark, sf_dir):
-    return X.one_positive(two_scores(spark, sf_dir).where("cand_idx > 0 OR qid % 10 <> 0"))
+    return X.one_positive(two_scores(spark, sf_dir))
 
 
-@query("group_metrics", sql("scored AS (SELECT qid, cand_idx, struct AS score FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM both_scores WHERE cand_idx = 0 OR qid % 3 = 0) WHERE n > 1)", T.RANKS, select=T.METRICS))
+@query("group_metrics", sql("scored AS (SELECT qid, cand_idx, struct AS score FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM both_scores) WHERE n > 1)", T.RANKS, select=T.METRICS))
 def group_metrics(spark, sf_dir):
-    return R.rounded(R.group_metrics(two_scores(spark, sf_dir).where("cand_idx = 0 OR qid % 3 = 0"), "struct"))
+    return R.rounded(R.group_metrics(two_scores(spark, sf_dir), "struct"))
 
 
 RESCUE = f"""rk AS (SELECT *, {_rank('struct')} AS rank_ FROM both_scores), own AS (SELECT *, max(CASE WHEN cand_idx = 0 THEN rank_ END) OVER (PARTITION BY qid) AS own_ FROM rk)"""

@@ -78,9 +78,9 @@ def inverse_relation(spark, sf_dir):
     return events(spark, sf_dir).select("eid", "r", G.inverse_relation(F.col("r"), 10).cast("int").alias("r_inv"))
 
 
-@query("time_ordinal", sql(select="SELECT eid, t, dense_rank() OVER (ORDER BY t) - 1 AS t_norm FROM quads WHERE t % 3 <> 1"))
+@query("time_ordinal", sql(select="SELECT eid, t * t AS t, dense_rank() OVER (ORDER BY t * t) - 1 AS t_norm FROM quads"))
 def time_ordinal(spark, sf_dir):
-    return G.ordinal_time(events(spark, sf_dir).where("t % 3 <> 1")).select("eid", "t", "t_norm")
+    return G.ordinal_time(events(spark, sf_dir).withColumn("t", F.col("t") * F.col("t"))).select("eid", "t", "t_norm")
 
 
 @query("time_step", sql("f AS (SELECT min(t) AS a FROM quads)", select="SELECT eid, t * 86400 AS t, CAST(ceil((t - a) * 86400 / 86400.0) AS BIGINT) AS t_norm FROM quads, f"))
@@ -143,21 +143,70 @@ def negatives_full(spark, sf_dir):
     return K.full(g, g.quads.where("split = 'test'"))
 
 
-@query("negatives_train_hard", sql(
-    "seen AS (SELECT r, o, min(t) AS first_t FROM quads GROUP BY r, o), size AS (SELECT max(o) + 1 AS n FROM quads)",
-    f"walks AS (SELECT eid AS qid, t, s, r, n, md5(concat_ws('|', '{SEED}', eid, t, s, r)) AS h FROM quads, size WHERE split = 'val')",
-    f"steps AS (SELECT qid, t, s, r, place, (([{', '.join(map(str, K.STRIDES))}][1 + (('0x' || substr(h, 9, 2))::BIGINT % {len(K.STRIDES)})] % n) * place + ('0x' || substr(h, 1, 8))::BIGINT) % n AS cand FROM (SELECT *, unnest(range(0, n)) AS place FROM walks))",
-    "pos AS (SELECT DISTINCT t, s, r, o FROM quads)",
-    "kept AS (SELECT k.qid, k.place, k.cand, CASE WHEN first_t < k.t THEN 1 ELSE 0 END AS hard FROM steps k LEFT JOIN seen ON seen.r = k.r AND seen.o = k.cand LEFT JOIN pos p ON p.t = k.t AND p.s = k.s AND p.r = k.r AND p.o = k.cand WHERE p.o IS NULL)",
-    "own AS (SELECT *, row_number() OVER (PARTITION BY qid, hard ORDER BY place) AS own_rank FROM kept)",
-    f"few AS (SELECT qid, cand, hard, row_number() OVER (PARTITION BY qid ORDER BY hard DESC, place) AS neg_idx FROM own WHERE hard = 0 OR own_rank <= {int(Q * 0.5)})",
-    select=f"SELECT qid, CAST(neg_idx AS INTEGER) AS neg_idx, cand, hard FROM few WHERE neg_idx <= {Q}",
-))
+def _train_hard_sql(q: int, ratio: float) -> str:
+    return sql(
+        "seen AS (SELECT r, o, min(t) AS first_t FROM quads GROUP BY r, o), size AS (SELECT max(o) + 1 AS n FROM quads)",
+        f"walks AS (SELECT eid AS qid, t, s, r, n, md5(concat_ws('|', '{SEED}', eid, t, s, r)) AS h FROM quads, size WHERE split = 'val')",
+        f"steps AS (SELECT qid, t, s, r, place, (([{', '.join(map(str, K.STRIDES))}][1 + (('0x' || substr(h, 9, 2))::BIGINT % {len(K.STRIDES)})] % n) * place + ('0x' || substr(h, 1, 8))::BIGINT) % n AS cand FROM (SELECT *, unnest(range(0, n)) AS place FROM walks))",
+        "pos AS (SELECT DISTINCT t, s, r, o FROM quads)",
+        "kept AS (SELECT k.qid, k.place, k.cand, CASE WHEN first_t < k.t THEN 1 ELSE 0 END AS hard FROM steps k LEFT JOIN seen ON seen.r = k.r AND seen.o = k.cand LEFT JOIN pos p ON p.t = k.t AND p.s = k.s AND p.r = k.r AND p.o = k.cand WHERE p.o IS NULL)",
+        "own AS (SELECT *, row_number() OVER (PARTITION BY qid, hard ORDER BY place) AS own_rank FROM kept)",
+        f"few AS (SELECT qid, cand, hard, row_number() OVER (PARTITION BY qid ORDER BY hard DESC, place) AS i FROM own WHERE hard = 0 OR own_rank <= {int(q * ratio)} QUALIFY i <= {q})",
+        "sized AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, count(*) FILTER (hard = 0) OVER (PARTITION BY qid) AS others FROM few)",
+        "fill AS (SELECT *, CASE WHEN others > 0 THEN others ELSE n END AS many, CASE WHEN others > 0 THEN i - (n - others) ELSE i END AS nth FROM sized WHERE hard = 0 OR others = 0)",
+        select=f"""SELECT qid, CAST(i AS INTEGER) AS neg_idx, cand, hard FROM few UNION ALL SELECT qid, CAST(unnest(range(n + nth, {q} + 1, many)) AS INTEGER), cand, hard FROM fill
+UNION ALL SELECT eid, CAST(range + 1 AS INTEGER), o, 0 FROM quads, range({q}) WHERE split = 'val' AND eid NOT IN (SELECT qid FROM few)""",
+    )
+
+
+@query("negatives_train_hard", _train_hard_sql(Q, 0.5))
 def negatives_train_hard(spark, sf_dir):
     g = event_graph(spark, sf_dir)
     return K.train_hard(g, g.quads.where("split = 'val'"), Q, 0.5, SEED)
 
 
+WIDE = 99
+
+
+@query("negatives_no_repeat", sql(NEGATIVES.replace(f"rn <= {Q})", f"rn <= {WIDE})"), select="SELECT * FROM negs"))
+def negatives_no_repeat(spark, sf_dir):
+    """Lists longer than some queries have targets for: these stay short."""
+    g = event_graph(spark, sf_dir)
+    return K.tiered(g, g.quads.where("split = 'test'"), WIDE, SEED, repeat=False)
+
+
+@query("negative_counts", sql(NEGATIVES.replace(f"rn <= {Q})", f"rn <= {WIDE})"), select=f"SELECT t, s, r, count(*) AS n FROM negs GROUP BY t, s, r HAVING count(*) <> {WIDE}"))
+def negative_counts(spark, sf_dir):
+    return K.check_counts(negatives_no_repeat(spark, sf_dir), WIDE)
+
+
+@query("negatives_full_if_short", sql("asked AS (SELECT DISTINCT t, s, r FROM quads WHERE split = 'val'), dst AS (SELECT unnest(range(0, (SELECT max(o) + 1 FROM quads))) AS cand)", select="SELECT t, s, r, cand, CAST(row_number() OVER (PARTITION BY t, s, r ORDER BY cand) AS INTEGER) AS neg_idx FROM asked, dst WHERE NOT EXISTS (SELECT 1 FROM quads q WHERE q.t = asked.t AND q.s = asked.s AND q.r = asked.r AND q.o = cand)"))
+def negatives_full_if_short(spark, sf_dir):
+    """More negatives are asked for than there are targets, so every query gets all of its own."""
+    g = event_graph(spark, sf_dir)
+    return K.full_if_short(g, g.quads.where("split = 'val'"), g.num_dst, SEED)
+
+
+@query("negatives_train_padded", _train_hard_sql(WIDE, 0.3))
+def negatives_train_padded(spark, sf_dir):
+    """Longer lists than targets are left for some queries, which fill them up."""
+    g = event_graph(spark, sf_dir)
+    return K.train_hard(g, g.quads.where("split = 'val'"), WIDE, 0.3, SEED)
+
+
+@query("negatives_train_fast", sql(
+    "firsts AS (SELECT r, o, min(t) AS first_t FROM quads GROUP BY r, o), numbered AS (SELECT r, o AS cand, row_number() OVER (PARTITION BY r ORDER BY first_t, o) - 1 AS nth FROM firsts), size AS (SELECT max(o) + 1 AS n FROM quads)",
+    f"draws AS (SELECT eid AS qid, q.r, q.o, i.range + 1 AS neg_idx, ('0x' || substr(md5(concat_ws('|', '{SEED}', eid, i.range + 1)), 1, 12))::BIGINT AS draw, (SELECT count(*) FROM firsts f WHERE f.r = q.r AND f.first_t < q.t) AS had FROM quads q, range({Q}) i WHERE split = 'val')",
+    "moved AS (SELECT d.*, own.nth AS own, CASE WHEN own.nth = draw % had THEN (draw % had + 1) % had ELSE draw % had END AS nth FROM draws d LEFT JOIN numbered own ON own.r = d.r AND own.cand = d.o)",
+    f"hard AS (SELECT a.qid, a.neg_idx, n.cand FROM moved a JOIN numbered n ON n.r = a.r AND n.nth = a.nth WHERE neg_idx <= {int(Q * 0.5)} AND had > 0 AND n.cand <> a.o)",
+    select="""SELECT qid, CAST(neg_idx AS INTEGER) AS neg_idx, cand, 1 AS hard FROM hard UNION ALL
+SELECT qid, CAST(neg_idx AS INTEGER), CASE WHEN draw % n = o THEN (draw % n + 1) % n ELSE draw % n END, 0 FROM draws, size WHERE NOT EXISTS (SELECT 1 FROM hard h WHERE h.qid = draws.qid AND h.neg_idx = draws.neg_idx)""",
+))
+def negatives_train_fast(spark, sf_dir):
+    g = event_graph(spark, sf_dir)
+    return K.train_fast(g, g.quads.where("split = 'val'"), Q, 0.5, SEED)
+
+
 @query("dsh_state", sql(f"w AS (SELECT s, r, o, sum(pow(2.0, {DECAY} * (t - 25))) AS w FROM quads WHERE t < 25 GROUP BY s, r, o)", select="SELECT s, r, o, round(w / sum(w) OVER (PARTITION BY s, r), 6) AS weight FROM w"))
 def dsh_state(spark, sf_dir):
     return H.decayed_state(events(spark, sf_dir), DECAY, until=25).withColumn("weight", F.round("weight", 6))

@@ -202,3 +202,99 @@ def test_ordinal_and_step_times(spark):
     assert sorted((r.t, r.t_norm) for r in G.step_time(q).collect()) == [(10, 0), (13, 1), (20, 2)]
     assert sorted((r.t, r.t_norm) for r in G.step_time(q, coarse=2.0).collect()) == [(10, 0), (13, 2), (20, 5)]
     assert G.step_time(q.limit(1)).first()["t_norm"] == 0
+
+
+def brute_shares(rows, ask, decay):
+    """Shares of each candidate by the definition, relative to the latest earlier fact of (s, r)."""
+    out = {}
+    for q, s, r, t, c in ask:
+        past = [(o, u) for _, a, b, o, u in rows if a == s and b == r and u < t]
+        if past:
+            top = max(u for _, u in past)
+            w = [(o, 2.0 ** (decay * (u - top))) for o, u in past]
+            out[q] = sum(v for o, v in w if o == c) / sum(v for _, v in w)
+        else:
+            out[q] = 0.0
+    return out
+
+
+@pytest.mark.parametrize(("decay", "times"), [(0.3, 40), (5.0, 4000), (0.7, 100_000), (0.0, 50)])
+def test_decayed_scores_over_long_spans(spark, decay, times):
+    """As-of sums against the definition where spans cover many epochs, with facts on both sides of their bounds."""
+    rnd = random.Random(int(decay * 10) + times)
+    span = max(1, int(400 / decay)) if decay else times
+    near = [x for e in range(0, times, span) for x in (e - 1, e, e + 1) if 0 <= x < times][:200]
+    pick = lambda: rnd.choice(near) if near and rnd.random() < 0.5 else rnd.randrange(times)
+    rows = [(i, rnd.randrange(3), rnd.randrange(2), rnd.randrange(4), pick()) for i in range(150)]
+    ask = [(i, rnd.randrange(3), rnd.randrange(2), pick(), rnd.randrange(4)) for i in range(200)]
+    cands = spark.createDataFrame([(q, s, r, t, 0, c) for q, s, r, t, c in ask], "qid long, s long, r int, t long, cand_idx int, cand long")
+    got = {x.qid: x.score for x in H.decayed_scores(cands, quads(spark, rows), decay).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in brute_shares(rows, ask, decay).items()}
+
+
+def test_recent_events_of_a_hub(spark):
+    rnd = random.Random(2)
+    rows = [(i, 0 if rnd.random() < 0.7 else rnd.randrange(4), 0, i, rnd.randrange(20)) for i in range(300)]
+    ask = spark.createDataFrame([(s, t) for s in range(6) for t in range(0, 25, 3)], "node long, t long")
+    got = {}
+    for x in H.recent_events(ask, quads(spark, rows), 7).collect():
+        got.setdefault((x.node, x.t), {})[x.place] = (x.neighbor, x.delta)
+    for s in range(6):
+        for t in range(0, 25, 3):
+            past = sorted(((u, e, o) for e, a, _, o, u in rows if a == s and u < t), reverse=True)[:7]
+            assert got.get((s, t), {}) == {i + 1: (o, t - u) for i, (u, _, o) in enumerate(past)}
+
+
+def test_train_negatives_fill_up(spark):
+    """Targets 0 to 3; relation 0 has had all but one, relation 1 has none left but positives."""
+    rows = [(0, 0, 0, 1, 0), (1, 0, 0, 2, 0), (2, 0, 0, 0, 1), (3, 1, 1, 0, 1), (4, 1, 1, 1, 1), (5, 1, 1, 2, 1), (6, 1, 1, 3, 1)]
+    g = G.graph_of(quads(spark, rows))
+    got = {}
+    for x in K.train_hard(g, g.quads.where("t = 1"), 6, 0.5).collect():
+        got.setdefault(x.qid, {})[x.neg_idx] = (x.cand, x.hard)
+    assert all(sorted(v) == [1, 2, 3, 4, 5, 6] for v in got.values()) and set(got) == {2, 3, 4, 5, 6}
+    assert {got[2][i] for i in (1, 2)} == {(1, 1), (2, 1)} and {got[2][i] for i in (3, 4, 5, 6)} == {(3, 0)}
+    assert {got[4][i] for i in range(1, 7)} == {(1, 0)}  # all targets are positives: its own
+    with pytest.raises(ValueError):
+        K.train_hard(g, g.quads, 5, 1.5)
+    fast = K.train_fast(g, g.quads.where("t = 1"), 8, 0.5).collect()
+    own = {e: o for e, _, _, o, _ in rows}
+    assert len(fast) == 40 and all(x.cand != own[x.qid] and 0 <= x.cand <= 3 for x in fast)
+    assert {x.cand for x in fast if x.hard} == {1, 2}
+
+
+def test_walks_go_on_only_for_the_short(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randrange(3), 0 if i < 700 else 1, rnd.randrange(400), rnd.randrange(3)) for i in range(800)]
+    g = G.graph_of(quads(spark, rows))
+    got = {}
+    for x in K.tiered(g, g.quads, 10).collect():
+        got.setdefault((x.t, x.s, x.r), {})[x.neg_idx] = x.cand
+    known = {}
+    for _, _, r, o, t in rows:
+        known.setdefault((t, r), set()).add(o)
+    assert all(len(set(v.values())) == 10 and not set(v.values()) & known[k[0], k[2]] for k, v in got.items())
+
+
+def test_val_tail_by_blocks(spark):
+    ids = [3 * i + (i % 2) for i in range(101)]
+    q = spark.createDataFrame([(i,) for i in ids], "qid long")
+    for fraction in (0.0, 0.1, 0.5, 0.99, 1.0):
+        want = ids[int(len(ids) * (1 - fraction)) :]
+        assert sorted(r.qid for r in G.val_tail(q, fraction, block=7).collect()) == want
+    assert G.val_tail(q.limit(0), 0.5).count() == 0
+
+
+def test_state_in_buckets(spark, monkeypatch):
+    """Many buckets give the state that one gives, and replaced ones go."""
+    rows = randoms(90, 12, 2, 8, seed=7)
+    for _, state in P.prequential(quads(spark, rows), P.PprConfig()):
+        whole = sorted(map(tuple, state.collect()))
+    monkeypatch.setattr(P, "BUCKET_NODES", 2)
+    made = []
+    old = P.remove
+    monkeypatch.setattr(P, "remove", lambda s, p: (made.append(p), old(s, p)))
+    for _, state in P.prequential(quads(spark, rows), P.PprConfig()):
+        parts = sorted(map(tuple, state.collect()))
+    key = lambda r: (r[0], r[1], r[2], round(r[3], 10), r[4])
+    assert list(map(key, parts)) == list(map(key, whole)) and made
