@@ -54,3 +54,9 @@ def word_statistics(entities: DataFrame, name_col: str = "name") -> DataFrame:
     return stats.crossJoin(words).select(  # one row each
         "words", "entities", F.coalesce(F.try_divide("n", "entities"), F.lit(0.0)).alias("bracketed"), F.coalesce(F.try_divide("missing", "n"), F.lit(0.0)).alias("missing")
     )
+
+
+def with_names(rows: DataFrame, dictionary: DataFrame, id_col: str, name_col: str = "name") -> DataFrame:
+    """``rows`` with the dictionary's name of an id, null where it has none; Spark broadcasts the dictionary while it is small."""
+    names = dictionary.select(F.col("id").cast("long").alias("id_"), F.col("name").alias(name_col))
+    return rows.join(names, F.col(id_col) == F.col("id_"), "left").drop("id_")

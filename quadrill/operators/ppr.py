@@ -118,20 +118,32 @@ class Schedule:
 
     @staticmethod
     def of(quads: DataFrame, cfg: PprConfig) -> Schedule:
-        a, b = cfg.alpha, cfg.beta
         k = quads.groupBy("s", "t").agg(F.count("*").alias("k"))
-        j = (F.row_number().over(Window.partitionBy("s").orderBy("t")) - 1).cast("double")
-        n = j * b if b == 1 else b * (1 - F.pow(F.lit(b), j)) / (1 - b)
-        after = b * F.col("n") + b
-        zero = F.lit(0.0)
-        src = k.withColumn("n", n).select("t", "s", "k", (zero if b == 0 else (1 - a) * b * F.col("n") / after).alias("s1"), (zero if b == 0 else (1 - a) * b / after).alias("s2"))
-        src = stored(src)
+        src = stored(Schedule._weighted(k.withColumn("j", F.row_number().over(Window.partitionBy("s").orderBy("t")) - 1), cfg))
         edges = quads.join(src, ["s", "t"]).select("t", "s", "r", "o", "eid", (F.col("s2") / F.col("k")).alias("part"))
         ends = quads.select("t", F.col("s").alias("node")).union(quads.select("t", F.col("o").alias("node")))
         born = ends.groupBy("node").agg(F.min("t").alias("t"))
         born = born.select("t", "node", F.col("node").alias("key"), F.lit(SELF).alias("rel"), F.lit(1.0).alias("score"), F.lit(SELF).alias("tag"), F.lit(0.0).alias("tag_score"))
         return Schedule(stored(edges), src.select("t", "s", "s1"), stored(born))
 
+    @staticmethod
+    def _weighted(k: DataFrame, cfg: PprConfig) -> DataFrame:
+        """(t, s, k, s1, s2) from a source's facts ``k`` at t and its snapshots ``j`` before: weights of old and new mass."""
+        a, b, j, zero = cfg.alpha, cfg.beta, F.col("j").cast("double"), F.lit(0.0)
+        n = j * b if b == 1 else b * (1 - F.pow(F.lit(b), j)) / (1 - b)
+        after = b * F.col("n") + b
+        return k.withColumn("n", n).select("t", "s", "k", (zero if b == 0 else (1 - a) * b * F.col("n") / after).alias("s1"), (zero if b == 0 else (1 - a) * b / after).alias("s2"))
+
+    @staticmethod
+    def after(now: DataFrame, cfg: PprConfig, seen: DataFrame, met: DataFrame) -> Schedule:
+        """The schedule of one snapshot, given how many each source has had (s, n) and the nodes met before."""
+        k = now.groupBy("t", "s").agg(F.count("*").alias("k")).join(seen, "s", "left").withColumn("j", F.coalesce("n", F.lit(0))).drop("n")
+        src = stored(Schedule._weighted(k, cfg))
+        edges = now.join(src, ["s", "t"]).select("s", "r", "o", "eid", (F.col("s2") / F.col("k")).alias("part"))
+        new = now.select(F.col("s").alias("node")).union(now.select(F.col("o").alias("node"))).distinct().join(met, "node", "left_anti")
+        born = new.select("node", F.col("node").alias("key"), F.lit(SELF).alias("rel"), F.lit(1.0).alias("score"), F.lit(SELF).alias("tag"), F.lit(0.0).alias("tag_score"))
+        return Schedule(stored(edges), src.select("s", "s1"), stored(born))
+
     def at(self, t: int) -> Schedule:
         return Schedule(*(df.where(F.col("t") == t).drop("t") for df in (self.edges, self.sources, self.born)))
 

@@ -10,11 +10,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quadrill.operators import ppr as P
+from quadrill.sources.readers import exists
+from quadrill.sources.stores import read_json, write_json
 
 SHARES = "s long, r int, o long, t long, weight double"
 RECENT = "node long, place int, event_t long, r int, neighbor long"
@@ -68,26 +70,49 @@ def windowed_counts(events: DataFrame, time_col: str = "ts", lateness: str = "10
 class SnapshotFold:
     """Folds micro-batches into the multi-hop state; pass ``write`` to ``foreachBatch``.
 
-    A batch holds whole snapshots in time order; a batch that goes back in time is refused. ``state`` is the table after the last one.
+    A batch holds whole snapshots in time order; a batch that goes back in time is refused. All that the fold knows lies in ``folder``,
+    which all executors share: the state, how many snapshots each source has had, which nodes it has met, and a document that names
+    them together with the last batch. The document is written last, so a batch that is replayed after a failure, or
+    met again after a restart of the driver, starts from what the batch before it left, and one that was folded already is skipped.
     """
 
-    def __init__(self, cfg: P.PprConfig, transitions: DataFrame | None = None):
-        self.cfg, self.transitions = cfg, transitions
-        self.state: DataFrame | None = None
-        self.met: DataFrame | None = None
-        self.last: int | None = None
+    def __init__(self, spark: SparkSession, folder: str, cfg: P.PprConfig, transitions: DataFrame | None = None):
+        self.spark, self.folder, self.cfg, self.transitions = spark, folder.rstrip("/"), cfg, transitions
+        self.done = read_json(spark, self._marker()) if exists(spark, self._marker()) else {"batch": -1, "last": None, "at": None, "before": None}
+
+    def _marker(self) -> str:
+        return f"{self.folder}/fold.json"
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        at = self.done["at"]
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{at}/{name}") if at else self.spark.createDataFrame([], schema)
+
+    @property
+    def state(self) -> DataFrame:
+        return self._table("state", P.STATE)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        for t in sorted(r[0] for r in batch.select("t").distinct().collect()):
-            if self.last is not None and t <= self.last:
-                raise ValueError(f"snapshot {t} came after snapshot {self.last}")
-            now = P.stored(batch.where(F.col("t") == t).select("t", "s", "r", "o", "eid"))
-            self.met = now if self.met is None else P.stored(self.met.unionByName(now))
-            plan = P.Schedule.of(self.met, self.cfg).at(t)
+        if batch_id <= self.done["batch"]:
+            return
+        rows = P.stored(batch.select("t", "s", "r", "o", "eid"))
+        times = sorted(r[0] for r in rows.select("t").distinct().collect())
+        if times and self.done["last"] is not None and times[0] <= self.done["last"]:
+            raise ValueError(f"snapshot {times[0]} came after snapshot {self.done['last']}")
+        state, met, seen = self.state, self._table("met", "node long"), self._table("seen", "s long, n long")
+        for t in times:
+            now = P.Schedule.after(rows.where(F.col("t") == t), self.cfg, seen, met)
             m = self.transitions.where(F.col("t") == t) if self.transitions is not None else None
-            self.state = P.step(self.state if self.state is not None else P.empty(spark), plan, self.cfg, m)
-            self.last = t
+            state = P.step(state, now, self.cfg, m)
+            seen = P.stored(seen.unionByName(now.sources.select("s", F.lit(1).cast("long").alias("n"))).groupBy("s").agg(F.sum("n").alias("n")))
+            met = P.stored(met.unionByName(now.born.select("node")))
+        at = f"batch={batch_id}"
+        for name, table in (("state", state), ("met", met), ("seen", seen)):
+            table.write.mode("overwrite").parquet(f"{self.folder}/{at}/{name}")
+        old = self.done["before"]
+        self.done = {"batch": batch_id, "last": times[-1] if times else self.done["last"], "at": at, "before": self.done["at"]}
+        write_json(self.spark, self._marker(), self.done)
+        if old and old != at:
+            P.remove(self.spark, f"{self.folder}/{old}")
 
 
 def start_fold(events: DataFrame, fold: SnapshotFold, checkpoint: str, **trigger: Any):

@@ -70,7 +70,18 @@ def test_names():
         naming.metric_key("auc")
     assert naming.run_name({"b": 2, "a": 1}) == "a=1_b=2" and len(naming.run_name({"k": "x" * 300})) < 120
     assert naming.parse_overrides(["a=true", "b=[1, 2]", "c=none", "d=x"]) == {"a": True, "b": [1, 2], "c": None, "d": "x"}
-    assert encoding.infer_periods(False, 10.0, 864000.0)[0] == 1.0 and encoding.infer_periods(True, 1.0, 5.0)[1] == 7.0
+
+
+def test_calendar_periods():
+    assert encoding.calendar_periods(864_000.0) == pytest.approx([86_400.0, 604_800.0, 2_592_000.0, 31_536_000.0])  # a raw clock in seconds
+    assert encoding.calendar_periods(5.0) == [1.0, 7.0, 30.0, 365.0]  # in days
+    assert encoding.calendar_periods(864_000.0, 10.0) == pytest.approx([1.0, 7.0, 30.0, 365.0])  # ten days as ten steps
+    assert encoding.calendar_periods(200.0, 1.0) == pytest.approx([1 / 200, 7 / 200, 30 / 200, 365 / 200])  # the whole span as one
+    assert encoding.calendar_periods(200.0, 200.0) == encoding.calendar_periods(0.0, 0.0) == [1.0, 7.0, 30.0, 365.0]
+    assert encoding.multiscale_frequencies(2, 1, 10) == pytest.approx([2 * 3.141592653589793 / 10]) and encoding.multiscale_frequencies(6, 1.0, 100.0)[-1] == pytest.approx(2 * 3.141592653589793)
+    for bad in (lambda: encoding.multiscale_frequencies(3), lambda: encoding.periodic_frequencies([]), lambda: encoding.periodic_frequencies([7], 0)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 @pytest.fixture
@@ -94,11 +105,110 @@ def test_decayed_stream(spark, stream):
     assert {k: pytest.approx(v[1]) for k, v in last.items()} == want
 
 
+def rows_of(df):
+    return sorted((r.node, r.key, round(r.score, 9), r.tag) for r in df.collect())
+
+
 def test_snapshot_fold(spark, stream, tmp_path):
+    """The fold of a stream is the fold of its table; a driver that starts anew goes on where the last one ended."""
     live, batch = stream
-    fold = S.SnapshotFold(P.PprConfig(alpha=0.1, beta=0.9))
+    cfg = P.PprConfig(alpha=0.1, beta=0.9)
+    fold = S.SnapshotFold(spark, f"file://{tmp_path}/fold", cfg)
     S.start_fold(live, fold, f"file://{tmp_path}/ck").awaitTermination()
-    for _, state in P.prequential(batch, fold.cfg):
+    for _, state in P.prequential(batch, cfg):
+        want = state
+    assert rows_of(fold.state) == rows_of(want)
+    more = spark.createDataFrame([(100 + i, i % 5, i % 2, (i + 1) % 5, 3) for i in range(9)], "eid long, s long, r int, o long, t long")
+    more.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    again = S.SnapshotFold(spark, f"file://{tmp_path}/fold", cfg)
+    assert rows_of(again.state) == rows_of(want)
+    S.start_fold(live, again, f"file://{tmp_path}/ck").awaitTermination()
+    for _, state in P.prequential(batch.unionByName(more), cfg):
         want = state
-    a, b = (sorted((r.node, r.key, round(r.score, 9), r.tag) for r in df.collect()) for df in (fold.state, want))
-    assert a == b
+    assert rows_of(again.state) == rows_of(want)
+    # a batch that comes twice is folded once; one that goes back in time is refused
+    again.write(more, again.done["batch"])
+    assert rows_of(again.state) == rows_of(want)
+    with pytest.raises(ValueError):
+        again.write(more, again.done["batch"] + 1)
+
+
+def test_recent_stream(spark, stream):
+    live, batch = stream
+    q = S.recent_stream(live, 3).writeStream.outputMode("update").format("memory").queryName("lasts").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {}
+    for r in spark.table("lasts").collect():
+        got.setdefault(r.node, {}).setdefault(r.place, []).append((r.event_t, r.neighbor))
+    for s in {r.s for r in batch.select("s").collect()}:
+        past = sorted(((r.t, r.eid, r.o) for r in batch.where(F.col("s") == s).collect()), reverse=True)[:3]
+        assert all((t, o) in got[s][i + 1] for i, (t, _, o) in enumerate(past))
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    rnd = random.Random(5)
+    lines = [f"{rnd.randrange(9)} 0 {rnd.randrange(9)} {i // 50}" for i in range(3000)]
+    (tmp_path / "x.txt").write_text("\n".join(lines) + "\n")
+    path, before = f"file://{tmp_path}/x.txt", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "1000b", "4096b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = sorted((r.line, r.s, r.o, r.t) for r in readers.read_quads(spark, path).collect())
+            assert rows == [(i, int(x.split()[0]), int(x.split()[2]), int(x.split()[3])) for i, x in enumerate(lines)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    from quadrill.functions import entities
+    from quadrill.graph import graph_of
+
+    (tmp_path / "p.csv").write_text("business_id,latitude,longitude\n7,1.5,2.5\n5,0.5,0.25\n")
+    (tmp_path / "model_input_stats.json").write_text(json.dumps({"relation2id": {"likes": 0, "visits": 1}}))
+    (tmp_path / "d.tsv").write_text("alpha\t0\nbeta\t1\n")
+    for i in (2, 10):
+        (tmp_path / f"runs/data/seed{i}/run").mkdir(parents=True)
+    assert [r.business_id for r in readers.read_places(spark, f"file://{tmp_path}/p.csv").collect()] == [5, 7]
+    assert readers.read_relations(spark, f"file://{tmp_path}") == {"likes": 0, "visits": 1}
+    assert [x.rsplit("/", 2)[1] for x in readers.run_folders(spark, f"file://{tmp_path}/runs")] == ["seed10", "seed2"]
+    q = spark.createDataFrame([(0, 0, 0, 1, 0, "train"), (1, 5, 0, 1, 1, "train"), (2, 0, 3, 1, 2, "val"), (3, -1, 0, 1, 3, "val")], "eid long, s long, r int, o long, t long, split string")
+    assert [r.eid for r in readers.in_bounds(q, 3, 2).collect()] == [0]
+    named = entities.with_names(q, readers.read_dictionary(spark, f"file://{tmp_path}/d.tsv"), "r")
+    assert sorted((r.eid, r.name) for r in named.collect()) == [(0, "alpha"), (1, "alpha"), (2, None), (3, "alpha")]
+    g = graph_of(q)
+    spark.createDataFrame([(0, 0, 0, [0, 1])], "t long, s long, r int, negatives array<long>").write.parquet(f"file://{tmp_path}/neg")
+    assert sorted((r.neg_idx, r.cand) for r in readers.read_negatives(spark, f"file://{tmp_path}/neg", g).collect()) == [(1, 0), (2, 1)]
+    spark.createDataFrame([(0, 0, 0, [9])], "t long, s long, r int, negatives array<long>").write.parquet(f"file://{tmp_path}/bad")
+    with pytest.raises(ValueError):
+        readers.read_negatives(spark, f"file://{tmp_path}/bad", g)
+    cache, made = stores.ResultCache(spark, f"file://{tmp_path}/neg_cache"), []
+    for q_, seed in ((5, 1), (5, 1), (5, 2), (6, 1)):
+        stores.cached_negatives(cache, "d", "val", q_, seed, 1.0, lambda: made.append(1) or spark.range(1))
+    assert len(made) == 3
+    names = spark.createDataFrame([(1, "Police (Chad)"), (2, "Chad")], "id long, name string")
+    edges = entities.word_edges(names)
+    stores.write_word_graph(entities.word_ids(edges), entities.word_graph(edges), f"file://{tmp_path}/words")
+    back = spark.read.csv(f"file://{tmp_path}/words/e-w-graph", sep="\t", schema="e long, role int, w long")
+    assert sorted(map(tuple, back.collect())) == [(1, 0, 1), (1, 1, 0), (2, 2, 0)]
+    with pytest.raises(ValueError):
+        readers.load(spark, "tkg", "x", q=-2)
+
+
+def test_component_store(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 7, 0.5, 0.25), (1, 1, 8, 0.0, 1.0)], "qid long, cand_idx int, cand long, dsh double, dmh double")
+    root, calls = f"file://{tmp_path}/parts", []
+    store = stores.ComponentStore(spark, root, {"a": 1})
+    make = lambda: calls.append(1) or df
+    assert not store.holds("test") and store.get("test", make, ("dsh",)).count() == store.get("test", make, ("dsh",)).count() == 2 and len(calls) == 1
+    assert not store.holds("test", ("shared",)) and not stores.ComponentStore(spark, root, {"a": 2}).holds("test")
+    with pytest.raises(FileNotFoundError):
+        store.read("val")
+    with pytest.raises(ValueError):
+        store.put("val", df.withColumn("dmh", F.lit(float("inf"))))
+    assert not store.holds("val")
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a").write_text("x")
+    one = stores.fingerprint(spark, f"file://{tmp_path}/f")
+    (tmp_path / "f/a").write_text("xyz")
+    assert stores.fingerprint(spark, f"file://{tmp_path}/f") != one
