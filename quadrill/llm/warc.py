@@ -8,9 +8,11 @@ record id. ``read`` reads archives back. Each record is a gzip member of its own
 Archives are written through ``pyarrow.fs`` to the folder that the cluster shares. A task writes under a name
 of its attempt and renames at its end, so a lost executor leaves no half-written archive behind.
 
-Null payloads are empty payloads. Rows with equal or null page ids get records of their own (a record's id comes
+Null payloads are empty payloads, payloads of any length are one record; one record is held at a time. Page ids of any text come back as
+they were (percent-encoded in their header); urls are put on one line. Rows with equal or null page ids get records of their own (a record's id comes
 from its archive and its place in it); among equal payloads the first is the one with the smallest page id, nulls
-last, then the smallest record id. An empty table gives no archives. Other columns of the input are not read.
+last, then the smallest record id. An empty table gives no archives, and no archives give no rows. Other columns of the input are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark import TaskContext
@@ -32,6 +35,7 @@ from quadrill.llm.common import forget, new_path, table, written
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PLACE = "file string, offset long, length long"
 HEADER = f"{PLACE}, record_id string, record_type string, page_id string, url string, payload_digest string, payload_bytes long, refers_to_id string"
+_PLAIN = "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -65,7 +69,7 @@ def fields_of(kind: str, record_id: str, page_id: str, url: str, digest: str, si
         ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Bytes", str(size)),
-        ("X-Page-ID", page_id),
+        ("X-Page-ID", quote(page_id, safe=_PLAIN)),
         ("Content-Type", "application/http; msgtype=response"),
     ]
 
@@ -113,18 +117,18 @@ def members(uri: str, name: str) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, decompressed record) of every gzip member; only one record is held at a time."""
     fs, folder = open_fs(uri)
     with fs.open_input_stream(f"{folder}/{name}", compression=None, buffer_size=1 << 20) as source:
-        unpack, start, at, parts, buffer = zlib.decompressobj(31), 0, 0, [], b""
+        unpack, start, at, parts, buffer = zlib.decompressobj(31), 0, 0, [], memoryview(b"")
         while True:
-            if not buffer and not (buffer := source.read(1 << 20)):
+            if not buffer and not (buffer := memoryview(source.read(1 << 20))):
                 return
-            parts.append(unpack.decompress(buffer))
+            # what a member doesn't use of a piece is copied, so pieces are small
+            piece = buffer[: 1 << 14]
+            parts.append(unpack.decompress(piece))
+            used = len(piece) - len(unpack.unused_data)
+            at, buffer = at + used, buffer[used:]
             if unpack.eof:
-                rest = unpack.unused_data
-                at += len(buffer) - len(rest)
                 yield start, at - start, b"".join(parts)
-                unpack, start, parts, buffer = zlib.decompressobj(31), at, [], rest
-            else:
-                at, buffer = at + len(buffer), b""
+                unpack, start, parts = zlib.decompressobj(31), at, []
 
 
 def write_pages(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -166,7 +170,7 @@ def headers(files: DataFrame, uri: str, verify: bool = False) -> DataFrame:
                     if f.get("warc-type") == "response" and (verify or not digest or not size):
                         payload = payload_of(f, block)
                         digest, size = sha1_base32(payload), str(len(payload))
-                    rows.append((name, offset, length, f.get("warc-record-id", "").strip("<>"), f.get("warc-type"), f.get("x-page-id") or None, f.get("warc-target-uri", ""), digest or None, int(size) if size else None, f.get("warc-refers-to", "").strip("<>") or None))
+                    rows.append((name, offset, length, f.get("warc-record-id", "").strip("<>"), f.get("warc-type"), unquote(f.get("x-page-id", "")) or None, f.get("warc-target-uri", ""), digest or None, int(size) if size else None, f.get("warc-refers-to", "").strip("<>") or None))
                     if len(rows) == 5000:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
@@ -212,7 +216,7 @@ def deduplicate(spark: SparkSession, files: DataFrame, uri: str, to: str, least_
                 size = int(f.get("x-payload-bytes") or len(payload_of(f, block)))
                 digest = f.get("warc-payload-digest", "").rpartition(":")[2] or sha1_base32(payload_of(f, block))
                 ours, first_id = f.get("warc-record-id", "").strip("<>"), revisits.get(offset)
-                out = fields_of("revisit" if first_id else f.get("warc-type", "response"), ours, f.get("x-page-id", ""), f.get("warc-target-uri", ""), digest, size)
+                out = fields_of("revisit" if first_id else f.get("warc-type", "response"), ours, unquote(f.get("x-page-id", "")), f.get("warc-target-uri", ""), digest, size)
                 if first_id:
                     out += [("WARC-Refers-To", f"<{first_id}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
                     block = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"

@@ -452,6 +452,19 @@ def test_small_payloads_stay(spark):
     assert none.count() == 0
 
 
+def test_archives_odd_tables(spark):
+    none = docs(spark, [], "page_id long, url string, html string")
+    raw, final = new_path(spark, "raw"), new_path(spark, "final")
+    out = warc.deduplicate(spark, warc.write_pages(none, raw), raw, final)
+    assert out.count() == 0 and warc.resolve(warc.headers(out, final)).count() == 0
+    ids = ["plain", "line\nbreak", " spaces ", "100%", "é/ü?", "a: b"]
+    df = spark.createDataFrame([(x, f"http://h/{i}", "same text") for i, x in enumerate(ids)], "page_id string, url string, html string")
+    raw, final = new_path(spark, "raw"), new_path(spark, "final")
+    out = warc.deduplicate(spark, warc.write_pages(df, raw), raw, final, id_type="string")
+    got = {r.page_id: r.refers_to for r in warc.resolve(warc.headers(out, final, verify=True), "string").collect()}
+    assert got == {x: None if x == min(ids) else min(ids) for x in ids}
+
+
 # pipeline
 
 
