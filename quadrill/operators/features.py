@@ -207,3 +207,18 @@ def top_candidates(done: DataFrame, k: int = 10, by: str = "final", carry: tuple
     ranked = done.withColumn("rank_", R.ordinal_rank(by)).where(F.col("rank_") <= k)
     one = F.struct(F.col("rank_").alias("rank"), F.col("cand").alias("candidate_id"), (F.col("cand_idx") == 0).alias("is_positive"), F.col(by).alias("score"), *carry)
     return ranked.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("top"))
+
+
+def payload(done: DataFrame, queries: DataFrame, k: int = 10, scores: dict[str, str] | None = None) -> DataFrame:
+    """One row for each query: its fact and times, the true target's rank before and its strict and loose rank after, and the k best candidates with their scores.
+
+    ``scores`` names the score columns of ``done`` that are carried along, under the names they get.
+    """
+    named = scores or {"hybrid_score": "final", "model_score": "pred", "structure_score": "structure_raw", "time_score": "time"}
+    ranked = done.withColumn("rank_", R.ordinal_rank("final")).where(F.col("rank_") <= k)
+    one = F.struct(F.col("rank_").alias("rank"), F.col("cand").alias("candidate_id"), (F.col("cand_idx") == 0).alias("is_positive"), *(F.col(c).alias(n) for n, c in named.items()))
+    best = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias(f"top{k}"))
+    before = done.where("cand_idx = 0").select("qid", F.col("before_rank").alias("structure_rank_before"))
+    after = R.positive_ranks(done, "final").select("qid", F.col("strict").alias("strict_rank"), F.col("loose").alias("loose_rank"))
+    facts = queries.select(F.col("eid").alias("qid"), "s", "r", "o", F.col("t").alias("t_norm"), (F.col("t_orig") if "t_orig" in queries.columns else F.col("t")).alias("t_orig"))
+    return facts.join(before, "qid").join(after, "qid").join(best, "qid").withColumnRenamed("qid", "query_index")

@@ -1,10 +1,13 @@
-"""A pointwise re-ranker on feature tables: logistic regression fitted natively; no list-wise boosting is at hand here."""
+"""Re-rankers on feature tables: list-wise boosting on a bounded number of queries, a pointwise regression, and searches over options."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import product
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrill.operators import ranking as R
+from quadrill.operators.boosting import Ranker, RankerConfig
 
 KEY = ("qid", "cand_idx", "cand")
 
@@ -34,6 +38,46 @@ def predict(model, rows: DataFrame, names: list[str]) -> DataFrame:
     return out.select(*KEY, vector_to_array("probability")[1].alias("score"))
 
 
+def matrix(features: DataFrame, names: list[str], most_queries: int = 2000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, first row of each query and the total) of about ``most_queries`` queries chosen by a hash of their id; the true target comes first.
+
+    A query without exactly one true target is an error. So many queries times their candidates reach the driver.
+    """
+    n = features.where("cand_idx = 0").count()
+    share = F.pmod(F.xxhash64(F.lit(seed), "qid"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < min(1.0, most_queries / max(n, 1))
+    pdf = features.where(share).select("qid", "cand_idx", *(F.col(c).cast("double").alias(c) for c in names)).toPandas().sort_values(["qid", "cand_idx"])
+    starts = np.flatnonzero(np.r_[True, np.diff(pdf["qid"].to_numpy()) != 0]) if len(pdf) else np.zeros(0, int)
+    first = pdf["cand_idx"].to_numpy() == 0
+    if len(pdf) and (first.sum() != len(starts) or not first[starts].all()):
+        raise ValueError("every query must have exactly one true target")
+    return pdf[names].to_numpy(float), np.r_[starts, len(pdf)].astype(int)
+
+
+def fit_listwise(train: DataFrame, val: DataFrame | None, names: list[str], config: RankerConfig = RankerConfig(), most_queries: int = 2000) -> Ranker:
+    """Boosted trees on training queries; validation queries, if given, say when to stop."""
+    x, starts = matrix(train, names, most_queries)
+    return Ranker(names, config).fit(x, starts, matrix(val, names, most_queries) if val is not None else None)
+
+
+def predict_listwise(model: Ranker, rows: DataFrame) -> DataFrame:
+    """The rows' keys and ``score``; an undefined or infinite feature is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[model.names].to_numpy(float)
+            if not np.isfinite(x).all():
+                raise ValueError(f"{int((~np.isfinite(x)).sum())} feature values are undefined or infinite")
+            yield pdf[list(KEY)].assign(score=model.predict(x))
+
+    kinds = dict(rows.dtypes)
+    picked = rows.select(*KEY, *(F.col(c).cast("double").alias(c) for c in model.names))
+    return picked.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", score double")
+
+
+def rerank_listwise(train: DataFrame, val: DataFrame | None, test: DataFrame, config: RankerConfig = RankerConfig(), most_queries: int = 2000) -> DataFrame:
+    return predict_listwise(fit_listwise(train, val, feature_names(train), config, most_queries), test)
+
+
 def rerank(train: DataFrame, test: DataFrame, **options: Any) -> DataFrame:
     names = feature_names(train)
     return predict(fit(train, names, **options), test, names)
@@ -44,6 +88,35 @@ def grid(space: dict[str, list]) -> list[dict[str, Any]]:
     return [dict(zip(space, values, strict=True)) for values in product(*space.values())]
 
 
+def sampled(space: dict[str, list | tuple], n: int, seed: int = 0) -> list[dict[str, Any]]:
+    """n random combinations: one of a list, or a number between the two of a pair (log-uniform if both are positive and a factor of 10 apart; whole if both are)."""
+    r = np.random.default_rng(seed)
+
+    def draw(v: list | tuple) -> Any:
+        if isinstance(v, list):
+            return v[int(r.integers(len(v)))]
+        low, high = v
+        x = float(np.exp(r.uniform(np.log(low), np.log(high)))) if low > 0 and high >= 10 * low else float(r.uniform(low, high))
+        return int(round(x)) if isinstance(low, int) and isinstance(high, int) else x
+
+    return [{k: draw(v) for k, v in space.items()} for _ in range(n)]
+
+
+def best_records(records: list[dict[str, Any]], metric: str, k: int = 1) -> list[dict[str, Any]]:
+    """The k records of the best metric; equal ones in the order in which they were tried."""
+    return sorted(records, key=lambda r: -r[metric])[:k]
+
+
+def staged(stages: list[Callable[[list[dict[str, Any]]], list[dict[str, Any]]]], evaluate: Callable[[dict[str, Any]], dict[str, float]], metric: str = "mrr_strict", keep: int = 3) -> list[dict[str, Any]]:
+    """Records of all options tried, stage by stage: each stage names options, given the best of those before it; none is tried twice."""
+    records: list[dict[str, Any]] = []
+    for stage in stages:
+        for options in stage(best_records(records, metric, keep)):
+            if not any(r["options"] == options for r in records):
+                records.append({"options": options} | evaluate(options))
+    return records
+
+
 def select(train: DataFrame, val: DataFrame, space: dict[str, list], metric: str = "mrr_strict") -> tuple[dict[str, Any], float]:
     """The options that do best on validation queries; test queries take no part in the choice."""
     best: tuple[dict[str, Any], float] = ({}, float("-inf"))

@@ -144,6 +144,18 @@ def top10_payload(spark, sf_dir):
     return X.top_candidates(_rescued(spark, sf_dir)).select("qid", F.array_join(F.transform("top", text), ",").alias("top"))
 
 
+@query("top10_records", sql(RESCUE, ORDER, "tops AS (SELECT d.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand_idx) AS rank FROM done d)", T.RANKS,
+    select="""SELECT q.eid AS query_index, q.s, q.r, q.o, q.t AS t_norm, q.t AS t_orig, b.before_rank AS structure_rank_before, strict AS strict_rank, loose AS loose_rank, CAST(rank AS INTEGER) AS rank, k.cand AS candidate_id, k.cand_idx = 0 AS is_positive,
+  round(k.score, 6) AS hybrid_score, round(m.time, 6) AS model_score, round(m.struct, 6) AS structure_score, round(m.time, 6) AS time_score
+  FROM tops k JOIN quads q ON q.eid = k.qid JOIN (SELECT qid, before_rank FROM done WHERE cand_idx = 0) b ON b.qid = k.qid JOIN ranks ON ranks.qid = k.qid JOIN both_scores m ON m.qid = k.qid AND m.cand_idx = k.cand_idx WHERE rank <= 10"""))
+def top10_records(spark, sf_dir):
+    """The payload's ten candidates, one row each; the time score stands for a model's."""
+    done = _rescued(spark, sf_dir).withColumns({"pred": F.col("time"), "structure_raw": F.col("struct")})
+    out = X.payload(done, T.events(spark, sf_dir).where("split = 'test'")).select("*", F.explode("top10").alias("top")).drop("top10").select("*", "top.*").drop("top")
+    out = out.withColumns({c: F.round(c, 6) for c in ("hybrid_score", "model_score", "structure_score", "time_score")})
+    return out.withColumns({c: F.col(c).cast("long") for c in ("structure_rank_before", "strict_rank", "loose_rank")})
+
+
 def _minmax(c: str) -> str:
     return f"({c} - min({c}) OVER {W}) / greatest(max({c}) OVER {W} - min({c}) OVER {W}, 1e-12)"
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from quadrill.functions import encoding as E
 from quadrill.functions import entities as W
+from quadrill.graph import last_snapshots
 from quadrill.operators import features as X
 from quadrill.operators import history as H
 from quadrill.operators import negatives as K
 from quadrill.operators import ppr as P
 from quadrill.operators import ranking as R
-from quadrill.operators.rerank import rerank
+from quadrill.operators import time_model as N
+from quadrill.operators.rerank import rerank, rerank_listwise
 from quadrill.plans import temporal as T
 from quadrill.plans.catalog import query
 from quadrill.sources.stores import ScoreStore
@@ -75,20 +77,41 @@ def score_store_roundtrip(spark, sf_dir):
     return R.rounded(store.dense("test").withColumn("score", F.col("score").cast("double")), 5)
 
 
-@query("recommender_rerank")
-def recommender_rerank(spark, sf_dir):
-    """Features of two scores, a pointwise ranker fitted on the validation queries, metrics of the test queries.
+def _split_features(spark, sf_dir):
+    """Feature tables of two scores for the training suffix, validation and test queries.
 
     Ordinal ranks put the true target first among ties, which a ranker would learn to see; features made from them are left out.
     """
     g = T.event_graph(spark, sf_dir)
-    parts = {}
-    for split in ("val", "test"):
-        queries = g.quads.where(F.col("split") == split)
+    parts = {"train": last_snapshots(g.quads.where("split = 'train'"), 0.3)} | {s: g.quads.where(F.col("split") == s) for s in ("val", "test")}
+    out = {}
+    for split, queries in parts.items():
         cands = K.candidates(queries, K.tiered(g, queries, T.Q, T.SEED))
         two = H.recency_scores(H.decayed_scores(cands, g.quads, T.DECAY).withColumnRenamed("score", "struct"), g.quads).withColumnRenamed("score", "time")
         table = X.hybrid_features(two, g.num_rels)
-        parts[split] = table.drop(*(c for c in table.columns if "rank" in c or "top" in c))
-    return R.metrics(R.positive_ranks(rerank(parts["val"], parts["test"])))
+        out[split] = P.stored(table.drop(*(c for c in table.columns if "rank" in c or "top" in c)))
+    return out
+
 
+@query("recommender_rerank")
+def recommender_rerank(spark, sf_dir):
+    """List-wise boosting fitted on the training suffix, stopped by validation queries; metrics of the test queries."""
+    parts = _split_features(spark, sf_dir)
+    return R.metrics(R.positive_ranks(rerank_listwise(parts["train"], parts["val"], parts["test"])))
 
+
+@query("recommender_pointwise")
+def recommender_pointwise(spark, sf_dir):
+    """The pointwise ranker on the same tables."""
+    parts = _split_features(spark, sf_dir)
+    return R.metrics(R.positive_ranks(rerank(parts["train"], parts["test"])))
+
+
+@query("time_model_mrr")
+def time_model_mrr(spark, sf_dir):
+    """The learnt time score: fitted on the training suffix, stopped by validation queries; metrics of the test queries."""
+    g = T.event_graph(spark, sf_dir)
+    parts = {"train": last_snapshots(g.quads.where("split = 'train'"), 0.3)} | {s: g.quads.where(F.col("split") == s) for s in ("val", "test")}
+    cands = {name: K.candidates(q, K.tiered(g, q, T.Q, T.SEED)) for name, q in parts.items()}
+    model = N.fit(cands["train"], cands["val"], g.quads, g.num_rels)
+    return R.metrics(R.positive_ranks(N.time_scores(cands["test"], g.quads, model)))
