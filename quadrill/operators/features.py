@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadrill.operators import ranking as R
 
-#: Component scores of the structure model.
+#: Component scores of the structure model, counters, and the names of three counters among the features.
 COMPONENTS = ("dsh", "dmh", "shared", "direct", "structure_raw", "b", "base")
 COUNTERS = ("tail_count", "incident_count", "rel_tail_count", "source_count", "rel_count", "source_rel", "exact_sro", "source_tail")
 HISTORY_NAMES = dict(zip(("source_rel", "exact_sro", "source_tail"), ("source_rel_log1p", "exact_sro_log1p", "source_tail_log1p"), strict=True))
@@ -192,7 +192,7 @@ def rescued(df: DataFrame, topk: int, pred: str = "pred", score: str = "structur
 
 
 def rescue_stats(done: DataFrame, topk: int = 100) -> DataFrame:
-    """How many true targets were where before and after: six counters."""
+    """How many true targets were where before and after: six counters, whose names are fixed values."""
     before = done.where("cand_idx = 0").select("qid", "before_rank")
     both = R.positive_ranks(done, "final").select("qid", "strict").join(before, "qid")
     b, a = F.col("before_rank"), F.col("strict")

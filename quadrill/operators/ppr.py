@@ -185,20 +185,21 @@ def advance(table: StateTable, now: Schedule, cfg: PprConfig, transitions: DataF
 
 def _merge_tags(old: DataFrame, seen: DataFrame, src: DataFrame, cfg: PprConfig) -> DataFrame:
     """Sum (or largest) of old and new mass by key; the tag is the relation of the largest contribution, the older winning ties."""
-    kept = old.select(F.col("node").alias("s"), "key", (F.col("s1") * F.col("score")).alias("mass"), "tag", (F.col("s1") * F.col("tag_score" if cfg.mode == "tag_sum" else "score")).alias("strength"), F.lit(0).cast("long").alias("place"))
-    came = seen.select("s", "key", F.col("gain").alias("mass"), F.col("r").alias("tag"), F.col("gain").alias("strength"), (F.col("eid") + 1).alias("place"))
+    none = F.lit(0.0).alias("back")
+    kept = old.select(F.col("node").alias("s"), "key", (F.col("s1") * F.col("score")).alias("mass"), "tag", (F.col("s1") * F.col("tag_score" if cfg.mode == "tag_sum" else "score")).alias("strength"), F.lit(0).cast("long").alias("place"), none)
+    came = seen.select("s", "key", F.col("gain").alias("mass"), F.col("r").alias("tag"), F.col("gain").alias("strength"), (F.col("eid") + 1).alias("place"), none)
     mine = F.col("key") == F.col("s")
     if cfg.mode == "tag_sum":
         # a source's own key takes no tag from its targets
         came = came.withColumn("strength", F.when(mine, F.lit(-1.0)).otherwise(F.col("strength")))
-    back = src.select("s", F.col("s").alias("key"), F.lit(cfg.alpha).alias("back"))
+    # what returns to the source itself is a row among the others, without a mass or tag of its own
+    home = src.select("s", F.col("s").alias("key"), F.lit(None).cast("double").alias("mass"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("double").alias("strength"), F.lit(0).cast("long").alias("place"), F.lit(cfg.alpha).alias("back"))
     mass = F.sum("mass") if cfg.mode == "tag_sum" else F.max("mass")
-    best = F.max_by(F.struct("tag", "strength"), F.struct(F.round("strength", PLACES).alias("strong"), (-F.col("place")).alias("first")))
-    merged = kept.unionByName(came).groupBy("s", "key").agg(mass.alias("mass"), best.alias("best"))
-    merged = merged.join(back, ["s", "key"], "full_outer")
-    score = F.coalesce("mass", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))
-    own = F.col("back").isNotNull()
-    merged = merged.select("s", "key", score.alias("score"), F.when(own, SELF).otherwise(F.col("best.tag")).alias("tag"), (F.greatest(F.coalesce("best.strength", F.lit(0.0)), F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("tag_score"))
+    order = F.when(F.col("strength").isNotNull(), F.struct(F.round("strength", PLACES).alias("strong"), (-F.col("place")).alias("first")))
+    best = F.max_by(F.struct("tag", "strength"), order)
+    merged = kept.unionByName(came).unionByName(home).groupBy("s", "key").agg(mass.alias("mass"), best.alias("best"), F.sum("back").alias("back"), F.max(F.col("mass").isNull()).alias("own"))
+    score = F.coalesce("mass", F.lit(0.0)) + F.col("back")
+    merged = merged.select("s", "key", score.alias("score"), F.when(F.col("own"), SELF).otherwise(F.col("best.tag")).alias("tag"), (F.greatest(F.coalesce("best.strength", F.lit(0.0)), F.lit(0.0)) + F.col("back")).alias("tag_score"))
     w = Window.partitionBy("s")
     ranked = merged.withColumns({"rank_": F.row_number().over(w.orderBy(F.round("score", PLACES).desc(), "key")), "n_": F.count("*").over(w)}).where(F.col("rank_") <= cfg.top_keys)
     # scaled to 1 only where keys were cut off
