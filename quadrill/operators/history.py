@@ -36,21 +36,19 @@ def decayed_prefix(asked: DataFrame, quads: DataFrame, keys: list[str], decay: f
     weight = F.pow(F.lit(2.0), F.lit(float(decay)) * (F.col("t") - (F.floor(F.col("t") / span) + 1) * span)) if decay > 0 else F.lit(1.0)
     n = quads.groupBy(*keys, "t").agg(F.count("*").alias("n")).select(*keys, "t", epoch, (F.col("n") * weight).alias("w"), F.lit(0).alias("ask"))
     both = n.unionByName(asked.select(*keys, "t").distinct().select(*keys, "t", epoch, F.lit(0.0).alias("w"), F.lit(1).alias("ask")))
-    now = F.sum("w").over(Window.partitionBy(*keys, "epoch").orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
-    rows = both.withColumn("now", F.coalesce(now, F.lit(0.0))).where("ask = 1").select(*keys, "t", "epoch", "now")
-    # by epoch: the last two before it that hold anything
-    w = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    by_epoch = Window.partitionBy(*keys).orderBy("epoch")
-    adjacent = F.when(F.lag("epoch").over(by_epoch) == F.col("epoch") - 1, F.lag("total").over(by_epoch))
-    fade = F.lit(2.0 ** (-decay * span) if decay > 0 else 1.0)
-    total = both.groupBy(*keys, "epoch").agg(F.sum("w").alias("total")).withColumn("prior", F.coalesce(adjacent, F.lit(0.0)) * fade)
-    held = F.when(F.col("total") > 0, F.struct("epoch", (F.col("total") + F.col("prior")).alias("all")))
-    total = total.withColumn("last", F.last(held, ignorenulls=True).over(w)).select(*keys, "epoch", "last", "prior")
-    rows = rows.join(total, [*keys, "epoch"], "left")
-    last = F.col("last")
-    value = F.when(F.col("now") > 0, F.col("now") + F.col("prior")).otherwise(F.coalesce(last["all"], F.lit(0.0)))
-    at = F.when(F.col("now") > 0, F.col("epoch")).otherwise(F.coalesce(last["epoch"], F.col("epoch")))
-    return rows.select(*keys, "t", value.alias("value"), (F.lit(float(decay)) * (at + 1) * span).alias("power"))
+    # one exchange for all windows
+    both = both.repartition(*keys)
+    fact = F.col("ask") == 0
+    fade = 2.0 ** (-decay * span) if decay > 0 else 1.0
+    so_far = F.sum("w").over(Window.partitionBy(*keys, "epoch").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    earlier = F.max(F.when(fact, F.struct("t", "epoch", "so_far"))).over(Window.partitionBy(*keys).orderBy("epoch").rangeBetween(Window.unboundedPreceding, -1))
+    rows = both.withColumn("so_far", so_far).withColumn("earlier", earlier)
+    near = F.when(F.col("earlier")["epoch"] == F.col("epoch") - 1, F.col("earlier")["so_far"] * fade).otherwise(0.0)
+    rows = rows.withColumn("all", F.col("so_far") + F.coalesce(near, F.lit(0.0)))
+    last = F.max(F.when(fact, F.struct("t", "epoch", "all"))).over(Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("last", last).where("ask = 1")
+    power = F.lit(float(decay)) * (F.coalesce(F.col("last")["epoch"], F.col("epoch")) + 1) * span
+    return rows.select(*keys, "t", F.coalesce(F.col("last")["all"], F.lit(0.0)).alias("value"), power.alias("power"))
 
 
 def decayed_scores(cands: DataFrame, quads: DataFrame, decay: float) -> DataFrame:

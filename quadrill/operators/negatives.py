@@ -58,12 +58,24 @@ def tiered(g: TemporalGraph, queries: DataFrame, q: int, seed: int = 42, repeat:
     at_sr = g.quads.select(*by, F.col("o").alias("cand")).distinct()
     # the first tier: a short walk for all, the whole way for those that it leaves short
     allowed = lambda steps: steps.join(at_r, ["t", "r", "cand"], "left_anti")
+    if 2 * q >= g.num_dst:  # a short walk would be the whole way
+        return _ranked(_tiers(walk(keys, by, F.lit(g.num_dst), g.first_dst, g.num_dst, seed), at_sr, at_r), q, repeat)
     quick = stored(allowed(walk(keys, by, F.lit(2 * q), g.first_dst, g.num_dst, seed)))
     enough = quick.groupBy(*by).agg(F.count("*").alias("n_")).where(F.col("n_") >= q).select(*by)
     short = keys.join(enough, by, "left_anti").join(at_r.groupBy("t", "r").agg(F.count("*").alias("n_pos")), ["t", "r"], "left")
     slow = walk(short, by, F.lit(q) + F.coalesce("n_pos", F.lit(0)), g.first_dst, g.num_dst, seed)
-    slow = slow.join(at_sr, [*by, "cand"], "left_anti").join(at_r.withColumn("known", F.lit(1)), ["t", "r", "cand"], "left")
-    steps = quick.join(enough, by, "left_semi").select(*by, "cand", "place", F.lit(0).alias("known")).unionByName(slow.select(*by, "cand", "place", F.coalesce("known", F.lit(0)).alias("known")))
+    steps = quick.join(enough, by, "left_semi").select(*by, "cand", "place", F.lit(0).alias("known")).unionByName(_tiers(slow, at_sr, at_r))
+    return _ranked(steps, q, repeat)
+
+
+def _tiers(steps: DataFrame, at_sr: DataFrame, at_r: DataFrame) -> DataFrame:
+    """Steps that are no positive of (t, s, r), and whether they are one of (t, r)."""
+    steps = steps.join(at_sr, ["t", "s", "r", "cand"], "left_anti").join(at_r.withColumn("known", F.lit(1)), ["t", "r", "cand"], "left")
+    return steps.select("t", "s", "r", "cand", "place", F.coalesce("known", F.lit(0)).alias("known"))
+
+
+def _ranked(steps: DataFrame, q: int, repeat: bool) -> DataFrame:
+    by = ["t", "s", "r"]
     w = Window.partitionBy(*by)
     ranked = steps.select(*by, "cand", F.row_number().over(w.orderBy("known", "place")).alias("rn"), F.count("*").over(w).alias("n")).where(F.col("rn") <= q)
     if not repeat:
@@ -107,12 +119,15 @@ def train_hard(g: TemporalGraph, queries: DataFrame, q: int, hard_ratio: float,
         rows = rows.join(pos, ["t", "s", "r", "cand"], "left_anti").join(seen, ["r", "cand"], "left")
         return rows.select(*by, "place", "cand", F.coalesce((F.col("first_t") < F.col("t")).cast("int"), F.lit(0)).alias("hard"))
 
-    quick = stored(walked(keys, F.lit(4 * q)))
+    whole = 4 * q >= g.num_dst  # a short walk is the whole way
+    quick = walked(keys, F.lit(g.num_dst)) if whole else stored(walked(keys, F.lit(4 * q)))
     enough = quick.groupBy("qid").agg(F.sum("hard").alias("h_"), F.count("*").alias("n_")).where((F.col("h_") >= quota) & (F.col("n_") - F.col("h_") >= q - quota)).select("qid")
     # as many steps as targets can be excluded: those the relation has had before and the positives of the snapshot
     known = seen.groupBy("r").agg(F.count("*").alias("n_seen"))
-    slow = walked(keys.join(enough, "qid", "left_anti").join(known, "r", "left"), F.lit(q) + F.coalesce("n_seen", F.lit(0)))
-    steps = quick.join(enough, "qid", "left_semi").unionByName(slow)
+    steps = quick
+    if not whole:
+        slow = walked(keys.join(enough, "qid", "left_anti").join(known, "r", "left"), F.lit(q) + F.coalesce("n_seen", F.lit(0)))
+        steps = quick.join(enough, "qid", "left_semi").unionByName(slow)
     ranked = steps.withColumn("own", F.row_number().over(Window.partitionBy("qid", "hard").orderBy("place")))
     ranked = ranked.where((F.col("hard") == 0) | (F.col("own") <= quota))
     ranked = ranked.withColumn("neg_idx", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hard"), "place"))).where(F.col("neg_idx") <= q)
