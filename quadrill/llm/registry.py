@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import ann, decontaminate, html_text, jaccard, langid, licences, mixing, pii, quality, warc
+from quadrill.llm import ann, decontaminate, html_text, jaccard, langid, licences, mixing, periods, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,8 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_html": html_text.op9_html,
         "op10_quality": quality.op10_quality,
+        "op11_runs": periods.op11_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL}
+    return {"op3_decontaminate": decontaminate.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op11_runs": periods.OP11_SQL}
