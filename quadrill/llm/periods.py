@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,19 +210,21 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", times: int = TIMES, l
                 part, size = [], 0
         yield part
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
+        for batch in batches:
             found, texts = [], []
-            for part in chunks(pdf["utf8_"].tolist()):
+            for part in chunks(batch.column("utf8_").to_pylist()):
                 for words, runs in zip(part, runs_of_texts(part, times, least), strict=True):
                     found.append([{"start": s, "length": n, "period": p} for s, n, p in runs])
                     texts.append((kept(words, runs) if runs else b" ".join(words)).decode())
-            yield pdf.drop(columns="utf8_").assign(runs=found, collapsed=texts)
+            columns = [*batch.columns[:-1], pa.array(found, kind), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "runs", "collapsed"])
 
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in base.columns), "runs array<struct<start: bigint, length: bigint, period: bigint>>", "collapsed string"])
     carried = [F.col(f"`{c}`") for c in base.columns]
-    return base.select(*carried, F.col(f"`{text_col}`").cast("binary").alias("utf8_")).mapInPandas(lean(run), schema)
+    return base.select(*carried, F.col(f"`{text_col}`").cast("binary").alias("utf8_")).mapInArrow(lean(run), schema)
 
 
 def damaged(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quadrill.llm import ann, decontaminate, html_text, jaccard, langid, licences, mixing, periods, pii, quality, warc
+from quadrill.llm import ann, conversations, decontaminate, html_text, jaccard, langid, licences, mixing, packing, periods, pii, quality, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -20,8 +20,17 @@ def queries() -> dict[str, Callable]:
         "op9_html": html_text.op9_html,
         "op10_quality": quality.op10_quality,
         "op11_runs": periods.op11_runs,
+        "op12_conversations": conversations.op12_conversations,
+        "op13_packing": packing.op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op11_runs": periods.OP11_SQL}
+    return {
+        "op3_decontaminate": decontaminate.OP3_SQL,
+        "op4_mixing": mixing.OP4_SQL,
+        "op5_warc": warc.OP5_SQL,
+        "op8_jaccard": jaccard.OP8_SQL,
+        "op11_runs": periods.OP11_SQL,
+        "op12_conversations": conversations.OP12_SQL,
+    }
