@@ -24,15 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrill.llm.common import lean, table, written
+from quadrill.llm.common import lean, table, trim, written
 
 #: Rows that a bucket of one length holds on average.
-BUCKET = 50_000
-#: Characters that are tokenised together, words that a worker remembers, and the longest of them.
-CHUNK, MOST_WORDS, LONGEST_WORD = 1_000_000, 400_000, 40
+BUCKET = 4_000
+#: Characters that are tokenised together, half the words that a worker remembers, and the longest of them.
+CHUNK, MOST_WORDS, LONGEST_WORD = 8_000_000, 250_000, 40
+#: Words that are tokenised together, and marks that are tokens of their own at the end of a word.
+TOGETHER, MARKS = 500, ".,!?;:"
 #: A word of its own that stands between two others while they are tokenised.
 BREAK = "\x01"
 
@@ -111,50 +114,90 @@ def place(lengths: list[int], counts: list[int], config: PackConfig) -> np.ndarr
 class Vocabulary:
     """A tokenizer that remembers what words become. A text's white space is dropped and its words are tokenised apart, so words may be taken one by one.
 
-    Texts are cut at blanks and line ends only; what else counts as white space is left to the tokenizer.
+    Texts are cut at blanks and line ends only; what else counts as white space is left to the tokenizer. It lowers case, so texts of Latin-1
+    letters are lowered first, unless a special token might be in them. A mark after a word's last letter or digit is learnt apart from the word. Words are
+    remembered in two generations: when the younger is full, it becomes the older, from which words that occur again come back.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.border = self.tokenizer.encode(BREAK, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.border = self.ids([BREAK])
+        self.marks = {m: self.plain(m) for m in MARKS}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+
+    def plain(self, word: str) -> bytes:
+        return self.ids([word]).tobytes()
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words as little-endian bytes."""
-        plain = [w for w in words if BREAK not in w] if len(self.border) == 1 else []
-        out = {}
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(f" {BREAK} ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.border[0]), len(ids))
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer doesn't keep words apart")
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(part, (4 * ends).tolist(), strict=True):
-                out[w] = data[begin:end]
-                begin = end + 4
-        for w in words:
-            if w not in out:
-                out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        stems = {w: w[:-1] for w in words if w and w[-1] in self.marks and w[:-1] and w[-2].isalnum()}
+        new = set(words).difference(stems).union(stems.values())
+        found = {w: self.known[w] for w in new if w in self.known}
+        letters, others = [], []
+        for w in new:
+            if w not in found:
+                (letters if w.isalpha() and w.isascii() else others).append(w)
+        for i in range(0, len(letters), TOGETHER):
+            self.split(found, part := letters[i : i + TOGETHER], ids := self.ids(part), np.flatnonzero(self.ends[ids]) + 1, 0)
+        for i in range(0, len(others), TOGETHER):
+            part = [w for w in others[i : i + TOGETHER] if BREAK not in w] if len(self.border) == 1 else []
+            ids = self.ids([x for w in part for x in (w, BREAK)])
+            self.split(found, part, ids, np.flatnonzero(ids == self.border[0]), 4)
+        for w in others:
+            if w not in found:
+                found[w] = self.plain(w)
+        return found | {w: found[stem] + self.marks[w[-1]] for w, stem in stems.items()}
+
+    def split(self, found: dict[str, bytes], words: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        """Add the ids of each word, which end where ``ends`` says; ``skip`` bytes follow."""
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't keep words apart")
+        data, begin = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            found[w] = data[begin:end]
+            begin = end + skip
+
+    def lowered(self, text: str) -> str:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in cut for w in words}.difference(self.known)
-        if new:
-            learnt = self.learn(sorted(new))
-            if len(self.known) + len(new) > MOST_WORDS:
-                seen = {w: self.known[w] for words in cut for w in words if w in self.known}
-                self.known = {"": b""} | seen
-            self.known |= learnt
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        for w in new:
+        """The ids of each text as little-endian bytes: Arrow cuts texts and numbers their words, so only different words are looked up."""
+        lists = pc.split_pattern(pa.array([self.lowered(t) for t in texts], pa.large_string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        found = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known |= again
+        learnt = self.learn([w for w in new if w not in again])
+        self.known |= learnt
+        each = pa.array([self.known[w] if x is None else x for w, x in zip(words, found, strict=True)], pa.large_binary()).take(numbered.indices)
+        for w in learnt:
             if len(w) > LONGEST_WORD:
                 del self.known[w]
-        return out
+        if len(self.known) > MOST_WORDS:
+            self.older, self.known = self.known, {}
+        if not len(each):
+            return [b""] * len(texts)
+        _, ends, data = each.buffers()
+        ends = np.frombuffer(ends, np.int64)[each.offset : each.offset + len(each) + 1]
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        cuts, data = ends[first].tolist(), memoryview(data) if data is not None else b""
+        return [bytes(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -163,7 +206,7 @@ _vocabularies: dict[str, Vocabulary] = {}
 def vocabulary(path: str) -> Vocabulary:
     """One for each worker and file."""
     if path not in _vocabularies:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _vocabularies[path] = Vocabulary(path)
     return _vocabularies[path]
 
@@ -221,6 +264,8 @@ def pack(items: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
     key = n * (1 << 44) + rank
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _vocabularies.clear()  # this worker's words are not needed any more
+        trim()
         for batch in batches:
             size, own = batch.column("length").to_numpy(zero_copy_only=False), batch.column("rank_").to_numpy(zero_copy_only=False)
             at = np.searchsorted(key, size * (1 << 44) + own, side="right") - 1
