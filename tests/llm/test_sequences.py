@@ -241,7 +241,7 @@ def test_words_are_tokenised_as_texts(data, monkeypatch):
 
     plain = Tokenizer.from_file(words_path())
     texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{data}/documents.parquet'").fetchall()]
-    texts += ["", " ", "a\x01b \x01 c", "it's we'll 'tis", "<|endoftext|> x<|startoftext|>y", "e\u0301 \u0301x Å\u00a0b\x1cc\td\r\ne", "ΑΣ ΟΔΟΣ İx", "...  !!x", "1234 5,6", "日本 語", "x" * 5000]
+    texts += ["", " ", "a\x01b \x01 c", "it's we'll 'tis", "<|endoftext|> x<|startoftext|>y", "e\u0301 \u0301x Å\u00a0b\x1cc\td\r\ne", "ΑΣ ΟΔΟΣ İx", "...  !!x", "1234 5,6", "日本 語", "x" * 5000, "A.B. C, d?. e!, F_. (g). ²: À Éß. x", "<|ENDOFTEXT|> A", "a.\\tb.", "É É. ÉE, É", "'S 'T. it'S."]
     for most in (400_000, 50):
         monkeypatch.setattr(packing, "MOST_WORDS", most)
         vocab = packing.Vocabulary(words_path())
