@@ -3,7 +3,7 @@
 Paragraphs are the parts of a text between blank lines, their lines joined; they are read in windows of ``SPAN`` words, one every
 ``STEP`` words, so that a notice within a long paragraph is seen whole. A window is a sparse set of word 1- and 2-grams: those of the
 notices below that hold a word other than a function word. Multinomial logistic regression over them names a family, ``unknown``
-(licence language of no known family) or ``none``; a prediction below the calibrated threshold is ``unknown`` too. It is confirmed if
+(licence language of no known family) or ``none``; a family whose logit is not above that of ``unknown`` by the calibrated threshold is ``unknown`` too. It is confirmed if
 the window holds enough of the grams of one of the family's notices (template comparison).
 
 The model is fitted on the driver from notices and prose made by rule from a seed, so it never grows with the data. What is learnt as
@@ -36,6 +36,7 @@ NOTICES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "This project is distributed under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0", "Apache-2.0",
+        "License: Apache 2.0", "Apache License 2.0", "Apache-Lizenz 2.0", "Licencia Apache 2.0",
     ),
     "mit": (
         "Released under the MIT License.",
@@ -43,6 +44,7 @@ NOTICES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
         "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability",
+        "License: MIT", "MIT License", "MIT-Lizenz", "Licence MIT", "Publicado bajo la Licencia MIT",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -50,29 +52,34 @@ NOTICES = {
         "Licensed under the GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Released under GPLv3.", "GPLv3", "GPL-3.0-or-later", "GPL-2.0",
+        "License: GPL", "GNU GPL", "Licence GPL",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "Licensed under the LGPL version 3.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1", "LGPLv3",
+        "License: LGPL", "GNU LGPL",
     ),
     "agpl": (
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "Licensed under the AGPL version 3.",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0", "AGPLv3",
+        "License: AGPL",
     ),
     "bsd": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD license.",
         "SPDX-License-Identifier: BSD-2-Clause",
+        "License: BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "BSD-Lizenz", "BSD-3-Clause",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0", "MPL-2.0",
+        "License: MPL",
     ),
     "epl": (
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
@@ -88,6 +95,12 @@ NOTICES = {
         "Released under the ISC License.",
         "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted",
         "SPDX-License-Identifier: ISC",
+        "License: ISC",
+    ),
+    "hpnd": (
+        "Permission to use, copy, modify and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appears in all copies",
+        "and that both that copyright notice and this permission notice appear in supporting documentation",
+        "SPDX-License-Identifier: HPND",
     ),
     "zlib": (
         "Released under the zlib License.",
@@ -110,20 +123,24 @@ NOTICES = {
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "CC-BY-4.0",
+        "Creative Commons Namensnennung 4.0 International", "Creative Commons Reconocimiento 4.0 Internacional",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "CC-BY-SA-4.0",
+        "Creative Commons Namensnennung - Weitergabe unter gleichen Bedingungen 4.0", "Creative Commons Attribution - Partage dans les mêmes conditions 4.0", "Creative Commons Reconocimiento-CompartirIgual 4.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "CC-BY-NC-4.0",
+        "Creative Commons Namensnennung - Nicht kommerziell 4.0", "Creative Commons Attribution - Pas d’utilisation commerciale 4.0", "Creative Commons Reconocimiento-NoComercial 4.0",
     ),
     "cc-by-nd": (
         "Licensed under CC BY-ND 4.0.",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "CC-BY-ND-4.0", "Creative Commons Namensnennung - Keine Bearbeitungen 4.0", "Creative Commons Attribution - Pas de modification 4.0", "Creative Commons Reconocimiento-SinObraDerivada 4.0",
     ),
     "public-domain": (
         "This work is released into the public domain under CC0.",
@@ -136,7 +153,7 @@ NOTICES = {
         "This document is confidential and proprietary; unauthorized copying of this file is strictly prohibited.",
     ),
 }
-#: Notices of families that are never learnt; the threshold of ``unknown`` is set on them.
+#: Notices of families that are never learnt; the threshold of ``unknown`` is set on them. Many share words with a known family's.
 HELD_OUT = (
     "Licensed under the Common Development and Distribution License, Version 1.0.", "This file is released under the CDDL.",
     "Licensed under the Microsoft Public License.", "Governed by the CeCILL license under French law.", "Licensed under the CeCILL version 2.1.",
@@ -145,6 +162,11 @@ HELD_OUT = (
     "This software is licensed under the PostgreSQL License.", "Released under the Beerware license.", "Distributed under the terms of the Ruby license.",
     "Licensed under the Open Software License 3.0.", "SPDX-License-Identifier: NCSA", "SPDX-License-Identifier: Unicode-3.0",
     "Licensed under the Server Side Public License.", "Made available under the Business Source License 1.1.", "Licensed under the Elastic License 2.0.",
+    "Licensed under the Mulan Public License, Version 2.0.", "Licensed under the Educational Community License, Version 2.0.", "Licensed under the Sun Public License, Version 1.0.",
+    "Redistribution of this data base in any form is permitted provided that the source is named", "Permission is granted to anyone to use this file for any purpose, subject to the conditions of the author",
+    "This Font is licensed under the Ubuntu Font Licence, Version 1.0.", "made available under the terms of the Common Public License v1.0", "License: WTFPL", "License: Sleepycat",
+    "you can redistribute it under the terms of the Open Software Foundation Motif License", "This work is licensed under the Free Art License 1.3.", "Licensed under the Open Data Commons Attribution License 1.0.",
+    "This Source Code Form is subject to the terms of the Nokia Public License, v. 1.0.", "Creative Commons Sampling Plus 1.0", "Creative Commons NonCommercial Sampling Plus 1.0", "Creative Commons Developing Nations 2.0",
 )
 CLASSES = (*NOTICES, "unknown", "none")
 UNKNOWN, NONE = len(NOTICES), len(NOTICES) + 1
@@ -160,7 +182,7 @@ LOOK_ALIKES = (
     "he holds a master of science from mit", "damages were paid for the loss", "the boost in sales was limited to spring", "international terms of trade", "reserved seats are in the front", "a warranty of two years is provided with the car",
     "the bar was granted a new licence under the old law", "the licence to practise was reserved to members", "the terms of the public contract", "version 2 of the story was never released", "permission to land was hereby refused",
 )
-SPAN, STEP, ERROR = 64, 32, 0.05
+SPAN, STEP, ERROR = 64, 32, 0.01
 _WORD = r"[^a-z0-9]+"
 
 
@@ -177,7 +199,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def model(seed: int = 3, copies: int = 60, rounds: int = 800) -> tuple[list[str], np.ndarray, float]:
-    """(grams, weights [grams + 1, classes], threshold)."""
+    """(grams, weights [grams + 1, classes], threshold of a family's logit over that of unknown)."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("aeiostrnlhdm") for _ in range(r.randint(2, 8)))
     filler = [w for x in LOOK_ALIKES for w in x.split()] + [word() for _ in range(600)]
@@ -203,7 +225,7 @@ def model(seed: int = 3, copies: int = 60, rounds: int = 800) -> tuple[list[str]
                 if any(names) and len(words) < 24:
                     lines.append(around([word().title() if own else w for w, own in zip(words, names, strict=True)]))
                     target.append(UNKNOWN)
-    for form in ("Licensed under the {} License.", "Released under the {} Public License, version {}.", "This work is licensed under the {} Community License.", "Distributed under the terms of the {} license.", "SPDX-License-Identifier: {}-{}", "Licensed under the {}.", "under the terms of the {} Free License", "This software is governed by the {} licence."):
+    for form in ("Licensed under the {} License.", "Released under the {} Public License, version {}.", "This work is licensed under the {} Community License.", "Distributed under the terms of the {} license.", "License: {}", "Open {} License", "SPDX-License-Identifier: {}-{}", "Licensed under the {}.", "under the terms of the {} Free License", "This software is governed by the {} licence."):
         for _ in range(copies):
             lines.append(around(form.replace("{}", word().title(), 1).replace("{}", f"{r.randint(1, 4)}.{r.randint(0, 2)}").split()))
             target.append(UNKNOWN)
@@ -232,9 +254,10 @@ def model(seed: int = 3, copies: int = 60, rounds: int = 800) -> tuple[list[str]
     held = np.zeros((len(HELD_OUT) * 8, x.shape[1]), np.float32)
     held[:, -1] = 1
     for i in range(len(held)):
-        held[i, [at[g] for g in grams_of(around(HELD_OUT[i % len(HELD_OUT)].split())) if g in at]] = 1
-    wrong = np.sort(softmax(held @ w)[:, :UNKNOWN].max(1))
-    threshold = float(wrong[int(np.ceil((1 - ERROR) * len(wrong))) - 1]) + 1e-6
+        held[i, [at[g] for g in grams_of(HELD_OUT[i // 8] if i % 2 else around(HELD_OUT[i // 8].split())) if g in at]] = 1
+    z = held @ w
+    over = np.where(z.argmax(1) == NONE, 0.0, z[:, :UNKNOWN].max(1) - z[:, UNKNOWN])  # what is none gets no name
+    threshold = max(0.0, float(np.sort(over)[int(np.ceil((1 - ERROR) * len(over))) - 1])) + 1e-6
     return vocabulary, w.astype(float), threshold
 
 
@@ -291,14 +314,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confir
     best = F.lit(NONE)
     for k in range(NONE - 1, -1, -1):
         best = F.when(z[k] == top, k).otherwise(best)
-    graded = written(sums.select(*key, best.alias("best"), (1 / total).alias("probability")).where(F.col("best") < NONE), "graded")
+    graded = written(sums.select(*key, best.alias("best"), (1 / total).alias("probability"), (top - z[UNKNOWN]).alias("over")).where(F.col("best") < NONE), "graded")
     # null ids are compared as values: a null is a document too
     g, d = grams.alias("g"), graded.where(F.col("best") < UNKNOWN).alias("d")
     shares = g.join(d, [F.col(f"g.{c}").eqNullSafe(F.col(f"d.{c}")) for c in key]).select("d.*", "g.gram")
-    shares = shares.join(F.broadcast(table_n), ["best", "gram"]).groupBy(*key, "best", "probability", "notice").agg((F.count("*") / F.max("size")).alias("share"))
-    shares = shares.groupBy(*key, "best", "probability").agg(F.max("share").alias("share"))
+    shares = shares.join(F.broadcast(table_n), ["best", "gram"]).groupBy(*key, "best", "probability", "over", "notice").agg((F.count("*") / F.max("size")).alias("share"))
+    shares = shares.groupBy(*key, "best", "probability", "over").agg(F.max("share").alias("share"))
     named = shares.unionByName(graded.where(F.col("best") == UNKNOWN).withColumn("share", F.lit(0.0)))
-    ok = (F.col("best") < UNKNOWN) & (F.col("probability") >= threshold)
+    ok = (F.col("best") < UNKNOWN) & (F.col("over") >= threshold)
     named = named.select("doc_id", "version", "place", F.when(ok, F.get(F.array(*map(F.lit, NOTICES)), F.col("best"))).otherwise("unknown").alias("family"), "probability", F.when(ok, F.col("share")).otherwise(0.0).alias("share"))
     one = named.groupBy("doc_id", "version", "place", "family").agg(F.max("probability").alias("probability"), F.max("share").alias("share"))
     return one.groupBy("doc_id", "family").agg(
