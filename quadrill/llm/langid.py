@@ -2,13 +2,14 @@
 
 The network is trained in numpy by backpropagation through time. It reads the UTF-8 bytes of a whole text (lower-cased, each run
 of white space as one space) in fixed windows that overlap by ``MARGIN`` bytes on either side: a state is carried across
-words, and every position whose label counts has at least that many bytes of context on both sides, or the text's end.
+words, and every position whose label counts has at least that many bytes of context on both sides, or the text's end. A text shorter than a window
+is padded, but both directions stop at its end, so padding changes nothing.
 Each position gets a distribution over languages; a document's probabilities are pooled from the mean log
 probabilities of all its positions.
 
-It learns from ``PIECES`` pieces of up to ``PIECE`` bytes of each text of a sample: about ``texts_per_lang`` distinct texts of each
-language outside the held-out fold, chosen by a hash of id and text, so the same table always gives the same sample. Executors cut the
-pieces; bytes that reach the driver are bounded by the sample and the number of languages, whatever the texts' lengths. Every language
+It learns from ``pieces`` pieces of up to ``piece`` bytes of each text of a sample: about ``texts_per_lang`` distinct texts of each
+language outside the held-out fold, chosen by a hash of id and text, so the same table always gives the same sample. How sharp probabilities are
+is set on a fifth as many further texts that are not learnt. Executors cut the pieces; bytes that reach the driver are bounded by the sample and the number of languages, whatever the texts' lengths. Every language
 that is a label is learnt.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row can be learnt
@@ -29,12 +30,11 @@ from pyspark.sql import functions as F
 
 from quadrill.llm.common import held_out, lean, table, uniform
 
-#: Bytes of a window, and of the context at its ends whose labels don't count; short texts are read in windows of the second length.
-WINDOW, MARGIN, SHORT = 144, 16, 32
+#: Bytes of a window, and of the context at its ends whose labels don't count; texts that fit are padded to the least of these sizes.
+WINDOW, MARGIN = 144, 16
+SIZES = (32, 64, 96, WINDOW)
 #: Windows that the network reads at once.
 TOGETHER = 1024
-#: Pieces of a text to learn from, and bytes of a piece.
-PIECES, PIECE = 8, 64
 
 
 def sigmoid(x: np.ndarray) -> None:
@@ -63,14 +63,15 @@ class Network:
         self.weights["bias"] = np.zeros(k, np.float32)
         return self
 
-    def sweep(self, d: str, x: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States [time, batch, hidden] of one direction for bytes [batch, time]; ``kept`` gets what training needs."""
+    def sweep(self, d: str, x: np.ndarray, kept: list | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """States [time, batch, hidden] of one direction for bytes [batch, time]; ``kept`` gets what training needs. What lies at or beyond ``ends`` is padding."""
         gates, re, h = self.weights["in_" + d], self.weights["re_" + d], self.hidden
         state = np.zeros((len(x), h), gates.dtype)
         out = np.empty((x.shape[1], len(x), h), gates.dtype)
         # parts apart, so that all that is written is contiguous
         gate_in, new_in, gate_re, new_re = (np.ascontiguousarray(m[:, part]) for m in (gates, re) for part in (slice(0, 2 * h), slice(2 * h, None)))
         x = np.ascontiguousarray(x.T)
+        first = ends.min() if ends is not None and d == "b" and len(ends) else len(x)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             zr = gate_in[x[t]]
             zr += state @ gate_re
@@ -85,11 +86,13 @@ class Network:
             state = np.subtract(state, n, out=out[t])
             state *= z
             state += n
+            if t >= first:
+                state *= (t < ends)[:, None]
         return out
 
-    def label(self, x: np.ndarray) -> np.ndarray:
+    def label(self, x: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
         """Log probabilities [time, batch, language] of every position."""
-        logits = self.sweep("f", x) @ self.weights["out"][: self.hidden] + self.sweep("b", x) @ self.weights["out"][self.hidden :] + self.weights["bias"]
+        logits = self.sweep("f", x) @ self.weights["out"][: self.hidden] + self.sweep("b", x, None, ends) @ self.weights["out"][self.hidden :] + self.weights["bias"]
         logits -= logits.max(2, keepdims=True)
         return logits - np.log(np.exp(logits).sum(2, keepdims=True))
 
@@ -132,7 +135,7 @@ def plain(text: str | None) -> bytes:
 
 
 def windows(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, bytes [n, size], first and last counted place) of a few windows at a time; windows end with spaces only where a text ends."""
+    """(text, bytes [n, size], first and last counted place) of a few windows at a time; only a text shorter than the window is padded, after its last counted place."""
     owner, rows, first, last = [], [], [], []
     for i, data in enumerate(texts):
         n, start, done = len(data), 0, 0
@@ -156,12 +159,14 @@ def pool(net: Network, texts: list[str | None]) -> np.ndarray:
     """Mean log probability over all byte positions of each text [document, language]; 0 of a text without any."""
     data = [plain(t) for t in texts]
     sums = np.zeros((len(texts), len(net.langs)))
-    for size in (SHORT, WINDOW):
-        own = [i for i, x in enumerate(data) if (len(x) <= SHORT) == (size == SHORT)]
+    group = np.searchsorted(SIZES, np.minimum([len(x) for x in data], WINDOW))
+    for k, size in enumerate(SIZES):
+        own = np.flatnonzero(group == k)
         for at, x, first, last in windows([data[i] for i in own], size):
             place = np.arange(size)[:, None]
-            part = np.einsum("tbk,tb->bk", net.label(x), ((place >= first) & (place < last)).astype(np.float32), optimize=True)
-            np.add.at(sums, np.array(own)[at], part)
+            ends = np.minimum(np.array([len(data[i]) for i in own[at]]), size)
+            part = np.einsum("tbk,tb->bk", net.label(x, ends if (ends < size).any() else None), ((place >= first) & (place < last)).astype(np.float32), optimize=True)
+            np.add.at(sums, own[at], part)
     return sums / np.maximum([len(x) for x in data], 1)[:, None]
 
 
@@ -193,7 +198,7 @@ def train(langs: list[str], pieces: list[tuple[bytes, str]], epochs: int = 4, se
 
 
 def calibrated(net: Network, pooled: np.ndarray, target: np.ndarray) -> Network:
-    """Choose how sharply pooled log probabilities become document probabilities, by likelihood of the pieces."""
+    """Choose how sharply pooled log probabilities become document probabilities, by likelihood of texts that were not learnt."""
     best = (np.inf, 1.0)
     for heat in (0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
         p = softmax(pooled * heat)
@@ -207,32 +212,36 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(docs: DataFrame, texts_per_lang: int = 250, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
-    """Train on a bounded sample: about ``texts_per_lang`` distinct texts of each language outside the held-out fold."""
+def fit(docs: DataFrame, texts_per_lang: int = 250, pieces: int = 8, piece: int = 64, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
+    """Train on a bounded sample: about ``texts_per_lang`` distinct texts of each language outside the held-out fold, ``pieces`` pieces of ``piece`` bytes of each."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), uniform(id_col, text_col, seed=2).alias("u"))
     # one row for each language
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return Network([]).start(0)
-    entries = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(texts_per_lang / n))]
+    entries = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(1.2 * texts_per_lang / n))]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text, lang, u in zip(pdf["text"], pdf["lang"], pdf["u"], strict=True):
                 data = plain(text)
-                starts = np.random.default_rng(int(u * (1 << 30))).integers(0, max(len(data) - PIECE, 0) + 1, PIECES if len(data) > PIECE else 1)
-                rows += [(lang, u, data[a : a + PIECE]) for a in np.unique(starts) if data]
+                starts = np.random.default_rng(int(u * (1 << 30))).integers(0, max(len(data) - piece, 0) + 1, pieces if len(data) > piece else 1)
+                rows += [(lang, u, data[a : a + piece]) for a in np.unique(starts) if data]
             yield pd.DataFrame(rows, columns=["lang", "u", "piece"])
 
     sample = usable.where(F.col("u") < F.element_at(F.create_map(*entries), F.col("lang"))).mapInPandas(lean(cut), "lang string, u double, piece binary").distinct()
-    pieces = sorted((bytes(r["piece"]), r["lang"], r["u"]) for r in sample.collect())
-    net = train(list(counts), [(x, lang) for x, lang, _ in pieces])
+    got = sorted((bytes(r["piece"]), r["lang"], r["u"]) for r in sample.collect())
+    # every sixth text of a language sets the sharpness; one with fewer is learnt from alone
+    texts = {lang: sorted({u for _, own, u in got if own == lang}) for lang in counts}
+    apart = {(lang, u) for lang, own in texts.items() for u in own[5::6]}
+    net = train(list(counts), [(x, lang) for x, lang, u in got if (lang, u) not in apart])
+    held = [g for g in got if (g[1], g[2]) in apart] or got
     # pieces of a text together stand for the text
-    keys = sorted({(lang, u) for _, lang, u in pieces})
+    keys = sorted({(lang, u) for _, lang, u in held})
     at = {k: i for i, k in enumerate(keys)}
     sums, n = np.zeros((len(keys), len(net.langs))), np.zeros(len(keys))
-    for (x, lang, u), logs in zip(pieces, pool(net, [x.decode("utf-8", "replace") for x, _, _ in pieces]), strict=True):
+    for (x, lang, u), logs in zip(held, pool(net, [x.decode("utf-8", "replace") for x, _, _ in held]), strict=True):
         sums[at[lang, u]] += logs * len(x)
         n[at[lang, u]] += len(x)
     return calibrated(net, sums / n[:, None], np.array([net.langs.index(lang) for lang, _ in keys])) if keys else net
