@@ -9,9 +9,8 @@ role or hidden attribute marks navigation, headers, footers, sidebars, notices,
 reader comments: a name counts only if all its parts do (``comments-list``, not ``comments-on-theory``). On pages with an article (or
 main) element only its branches count.
 
-Pages of a host with the same content (texts of the article, or of all blocks not named away) count as one page, so
-copied and mirrored pages never make their own content look like a template. An article of which low branches would
-take more than half of the text stays whole: it is one text on many pages, with another title or date.
+Pages of a host that share most of their content count as one page (the longest blocks that make up half of the article's text, or of all blocks not
+named away, are the same), so copied and mirrored pages, also those with another title or date, never make their own content look like a template.
 
 Null and empty pages give an empty text. Null urls, and urls without a host, form a host of their own. Repeated rows get one row each,
 null ids too. Whole pages are read, whatever their length or depth; malformed markup is closed as browsers close it. Equal pages of one host
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from quadrill.llm.common import forget, lean, table, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg textarea title math canvas object xmp".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -195,19 +194,25 @@ def walk(page: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[N
     return blocks, nodes
 
 
-def content(blocks: list[tuple[Node, str]]) -> tuple[list[tuple[Node, str]], bool]:
-    """The blocks of the article, if the page has one with text, else all; and whether it has."""
-    inside = [b for b in blocks if b[0].main]
-    return inside or blocks, bool(inside)
+def content(blocks: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+    """The blocks of the article, if the page has one with text, else all."""
+    return [b for b in blocks if b[0].main] or blocks
+
+
+def bulk(texts: list[str]) -> str:
+    """The longest texts that make up half of all; what pages have in common that differ by a title or a date."""
+    ordered, total, out, size = sorted(texts, key=lambda x: (-len(x), x)), sum(map(len, texts)), [], 0
+    for text in ordered:
+        out.append(text)
+        size += len(text)
+        if 2 * size >= total:
+            break
+    return "\n".join(out)
 
 
 def extract(page: str, dropped: frozenset[int]) -> str:
     """The page's blocks that lie in the article, if it has one, and in no branch of low importance."""
-    kept, article = content(walk(page, dropped)[0])
-    left = [b for b in kept if not b[0].low]
-    if not article or 2 * sum(len(text) for _, text in left) >= sum(len(text) for _, text in kept):
-        kept = left
-    return "\n\n".join(text for _, text in kept)
+    return "\n\n".join(text for node, text in content(walk(page, dropped)[0]) if not node.low)
 
 
 def host_column(url_col: str) -> Column:
@@ -222,7 +227,7 @@ def page_copies(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         for pdf in batches:
             contents = []
             for page in pdf["html"]:
-                contents.append(xxhash.xxh64_intdigest("\n".join(text for _, text in content(walk(page)[0])[0])) - (1 << 63))
+                contents.append(xxhash.xxh64_intdigest(bulk([text for _, text in content(walk(page)[0])])) - (1 << 63))
             yield pd.DataFrame({"host": pdf["host"], "payload": pdf["payload"], "content": contents})
 
     rows = pages.where(F.length(html_col) > 0).select(host_column(url_col).alias("host"), F.xxhash64(html_col).alias("payload"), F.col(html_col).alias("html"))
