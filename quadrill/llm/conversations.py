@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrill.llm.common import lean, table
+from quadrill.llm.common import lean, table, written
 
 #: Keep, give another role, delete, insert, leave truncated.
 COSTS = {"K": 0, "R": 3, "D": 4, "I": 3, "truncated": 3}
@@ -273,13 +273,13 @@ def repair(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
     ``ids`` (conv_id) names conversations that are reported even if they have no rows.
     """
-    rows = rows_of(df)
+    rows = written(rows_of(df), "rows")
     one = F.col("n") == 1  # further copies of a row are blank or duplicates
     stats = rows.groupBy("conv").agg(
         F.min("turn").alias("low_"), F.max("turn").alias("high_"), F.count_distinct("turn").alias("turns_"), F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("blank"),
         F.sum(F.when(F.col("blank"), 0).when(F.col("duplicate"), F.col("n")).when(one, 0).otherwise(F.col("n") - 1)).alias("duplicate"), F.sum(F.col("cut").cast("long")).alias("truncated"),
     )
-    fixed = joined_up(stretches_of(rows))
+    fixed = written(joined_up(stretches_of(rows)), "repairs")
     sums = digests(df, fixed)
     same = lambda a, b: a["conv"].eqNullSafe(b["conv"])
     out = stats.join(fixed, same(stats, fixed)).select(stats["*"], "cost", "audit", "illegal")
