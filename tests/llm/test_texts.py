@@ -193,15 +193,15 @@ def test_pooling_is_right():
     """Against the plain recurrence: short texts, texts of one window and of several; every byte counts once, with context across words."""
     net = langid.Network(["a", "b", "c"], hidden=3).start(5)
     r = random.Random(4)
-    texts = ["x", "Él  dijo\n", "ab " * 20, " ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) for _ in range(90)), "y" * 700, "", None]
+    texts = ["x", "Él  dijo\n", "ab " * 20, "a" * 32, "b" * 33, "ab cd " * 15, "é" * 72, " ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) for _ in range(90)), "y" * 700, "", None]
     got = langid.pool(net, texts)
     for text, have in zip(texts, got):
         data = langid.plain(text)
-        size = langid.SHORT if len(data) <= langid.SHORT else langid.WINDOW
+        size = langid.WINDOW
         want, done = np.zeros(3), 0
         while done < len(data):
             start = max(0, min(done - langid.MARGIN, len(data) - size))
-            logs = slow_network(net, data[start : start + size].ljust(size))
+            logs = slow_network(net, data[start : start + size])
             end = len(data) if start + size >= len(data) else start + size - langid.MARGIN
             want += logs[done - start : end - start].sum(0)
             done = end
@@ -210,6 +210,14 @@ def test_pooling_is_right():
     assert abs(label(b"ab cd")[:2] - label(b"ab ce")[:2]).max() > 1e-4  # the word after it changes a byte's label
 
 
+def test_padding_is_never_read(monkeypatch):
+    net = langid.Network(["a", "b"], hidden=3).start(6)
+    texts = ["la casa", "der Hund und die Katze sind da", "x" * 31, "y" * 33, "ab " * 25, "ab " * 40]
+    want = langid.pool(net, texts)
+    monkeypatch.setattr(langid, "SIZES", (langid.WINDOW,))
+    assert np.allclose(langid.pool(net, texts), want, atol=1e-6)
+
+
 def test_many_languages_are_learnt(spark):
     rows = [(i, f"{'abcdefghijklmnop'[i % 16]}{'qrstuvwxyz'[i // 16 % 10]} " * 4, f"l{i % 320}") for i in range(960)]
     df = docs(spark, rows, "doc_id long, text string, lang string")
@@ -325,14 +333,26 @@ def test_licences_are_calibrated():
         x = np.zeros(len(vocabulary) + 1)
         x[-1] = 1
         x[[at[g] for g in licences.grams_of(text) if g in at]] = 1
-        p = licences.softmax((x @ w)[None])[0]
-        k = int(p.argmax())
-        return licences.CLASSES[k] if k >= licences.UNKNOWN or p[k] >= threshold else "unknown"
+        z = x @ w
+        k = int(z.argmax())
+        return licences.CLASSES[k] if k >= licences.UNKNOWN or z[k] - z[licences.UNKNOWN] >= limit else "unknown"
 
-    r = random.Random(12)
+    limit, r = threshold, random.Random(12)
     prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(r.randint(0, 25)))
     right = [named(f"{prose()} {n} {prose()}") == f for f, notices in licences.NOTICES.items() for n in notices]
-    assert np.mean(right) > 0.93 and 0.01 < threshold < 0.9
+    assert np.mean(right) > 0.97 and threshold > 0.1
+    # notices of families that were neither learnt nor calibrated on
+    strange = (
+        "Licensed under the Frameworx License, Version 1.0.", "Licensed under the Reciprocal Public License 1.5", "made available under the terms of the Lucent Public License v1.02", "This database is made available under the Open Database License",
+        "Released under the NASA Open Source Agreement", "Licensed under the Catosl License, Version 1.1", "License: Zork", "This Source Code Form is subject to the terms of the Kopete Public License, v. 3.1.", "This font is licensed under the Bitstream Font Licence, Version 2.0.",
+    )
+    assert [named(n) for n in strange] == ["unknown"] * len(strange)
+    own = {"License: MIT": "mit", "License: LGPL": "lgpl", "Publicado bajo la Licencia MIT": "mit", "Creative Commons Namensnennung 4.0": "cc-by", "Redistributions of source code must retain the above copyright notice": "bsd", "Lizenz: CC BY-NC-ND 4.0": None}
+    own["Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"] = "hpnd"
+    assert all(named(n) == f for n, f in own.items() if f)
+    limit = 0.0
+    assert [named(n) for n in strange].count("unknown") < len(strange)  # the threshold decides some of them
+    limit = threshold
     assert np.mean([named(f"{prose()} {n} {prose()}") in ("unknown", "none") for n in licences.HELD_OUT]) >= 0.95
     assert np.mean([named(f"{prose()} {n} {prose()}") == "unknown" for n in licences.HELD_OUT]) >= 0.75
     assert np.mean([named(f"{prose()} {n} {prose()}") == "none" for n in licences.LOOK_ALIKES]) > 0.9 and named("") == "none"
@@ -351,11 +371,12 @@ def brute_licences(rows):
                 x = np.zeros(len(vocabulary) + 1)
                 x[-1] = 1
                 x[[at[g] for g in own if g in at]] = 1
-                p = licences.softmax((x @ w)[None])[0]
+                z = x @ w
+                p = licences.softmax(z[None])[0]
                 k = int(p.argmax())
                 if k == licences.NONE:
                     continue
-                family = licences.CLASSES[k] if k < licences.UNKNOWN and p[k] >= threshold else "unknown"
+                family = licences.CLASSES[k] if k < licences.UNKNOWN and z[k] - z[licences.UNKNOWN] >= threshold else "unknown"
                 share = max(len(own & licences.grams_of(n)) / len(licences.grams_of(n)) for n in licences.NOTICES[family]) if family != "unknown" else 0.0
                 a, b = best.get(family, (0, 0))
                 best[family] = max(a, p[k]), max(b, share)
@@ -420,6 +441,18 @@ def test_style_tree_counts_copies_once(spark):
         assert all(len(t.split()) == 9 for t in main_texts(spark, pages, f"copies{len(pages)}"))
 
 
+def test_formulas_and_figures_are_text():
+    page = "<article><p>Formula <math><mi>E</mi>=mc2</math> here</p><p>A <object data=x>fallback</object> and <canvas>chart of rain</canvas></p><svg><script>x()</script><text>label</text></svg></article>"
+    assert html_text.extract(page, frozenset()) == "Formula E=mc2 here\n\nA fallback and chart of rain\n\nlabel"
+
+
+def test_mirrors_with_other_titles_keep_their_text(spark):
+    body = "".join(f"<p>{' '.join(f'w{i}x{j}' for j in range(30))}</p>" for i in range(4))
+    pages = [f"<html><body><article><h1>Title {i}</h1>{body}</article></body></html>" for i in range(12)]
+    got = main_texts(spark, pages, "mirrors")
+    assert all("w3x29" in t and "w0x0" in t for t in got)
+
+
 def test_inline_boilerplate_and_attributes():
     one = lambda body: html_text.extract(f"<html><body><article>{body}</article></body></html>", frozenset())
     assert one("<p>Text <button>Share</button> <span class='advert'>Buy now</span><span hidden>secret</span><a class='nav'>menu</a><label>Name</label> end</p>") == "Text end"
@@ -490,7 +523,10 @@ def brute_main_texts(pages):
     """The style tree by its definition: entropies over the distinct contents of the host, then each page without its low branches."""
     parsed = [Plain(p) for p in pages]
     inner = lambda blocks: [b for b in blocks if "article" in b[0].split("/")] or blocks
-    contents = ["\n".join(t for _, t in inner(p.blocks)) for p in parsed]
+    contents = []
+    for p in parsed:
+        texts = sorted((t for _, t in inner(p.blocks)), key=lambda t: (-len(t), t))
+        contents.append(next((tuple(texts[:k]) for k in range(1, len(texts) + 1) if 2 * sum(map(len, texts[:k])) >= sum(map(len, texts))), ()))
     share = [1 / contents.count(c) for c in contents]
     paths = sorted({n for p in parsed for n, _ in p.nodes})
     seen = {x: sum(s for p, s in zip(parsed, share) if any(n == x for n, _ in p.nodes)) for x in paths}
@@ -529,10 +565,7 @@ def brute_main_texts(pages):
     out = []
     for p in parsed:
         kept = inner(p.blocks)
-        left = [(n, t) for n, t in kept if not any("/".join(n.split("/")[: i + 1]) in low for i in range(n.count("/") + 1))]
-        if not any("article" in n.split("/") for n, _ in kept) or 2 * sum(len(t) for _, t in left) >= sum(len(t) for _, t in kept):
-            kept = left
-        out.append("\n\n".join(t for _, t in kept))
+        out.append("\n\n".join(t for n, t in kept if not any("/".join(n.split("/")[: i + 1]) in low for i in range(n.count("/") + 1))))
     return out, low
 
 
