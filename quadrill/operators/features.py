@@ -42,11 +42,11 @@ def flag(c: Column) -> Column:
     return c.cast("double")
 
 
-def _ranked(df: DataFrame, names: list[str]) -> DataFrame:
-    """Add each score's rank, and its extremes, mean and variance over the query: one window for all of these."""
+def _ranked(df: DataFrame, names: list[str], fair: bool = False) -> DataFrame:
+    """Add each score's rank (``fair``: ties by hash, not by index), and its extremes, mean and variance over the query: one window for all of these."""
     w = R.per_query()
     stats = {f"{n}_{k}_": f(n).over(w) for n in names for k, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("var", F.var_pop))}
-    return df.withColumns(stats).withColumns({f"{n}_rank": R.ordinal_rank(n) for n in names})
+    return df.withColumns(stats).withColumns({f"{n}_rank": R.fair_rank(n) if fair else R.ordinal_rank(n) for n in names})
 
 
 def _min_max(c: str) -> Column:
@@ -99,10 +99,10 @@ def structure_features(df: DataFrame, num_rels: int) -> DataFrame:
     return df.select(*KEY, *(c.alias(n) for n, c in out.items()))
 
 
-def hybrid_features(df: DataFrame, num_rels: int, firsts: bool = True) -> DataFrame:
-    """32 columns of structure, time and base scores; 29 without ``firsts``, the flags of first places."""
+def hybrid_features(df: DataFrame, num_rels: int, firsts: bool = True, fair: bool = False) -> DataFrame:
+    """32 columns of structure, time and base scores; 29 without ``firsts``, the flags of first places. A ranker learns from ``fair`` ranks only."""
     names = ["struct", "time", "base"]
-    df = _ranked(df.withColumn("base", hybrid_base()), names)
+    df = _ranked(df.withColumn("base", hybrid_base()), names, fair)
     out: dict[str, Column] = {}
     for c in names:
         rank = F.col(f"{c}_rank")
@@ -118,11 +118,11 @@ def hybrid_features(df: DataFrame, num_rels: int, firsts: bool = True) -> DataFr
     return df.select(*KEY, *(c.alias(n) for n, c in out.items()))
 
 
-def rescue_features(df: DataFrame, num_rels: int) -> DataFrame:
+def rescue_features(df: DataFrame, num_rels: int, fair: bool = False) -> DataFrame:
     """104 columns: eight of each of nine score families, and 32 of their combinations and counters."""
     names = ["structure_raw", "time", "dsh", "dmh", "direct", "shared", "b", "base", "time_structure_base"]
     eight = ["structure_raw", "time", "dsh", "dmh", "direct", "shared", "b", "base"]
-    df = _ranked(df.withColumn("time_structure_base", F.round(hybrid_base("structure_raw", "time"), 9)), names).withColumn("mean_", R.row_mean(eight))
+    df = _ranked(df.withColumn("time_structure_base", F.round(hybrid_base("structure_raw", "time"), 9)), names, fair).withColumn("mean_", R.row_mean(eight))
     out: dict[str, Column] = {}
     for c in names:
         rank = F.col(f"{c}_rank")

@@ -114,7 +114,7 @@ def recent_events(asked: DataFrame, quads: DataFrame, k: int) -> DataFrame:
     A node's events are those where it is the source. They are numbered in time order (a running sum over its snapshots,
     and a place within each), so a time asked for joins its k numbers and no others, however many events a hub has.
     """
-    place = F.row_number().over(Window.partitionBy("s", "t").orderBy("eid"))
+    place = F.row_number().over(Window.partitionBy("s", "t").orderBy("eid", "r"))  # a self loop and its inverse share an eid
     numbered = quads.withColumn("in_", place).join(running(quads, ["s"]).select("s", "t", "before"), ["s", "t"])
     numbered = numbered.select(F.col("s").alias("node"), (F.col("before") + F.col("in_")).alias("nth"), F.col("t").alias("event_t"), "r", F.col("o").alias("neighbor"))
     counts = prefix_counts(asked.select(F.col("node").alias("s"), "t"), quads, ["s"], "n_").where("n_ > 0")

@@ -49,6 +49,11 @@ def ordinal_rank(score: Column | str) -> Column:
     return F.row_number().over(per_query().orderBy(F.desc(score), "cand_idx"))
 
 
+def fair_rank(score: Column | str) -> Column:
+    """1, 2, ... by descending score; ties go by a hash of query and candidate, so the true target has no place of its own among them."""
+    return F.row_number().over(per_query().orderBy(F.desc(score), F.xxhash64("qid", "cand"), "cand"))
+
+
 def max_norm(x: Column | str) -> Column:
     """x over the query's largest value; 0 where that isn't positive."""
     c = F.col(x) if isinstance(x, str) else x

@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrill.operators import features as X
 from quadrill.operators import ranking as R
 from quadrill.operators.boosting import Ranker, RankerConfig
 
@@ -78,6 +79,23 @@ def rerank_listwise(train: DataFrame, val: DataFrame | None, test: DataFrame, co
     return predict_listwise(fit_listwise(train, val, feature_names(train), config, most_queries), test)
 
 
+def rescue(train: tuple[DataFrame, DataFrame], val: tuple[DataFrame, DataFrame] | None, test: tuple[DataFrame, DataFrame], topk: int, score: str = "structure_raw", config: RankerConfig = RankerConfig(), most_queries: int = 2000, **selection: Any) -> tuple[DataFrame, Ranker]:
+    """Test rows with ``pred`` and ``final``, and the model: each pair is (scores, features) of the same candidates.
+
+    The model learns from the topk rows by ``score`` of training queries that have their true target among them (``selection`` says which; see
+    ``features.rescue_rows``), and stops by the same rows of validation queries. Only the topk rows of a test query are predicted; they are set in the model's
+    order above all others, which keep their score. Whether a test query's true target is among them plays no part.
+    """
+
+    def rows(pair: tuple[DataFrame, DataFrame], **options: Any) -> DataFrame:
+        return pair[1].join(X.rescue_rows(pair[0], topk, score=score, **options).select("qid", "cand_idx"), ["qid", "cand_idx"], "left_semi")
+
+    model = fit_listwise(rows(train, **selection), rows(val) if val is not None else None, feature_names(train[1]), config, most_queries)
+    top = test[0].withColumn("rank_", R.ordinal_rank(score)).where(F.col("rank_") <= topk).select("qid", "cand_idx")
+    pred = predict_listwise(model, test[1].join(top, ["qid", "cand_idx"], "left_semi")).select("qid", "cand_idx", F.col("score").alias("pred"))
+    return X.rescued(test[0].join(pred, ["qid", "cand_idx"], "left"), topk, "pred", score), model
+
+
 def rerank(train: DataFrame, test: DataFrame, **options: Any) -> DataFrame:
     names = feature_names(train)
     return predict(fit(train, names, **options), test, names)
@@ -102,6 +120,65 @@ def sampled(space: dict[str, list | tuple], n: int, seed: int = 0) -> list[dict[
     return [{k: draw(v) for k, v in space.items()} for _ in range(n)]
 
 
+class Parzen:
+    """Search by the ratio of two densities: options of good records against options of all others.
+
+    Of the records so far the best ``share`` are good. Each option of the next try is drawn from kernels around the good values and kept where that density is
+    highest against the one of the other records; a broad kernel over the whole range stays in both. Ranges are pairs, as in ``sampled``; lists are choices.
+    """
+
+    def __init__(self, space: dict[str, list | tuple], metric: str, seed: int = 0, first: int = 10, share: float = 0.1, drawn: int = 24):
+        self.space, self.metric, self.seed, self.first, self.share, self.drawn = space, metric, seed, first, share, drawn
+
+    def scale(self, name: str) -> tuple[bool, float, float]:
+        """(logarithmic, low, high) of a range, as it is searched."""
+        low, high = self.space[name]
+        log = low > 0 and high >= 10 * low
+        return log, *((np.log(low), np.log(high)) if log else (float(low), float(high)))
+
+    def next(self, records: list[dict[str, Any]]) -> dict[str, Any]:
+        """The options to try after ``records``; the same records give the same options, so a search goes on from what is stored."""
+        r = np.random.default_rng([self.seed, len(records)])
+        if len(records) < self.first:
+            return sampled(self.space, 1, int(r.integers(1 << 31)))[0]
+        ordered = [x["options"] for x in best_records(records, self.metric, len(records))]
+        n = max(1, int(np.ceil(self.share * len(ordered))))
+        return {name: self.choice(r, name, ordered[:n], ordered[n:]) if isinstance(v, list) else self.number(r, name, ordered[:n], ordered[n:]) for name, v in self.space.items()}
+
+    def choice(self, r: np.random.Generator, name: str, good: list[dict], rest: list[dict]) -> Any:
+        values = self.space[name]
+        a, b = (np.array([1 + sum(x[name] == v for x in part) for v in values], float) for part in (good, rest))
+        a, b = a / a.sum(), b / b.sum()
+        tries = r.choice(len(values), self.drawn, p=a)
+        return values[int(tries[(a / b)[tries].argmax()])]
+
+    def number(self, r: np.random.Generator, name: str, good: list[dict], rest: list[dict]) -> float | int:
+        log, low, high = self.scale(name)
+        at = lambda part: np.array([np.log(x[name]) if log else float(x[name]) for x in part])
+
+        def density(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+            wide = (high - low) / max(2.0, len(centres) ** 0.5 * 2)
+            near = np.exp(-0.5 * ((x[:, None] - centres) / wide) ** 2) / wide
+            return (near.sum(1) + 1 / (high - low)) / (len(centres) + 1)
+
+        g, b = at(good), at(rest)
+        centre = np.r_[g, r.uniform(low, high)][r.integers(len(g) + 1, size=self.drawn)]
+        tries = np.clip(centre + r.normal(0, (high - low) / max(2.0, len(g) ** 0.5 * 2), self.drawn), low, high)
+        x = float(tries[(density(tries, g) / density(tries, b)).argmax()])
+        x = float(np.exp(x)) if log else x
+        return int(round(x)) if all(isinstance(v, int) for v in self.space[name]) else x
+
+    def search(self, evaluate: Callable[[dict[str, Any]], dict[str, float]], n: int, records: list[dict[str, Any]] | None = None, keep: Callable[[list[dict[str, Any]]], None] | None = None) -> list[dict[str, Any]]:
+        """Records of n tries, ``records`` among them; ``keep`` is called after each new one, so that a search that was cut off can go on."""
+        records = list(records or [])
+        while len(records) < n:
+            options = self.next(records)
+            records.append({"options": options} | evaluate(options))
+            if keep is not None:
+                keep(records)
+        return records
+
+
 def best_records(records: list[dict[str, Any]], metric: str, k: int = 1) -> list[dict[str, Any]]:
     """The k records of the best metric; equal ones in the order in which they were tried."""
     return sorted(records, key=lambda r: -r[metric])[:k]

@@ -3,7 +3,7 @@
 The network sees a source's last events (target, relation, age) before the query: each event's embeddings and time encoding go through
 one layer, their mean through another, and the result is multiplied with a diagonal of the query's relation and the candidate's
 embedding. It is trained in numpy, by hand-written backpropagation of a softmax or a margin loss, on a bounded number of queries
-that a hash chooses; validation queries stop it. Targets share embeddings by hash, so the model doesn't grow with the graph. A source is encoded
+and candidates that hashes choose; validation queries stop it. Targets share embeddings by hash, so the model doesn't grow with the graph. A source is encoded
 once for each time that is asked for, whatever the number of its candidates.
 """
 
@@ -12,10 +12,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrill.functions.encoding import multiscale_frequencies
@@ -38,17 +39,72 @@ class TimeConfig:
     clip: float = 5.0
     patience: int = 3
     most_queries: int = 2000
+    most_candidates: int = 256
     seed: int = 3
 
     def __post_init__(self):
         if self.loss not in ("softmax", "margin"):
             raise ValueError(f"unknown loss {self.loss!r}")
-        if min(self.dim, self.events, self.buckets, self.epochs, self.batch, self.patience, self.most_queries) < 1 or self.time_dim % 2 or self.rate <= 0:
+        if min(self.dim, self.events, self.buckets, self.epochs, self.batch, self.patience, self.most_queries, self.most_candidates - 1) < 1 or self.time_dim % 2 or self.rate <= 0:
             raise ValueError("sizes are positive, time_dim is even")
 
 
+def listwise_loss(s: np.ndarray, there: np.ndarray, weight: np.ndarray, c: Any) -> tuple[float, np.ndarray]:
+    """Weighted mean loss of scores [n, c] whose first is the true target's, and its derivative; places not in ``there`` are padding."""
+    weight = weight / weight.sum()
+    s = np.where(there, s, -np.inf)
+    if c.loss == "softmax":
+        p = np.exp(s - s.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        loss = float(-(weight * np.log(p[:, 0] + 1e-12)).sum())
+        p[:, 0] -= 1
+        return loss, p * weight[:, None]
+    ds, rows = np.zeros_like(s), np.arange(len(s))
+    if s.shape[1] < 2:
+        return 0.0, ds
+    worst = 1 + s[:, 1:].argmax(1)  # the hardest negative
+    gap = np.where(there[rows, worst], c.margin - s[:, 0] + s[rows, worst], 0.0)  # a query may have no negative
+    on = weight * (gap > 0)
+    ds[rows, worst] = on
+    ds[:, 0] -= on
+    return float((weight * np.maximum(gap, 0)).sum()), ds
+
+
+class Trainable:
+    """Training of any model with ``config``, ``weights`` and ``gradient``."""
+
+    def fit(self, train: dict[str, np.ndarray], val: dict[str, np.ndarray] | None = None) -> Any:
+        """Adam with clipped gradients; the weights of the epoch that does best on ``val`` are kept."""
+        c, r = self.config, np.random.default_rng(self.config.seed + 1)
+        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
+        best, since, step, n = (np.inf, self.weights), 0, 0, len(train["rel"])
+        for _ in range(c.epochs if n else 0):
+            order = r.permutation(n)
+            for i in range(0, n, c.batch):
+                _, grad = self.gradient({k: v[order[i : i + c.batch]] for k, v in train.items()})
+                size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+                step += 1
+                for k, g in grad.items():
+                    g = g * min(1.0, c.clip / max(size, 1e-12))
+                    m, v = moment[k]
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    self.weights[k] = self.weights[k] - c.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            if val is not None and len(val["rel"]):
+                loss = self.gradient(val)[0]
+                if loss < best[0] - 1e-6:
+                    best, since = (loss, {k: v.copy() for k, v in self.weights.items()}), 0
+                else:
+                    since += 1
+                    if since >= c.patience:
+                        break
+        if best[0] < np.inf:
+            self.weights = best[1]
+        return self
+
+
 @dataclass
-class TimeModel:
+class TimeModel(Trainable):
     num_rels: int
     config: TimeConfig = field(default_factory=TimeConfig)
     weights: dict[str, np.ndarray] = field(default_factory=dict)
@@ -85,22 +141,8 @@ class TimeModel:
         """Weighted mean loss of a batch, whose first candidate is the true target, and its gradient."""
         w, c, kept = self.weights, self.config, {}
         h = self.encode(b["nodes"], b["rels"], b["ages"], kept)
-        at, s = b["cands"] % c.buckets, self.score(h, b["rel"], b["cands"])
-        weight = b["weight"] / b["weight"].sum()
-        if c.loss == "softmax":
-            p = np.exp(s - s.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            loss = float(-(weight * np.log(p[:, 0] + 1e-12)).sum())
-            p[:, 0] -= 1
-            ds = p * weight[:, None]
-        else:
-            worst = 1 + s[:, 1:].argmax(1)  # the hardest negative
-            rows = np.arange(len(s))
-            gap = c.margin - s[:, 0] + s[rows, worst]
-            loss, on = float((weight * np.maximum(gap, 0)).sum()), weight * (gap > 0)
-            ds = np.zeros_like(s)
-            ds[rows, worst] = on
-            ds[:, 0] -= on
+        at = b["cands"] % c.buckets
+        loss, ds = listwise_loss(self.score(h, b["rel"], b["cands"]), b["there"], b["weight"], c)
         g = {k: np.zeros_like(v) for k, v in w.items()}
         diag, vec = w["diag"][b["rel"]], w["node"][at]
         np.add.at(g["bias"], at, ds)
@@ -116,35 +158,6 @@ class TimeModel:
         np.add.at(g["rel"], np.maximum(b["rels"], 0), dx[:, :, c.dim : 2 * c.dim])
         return loss, g
 
-    def fit(self, train: dict[str, np.ndarray], val: dict[str, np.ndarray] | None = None) -> TimeModel:
-        """Adam with clipped gradients; the weights of the epoch that does best on ``val`` are kept."""
-        c, r = self.config, np.random.default_rng(self.config.seed + 1)
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
-        best, since, step, n = (np.inf, self.weights), 0, 0, len(train["rel"])
-        for _ in range(c.epochs if n else 0):
-            order = r.permutation(n)
-            for i in range(0, n, c.batch):
-                _, grad = self.gradient({k: v[order[i : i + c.batch]] for k, v in train.items()})
-                size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                step += 1
-                for k, g in grad.items():
-                    g = g * min(1.0, c.clip / max(size, 1e-12))
-                    m, v = moment[k]
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    self.weights[k] = self.weights[k] - c.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            if val is not None and len(val["rel"]):
-                loss = self.gradient(val)[0]
-                if loss < best[0] - 1e-6:
-                    best, since = (loss, {k: v.copy() for k, v in self.weights.items()}), 0
-                else:
-                    since += 1
-                    if since >= c.patience:
-                        break
-        if best[0] < np.inf:
-            self.weights = best[1]
-        return self
-
     def to_json(self) -> str:
         return json.dumps({"format": "quadrill_time_v1", "num_rels": self.num_rels, "config": asdict(self.config), "weights": {k: v.tolist() for k, v in self.weights.items()}})
 
@@ -157,33 +170,55 @@ class TimeModel:
 
 
 def with_events(asked: DataFrame, quads: DataFrame, k: int) -> DataFrame:
-    """(s, t, events): for each source and time asked for its last k events before it, newest first; none is an empty list."""
+    """(s, t, nodes, rels, ages): for each source and time asked for its last k events before it, newest first; none is null."""
     keys = asked.select("s", "t").distinct()
     recent = recent_events(keys.withColumnRenamed("s", "node"), quads, k)
     lists = recent.groupBy(F.col("node").alias("s"), "t").agg(F.array_sort(F.collect_list(F.struct("place", "neighbor", "r", "delta"))).alias("events"))
-    return keys.join(lists, ["s", "t"], "left")
+    return keys.join(lists, ["s", "t"], "left").select("s", "t", F.col("events")["neighbor"].alias("nodes"), F.col("events")["r"].alias("rels"), F.col("events")["delta"].alias("ages"))
+
+
+def arrays(pdf: pd.DataFrame, k: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Events as arrays [n, k]; a relation of -1 is no event."""
+    lists = pdf[f"{prefix}nodes"]
+    sizes = np.array([0 if x is None or np.ndim(x) == 0 else min(len(x), k) for x in lists], np.int64)
+    out = np.zeros((len(pdf), k), np.int64), np.full((len(pdf), k), -1), np.zeros((len(pdf), k))
+    own = np.flatnonzero(sizes)
+    if len(own):
+        rows = np.repeat(own, sizes[own])
+        places = np.arange(len(rows)) - np.repeat(np.cumsum(np.r_[0, sizes[own][:-1]]), sizes[own])
+        for values, c in zip(out, ("nodes", "rels", "ages"), strict=True):
+            column = pdf[f"{prefix}{c}"]
+            values[rows, places] = np.concatenate([np.asarray(column.iloc[i])[: sizes[i]] for i in own])
+    return out
+
+
+def sampled_lists(cands: DataFrame, config: Any, salt: int = 0) -> DataFrame:
+    """(qid, s, r, t, cands): about ``most_queries`` queries chosen by a hash of their id, each with its true target and at most ``most_candidates`` - 1 others, also chosen by a hash."""
+    n = cands.where("cand_idx = 0").count()
+    share = F.pmod(F.xxhash64(F.lit(config.seed + salt), "qid"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < min(1.0, config.most_queries / max(n, 1))
+    order = Window.partitionBy("qid").orderBy(F.col("cand_idx") > 0, F.xxhash64(F.lit(config.seed + salt), "qid", "cand"), "cand_idx")
+    few = cands.where(share).withColumn("place_", F.row_number().over(order)).where(F.col("place_") <= config.most_candidates)
+    return few.groupBy("qid", "s", "r", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_idx", "cand"))), lambda x: x["cand"]).alias("cands"))
 
 
-def arrays(events: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    nodes, rels, ages = np.zeros((len(events), k), np.int64), np.full((len(events), k), -1), np.zeros((len(events), k))
-    for i, own in enumerate(events):
-        for j, e in enumerate(own if own is not None else ()):
-            nodes[i, j], rels[i, j], ages[i, j] = e["neighbor"], e["r"], e["delta"]
-    return nodes, rels, ages
+def padded_lists(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates [n, widest] and which of them are there; shorter lists are padded."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    there = np.arange(sizes.max(initial=1)) < sizes[:, None]
+    out = np.zeros(there.shape, np.int64)
+    if len(sizes):
+        out[there] = np.concatenate([np.asarray(x, np.int64) for x in lists])
+    return out, there
 
 
 def examples(cands: DataFrame, quads: DataFrame, config: TimeConfig, salt: int = 0) -> dict[str, np.ndarray]:
-    """Arrays of about ``most_queries`` queries chosen by a hash of their id; queries of another width than the widest are left out."""
-    n = cands.where("cand_idx = 0").count()
-    share = F.pmod(F.xxhash64(F.lit(config.seed + salt), "qid"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < min(1.0, config.most_queries / max(n, 1))
-    lists = cands.where(share).groupBy("qid", "s", "r", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_idx", "cand"))), lambda x: x["cand"]).alias("cands"))
+    """Arrays of the sampled queries; queries with fewer candidates than others are padded."""
+    lists = sampled_lists(cands, config, salt)
     pdf = lists.join(with_events(lists, quads, config.events), ["s", "t"]).toPandas().sort_values("qid")
-    wide = max(map(len, pdf["cands"]), default=1)
-    pdf = pdf[np.array([len(x) == wide for x in pdf["cands"]], dtype=bool)]
-    nodes, rels, ages = arrays(pdf["events"], config.events)
+    nodes, rels, ages = arrays(pdf, config.events)
     age = pdf["t"].max() - pdf["t"].to_numpy(float) if len(pdf) else np.zeros(0)
-    stacked = np.stack(pdf["cands"].to_numpy()).astype(np.int64) if len(pdf) else np.zeros((0, wide), np.int64)
-    return {"nodes": nodes, "rels": rels, "ages": ages, "rel": pdf["r"].to_numpy(np.int64), "cands": stacked, "weight": np.exp(-config.age_decay * age)}
+    stacked, there = padded_lists(pdf["cands"])
+    return {"nodes": nodes, "rels": rels, "ages": ages, "rel": pdf["r"].to_numpy(np.int64), "cands": stacked, "there": there, "weight": np.exp(-config.age_decay * age)}
 
 
 def fit(train: DataFrame, val: DataFrame | None, quads: DataFrame, num_rels: int, config: TimeConfig = TimeConfig()) -> TimeModel:
@@ -197,7 +232,7 @@ def time_scores(cands: DataFrame, quads: DataFrame, model: TimeModel) -> DataFra
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"s": pdf["s"], "t": pdf["t"], "vector_": list(model.encode(*arrays(pdf["events"], k)))})
+            yield pd.DataFrame({"s": pdf["s"], "t": pdf["t"], "vector_": list(model.encode(*arrays(pdf, k)))})
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrill.plans import catalog, multihop, phases, reranking, temporal, utilities  # noqa: F401  registers its queries
+from quadrill.plans import catalog, learning, multihop, phases, reranking, temporal, utilities  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, catalog.Query]:

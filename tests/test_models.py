@@ -90,7 +90,7 @@ def test_searches():
 
 def time_batch(r, n, k, c, rels):
     rel = r.integers(-1, rels, (n, k))
-    return {"nodes": r.integers(0, 40, (n, k)), "rels": rel, "ages": r.uniform(0, 9, (n, k)), "rel": r.integers(0, rels, n), "cands": r.integers(0, 40, (n, c)), "weight": r.uniform(0.5, 1, n)}
+    return {"nodes": r.integers(0, 40, (n, k)), "rels": rel, "ages": r.uniform(0, 9, (n, k)), "rel": r.integers(0, rels, n), "cands": r.integers(0, 40, (n, c)), "there": np.arange(c) < r.integers(1, c + 1, n)[:, None], "weight": r.uniform(0.5, 1, n)}
 
 
 @pytest.mark.parametrize("kind", ["softmax", "margin"])
