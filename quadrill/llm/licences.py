@@ -171,7 +171,11 @@ HELD_OUT = (
 CLASSES = (*NOTICES, "unknown", "none")
 UNKNOWN, NONE = len(NOTICES), len(NOTICES) + 1
 #: Words whose grams say nothing by themselves.
-FUNCTION_WORDS = frozenset("a an and any are as at be but by can for from in including into is it its kind may no not of on or part that the this to under use v will with without work you".split())
+FUNCTION_WORDS = frozenset(
+    "a an and any are as at be but by can for from in including into is it its kind may no not of on or part that the this to under use v will with without work you "
+    # the same of the other languages of the notices
+    "bajo d dans de der des die du gleichen keine la le les m mes nicht pas und unter".split()
+)
 #: Made-up prose that holds words of licences but names none.
 LOOK_ALIKES = (
     "he showed his driving licence to the officer", "the licence plate of the car was dirty", "a fishing license is sold at the harbour office", "copyright law is taught in the second year",
