@@ -14,7 +14,7 @@ from quadrill.plans.catalog import query
 
 PLACES = 9
 #: Two scores of each candidate, rounded so that both engines break ties alike.
-TWO = f"""both_scores AS (SELECT d.qid, d.s, d.r, d.t, d.cand_idx, d.cand, round(d.score, {PLACES}) AS struct, round(e.score, {PLACES}) AS time
+TWO = f"""both_scores AS MATERIALIZED (SELECT d.qid, d.s, d.r, d.t, d.cand_idx, d.cand, round(d.score, {PLACES}) AS struct, round(e.score, {PLACES}) AS time
   FROM dsh d JOIN recency e ON e.qid = d.qid AND e.cand_idx = d.cand_idx)"""
 W = "(PARTITION BY qid)"
 
@@ -144,10 +144,14 @@ def top10_payload(spark, sf_dir):
     return X.top_candidates(_rescued(spark, sf_dir)).select("qid", F.array_join(F.transform("top", text), ",").alias("top"))
 
 
-@query("top10_records", sql(RESCUE, ORDER, "tops AS (SELECT d.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand_idx) AS rank FROM done d)", T.RANKS,
-    select="""SELECT q.eid AS query_index, q.s, q.r, q.o, q.t AS t_norm, q.t AS t_orig, b.before_rank AS structure_rank_before, strict AS strict_rank, loose AS loose_rank, CAST(rank AS INTEGER) AS rank, k.cand AS candidate_id, k.cand_idx = 0 AS is_positive,
-  round(k.score, 6) AS hybrid_score, round(m.time, 6) AS model_score, round(m.struct, 6) AS structure_score, round(m.time, 6) AS time_score
-  FROM tops k JOIN quads q ON q.eid = k.qid JOIN (SELECT qid, before_rank FROM done WHERE cand_idx = 0) b ON b.qid = k.qid JOIN ranks ON ranks.qid = k.qid JOIN both_scores m ON m.qid = k.qid AND m.cand_idx = k.cand_idx WHERE rank <= 10"""))
+#: All that a record holds, from one pass of windows over the placed candidates.
+RECORDS = """finals AS MATERIALIZED (SELECT qid, cand_idx, cand, struct, time, rank_, CASE WHEN chosen THEN floor_ + 1 + (n - place + 1) / n ELSE struct END AS score FROM pl),
+tops AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand_idx) AS rank, max(CASE WHEN cand_idx = 0 THEN score END) OVER (PARTITION BY qid) AS own, max(CASE WHEN cand_idx = 0 THEN rank_ END) OVER (PARTITION BY qid) AS before_rank FROM finals),
+counted AS (SELECT *, 1 + count(*) FILTER (cand_idx > 0 AND score >= own) OVER (PARTITION BY qid) AS strict, 1 + count(*) FILTER (cand_idx > 0 AND score > own) OVER (PARTITION BY qid) AS loose FROM tops)"""
+
+
+@query("top10_records", sql(RESCUE, ORDER.partition(",\ndone AS")[0], RECORDS, select="""SELECT q.eid AS query_index, q.s, q.r, q.o, q.t AS t_norm, q.t AS t_orig, before_rank AS structure_rank_before, strict AS strict_rank, loose AS loose_rank, CAST(rank AS INTEGER) AS rank, cand AS candidate_id, cand_idx = 0 AS is_positive,
+  round(score, 6) AS hybrid_score, round(time, 6) AS model_score, round(struct, 6) AS structure_score, round(time, 6) AS time_score FROM counted JOIN quads q ON q.eid = qid WHERE rank <= 10"""))
 def top10_records(spark, sf_dir):
     """The payload's ten candidates, one row each; the time score stands for a model's."""
     done = _rescued(spark, sf_dir).withColumns({"pred": F.col("time"), "structure_raw": F.col("struct")})
