@@ -162,12 +162,12 @@ def one_positive(df: DataFrame) -> DataFrame:
     return df.groupBy("qid").agg(F.count_if(F.col("cand_idx") == 0).alias("positives")).where("positives <> 1")
 
 
-def rescue_rows(df: DataFrame, topk: int, low: int = 1, high: int = 100, include_top10: bool = True, stride: int = 1, most: int = 0, score: str = "structure_raw") -> DataFrame:
-    """Candidates of the topk of queries whose true target is in reach; every ``stride``-th query, ``most`` at most (0: all).
+def rescue_rows(df: DataFrame, topk: int, low: int = 1, high: int = 100, include_top10: bool = True, stride: int = 1, most: int = 0, score: str = "structure_raw", fair: bool = False) -> DataFrame:
+    """Candidates of the topk of queries whose true target is in reach; every ``stride``-th query, ``most`` at most (0: all). ``fair``: ties go by hash, not by index.
 
     Queries are numbered in blocks of ids, so no window runs over all of them.
     """
-    ranked = df.withColumn("rank_", R.ordinal_rank(score))
+    ranked = df.withColumn("rank_", R.fair_rank(score) if fair else R.ordinal_rank(score))
     own = F.max(F.when(F.col("cand_idx") == 0, F.col("rank_"))).over(R.per_query())
     chosen = ranked.withColumn("own_", own).where(F.col("rank_") <= topk).where((F.col("own_") <= min(high, topk)) & (F.lit(include_top10) | (F.col("own_") >= low)))
     chosen = chosen.withColumn("n_", F.count("*").over(R.per_query())).where("n_ > 1")
@@ -180,12 +180,12 @@ def rescue_rows(df: DataFrame, topk: int, low: int = 1, high: int = 100, include
     return chosen.withColumn("structure_rank", F.col("rank_")).drop("rank_", "own_", "n_")
 
 
-def rescued(df: DataFrame, topk: int, pred: str = "pred", score: str = "structure_raw") -> DataFrame:
-    """``final``: the topk by structure score stand above all others, among each other by the model's score, then raw score, then place."""
-    df = df.withColumn("rank_", R.ordinal_rank(score)).withColumn("chosen_", F.col("rank_") <= topk)
+def rescued(df: DataFrame, topk: int, pred: str = "pred", score: str = "structure_raw", fair: bool = False) -> DataFrame:
+    """``final``: the topk by structure score stand above all others, among each other by the model's score, then raw score, then place (``fair``: then a hash)."""
+    df = df.withColumn("rank_", R.fair_rank(score) if fair else R.ordinal_rank(score)).withColumn("chosen_", F.col("rank_") <= topk)
     floor = F.coalesce(F.max(F.when(~F.col("chosen_"), F.col(score))).over(R.per_query()), F.lit(0.0))
     n = F.count_if(F.col("chosen_")).over(R.per_query())
-    place = F.row_number().over(Window.partitionBy("qid", "chosen_").orderBy(F.desc(pred), F.desc(score), "cand_idx"))
+    place = F.row_number().over(Window.partitionBy("qid", "chosen_").orderBy(F.desc(pred), F.desc(score), *([F.xxhash64("qid", "cand")] if fair else []), "cand_idx"))
     out = df.withColumns({"floor_": floor, "n_": n, "place_": place})
     final = F.when(F.col("chosen_"), F.col("floor_") + 1.0 + (F.col("n_") - F.col("place_") + 1) / F.col("n_")).otherwise(F.col(score))
     return out.withColumns({"final": final, "before_rank": F.col("rank_")}).drop("rank_", "chosen_", "floor_", "n_", "place_")

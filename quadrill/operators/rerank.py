@@ -84,16 +84,16 @@ def rescue(train: tuple[DataFrame, DataFrame], val: tuple[DataFrame, DataFrame]
 
     The model learns from the topk rows by ``score`` of training queries that have their true target among them (``selection`` says which; see
     ``features.rescue_rows``), and stops by the same rows of validation queries. Only the topk rows of a test query are predicted; they are set in the model's
-    order above all others, which keep their score. Whether a test query's true target is among them plays no part.
+    order above all others, which keep their score. Whether a test query's true target is among them plays no part, and ties give it no place of its own.
     """
 
     def rows(pair: tuple[DataFrame, DataFrame], **options: Any) -> DataFrame:
-        return pair[1].join(X.rescue_rows(pair[0], topk, score=score, **options).select("qid", "cand_idx"), ["qid", "cand_idx"], "left_semi")
+        return pair[1].join(X.rescue_rows(pair[0], topk, score=score, fair=True, **options).select("qid", "cand_idx"), ["qid", "cand_idx"], "left_semi")
 
     model = fit_listwise(rows(train, **selection), rows(val) if val is not None else None, feature_names(train[1]), config, most_queries)
-    top = test[0].withColumn("rank_", R.ordinal_rank(score)).where(F.col("rank_") <= topk).select("qid", "cand_idx")
+    top = test[0].withColumn("rank_", R.fair_rank(score)).where(F.col("rank_") <= topk).select("qid", "cand_idx")
     pred = predict_listwise(model, test[1].join(top, ["qid", "cand_idx"], "left_semi")).select("qid", "cand_idx", F.col("score").alias("pred"))
-    return X.rescued(test[0].join(pred, ["qid", "cand_idx"], "left"), topk, "pred", score), model
+    return X.rescued(test[0].join(pred, ["qid", "cand_idx"], "left"), topk, "pred", score, fair=True), model
 
 
 def rerank(train: DataFrame, test: DataFrame, **options: Any) -> DataFrame:
