@@ -57,10 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back. ``by`` is a column whose values get folders of their own: a filter on it reads no others."""
     path = f"{shared_folder(df.sparkSession)}/quadrill-state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -116,6 +116,12 @@ class Schedule:
     sources: DataFrame
     born: DataFrame
 
+    def buckets(self, n: int) -> dict[int, tuple[set[int], set[int]]]:
+        """For each snapshot the buckets that it writes (its sources and new nodes) and those that it reads besides (its targets): at most 2 n small numbers a snapshot, by one job."""
+        b = lambda node: bucket_of(node, n)
+        rows = self.sources.select("t", b("s").alias("w"), F.lit(None).cast("int").alias("r")).union(self.born.select("t", b("node"), F.lit(None).cast("int"))).union(self.edges.select("t", F.lit(None).cast("int"), b("o")))
+        return {x["t"]: (set(x["w"]), set(x["r"])) for x in rows.groupBy("t").agg(F.collect_set("w").alias("w"), F.collect_set("r").alias("r")).collect()}
+
     @staticmethod
     def of(quads: DataFrame, cfg: PprConfig) -> Schedule:
         k = quads.groupBy("s", "t").agg(F.count("*").alias("k"))
@@ -124,7 +130,9 @@ class Schedule:
         ends = quads.select("t", F.col("s").alias("node")).union(quads.select("t", F.col("o").alias("node")))
         born = ends.groupBy("node").agg(F.min("t").alias("t"))
         born = born.select("t", "node", F.col("node").alias("key"), F.lit(SELF).alias("rel"), F.lit(1.0).alias("score"), F.lit(SELF).alias("tag"), F.lit(0.0).alias("tag_score"))
-        return Schedule(stored(edges), src.select("t", "s", "s1"), stored(born))
+        # snapshots lie in folders of their own; a large one is cut by source into several files
+        apart = lambda df, c: stored(df.repartitionByRange("t", c), "t")
+        return Schedule(apart(edges, "s"), apart(src.select("t", "s", "s1"), "s"), apart(born, "node"))
 
     @staticmethod
     def _weighted(k: DataFrame, cfg: PprConfig) -> DataFrame:
@@ -172,15 +180,11 @@ def step(state: DataFrame, now: Schedule, cfg: PprConfig, transitions: DataFrame
     return stored(before.join(now.sources.select(F.col("s").alias("node")), "node", "left_anti").unionByName(new))
 
 
-def advance(table: StateTable, now: Schedule, cfg: PprConfig, transitions: DataFrame | None, name: str) -> None:
-    """One snapshot in place: only the buckets of its sources and new nodes are written."""
-    n = table.buckets
-    ends = now.sources.select(F.col("s").alias("node")).unionByName(now.born.select("node"))
-    # at most one number a bucket
-    touched = {r[0] for r in ends.select(bucket_of("node", n).alias("b")).distinct().collect()} if n > 1 else {0}
-    before = table.read().unionByName(now.born)
-    own = table.read(touched).unionByName(now.born).join(now.sources.select(F.col("s").alias("node")), "node", "left_anti")
-    table.replace(own.unionByName(changed(before, now, cfg, transitions)), touched, name)
+def advance(table: StateTable, now: Schedule, cfg: PprConfig, transitions: DataFrame | None, name: str, writes: set[int], reads: set[int]) -> None:
+    """One snapshot in place: only the buckets of its sources and new nodes are written, and only those and its targets' are read."""
+    before = table.read(writes | reads).unionByName(now.born)
+    own = table.read(writes).unionByName(now.born).join(now.sources.select(F.col("s").alias("node")), "node", "left_anti")
+    table.replace(own.unionByName(changed(before, now, cfg, transitions)), writes, name)
 
 
 def _merge_tags(old: DataFrame, seen: DataFrame, src: DataFrame, cfg: PprConfig) -> DataFrame:
@@ -275,13 +279,15 @@ def prequential(quads: DataFrame, cfg: PprConfig, transitions: DataFrame | None
     """(t, state before t) for every snapshot in time order (of those in ``ask``, if given), then (-1, the last state): score first, then fold.
 
     ``transitions`` is (t, r_i, r_j, val). The distinct times, one number a snapshot, are all that reaches the driver. A state
-    given out can be read until two more snapshots are folded.
+    given out can be read until two more snapshots are folded. A snapshot's work does not grow with the state: its schedule lies in a folder of its own, and
+    buckets that hold none of its nodes are neither read nor written.
     """
     spark = quads.sparkSession
     plan = Schedule.of(quads, cfg)
     table = StateTable(spark, -(-plan.born.count() // BUCKET_NODES))
-    for t in sorted(r[0] for r in plan.sources.select("t").distinct().collect()):
+    buckets = plan.buckets(table.buckets)
+    for t in sorted(buckets):
         if ask is None or t in ask:
             yield t, table.read()
-        advance(table, plan.at(t), cfg, transitions.where(F.col("t") == t) if transitions is not None else None, f"t={t}")
+        advance(table, plan.at(t), cfg, transitions.where(F.col("t") == t) if transitions is not None else None, f"t={t}", *buckets[t])
     yield -1, table.read()

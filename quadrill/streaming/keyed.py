@@ -91,9 +91,9 @@ def decayed_values(events: DataFrame, decay: float) -> DataFrame:
 def latest_shares(values: DataFrame, decay: float) -> DataFrame:
     """(s, r, o, weight) at the latest time of every (s, r), from all rows that the stream has given."""
     last = values.groupBy("s", "r", "o").agg(F.max_by(F.struct("value", "t"), F.struct("t", "total", "value")).alias("own"))
-    now = values.groupBy("s", "r").agg(F.max(F.struct("t", "total")).alias("now"))
+    now = values.select(F.col("s").alias("s_"), F.col("r").alias("r_"), F.struct("t", "total").alias("now_")).groupBy("s_", "r_").agg(F.max("now_").alias("now"))
     fade = F.pow(F.lit(2.0), F.lit(-float(decay)) * (F.col("now")["t"] - F.col("own")["t"]))
-    return last.join(now, ["s", "r"]).select("s", "r", "o", (F.col("own")["value"] * fade / F.col("now")["total"]).alias("weight"))
+    return last.join(now, (F.col("s") == F.col("s_")) & (F.col("r") == F.col("r_"))).select("s", "r", "o", (F.col("own")["value"] * fade / F.col("now")["total"]).alias("weight"))
 
 
 def recent_events(events: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, stores, names and streams."""
 
 import json
+import os
 import random
 
 import pytest
@@ -207,8 +208,51 @@ def test_component_store(spark, tmp_path):
     with pytest.raises(ValueError):
         store.put("val", df.withColumn("dmh", F.lit(float("inf"))))
     assert not store.holds("val")
+    # a second run replaces the first by its document alone; without a whole folder there is no split
+    store.put("test", df.withColumn("dsh", F.lit(0.75)))
+    assert {r.dsh for r in store.read("test").collect()} == {0.75}
+    path = store.path.removeprefix("file://")
+    meta = json.loads(open(f"{path}/test.json").read())
+    os.remove(f"{path}/{meta['run']}/_SUCCESS")
+    assert not store.holds("test")
     (tmp_path / "f").mkdir()
     (tmp_path / "f/a").write_text("x")
     one = stores.fingerprint(spark, f"file://{tmp_path}/f")
     (tmp_path / "f/a").write_text("xyz")
     assert stores.fingerprint(spark, f"file://{tmp_path}/f") != one
+
+
+@pytest.fixture
+def rocksdb(spark):
+    from quadrill.streaming import keyed
+
+    keyed.use_rocksdb(spark)
+    yield keyed
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_decayed_values_by_target(spark, stream, rocksdb):
+    """Only touched targets are given out; with their last rows they make up the whole table's shares."""
+    live, batch = stream
+    q = rocksdb.decayed_values(live, 0.5).writeStream.outputMode("update").format("memory").queryName("values_by_target").start()
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.table("values_by_target")
+    got = {(r.s, r.r, r.o): r.weight for r in rocksdb.latest_shares(rows, 0.5).collect()}
+    want = {(r.s, r.r, r.o): r.weight for r in H.decayed_state(batch, 0.5).collect()}
+    assert got == pytest.approx(want)
+    touched = {(r.s, r.r, r.o, r.t) for r in batch.select("s", "r", "o", "t").distinct().collect()}
+    assert {(r.s, r.r, r.o, r.t) for r in rows.collect() if (r.s, r.r, r.o, r.t) in touched} == touched and rows.count() <= len(touched)
+
+
+def test_last_events_as_a_list(spark, stream, rocksdb):
+    live, batch = stream
+    q = rocksdb.recent_events(live, 3).writeStream.outputMode("update").format("memory").queryName("last_as_list").start()
+    q.processAllAvailable()
+    q.stop()
+    got, newest = {}, {r.s: r.t for r in batch.groupBy("s").agg(F.max("t").alias("t")).collect()}
+    for r in spark.table("last_as_list").collect():
+        got.setdefault(r.node, []).append(r)
+    for s, t in newest.items():
+        want = [(r.t, r.r, r.o) for r in batch.where(F.col("s") == s).orderBy(F.desc("t"), F.desc("eid")).limit(3).collect()]
+        assert all(x in [(r.event_t, r.r, r.neighbor) for r in got[s]] for x in want) and max(r.event_t for r in got[s]) == t
