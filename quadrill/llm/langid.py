@@ -256,7 +256,7 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
             lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
             lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             if net.langs and lettered.any():
-                p = np.concatenate([softmax(pool(net, texts[i : i + 500]) * net.heat) for i in range(0, len(texts), 500)])
+                p = np.concatenate([softmax(pool(net, texts[i : i + 2500]) * net.heat) for i in range(0, len(texts), 2500)])
                 best = p.argmax(1)
                 lang[lettered] = np.array(net.langs, dtype=object)[best][lettered]
                 score[lettered] = p[np.arange(len(p)), best][lettered]
