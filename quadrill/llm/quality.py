@@ -6,7 +6,7 @@ training documents turns that average into a probability. Learning is from docum
 start with its label, and a second round lets lines of bad documents that look good become good.
 
 Lines are learnt from a sample: about ``rows`` labelled documents outside the held-out fold, chosen by a hash of their ids, and of each at
-most ``LINES`` lines in a row from a place that the hash gives. Executors compute these lines' features, so the bytes that reach
+most ``most_lines`` lines in a row from a place that the hash gives. Executors compute these lines' features, so the bytes that reach
 the driver are bounded whatever the texts' lengths; the curve is fitted on averages over the whole texts of the sample.
 
 Null and empty texts have no line; their average is 0. Texts of any length are read whole. Equal rows get equal scores; of several
@@ -42,8 +42,6 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 OWN = 16
 WIDTH = 3 * (OWN + 1) + 1
-#: Lines of a document that are learnt from.
-LINES = 64
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,8 +196,8 @@ def curve(averages: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Train on about ``rows`` labelled documents outside the held-out fold, chosen by a hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_lines: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Train on about ``rows`` labelled documents outside the held-out fold, chosen by a hash of their id, and on at most ``most_lines`` lines of each."""
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("label"))
     n = known.count()
     picked = known.where(uniform("id", seed=5) < min(1.0, rows / max(n, 1)))
@@ -210,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "doc
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own, _, offsets = own_features(pdf["text"].tolist())
-            starts = offsets[:-1] + (pdf["u"].to_numpy() * (np.maximum(np.diff(offsets) - LINES, 0) + 1)).astype(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "x": [own[a : min(a + LINES, b)].astype(np.float32).tobytes() for a, b in zip(starts, offsets[1:], strict=True)]})
+            starts = offsets[:-1] + (pdf["u"].to_numpy() * (np.maximum(np.diff(offsets) - most_lines, 0) + 1)).astype(np.int64)
+            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "x": [own[a : min(a + most_lines, b)].astype(np.float32).tobytes() for a, b in zip(starts, offsets[1:], strict=True)]})
 
     kind = dict(sample.dtypes)
     got = sample.mapInPandas(lean(lines), f"id {kind['id']}, label {kind['label']}, x binary").collect()
