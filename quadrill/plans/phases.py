@@ -15,6 +15,7 @@ from quadrill.graph import TemporalGraph, last_snapshots
 from quadrill.operators import history as H
 from quadrill.operators import negatives as K
 from quadrill.operators import ranking as R
+from quadrill.operators.ppr import stored
 from quadrill.plans import temporal as T
 from quadrill.plans.catalog import query
 
@@ -57,7 +58,7 @@ def warm_up(g: TemporalGraph, phase: str, run: RunConfig) -> DataFrame:
 def phase_metrics(g: TemporalGraph, run: RunConfig, score) -> DataFrame:
     """Ranking metrics of each phase; ``score`` adds ``score`` to candidates, from facts before their time."""
     queries = scored(g, run)
-    cands = K.candidates(queries, K.tiered(g, queries, run.q, run.seed))
+    cands = stored(K.sampled_candidates(g, queries, run.q, run.seed))
     ranks = R.positive_ranks(score(cands)).join(queries.select(F.col("eid").alias("qid"), "phase"), "qid")
     return R.metrics(ranks, ["phase"])
 

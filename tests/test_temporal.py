@@ -298,3 +298,26 @@ def test_state_in_buckets(spark, monkeypatch):
         parts = sorted(map(tuple, state.collect()))
     key = lambda r: (r[0], r[1], r[2], round(r[3], 10), r[4])
     assert list(map(key, parts)) == list(map(key, whole)) and made
+
+
+def test_lists_and_joined_steps_give_the_same_negatives(spark, monkeypatch):
+    g = G.graph_of(quads(spark, randoms(150, 30, 3, 5, 11)), 0, 79)
+    ask = g.quads.where("t >= 3")
+    found = []
+    for most in (2000, 9, 0):  # arrays for all, for some relations, for none
+        monkeypatch.setattr(K, "AS_LIST", most)
+        found.append([sorted(map(tuple, df.collect())) for df in (K.tiered(g, ask, 6), K.tiered(g, ask, 70, repeat=False), K.train_hard(g, ask, 4, 0.5).select("qid", "neg_idx", "cand", "hard"))])
+    assert found[0] == found[1] == found[2]
+
+
+def test_hard_targets_far_along_the_walk_are_found(spark):
+    rows = [(i, i % 5, 0, 1000 * i, 0) for i in range(5)] + [(9, 1, 0, 7, 1)]
+    g = G.graph_of(quads(spark, rows), 0, 9999)
+    got = K.train_hard(g, g.quads.where("t = 1"), 8, 0.5).collect()
+    assert len(got) == 8 and sum(x.hard for x in got) == 4 and {x.cand for x in got if x.hard} <= {0, 1000, 2000, 3000, 4000}
+
+
+def test_candidates_of_lists(spark):
+    g = G.graph_of(quads(spark, randoms(60, 12, 2, 4, 5)), 0, 39)
+    ask = g.quads.where("t = 3")
+    assert sorted(map(tuple, K.sampled_candidates(g, ask, 5).collect())) == sorted(map(tuple, K.candidates(ask, K.tiered(g, ask, 5)).collect()))
