@@ -196,3 +196,20 @@ def test_options_are_checked():
             E.EventConfig(**bad)
     with pytest.raises(ValueError):
         E.EventModel.from_json("{}")
+
+
+def test_pieces_bound_memory_and_change_nothing():
+    """A batch is worked out in pieces: none is larger than PIECE, and loss and gradient are those of the whole."""
+    from quadrill.operators import time_model as N
+
+    r = np.random.default_rng(4)
+    config = E.EventConfig(encoder="attention", gate="channel", dim=4, events=3, buckets=16, hidden=4, time_dim=2)
+    n, m, k = 2 * N.PIECE + 5, 4, 3
+    shape = lambda *at: (r.integers(0, 30, (*at, k)), r.integers(-1, 4, (*at, k)), r.random((*at, k)) * 9)
+    b = {"s": r.integers(0, 30, n), "t": r.integers(5, 9, n), "rel": r.integers(0, 4, n), "cands": r.integers(0, 30, (n, m)), "there": np.ones((n, m), bool), "weight": r.random(n) + 0.1}
+    b |= dict(zip(("nodes", "rels", "ages"), shape(n), strict=True)) | dict(zip(("c_nodes", "c_rels", "c_ages"), shape(n, m), strict=True))
+    model = E.EventModel(4, config).start()
+    loss, grad = model.gradient(b)
+    assert max(len(part["s"]) for _, part in model.pieces(b)) == N.PIECE
+    assert model.whole_loss(b) == pytest.approx(loss)
+    assert all(np.allclose(model.whole_gradient(b)[k], g) for k, g in grad.items())
