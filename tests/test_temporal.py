@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,26 @@ def test_candidates_of_lists(spark):
     g = G.graph_of(quads(spark, randoms(60, 12, 2, 4, 5)), 0, 39)
     ask = g.quads.where("t = 3")
     assert sorted(map(tuple, K.sampled_candidates(g, ask, 5).collect())) == sorted(map(tuple, K.candidates(ask, K.tiered(g, ask, 5)).collect()))
+
+
+def test_packed_state_is_the_state_of_joins(spark, monkeypatch):
+    """One row a node; merging arrays of whole nodes, in cuts of any size, gives what Spark's joins and aggregates give, repeated facts included."""
+    rows = randoms(70, 9, 3, 5, seed=3)
+    rows += [(1000 + i, *x[1:]) for i, x in enumerate(rows[::3])]
+    for cfg in (P.PprConfig("tag_sum", 0.1, 0.9, 4), P.PprConfig("tag_max", 0.1, 0.9)):
+        found = []
+        for small, merged in ((500_000, 400_000), (500_000, 3), (-1, 1)):  # the last: too much to send, so joins
+            monkeypatch.setattr(P, "SMALL", small)
+            monkeypatch.setattr(P, "MERGED", merged)
+            for _, state in P.prequential(quads(spark, rows), cfg):
+                last = state
+            found.append(sorted((x.node, x.key, round(x.score, 10), x.tag) for x in last.collect()))
+        assert found[0] == found[1] == found[2] and len(found[0]) > 9
+
+
+def test_packed_rows_are_whole_nodes():
+    batch = lambda *nodes: pa.record_batch({"node": pa.array(nodes, pa.int64()), "s1": pa.nulls(len(nodes), pa.float64()), "r": pa.nulls(len(nodes), pa.int32()), "eid": pa.nulls(len(nodes), pa.int64()), "n": pa.nulls(len(nodes), pa.int64()), "part": pa.nulls(len(nodes), pa.float64()), "keys": pa.array([[n] for n in nodes], pa.list_(pa.int64())), "scores": pa.array([[1.0]] * len(nodes)), "tags": pa.array([[-1]] * len(nodes), pa.list_(pa.int32())), "tag_scores": pa.array([[0.0]] * len(nodes))})
+    out = [x.to_pydict() for x in P.merged_sources(iter([batch(1, 2), batch(3)]), P.PprConfig())]
+    assert [n for x in out for n in x["node"]] == [1, 2, 3] and all(x["keys"] == [[n] for n in x["node"]] for x in out)
+    with pytest.raises(ValueError):
+        list(P.merged_sources(iter([batch(2, 1)]), P.PprConfig()))
