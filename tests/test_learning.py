@@ -13,6 +13,7 @@ from quadrill.operators import features as X
 from quadrill.operators import negatives as K
 from quadrill.operators import ranking as R
 from quadrill.operators import rerank as L
+from quadrill.operators import time_model as N
 from quadrill.sources.encodings import EncodingStore
 from quadrill.sources.metrics import RunMetrics, StreamProgress
 from quadrill.sources.stores import ScoreStore, both_stores, read_json, write_json
@@ -166,3 +167,13 @@ def test_progress_of_streams(spark, tmp_path):
         assert seen.totals["counted"]["rows"] == 30 and seen.totals["counted"]["batches"] >= 3 and seen.totals["counted"]["state_rows"] == 30
     finally:
         spark.streams.removeListener(seen)
+
+
+def test_candidates_of_sampled_queries_give_the_same_sample(spark):
+    """Queries are chosen before their candidates are made: no candidate is made that nothing learns from."""
+    rows = [(i, i % 7, i % 2, (3 * i) % 11, i // 40, "train") for i in range(200)]
+    g = G.graph_of(spark.createDataFrame(rows, "eid long, s long, r int, o long, t long, split string"))
+    config = N.TimeConfig(most_queries=30)
+    few = N.sampled_queries(g.quads, config, 1)
+    lists = [sorted(map(str, N.sampled_lists(K.sampled_candidates(g, q, 5), config, 1).collect())) for q in (g.quads, few)]
+    assert lists[0] == lists[1] and 10 < few.count() == len(lists[0]) < 60
