@@ -14,6 +14,7 @@ from quadrill.operators import negatives as K
 from quadrill.operators import ranking as R
 from quadrill.operators import rerank as L
 from quadrill.operators import time_model as N
+from quadrill.plans import learning
 from quadrill.sources.encodings import EncodingStore
 from quadrill.sources.metrics import RunMetrics, StreamProgress
 from quadrill.sources.stores import ScoreStore, both_stores, read_json, write_json
@@ -177,3 +178,29 @@ def test_candidates_of_sampled_queries_give_the_same_sample(spark):
     few = N.sampled_queries(g.quads, config, 1)
     lists = [sorted(map(str, N.sampled_lists(K.sampled_candidates(g, q, 5), config, 1).collect())) for q in (g.quads, few)]
     assert lists[0] == lists[1] and 10 < few.count() == len(lists[0]) < 60
+
+
+def test_rankers_make_candidates_of_what_they_read_only(spark, data, monkeypatch):
+    """Learnt scores of a split are made for the queries that the ranker reads; scores, features and the ranker's rows stay those of all queries."""
+    config = E.EventConfig(epochs=1, most_queries=40, most_candidates=5, events=3, dim=4, time_dim=4)
+    monkeypatch.setattr(learning, "CONFIG", config)
+    monkeypatch.setattr(L.read_queries, "__defaults__", ("eid", 30, 5))
+    made, whole = [], learning.candidates
+    monkeypatch.setattr(learning, "candidates", lambda g, q: made.append(q.count()) or whole(g, q))
+    g, quads, q = learning.parts(spark, data)
+    _, scores = learning.learnt_scores(spark, data)
+    assert len(made) == 7 and max(made[:6]) < 80 < made[6] == q["test"].count()
+    every = {n: whole(g, df) for n, df in q.items()}
+    full = dict(zip(("suffix", "val", "test"), E.out_of_fold(every["prefix"], every["suffix"], [every["val"], every["test"]], quads, 2 * g.num_rels, config), strict=True))
+    rows = lambda df, time: {(r["qid"], r["cand_idx"], r["cand"]): r[time] for r in df.collect()}
+    for n, df in full.items():
+        own, all_ = rows(scores[n], "time"), rows(df, "score")
+        assert own == pytest.approx({k: all_[k] for k in own}) and (n != "test" or len(own) == len(all_))
+        if n != "test":
+            plain = df.withColumn("x", F.col("cand").cast("double"))
+            assert L.matrix(plain, ["x"], 30)[0].tolist() == L.matrix(scores[n].withColumn("x", F.col("cand").cast("double")), ["x"], 30)[0].tolist()
+    # a rescue ranker chooses among the queries that it can reach
+    _, reached = learning.learnt_scores(spark, data, rescue=True)
+    struct = learning.with_struct(g, every["suffix"])
+    pick = lambda df: L.matrix(X.rescue_rows(df, learning.RESCUED, score="struct", fair=True), ["struct"], 30)
+    assert all((a == b).all() for a, b in zip(pick(struct), pick(reached["suffix"]), strict=True)) and reached["suffix"].select("qid").distinct().count() < 80
