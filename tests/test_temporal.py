@@ -12,6 +12,7 @@ from quadrill.operators import negatives as K
 from quadrill.operators import ppr as P
 from quadrill.operators import ranking as R
 from quadrill.operators import relations as M
+from quadrill.plans import multihop, reranking
 
 TINY = [(0, 0, 0, 1, 0), (1, 0, 0, 1, 0), (2, 1, 1, 2, 0), (3, 0, 0, 2, 1), (4, 2, 1, 2, 1), (5, 1, 0, 0, 2), (6, 0, 1, 1, 2), (7, 2, 0, 0, 3), (8, 0, 0, 1, 3), (9, 1, 1, 2, 3)]
 
@@ -345,3 +346,28 @@ def test_packed_rows_are_whole_nodes():
     assert [n for x in out for n in x["node"]] == [1, 2, 3] and all(x["keys"] == [[n] for n in x["node"]] for x in out)
     with pytest.raises(ValueError):
         list(P.merged_sources(iter([batch(2, 1)]), P.PprConfig()))
+
+
+def test_nothing_is_folded_or_joined_that_is_not_read(spark, monkeypatch):
+    """No snapshot is folded after the last that is asked for, and shared scores alone need no mass of the candidates; both give the same shared scores."""
+    g = G.graph_of(quads(spark, randoms(rels=2)))
+    asked = g.quads.where("t IN (3, 5)")
+    cands = P.stored(K.sampled_candidates(g, asked, 4))
+    folded, joined, advance, dmh = [], [], P.advance, P.dmh_scores
+    monkeypatch.setattr(P, "advance", lambda *a: folded.append(a[4]) or advance(*a))
+    monkeypatch.setattr(P, "dmh_scores", lambda *a: joined.append(1) or dmh(*a))
+    both = [multihop.structure_parts(g, cands, P.PprConfig(), "unweighted", dmh=d) for d in (True, False)]
+    assert folded == [f"t={t}" for t in range(5)] * 2 and len(joined) == 2
+    rows = [{(r["qid"], r["cand_idx"]): r["shared"] for r in df.collect()} for df in both]
+    assert rows[0] == pytest.approx(rows[1]) and len(rows[0]) == cands.count() and "dmh" not in both[1].columns
+
+
+def test_scores_read_the_stored_candidates(spark):
+    """Two scores deal candidates fewer times than decayed scores read by recency ones do, with the same rows."""
+    g = G.graph_of(quads(spark, randoms()))
+    cands = P.stored(K.sampled_candidates(g, g.quads.where("t > 3"), 4))
+    other = H.recency_scores(H.decayed_scores(cands, g.quads, 0.3).withColumnRenamed("score", "struct"), g.quads).withColumnRenamed("score", "time")
+    own = reranking.both_scores(g, cands)
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    rows = lambda df: {(r["qid"], r["cand_idx"]): (round(r["struct"], 9), round(r["time"], 9)) for r in df.collect()}
+    assert dealt(own) < dealt(other) and rows(own) == rows(other)
