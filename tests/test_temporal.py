@@ -371,3 +371,14 @@ def test_scores_read_the_stored_candidates(spark):
     dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     rows = lambda df: {(r["qid"], r["cand_idx"]): (round(r["struct"], 9), round(r["time"], 9)) for r in df.collect()}
     assert dealt(own) < dealt(other) and rows(own) == rows(other)
+
+
+def test_facts_are_not_dealt_by_what_is_asked(spark):
+    """Dictionaries, times and relations asked for are sent to facts of unknown size; only queries meet their own lists by a shuffle of both."""
+    facts = quads(spark, randoms())
+    g = G.graph_of(facts)
+    asked = g.quads.where("t > 3")
+    merges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    assert merges(G.coded(facts, "split", "code")) == 0
+    assert merges(K.tiered_lists(g, asked, 4)) == 0
+    assert merges(K.train_hard(g, asked, 4, 0.5)) == 1
