@@ -1,5 +1,6 @@
 """Golden graphs, plain-Python recurrences and metamorphic properties."""
 
+import math
 import random
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from quadrill.operators import negatives as K
 from quadrill.operators import ppr as P
 from quadrill.operators import ranking as R
 from quadrill.operators import relations as M
-from quadrill.plans import multihop, reranking
+from quadrill.plans import multihop, registered, reranking
 
 TINY = [(0, 0, 0, 1, 0), (1, 0, 0, 1, 0), (2, 1, 1, 2, 0), (3, 0, 0, 2, 1), (4, 2, 1, 2, 1), (5, 1, 0, 0, 2), (6, 0, 1, 1, 2), (7, 2, 0, 0, 3), (8, 0, 0, 1, 3), (9, 1, 1, 2, 3)]
 
@@ -382,3 +383,30 @@ def test_facts_are_not_dealt_by_what_is_asked(spark):
     assert merges(G.coded(facts, "split", "code")) == 0
     assert merges(K.tiered_lists(g, asked, 4)) == 0
     assert merges(K.train_hard(g, asked, 4, 0.5)) == 1
+
+
+def test_recency_of_lists(spark):
+    """Scores of lists are those of rows and of plain Python, and so are their ranks; a query without a past has zeros, a null source too."""
+    rows = [(i, 0 if i % 3 else s, r, o, t) for i, s, r, o, t in randoms(200)]
+    facts = quads(spark, [*rows, (900, None, 0, 1, 2), (901, None, 0, 1, 4)])
+    g = G.graph_of(facts)
+    lists = P.stored(K.candidate_lists(g, g.quads.where("t IN (0, 3, 5)").unionByName(g.quads.where("eid = 901")), 4))
+    mine = H.recency_lists(lists, g.quads, 6, 2.0)
+    assert mine.columns == [*lists.columns, "scores"]
+    got = {(x["qid"], x["cand_idx"]): (x["s"], x["t"], x["cand"], x["score"]) for x in K.laid_out(mine, {"scores": "score"}).collect()}
+    assert len(got) == 5 * (lists.count() - 1) + 1 and {s for s, *_ in got.values()} >= {0, None}  # no negatives without a source
+    for s, t, cand, score in got.values():
+        past = sorted(((u, e, o) for e, a, _, o, u in rows if a == s and u < t), reverse=True)[:6]
+        assert score == pytest.approx(sum(math.exp(-(t - u) / 2.0) for u, _, o in past if o == cand))
+    long = H.recency_scores(K.laid_out(lists, {}), g.quads, 6, 2.0)
+    assert {(x["qid"], x["cand_idx"]): x["score"] for x in long.collect()} == {k: pytest.approx(v[3]) for k, v in got.items()}
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(R.list_ranks(mine)) == same(R.positive_ranks(K.laid_out(mine, {"scores": "score"})))
+
+
+def test_candidates_stay_in_their_query(spark, data):
+    """Recency and its ranks deal facts and lists by source, and no rows of candidates by query or target."""
+    plan = lambda name: registered.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    for name in ("recency_scores", "positive_ranks", "rank_metrics"):
+        dealt = [x for x in plan(name).splitlines() if "Exchange hashpartitioning" in x]
+        assert dealt and not [x for x in dealt if "qid" in x.split("ENSURE")[0] or "neighbor" in x or "cand#" in x]
