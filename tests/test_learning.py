@@ -58,6 +58,20 @@ def test_rescue_by_a_model(spark):
     assert few.count() == test.count()
 
 
+def test_registered_rescue_moves_targets_into_the_first_ten(spark):
+    """With as many candidates as the query reorders, a target that stands fifteenth can be rescued, and the counters say so."""
+
+    def late(seed):
+        r = random.Random(seed)
+        rows = [(q, 1, 0, i, 100 + i, 0.5 if i == 0 else (0.9 if i <= 14 else 0.1) + 0.05 * r.random(), (0.9 if i == 0 else 0.3) + 0.3 * r.random()) for q in range(60) for i in range(21)]
+        df = spark.createDataFrame(rows, "qid long, s long, r int, cand_idx int, cand long, struct double, time double")
+        return df, X.hybrid_features(df, 2, fair=True)
+
+    done, _ = L.rescue(late(1), None, late(2), learning.RESCUED, "struct", B.RankerConfig(rounds=5))
+    stats = X.rescue_stats(done).first()
+    assert stats["pos_11_100_before"] == 60 and stats["rescued_11_100_to_top10"] > 50
+
+
 def test_fair_ranks_hide_the_true_target(spark):
     df = spark.createDataFrame([(q, i, 1000 + (q * 31 + i * 17) % 97, 0.5) for q in range(400) for i in range(5)], "qid long, cand_idx int, cand long, x double")
     first = df.withColumns({"rank": R.ordinal_rank("x"), "fair": R.fair_rank("x")}).where("cand_idx = 0").agg(F.avg(F.col("rank") * 1.0), F.avg(F.col("fair") * 1.0)).first()
