@@ -213,3 +213,27 @@ def test_pieces_bound_memory_and_change_nothing():
     assert max(len(part["s"]) for _, part in model.pieces(b)) == N.PIECE
     assert model.whole_loss(b) == pytest.approx(loss)
     assert all(np.allclose(model.whole_gradient(b)[k], g) for k, g in grad.items())
+
+
+def test_encoding_takes_no_more_memory_than_a_piece():
+    """A batch of Arrow, however long, goes through the network in pieces, and vectors stay those of the whole."""
+    import tracemalloc
+
+    import pandas as pd
+
+    class Rows:
+        dtypes = [("s", "bigint"), ("t", "bigint"), ("r", "int")]
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    model, r, n = E.EventModel(10, E.EventConfig(encoder="attention", gate="channel", windows=(3, 10))).start(), np.random.default_rng(1), 3000
+    lists = {name: list(r.integers(0, top, (n, 10))) for name, top in (("nodes", 99), ("rels", 9), ("ages", 9))}
+    pdf = pd.DataFrame({"s": np.arange(n), "t": 5, "r": 1, **lists})
+    run = E.encoded_events(Rows(), model)
+    tracemalloc.start()
+    got = np.concatenate([np.stack(part["vector"]) for part in run(iter([pdf]))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    arrays = (np.stack(pdf[c]) for c in ("nodes", "rels", "ages"))
+    assert peak < 120e6 and np.allclose(got, model.encoded(model.frozen(), *arrays, pdf["t"].to_numpy(), pdf["r"].to_numpy()).value)
