@@ -137,6 +137,23 @@ def test_time_model_learns(spark):
         N.TimeConfig(loss="other")
 
 
+def test_listwise_on_all_queries(spark, monkeypatch):
+    """Without a bound the ranker learns from every query, in blocks, and grows the trees that one process grows on all rows."""
+    x, starts = made(150, 3)
+    x = np.round(x, 2)
+    rows = [(int(i // 12), int(i % 12), int(i), *map(float, row)) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "qid long, cand_idx int, cand long, a double, b double, c double, d double").repartition(3)
+    monkeypatch.setattr(L, "STORE_EVERY", 2)
+    got = L.fit_listwise(df, df, list("abcd"), B.RankerConfig(rounds=5, bins=200), None)
+    want = B.Ranker(list("abcd"), B.RankerConfig(rounds=5, bins=200)).fit(x, starts, (x, starts))
+    assert len(got.trees) == len(want.trees) and got.best == want.best
+    assert np.corrcoef(got.predict(x), want.predict(x))[0, 1] > 0.98
+    again = L.fit_listwise(df.repartition(7), df, list("abcd"), B.RankerConfig(rounds=5, bins=200), None)
+    assert again.trees == got.trees
+    with pytest.raises(Exception, match="exactly one true target"):
+        L.fit_listwise(df.where("cand_idx > 0 OR qid <> 7"), None, ["a"], B.RankerConfig(rounds=1), None)
+
+
 def test_phases(spark):
     rows = [(t * 4 + i, i, 0, (i + t) % 4, t, "train" if t < 10 else "val" if t < 13 else "test") for t in range(16) for i in range(4)]
     g = G.graph_of(spark.createDataFrame(rows, "eid long, s long, r int, o long, t long, split string"))
