@@ -410,3 +410,24 @@ def test_candidates_stay_in_their_query(spark, data):
     for name in ("recency_scores", "positive_ranks", "rank_metrics"):
         dealt = [x for x in plan(name).splitlines() if "Exchange hashpartitioning" in x]
         assert dealt and not [x for x in dealt if "qid" in x.split("ENSURE")[0] or "neighbor" in x or "cand#" in x]
+
+
+@pytest.mark.parametrize("mode", ["per_rel", "tag_sum", "tag_max"])
+def test_sources_folded_one_by_one_give_the_state_of_snapshots(spark, monkeypatch, mode):
+    """Few nodes are targets: the driver folds these, tasks fold each other source by itself, and no snapshot rewrites the state."""
+    from quadrill.operators import fold
+
+    r = random.Random(5)
+    rows = [(i, r.randrange(40), r.randrange(3), r.randrange(6), i // 40) for i in range(160)] + [(160, 3, 1, 2, 3), (161, 3, 1, 2, 3)]
+    cfg = P.PprConfig(mode, top_keys=4, top_relations=2)
+    table = spark.createDataFrame([(t, a, b, 0.2 + 0.1 * (a + 2 * b)) for t in range(4) for a in range(3) for b in range(3)], "t long, r_i int, r_j int, val double")
+    state = lambda df: {(x.node, x.key, x.rel, x.tag): x.score for x in df.collect()}
+    monkeypatch.setattr(fold, "AT_ONCE", 7)
+    folded = []
+    with monkeypatch.context() as m:
+        m.setattr(P, "advance", lambda *a: folded.append(a))
+        got = {t: state(df) for t, df in P.prequential(quads(spark, rows), cfg, table, {2})}
+    assert not folded and set(got) == {2, -1}
+    monkeypatch.setattr(fold, "TARGETS", 5)
+    for t, df in P.prequential(quads(spark, rows), cfg, table, {2}):
+        assert got[t] == pytest.approx(state(df), abs=1e-12)
